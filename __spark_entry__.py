@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import oracle
-from quarry.operators import bm25
+from quarry.operators import bm25, runs
 from quarry.operators.index import build_index
-from quarry.sources import tables
+from quarry.sources import judgements, passages, tables
 
 SF_SMOKE = "/root/testdata/sf0.001"
 D = 6
@@ -44,6 +44,104 @@ def q_bm25_rm3_topk(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame
     return _run_out(bm25.bm25_rm3_topk(index, tables.passage_queries(spark, sf_dir), k=k))
 
 
+def _bm25_run(spark, sf_dir, k, corpus=None):
+    corpus = corpus if corpus is not None else tables.corpus(spark, sf_dir)
+    return bm25.bm25_topk(build_index(corpus), tables.passage_queries(spark, sf_dir), k=k)
+
+
+def _rm3_run(spark, sf_dir, k):
+    index = build_index(tables.corpus(spark, sf_dir))
+    return bm25.bm25_rm3_topk(index, tables.passage_queries(spark, sf_dir), k=k)
+
+
+def _passage_qrels(spark, sf_dir, corpus=None):
+    corpus = corpus if corpus is not None else tables.corpus(spark, sf_dir)
+    return passages.passage_judgements(corpus, tables.passage_queries(spark, sf_dir))
+
+
+def _label_qrels(spark, sf_dir):
+    return judgements.qrels_from_labels(
+        tables.read_table(spark, sf_dir, "labels"), tables.read_table(spark, sf_dir, "documents")
+    )
+
+
+def q_passage_qrels(spark, sf_dir):
+    return _passage_qrels(spark, sf_dir).select("qid", "did", "label")
+
+
+def q_qrels_positive(spark, sf_dir):
+    return judgements.positive_judgements(_label_qrels(spark, sf_dir))
+
+
+def q_positives_by_query(spark, sf_dir):
+    grouped = judgements.positives_by_query(_label_qrels(spark, sf_dir))
+    return grouped.select(
+        "qid", F.size("dids").cast("bigint").alias("n_pos"),
+        F.array_join(F.transform("dids", lambda d: d.cast("string")), ",").alias("dids"),
+    )
+
+
+def q_judged_queries(spark, sf_dir):
+    return judgements.judged_queries(tables.passage_queries(spark, sf_dir), _passage_qrels(spark, sf_dir))
+
+
+def q_relevance_flag(spark, sf_dir):
+    run = runs.relevance_flag(_bm25_run(spark, sf_dir, 10), _passage_qrels(spark, sf_dir))
+    return run.select("qid", "doc_id", "rank", "relevant")
+
+
+def q_attach_raw(spark, sf_dir):
+    run = runs.attach_raw(_bm25_run(spark, sf_dir, 10), tables.corpus(spark, sf_dir))
+    return run.select("qid", "doc_id", "rank", F.round("score", D).alias("score"), "raw")
+
+
+def q_hit_counts(spark, sf_dir):
+    return runs.hit_counts(_bm25_run(spark, sf_dir, 100)).select("qid", F.col("hits").cast("bigint"))
+
+
+def q_doc_lookup(spark, sf_dir):
+    ids = tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))
+    return runs.doc_lookup(ids, tables.corpus(spark, sf_dir)).select("doc_id", "raw")
+
+
+def q_shorten_text(spark, sf_dir):
+    from quarry.functions.text import shorten
+
+    return tables.corpus(spark, sf_dir).select("doc_id", shorten("text").alias("short"))
+
+
+def q_first_url(spark, sf_dir):
+    from quarry.functions.text import first_url, shorten
+
+    return tables.web_corpus(spark, sf_dir).select("doc_id", first_url(shorten("text")).alias("url"))
+
+
+def q_linkify(spark, sf_dir):
+    from quarry.functions.text import first_url, linkify, shorten
+
+    short = tables.web_corpus(spark, sf_dir).select("doc_id", shorten("text").alias("t"))
+    return short.select("doc_id", linkify("t", first_url("t")).alias("display"))
+
+
+def q_present_hits(spark, sf_dir):
+    web = tables.web_corpus(spark, sf_dir)
+    run = runs.relevance_flag(_bm25_run(spark, sf_dir, 10, web), _passage_qrels(spark, sf_dir, web))
+    shown = runs.present_hits(runs.attach_raw(run, web))
+    return shown.select("qid", "doc_id", "rank", F.round("score", D).alias("score"), "relevant",
+                        "text", "url", "display")
+
+
+def q_compare_runs(spark, sf_dir):
+    cmp = runs.compare_runs(_bm25_run(spark, sf_dir, 10), _rm3_run(spark, sf_dir, 10))
+    return cmp.select("qid", "doc_id", "rank_a", F.round("score_a", D).alias("score_a"),
+                      "rank_b", F.round("score_b", D).alias("score_b"))
+
+
+def q_order_by_other_run(spark, sf_dir):
+    out = runs.order_by_other_run(_rm3_run(spark, sf_dir, 10), _bm25_run(spark, sf_dir, 10))
+    return out.select("qid", "doc_id", "rank_b", "rank_a", "rank")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top-100 of every benchmark passage over the documents."""
     return q_bm25_topk(spark, SF_SMOKE)
@@ -54,6 +152,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bm25_topk": q_bm25_topk,
         "rm3_terms": q_rm3_terms,
         "bm25_rm3_topk": q_bm25_rm3_topk,
+        "passage_qrels": q_passage_qrels,
+        "qrels_positive": q_qrels_positive,
+        "positives_by_query": q_positives_by_query,
+        "judged_queries": q_judged_queries,
+        "relevance_flag": q_relevance_flag,
+        "attach_raw": q_attach_raw,
+        "hit_counts": q_hit_counts,
+        "doc_lookup": q_doc_lookup,
+        "shorten_text": q_shorten_text,
+        "first_url": q_first_url,
+        "linkify": q_linkify,
+        "present_hits": q_present_hits,
+        "compare_runs": q_compare_runs,
+        "order_by_other_run": q_order_by_other_run,
     }
 
 
@@ -62,4 +174,18 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": oracle.bm25_topk(),
         "rm3_terms": oracle.rm3_terms(),
         "bm25_rm3_topk": oracle.bm25_rm3_topk(),
+        "passage_qrels": oracle.passage_qrels(),
+        "qrels_positive": oracle.qrels_positive(),
+        "positives_by_query": oracle.positives_by_query(),
+        "judged_queries": oracle.judged_queries(),
+        "relevance_flag": oracle.relevance_flag(),
+        "attach_raw": oracle.attach_raw(),
+        "hit_counts": oracle.hit_counts(),
+        "doc_lookup": oracle.doc_lookup(),
+        "shorten_text": oracle.shorten_text(),
+        "first_url": oracle.first_url(),
+        "linkify": oracle.linkify(),
+        "present_hits": oracle.present_hits(),
+        "compare_runs": oracle.compare_runs(),
+        "order_by_other_run": oracle.order_by_other_run(),
     }

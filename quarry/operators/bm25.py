@@ -76,7 +76,8 @@ def bm25_scores(index: TextIndex, qweights: DataFrame, params: BM25Params = BM25
     n, avgdl = index.stats()
     small = row_count_at_most(qweights, max_broadcast_rows)
     qw = _hint(qweights.select("qid", "term", F.col("qw").cast("double").alias("qw")), small)
-    weighted = qw.join(index.terms, "term").select(
+    dfs = index.doc_freqs(qweights.select("term").distinct(), small)
+    weighted = qw.join(_hint(dfs, small), "term").select(
         "qid", "term",
         (F.col("qw") * F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("wt"),
     )
@@ -129,7 +130,7 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
     fb_postings = cut_lineage(fb_postings)
     vocab = fb_postings.select("term").distinct()
     vocab_small = row_count_at_most(vocab, max_broadcast_rows)
-    rare = index.terms.join(_hint(vocab, vocab_small), "term").filter(
+    rare = index.doc_freqs(vocab, vocab_small).filter(
         F.col("df") <= F.lit(rm3.max_df_ratio * n)
     ).select("term")
     cand = fb_postings.join(_hint(rare, vocab_small), "term")

@@ -31,6 +31,10 @@ class TextIndex:
     postings: DataFrame
     doc_lengths: DataFrame
     terms: DataFrame
+    # True when postings/terms are materialised (persisted or read back): then
+    # document frequencies come from the small ``terms`` table; otherwise they
+    # are counted only for the needed terms from the postings.
+    materialised: bool = False
     _stats: tuple[int, float] | None = field(default=None, repr=False)
 
     def stats(self) -> tuple[int, float]:
@@ -43,6 +47,7 @@ class TextIndex:
     def persist(self) -> "TextIndex":
         for df in (self.postings, self.doc_lengths, self.terms):
             df.persist()
+        self.materialised = True
         return self
 
     def unpersist(self) -> None:
@@ -62,6 +67,21 @@ class TextIndex:
             postings=spark.read.parquet(f"{path}/postings"),
             doc_lengths=spark.read.parquet(f"{path}/doc_lengths"),
             terms=spark.read.parquet(f"{path}/terms"),
+            materialised=True,
+        )
+
+    def doc_freqs(self, needed_terms: DataFrame, small: bool) -> DataFrame:
+        """``(term, df)`` for the distinct ``needed_terms(term)``.
+
+        ``small`` (proven by a row-count check) lets the term list be broadcast.
+        """
+        hint = F.broadcast if small else (lambda d: d)
+        if self.materialised:
+            return self.terms.join(hint(needed_terms), "term")
+        return (
+            self.postings.join(hint(needed_terms), "term")
+            .groupBy("term")
+            .agg(F.count(F.lit(1)).alias("df"))
         )
 
 
@@ -78,8 +98,12 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("doc_id", F.size("toks").cast("int").alias("dl"), "toks")
     )
     doc_lengths = docs.select("doc_id", "dl")
+    # explode_outer + explicit null filter: a plain explode makes Catalyst infer
+    # a size(tokens) > 0 filter and push it below the shuffle, which would
+    # tokenise every text twice, once before the documents are spread out.
     postings = (
-        docs.select("doc_id", "dl", F.explode("toks").alias("term"))
+        docs.select("doc_id", "dl", F.explode_outer("toks").alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )

@@ -18,10 +18,14 @@ def toks(expr: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({expr}), '{TOKEN_SEPARATOR}'), lambda x: x <> '')"
 
 
-def index_ctes() -> str:
+DOCS = "SELECT doc_id, text FROM documents"
+PAGES = "SELECT page_id AS doc_id, url || chr(10) || html AS text FROM pages"
+
+
+def index_ctes(corpus: str = DOCS) -> str:
     """CTEs tk(doc_id, t), st(n, avgdl), post(doc_id, term, tf, dl), dfs(term, df)."""
     return f"""
-tk AS (SELECT doc_id, {toks('text')} AS t FROM documents),
+tk AS (SELECT doc_id, {toks('text')} AS t FROM ({corpus})),
 st AS (SELECT count(*)::DOUBLE AS n, avg(len(t))::DOUBLE AS avgdl FROM tk),
 post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
          FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY doc_id, term),
@@ -53,6 +57,110 @@ def bm25_topk(k: int = 100) -> str:
 SELECT qid, doc_id, rank::BIGINT AS rank, round(score, {D}) AS score FROM run"""
 
 
+def bm25_run_ctes(k: int, corpus: str = DOCS) -> str:
+    """CTE ``run(qid, doc_id, score, rank)`` plus its index CTEs."""
+    return f"{index_ctes(corpus)}, {query_terms_cte()}, {bm25_cte('run', 'qw', k)}"
+
+
+def passage_qrels_cte(corpus: str = DOCS, name: str = "pq") -> str:
+    return f"""
+{name} AS (SELECT b.item_id AS qid, d.doc_id AS did, 1 AS label
+       FROM benchmark b JOIN ({corpus}) d ON contains(d.text, b.text))"""
+
+
+def passage_qrels() -> str:
+    return f"WITH {passage_qrels_cte()} SELECT qid, did, label FROM pq"
+
+
+def qrels_positive() -> str:
+    return """SELECT d.source AS qid, l.doc_id AS did, l.quality AS label
+FROM labels l JOIN documents d USING (doc_id) WHERE l.quality > 0"""
+
+
+def positives_by_query() -> str:
+    return """SELECT d.source AS qid, count(*)::BIGINT AS n_pos,
+       array_to_string(list(l.doc_id::VARCHAR ORDER BY l.doc_id), ',') AS dids
+FROM labels l JOIN documents d USING (doc_id) WHERE l.quality > 0 GROUP BY d.source"""
+
+
+def judged_queries() -> str:
+    return f"""WITH {passage_qrels_cte()}
+SELECT item_id AS qid, text FROM benchmark WHERE item_id IN (SELECT qid FROM pq WHERE label > 0)"""
+
+
+def relevance_cte(run: str = "run", qrels: str = "pq", name: str = "rel") -> str:
+    return f"""
+{name} AS (SELECT r.*, CASE WHEN r.qid IN (SELECT qid FROM {qrels} WHERE label > 0)
+       THEN EXISTS (SELECT 1 FROM {qrels} x WHERE x.qid = r.qid AND x.did = r.doc_id AND x.label > 0) END AS relevant
+       FROM {run} r)"""
+
+
+def relevance_flag(k: int = 10) -> str:
+    return f"""WITH {bm25_run_ctes(k)}, {passage_qrels_cte()}, {relevance_cte()}
+SELECT qid, doc_id, rank::BIGINT AS rank, relevant FROM rel"""
+
+
+def attach_raw(k: int = 10) -> str:
+    return f"""WITH {bm25_run_ctes(k)}
+SELECT r.qid, r.doc_id, r.rank::BIGINT AS rank, round(r.score, {D}) AS score, d.text AS raw
+FROM run r LEFT JOIN documents d USING (doc_id)"""
+
+
+def hit_counts(k: int = 100) -> str:
+    return f"""WITH {bm25_run_ctes(k)}
+SELECT qid, count(*)::BIGINT AS hits FROM run GROUP BY qid"""
+
+
+def doc_lookup() -> str:
+    return """SELECT e.vec_id AS doc_id, d.text AS raw FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id"""
+
+
+def shorten_text() -> str:
+    return "SELECT doc_id, substring(text, 1, 1000) AS short FROM documents"
+
+
+def first_url() -> str:
+    return f"""SELECT doc_id, regexp_extract(substring(text, 1, 1000), '{URL_PATTERN}', 0) AS url FROM ({PAGES})"""
+
+
+def linkify_expr(t: str, u: str) -> str:
+    return f"""CASE WHEN {u} <> '' THEN replace({t}, {u}, '<a href="' || {u} || '">Source</a> ') ELSE {t} END"""
+
+
+def linkify() -> str:
+    return f"""WITH s AS (SELECT doc_id, substring(text, 1, 1000) AS t FROM ({PAGES})),
+u AS (SELECT doc_id, t, regexp_extract(t, '{URL_PATTERN}', 0) AS url FROM s)
+SELECT doc_id, {linkify_expr('t', 'url')} AS display FROM u"""
+
+
+def present_hits(k: int = 10) -> str:
+    return f"""WITH {bm25_run_ctes(k, PAGES)}, {passage_qrels_cte(PAGES)}, {relevance_cte()},
+h AS (SELECT rel.*, substring(c.text, 1, 1000) AS t FROM rel LEFT JOIN ({PAGES}) c USING (doc_id)),
+u AS (SELECT *, regexp_extract(t, '{URL_PATTERN}', 0) AS url FROM h)
+SELECT qid, doc_id, rank::BIGINT AS rank, round(score, {D}) AS score, relevant, t AS text, url,
+       {linkify_expr('t', 'url')} AS display FROM u"""
+
+
+def compare_cte(k: int = 10) -> str:
+    """``run`` (BM25) and ``run2`` (BM25 + RM3) top-k."""
+    return f"""{index_ctes()}, {query_terms_cte()}, {bm25_cte('run', 'qw', k)}, {rm3_ctes()},
+{bm25_cte('run2', 'expanded', k)}"""
+
+
+def compare_runs(k: int = 10) -> str:
+    return f"""WITH {compare_cte(k)}
+SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc_id,
+       a.rank::BIGINT AS rank_a, round(a.score, {D}) AS score_a, b.rank::BIGINT AS rank_b, round(b.score, {D}) AS score_b
+FROM run a FULL OUTER JOIN run2 b ON a.qid = b.qid AND a.doc_id = b.doc_id"""
+
+
+def order_by_other_run(k: int = 10) -> str:
+    return f"""WITH {compare_cte(k)}
+SELECT b.qid, b.doc_id, b.rank::BIGINT AS rank_b, a.rank::BIGINT AS rank_a,
+       row_number() OVER (PARTITION BY b.qid ORDER BY a.rank ASC NULLS LAST, b.rank, b.doc_id)::BIGINT AS rank
+FROM run2 b LEFT JOIN run a ON a.qid = b.qid AND a.doc_id = b.doc_id"""
+
+
 def rm3_ctes(fb_terms: int = 10, fb_docs: int = 10, a: float = 0.5) -> str:
     """Needs index_ctes + qw; defines fb (first pass) and expanded(qid, term, qw)."""
     return f"""{bm25_cte('fb', 'qw', fb_docs)},
