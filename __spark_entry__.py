@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import oracle
-from quarry.operators import bm25, runs
+from quarry.functions import vectors as V
+from quarry.operators import bm25, embed, knn, runs
 from quarry.operators.index import build_index
 from quarry.sources import judgements, passages, tables
 
@@ -142,6 +143,94 @@ def q_order_by_other_run(spark, sf_dir):
     return out.select("qid", "doc_id", "rank_b", "rank_a", "rank")
 
 
+def _self_queries(spark, sf_dir):
+    return tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("qid"), "embedding")
+
+
+def _knn_out(run: DataFrame) -> DataFrame:
+    return run.select("qid", "vec_id", "rank", F.round("score", D).alias("score"))
+
+
+def q_embed_text(spark, sf_dir):
+    vecs = embed.embed(tables.corpus(spark, sf_dir), "text", embed.HashBagOfWords(64))
+    return vecs.select("doc_id", F.posexplode("embedding").alias("slot", "value")).filter(
+        F.col("value") != 0).select("doc_id", F.col("slot").cast("bigint"), F.round("value", D).alias("value"))
+
+
+def q_knn_topk(spark, sf_dir, metric="ip"):
+    return _knn_out(knn.knn_topk(_self_queries(spark, sf_dir), tables.vectors(spark, sf_dir), k=10, metric=metric))
+
+
+def q_knn_topk_l2(spark, sf_dir):
+    return q_knn_topk(spark, sf_dir, "l2")
+
+
+def q_knn_topk_cosine(spark, sf_dir):
+    return q_knn_topk(spark, sf_dir, "cosine")
+
+
+def q_knn_topk_blocked(spark, sf_dir):
+    run = knn.knn_topk(_self_queries(spark, sf_dir), tables.vectors(spark, sf_dir), k=10,
+                       max_broadcast_queries=16, block_queries=128)
+    return _knn_out(run)
+
+
+def _text_knn(spark, sf_dir, k=10):
+    qv = embed.encode_queries(tables.passage_queries(spark, sf_dir), embed.HashBagOfWords(64))
+    return knn.knn_topk(qv, tables.vectors(spark, sf_dir), k=k)
+
+
+def q_knn_text_topk(spark, sf_dir):
+    return _knn_out(_text_knn(spark, sf_dir))
+
+
+def _id_map(spark, sf_dir):
+    return tables.corpus(spark, sf_dir).select("doc_id", F.col("doc_id").alias("vec_id"))
+
+
+def q_id_translate(spark, sf_dir):
+    run = runs.id_translate(_text_knn(spark, sf_dir), _id_map(spark, sf_dir))
+    return run.select("qid", "vec_id", "doc_id", "rank")
+
+
+def q_fetch_embeddings(spark, sf_dir):
+    run = runs.fetch_embeddings(_text_knn(spark, sf_dir), tables.vectors(spark, sf_dir))
+    return run.select("qid", "vec_id", "rank", F.size("embedding").cast("bigint").alias("dim"),
+                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), D).alias("emb_sum"))
+
+
+def q_knn_score_from_distance(spark, sf_dir):
+    vecs = tables.vectors(spark, sf_dir)
+    run = knn.knn_topk(_self_queries(spark, sf_dir), vecs, k=10, metric="l2")
+    q = vecs.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    pairs = runs.fetch_embeddings(run.select("qid", "vec_id"), vecs).join(q, "qid")
+    pairs = runs.score_from_distance(pairs.withColumn("distance", V.distance("qv", "embedding", "l2")))
+    return pairs.select("qid", "vec_id", F.round("distance", D).alias("distance"), F.round("score", D).alias("score"))
+
+
+def q_l2_normalize(spark, sf_dir):
+    v = tables.vectors(spark, sf_dir).select("vec_id", V.l2_normalize("embedding").alias("u"))
+    return v.select("vec_id", F.posexplode("u").alias("pos", "value")).select(
+        "vec_id", F.col("pos").cast("bigint"), F.round("value", D).alias("value"))
+
+
+def q_pair_similarity(spark, sf_dir):
+    pairs = _passage_qrels(spark, sf_dir).select("qid", F.col("did").alias("doc_id"))
+    sim = embed.pair_similarity(pairs, tables.passage_queries(spark, sf_dir), tables.corpus(spark, sf_dir),
+                                embed.HashBagOfWords(64))
+    return sim.select("qid", "doc_id", F.round("score", D).alias("score"))
+
+
+def q_token_features(spark, sf_dir):
+    tf = embed.token_features(tables.passage_queries(spark, sf_dir))
+    z = tf.select("qid", F.col("window").cast("bigint").alias("window"),
+                  F.posexplode(F.arrays_zip("input_ids", "segment_ids", "input_mask")).alias("position", "f"))
+    return z.select("qid", "window", F.col("position").cast("bigint"),
+                    F.col("f.input_ids").cast("bigint").alias("input_id"),
+                    F.col("f.segment_ids").cast("bigint").alias("segment_id"),
+                    F.col("f.input_mask").cast("bigint").alias("input_mask"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top-100 of every benchmark passage over the documents."""
     return q_bm25_topk(spark, SF_SMOKE)
@@ -166,6 +255,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "present_hits": q_present_hits,
         "compare_runs": q_compare_runs,
         "order_by_other_run": q_order_by_other_run,
+        "embed_text": q_embed_text,
+        "knn_topk": q_knn_topk,
+        "knn_topk_l2": q_knn_topk_l2,
+        "knn_topk_cosine": q_knn_topk_cosine,
+        "knn_topk_blocked": q_knn_topk_blocked,
+        "knn_text_topk": q_knn_text_topk,
+        "id_translate": q_id_translate,
+        "fetch_embeddings": q_fetch_embeddings,
+        "knn_score_from_distance": q_knn_score_from_distance,
+        "l2_normalize": q_l2_normalize,
+        "pair_similarity": q_pair_similarity,
+        "token_features": q_token_features,
     }
 
 
@@ -188,4 +289,16 @@ def oracle_sql() -> dict[str, str]:
         "present_hits": oracle.present_hits(),
         "compare_runs": oracle.compare_runs(),
         "order_by_other_run": oracle.order_by_other_run(),
+        "embed_text": oracle.embed_text(),
+        "knn_topk": oracle.knn_self("ip"),
+        "knn_topk_l2": oracle.knn_self("l2"),
+        "knn_topk_cosine": oracle.knn_self("cosine"),
+        "knn_topk_blocked": oracle.knn_self("ip"),
+        "knn_text_topk": oracle.knn_text_topk(),
+        "id_translate": oracle.id_translate(),
+        "fetch_embeddings": oracle.fetch_embeddings(),
+        "knn_score_from_distance": oracle.knn_score_from_distance(),
+        "l2_normalize": oracle.l2_normalize(),
+        "pair_similarity": oracle.pair_similarity(),
+        "token_features": oracle.token_features(),
     }

@@ -193,3 +193,103 @@ SELECT qid, doc_id, rank::BIGINT AS rank, round(score, {D}) AS score FROM run"""
 
 def url_pattern() -> str:
     return URL_PATTERN
+
+
+# ---------------------------------------------------------------- vectors (M3)
+
+def hash_bow_cte(name: str, source: str, dim: int = 64) -> str:
+    """Sparse unit vectors ``name(id, slot, v)`` of ``source(id, text)``."""
+    return f"""
+{name}_t AS (SELECT id, unnest({toks('text')}) AS term FROM ({source})),
+{name}_h AS (SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM {name}_t),
+{name}_s AS (SELECT id, h % {dim} AS slot,
+             sum(CASE WHEN (h // {dim}) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM {name}_h GROUP BY id, slot),
+{name} AS (SELECT id, slot, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-12::DOUBLE) AS v FROM {name}_s)"""
+
+
+BENCH_SRC = "SELECT item_id AS id, text FROM benchmark"
+DOCS_SRC = "SELECT doc_id AS id, text FROM documents"
+
+
+def embed_text() -> str:
+    return f"""WITH {hash_bow_cte('bow', DOCS_SRC)}
+SELECT id AS doc_id, slot::BIGINT AS slot, round(v, {D}) AS value FROM bow WHERE v <> 0"""
+
+
+def _ranked(scores_cte: str, k: int, id_col: str = "vec_id") -> str:
+    return f"""{scores_cte},
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, {id_col}) AS rank FROM sc)"""
+
+
+def _metric_sql(metric: str, a: str = "a.embedding", b: str = "b.embedding") -> str:
+    if metric == "ip":
+        return f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
+    if metric == "l2":
+        return f"1 - pow(list_distance({a}::DOUBLE[], {b}::DOUBLE[]), 2)"
+    if metric == "cosine":
+        return (f"CASE WHEN list_dot_product({a}::DOUBLE[], {a}::DOUBLE[]) > 0 AND list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]) > 0 "
+                f"THEN list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]) ELSE 0 END")
+    raise ValueError(metric)
+
+
+def knn_self(metric: str = "ip", k: int = 10) -> str:
+    sc = f"sc AS (SELECT a.vec_id AS qid, b.vec_id, {_metric_sql(metric)} AS score FROM embeddings a CROSS JOIN embeddings b)"
+    return f"""WITH {_ranked(sc, k)}
+SELECT qid, vec_id, rank::BIGINT AS rank, round(score, {D}) AS score FROM rk WHERE rank <= {k}"""
+
+
+def knn_text_ctes(k: int = 10) -> str:
+    sc = """sc AS (SELECT qb.id AS qid, e.vec_id, sum(qb.v * e.embedding[qb.slot + 1]::DOUBLE) AS score
+       FROM qb CROSS JOIN embeddings e GROUP BY qb.id, e.vec_id)"""
+    return f"""{hash_bow_cte('qb', BENCH_SRC)}, {_ranked(sc, k)},
+kt AS (SELECT qid, vec_id, score, rank FROM rk WHERE rank <= {k})"""
+
+
+def knn_text_topk(k: int = 10) -> str:
+    return f"""WITH {knn_text_ctes(k)}
+SELECT qid, vec_id, rank::BIGINT AS rank, round(score, {D}) AS score FROM kt"""
+
+
+def id_translate(k: int = 10) -> str:
+    return f"""WITH {knn_text_ctes(k)}
+SELECT kt.qid, kt.vec_id, d.doc_id, kt.rank::BIGINT AS rank FROM kt LEFT JOIN documents d ON d.doc_id = kt.vec_id"""
+
+
+def fetch_embeddings(k: int = 10) -> str:
+    return f"""WITH {knn_text_ctes(k)}
+SELECT kt.qid, kt.vec_id, kt.rank::BIGINT AS rank, len(e.embedding)::BIGINT AS dim,
+       round(list_sum(e.embedding::DOUBLE[]), {D}) AS emb_sum
+FROM kt LEFT JOIN embeddings e USING (vec_id)"""
+
+
+def knn_score_from_distance(k: int = 10) -> str:
+    sc = f"sc AS (SELECT a.vec_id AS qid, b.vec_id, {_metric_sql('l2')} AS score FROM embeddings a CROSS JOIN embeddings b)"
+    return f"""WITH {_ranked(sc, k)}
+SELECT qid, vec_id, round(1 - score, {D}) AS distance, round(score, {D}) AS score FROM rk WHERE rank <= {k}"""
+
+
+def l2_normalize() -> str:
+    return f"""WITH n AS (SELECT vec_id, embedding,
+  greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12::DOUBLE) AS nrm FROM embeddings)
+SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS pos, round(unnest(embedding)::DOUBLE / nrm, {D}) AS value FROM n"""
+
+
+def pair_similarity() -> str:
+    return f"""WITH {passage_qrels_cte()}, {hash_bow_cte('qb', BENCH_SRC)}, {hash_bow_cte('db', DOCS_SRC)},
+s AS (SELECT qb.id AS qid, db.id AS did, sum(qb.v * db.v) AS dot FROM qb JOIN db ON qb.slot = db.slot GROUP BY 1, 2)
+SELECT p.qid, p.did AS doc_id, round(least(greatest(coalesce(s.dot, 0), 0), 1), {D}) AS score
+FROM pq p LEFT JOIN s ON s.qid = p.qid AND s.did = p.did"""
+
+
+def token_features() -> str:
+    return f"""WITH t AS (SELECT item_id AS qid, {toks('text')} AS tk FROM benchmark),
+w AS (SELECT qid, tk, unnest(range(greatest(1, ceil(len(tk) / 62.0)::BIGINT))) AS win FROM t),
+c AS (SELECT qid, win, tk[win * 62 + 1 : win * 62 + 62] AS chunk FROM w),
+p AS (SELECT qid, win, chunk, unnest(range(64)) AS position FROM c)
+SELECT qid, win::BIGINT AS window, position::BIGINT AS position,
+  (CASE WHEN position = 0 THEN 101
+        WHEN position <= len(chunk) THEN 1000 + (('0x' || substr(md5(chunk[position]), 1, 8))::BIGINT % 29522)
+        WHEN position = len(chunk) + 1 THEN 102 ELSE 0 END)::BIGINT AS input_id,
+  (CASE WHEN position <= len(chunk) + 1 THEN 1 ELSE 0 END)::BIGINT AS segment_id,
+  (CASE WHEN position <= len(chunk) + 1 THEN 1 ELSE 0 END)::BIGINT AS input_mask
+FROM p"""
