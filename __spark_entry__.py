@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry import oracle
 from quarry.functions import vectors as V
-from quarry.operators import bm25, embed, knn, runs
+from quarry.operators import bm25, embed, knn, rerank, runs
 from quarry.operators.index import build_index
 from quarry.sources import judgements, passages, tables
 
@@ -231,6 +231,55 @@ def q_token_features(spark, sf_dir):
                     F.col("f.input_mask").cast("bigint").alias("input_mask"))
 
 
+RANKER = dict(dim=64, hidden=16, extra=24)
+
+
+def _text_query_vecs(spark, sf_dir):
+    return embed.encode_queries(tables.passage_queries(spark, sf_dir), embed.HashBagOfWords(64))
+
+
+def q_rerank_ffn(spark, sf_dir):
+    ranker = rerank.FeedForwardRanker.formula(**RANKER)
+    rr = rerank.rerank_ffn(_text_knn(spark, sf_dir), _text_query_vecs(spark, sf_dir), tables.vectors(spark, sf_dir), ranker)
+    return rr.select("qid", "vec_id", "rank", F.col("prev_rank").cast("bigint"), F.round("score", D).alias("score"))
+
+
+def q_score_pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    run = _text_knn(spark, sf_dir)
+    triples = run.select("qid", F.col("vec_id").alias("pos_id"),
+                         F.lead("vec_id").over(Window.partitionBy("qid").orderBy("rank")).alias("neg_id"))
+    ranker = rerank.FeedForwardRanker.formula(**RANKER)
+    sc = rerank.score_pairs(triples, _text_query_vecs(spark, sf_dir), tables.vectors(spark, sf_dir), ranker)
+    return sc.select("qid", "pos_id", "neg_id", F.round("score_pos", D).alias("score_pos"),
+                     F.round("score_neg", D).alias("score_neg"))
+
+
+def _projection(spark, sf_dir, mode):
+    from quarry.sources.weights import formula_bias, formula_matrix
+
+    n_in = 128 if mode == "cat" else 64
+    layer = rerank.ProjectionLayer(formula_matrix(8, n_in), formula_bias(8), mode)
+    hits = runs.fetch_embeddings(_text_knn(spark, sf_dir), tables.vectors(spark, sf_dir))
+    hits = hits.join(_text_query_vecs(spark, sf_dir).withColumnRenamed("embedding", "qv"), "qid")
+    y = hits.select("qid", "vec_id", rerank.project(layer, spark, "qv", "embedding").alias("y"))
+    return y.select("qid", "vec_id", F.posexplode("y").alias("pos", "value")).select(
+        "qid", "vec_id", F.col("pos").cast("bigint"), F.round("value", D).alias("value"))
+
+
+def q_projection_ip(spark, sf_dir):
+    return _projection(spark, sf_dir, "ip")
+
+
+def q_projection_cat(spark, sf_dir):
+    return _projection(spark, sf_dir, "cat")
+
+
+def q_projection_single(spark, sf_dir):
+    return _projection(spark, sf_dir, "single")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top-100 of every benchmark passage over the documents."""
     return q_bm25_topk(spark, SF_SMOKE)
@@ -267,6 +316,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "l2_normalize": q_l2_normalize,
         "pair_similarity": q_pair_similarity,
         "token_features": q_token_features,
+        "rerank_ffn": q_rerank_ffn,
+        "score_pairs": q_score_pairs,
+        "projection_ip": q_projection_ip,
+        "projection_cat": q_projection_cat,
+        "projection_single": q_projection_single,
     }
 
 
@@ -301,4 +355,9 @@ def oracle_sql() -> dict[str, str]:
         "l2_normalize": oracle.l2_normalize(),
         "pair_similarity": oracle.pair_similarity(),
         "token_features": oracle.token_features(),
+        "rerank_ffn": oracle.rerank_ffn(),
+        "score_pairs": oracle.score_pairs(),
+        "projection_ip": oracle.projection("ip"),
+        "projection_cat": oracle.projection("cat"),
+        "projection_single": oracle.projection("single"),
     }

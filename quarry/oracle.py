@@ -293,3 +293,67 @@ SELECT qid, win::BIGINT AS window, position::BIGINT AS position,
   (CASE WHEN position <= len(chunk) + 1 THEN 1 ELSE 0 END)::BIGINT AS segment_id,
   (CASE WHEN position <= len(chunk) + 1 THEN 1 ELSE 0 END)::BIGINT AS input_mask
 FROM p"""
+
+
+# ---------------------------------------------------------------- neural (M5)
+
+def dense_sql(x: str, n_in: int, n_out: int, relu: bool = True) -> str:
+    """Formula-weight dense layer over the DOUBLE list ``x`` (SQL)."""
+    bias = "0.25::DOUBLE" if n_out == 1 else "((((o * 7) % 5) - 2) / 100.0)"
+    body = f"list_sum(list_transform(range({n_in}), lambda i: ((((o * 31 + i * 17) % 13) - 6) / 100.0) * {x}[i + 1])) + {bias}"
+    if relu:
+        body = f"greatest({body}, 0)"
+    return f"list_transform(range({n_out}), lambda o: {body})"
+
+
+def dense_query_cte(dim: int = 64) -> str:
+    """``qd(id, qv)``: dense query vectors from the sparse ``qb``."""
+    return f"""
+qd AS (SELECT i.id, list(coalesce(qb.v, 0)::DOUBLE ORDER BY s.slot) AS qv
+       FROM (SELECT DISTINCT id FROM qb) i CROSS JOIN range({dim}) s(slot)
+       LEFT JOIN qb ON qb.id = i.id AND qb.slot = s.slot GROUP BY i.id)"""
+
+
+def ffn_ctes(src: str, x: str, dim: int = 64, hidden: int = 16, extra: int = 24, out: str = "score") -> str:
+    """Scorer layers over column ``x`` of ``src``; CTE ``{out}_l4`` has ``{out}``."""
+    return f"""
+{out}_l1 AS (SELECT *, {dense_sql(x, dim, hidden)} AS {out}_h1 FROM {src}),
+{out}_l2 AS (SELECT *, {dense_sql(out + '_h1', hidden, extra)} AS {out}_h2 FROM {out}_l1),
+{out}_l3 AS (SELECT *, {dense_sql(out + '_h2', extra, hidden)} AS {out}_h3 FROM {out}_l2),
+{out}_l4 AS (SELECT *, {dense_sql(out + '_h3', hidden, 1, relu=False)}[1] AS {out} FROM {out}_l3)"""
+
+
+def _qd_pairs_cte(k: int = 10) -> str:
+    return f"""{knn_text_ctes(k)}, {dense_query_cte()},
+xp AS (SELECT kt.qid, kt.vec_id, kt.rank, qd.qv, e.embedding::DOUBLE[] AS dv,
+       list_transform(range(64), lambda i: qd.qv[i + 1] * e.embedding[i + 1]::DOUBLE) AS x
+       FROM kt JOIN qd ON qd.id = kt.qid JOIN embeddings e USING (vec_id))"""
+
+
+def rerank_ffn(k: int = 10) -> str:
+    return f"""WITH {_qd_pairs_cte(k)}, {ffn_ctes('xp', 'x')},
+rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rank, vec_id) AS nr FROM score_l4)
+SELECT qid, vec_id, nr::BIGINT AS rank, rank::BIGINT AS prev_rank, round(score, {D}) AS score FROM rr"""
+
+
+def score_pairs(k: int = 10) -> str:
+    return f"""WITH {_qd_pairs_cte(k)},
+tr AS (SELECT qid, vec_id AS pos_id, lead(vec_id) OVER (PARTITION BY qid ORDER BY rank) AS neg_id FROM kt),
+tp AS (SELECT tr.*, list_transform(range(64), lambda i: qd.qv[i + 1] * p.embedding[i + 1]::DOUBLE) AS xpos,
+              CASE WHEN n.embedding IS NOT NULL THEN list_transform(range(64), lambda i: qd.qv[i + 1] * n.embedding[i + 1]::DOUBLE) END AS xneg
+       FROM tr JOIN qd ON qd.id = tr.qid JOIN embeddings p ON p.vec_id = tr.pos_id LEFT JOIN embeddings n ON n.vec_id = tr.neg_id),
+{ffn_ctes('tp', 'xpos', out='sp')[1:]},
+{ffn_ctes('sp_l4', 'xneg', out='sn')[1:]}
+SELECT qid, pos_id, neg_id, round(sp, {D}) AS score_pos, round(CASE WHEN xneg IS NOT NULL THEN sn END, {D}) AS score_neg FROM sn_l4"""
+
+
+def projection(mode: str, k: int = 10, n_out: int = 8) -> str:
+    if mode == "ip":
+        x, n_in = "x", 64
+    elif mode == "cat":
+        x, n_in = "list_concat(qv, dv)", 128
+    else:
+        x, n_in = "qv", 64
+    return f"""WITH {_qd_pairs_cte(k)},
+pr AS (SELECT qid, vec_id, {dense_sql('xx', n_in, n_out, relu=False)} AS y FROM (SELECT *, {x} AS xx FROM xp))
+SELECT qid, vec_id, (generate_subscripts(y, 1) - 1)::BIGINT AS pos, round(unnest(y), {D}) AS value FROM pr"""
