@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quarry import oracle
 from quarry.functions import vectors as V
-from quarry.operators import bm25, embed, knn, rerank, runs
+from quarry.operators import bm25, embed, knn, reformulate, rerank, runs
+from quarry.plans import pipeline
 from quarry.operators.index import build_index
 from quarry.sources import judgements, passages, tables
 
@@ -280,6 +281,67 @@ def q_projection_single(spark, sf_dir):
     return _projection(spark, sf_dir, "single")
 
 
+def _reranked(spark, sf_dir):
+    ranker = rerank.FeedForwardRanker.formula(**RANKER)
+    return rerank.rerank_ffn(_text_knn(spark, sf_dir), _text_query_vecs(spark, sf_dir), tables.vectors(spark, sf_dir), ranker)
+
+
+def _explode_vec(df: DataFrame, col: str = "embedding", keys=("qid",)) -> DataFrame:
+    return df.select(*keys, F.posexplode(col).alias("pos", "value")).select(
+        *keys, F.col("pos").cast("bigint"), F.round("value", D).alias("value"))
+
+
+def _weighted_reformulator():
+    from quarry.sources.weights import formula_layers
+
+    return reformulate.Reformulator("weighted", 10, formula_layers({"_layer": (64, 64)}))
+
+
+def _reformulated(spark, sf_dir, reformulator):
+    return reformulate.reformulate(_reranked(spark, sf_dir), _text_query_vecs(spark, sf_dir), reformulator)
+
+
+def q_reformulate_top1(spark, sf_dir):
+    return _explode_vec(_reformulated(spark, sf_dir, reformulate.Reformulator("top1", 1)))
+
+
+def q_reformulate_avg(spark, sf_dir):
+    return _explode_vec(_reformulated(spark, sf_dir, reformulate.Reformulator("avg", 5)))
+
+
+def q_reformulate_weighted(spark, sf_dir):
+    return _explode_vec(_reformulated(spark, sf_dir, _weighted_reformulator()))
+
+
+def q_reformulate_neural(spark, sf_dir):
+    r = reformulate.Reformulator("neural", 5, reformulate.formula_neural(64, 5, 32))
+    return _explode_vec(_reformulated(spark, sf_dir, r))
+
+
+def q_reformulate_transformer(spark, sf_dir):
+    r = reformulate.Reformulator("transformer", 10, reformulate.random_transformer(64, 1, 128), heads=4, layers=1)
+    return _explode_vec(_reformulated(spark, sf_dir, r))
+
+
+def q_interleave(spark, sf_dir):
+    fb = _reranked(spark, sf_dir).filter(F.col("rank") <= 5).groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "embedding"))), lambda h: h["embedding"]).alias("ds"))
+    x = fb.join(_text_query_vecs(spark, sf_dir), "qid").select("qid", V.interleave("embedding", "ds").alias("x"))
+    return _explode_vec(x, "x")
+
+
+def q_positional_encoding(spark, sf_dir):
+    pe = _reranked(spark, sf_dir).select("qid", "vec_id", V.positional_encoding("rank", 64).alias("p"))
+    return _explode_vec(pe, "p", ("qid", "vec_id"))
+
+
+def q_prf_pipeline(spark, sf_dir):
+    p = pipeline.Pipeline("knn", rerank.FeedForwardRanker.formula(**RANKER), _weighted_reformulator(), k=10,
+                          encoder=embed.HashBagOfWords(64))
+    run = pipeline.run_pipeline(p, tables.passage_queries(spark, sf_dir), vectors=tables.vectors(spark, sf_dir))
+    return run.select("qid", "vec_id", "rank", F.round("score", D).alias("score"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top-100 of every benchmark passage over the documents."""
     return q_bm25_topk(spark, SF_SMOKE)
@@ -321,6 +383,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "projection_ip": q_projection_ip,
         "projection_cat": q_projection_cat,
         "projection_single": q_projection_single,
+        "reformulate_top1": q_reformulate_top1,
+        "reformulate_avg": q_reformulate_avg,
+        "reformulate_weighted": q_reformulate_weighted,
+        "reformulate_neural": q_reformulate_neural,
+        "reformulate_transformer": q_reformulate_transformer,
+        "interleave": q_interleave,
+        "positional_encoding": q_positional_encoding,
+        "prf_pipeline": q_prf_pipeline,
     }
 
 
@@ -360,4 +430,11 @@ def oracle_sql() -> dict[str, str]:
         "projection_ip": oracle.projection("ip"),
         "projection_cat": oracle.projection("cat"),
         "projection_single": oracle.projection("single"),
+        "reformulate_top1": oracle.reformulate_top1(),
+        "reformulate_avg": oracle.reformulate_avg(),
+        "reformulate_weighted": oracle.reformulate_weighted(),
+        "reformulate_neural": oracle.reformulate_neural(),
+        "interleave": oracle.interleave(),
+        "positional_encoding": oracle.positional_encoding(),
+        "prf_pipeline": oracle.prf_pipeline(),
     }

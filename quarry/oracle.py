@@ -357,3 +357,88 @@ def projection(mode: str, k: int = 10, n_out: int = 8) -> str:
     return f"""WITH {_qd_pairs_cte(k)},
 pr AS (SELECT qid, vec_id, {dense_sql('xx', n_in, n_out, relu=False)} AS y FROM (SELECT *, {x} AS xx FROM xp))
 SELECT qid, vec_id, (generate_subscripts(y, 1) - 1)::BIGINT AS pos, round(unnest(y), {D}) AS value FROM pr"""
+
+
+# ---------------------------------------------------------- reformulate (M6)
+
+def _norm_list(y: str) -> str:
+    return f"list_transform({y}, lambda v: v / greatest(sqrt(list_sum(list_transform({y}, lambda z: z * z))), 1e-12::DOUBLE))"
+
+
+def _explode_vec(src: str, vec: str, keys: str = "qid") -> str:
+    return f"""SELECT {keys}, (generate_subscripts({vec}, 1) - 1)::BIGINT AS pos, round(unnest({vec}), {D}) AS value FROM {src}"""
+
+
+def reranked_ctes(k: int = 10) -> str:
+    """``rr(qid, vec_id, qv, dv, score, rank, nr)``: k-NN of the hashed passages, re-ranked."""
+    return f"""{_qd_pairs_cte(k)}, {ffn_ctes('xp', 'x')},
+rr AS (SELECT qid, vec_id, qv, dv, score, rank,
+       row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rank, vec_id) AS nr FROM score_l4)"""
+
+
+def reformulate_top1() -> str:
+    return f"""WITH {reranked_ctes()}, t1 AS (SELECT qid, dv FROM rr WHERE nr = 1)
+{_explode_vec('t1', 'dv')}"""
+
+
+def reformulate_avg(topk: int = 5) -> str:
+    return f"""WITH {reranked_ctes()},
+fb AS (SELECT qid, list(dv ORDER BY nr) AS vs FROM rr WHERE nr <= {topk} GROUP BY qid),
+av AS (SELECT qid, list_transform(range(64), lambda i: list_sum(list_transform(vs, lambda v: v[i + 1])) / len(vs)) AS m FROM fb)
+{_explode_vec('av', 'm')}"""
+
+
+def weighted_ctes(topk: int = 10) -> str:
+    """Needs rr; defines ``wn(qid, y)``: the weighted-average reformulated vector."""
+    return f"""
+wx AS (SELECT qid, pos, sum(score * dv[pos + 1]) AS num
+       FROM (SELECT *, unnest(range(64)) AS pos FROM rr WHERE nr <= {topk}) GROUP BY qid, pos),
+ws AS (SELECT qid, sum(score) AS den FROM rr WHERE nr <= {topk} GROUP BY qid),
+wm AS (SELECT wx.qid, list(num / den ORDER BY pos) AS m FROM wx JOIN ws USING (qid)
+       WHERE abs(den) >= 1e-12::DOUBLE GROUP BY wx.qid),
+wd AS (SELECT qid, {dense_sql('m', 64, 64, relu=False)} AS y FROM wm),
+wn AS (SELECT qid, {_norm_list('y')} AS y FROM wd)"""
+
+
+def reformulate_weighted() -> str:
+    return f"""WITH {reranked_ctes()}, {weighted_ctes()[1:]}
+{_explode_vec('wn', 'y')}"""
+
+
+def interleave_cte(topk: int = 5) -> str:
+    return f"""
+nf AS (SELECT qid, any_value(qv) AS qv, list(dv ORDER BY nr) AS ds FROM rr WHERE nr <= {topk} GROUP BY qid),
+ni AS (SELECT qid, flatten(list_transform(range(64), lambda i: list_concat([qv[i + 1]], list_transform(ds, lambda v: v[i + 1])))) AS x FROM nf)"""
+
+
+def interleave() -> str:
+    return f"""WITH {reranked_ctes()}, {interleave_cte()[1:]}
+{_explode_vec('ni', 'x')}"""
+
+
+def reformulate_neural(topk: int = 5, hidden: int = 32) -> str:
+    n_in = (topk + 1) * 64
+    return f"""WITH {reranked_ctes()}, {interleave_cte(topk)[1:]},
+nh AS (SELECT qid, list_transform({dense_sql('x', n_in, hidden, relu=False)}, lambda z: 1 / (1 + exp(-z))) AS h FROM ni),
+no AS (SELECT qid, {dense_sql('h', hidden, 64, relu=False)} AS y FROM nh),
+nn AS (SELECT qid, {_norm_list('y')} AS y FROM no)
+{_explode_vec('nn', 'y')}"""
+
+
+def positional_encoding() -> str:
+    return f"""WITH {reranked_ctes()},
+pe AS (SELECT qid, vec_id, list_transform(range(64), lambda i: CASE WHEN i % 2 = 0
+         THEN sin(nr * exp((i - i % 2) * (-ln(10000.0) / 64)))
+         ELSE cos(nr * exp((i - i % 2) * (-ln(10000.0) / 64))) END) AS p FROM rr)
+{_explode_vec('pe', 'p', 'qid, vec_id')}"""
+
+
+def prf_pipeline(k: int = 10) -> str:
+    return f"""WITH {reranked_ctes(k)}, {weighted_ctes()[1:]},
+s2 AS (SELECT wn.qid, e.vec_id, list_dot_product(wn.y, e.embedding::DOUBLE[]) AS score FROM wn CROSS JOIN embeddings e),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s2),
+x2 AS (SELECT k2.qid, k2.vec_id, k2.rank, list_transform(range(64), lambda i: wn.y[i + 1] * e.embedding[i + 1]::DOUBLE) AS x
+       FROM k2 JOIN wn USING (qid) JOIN embeddings e USING (vec_id) WHERE k2.rank <= {k}),
+{ffn_ctes('x2', 'x', out='s3')[1:]},
+r3 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s3, 9) DESC, rank, vec_id) AS nr FROM s3_l4)
+SELECT qid, vec_id, nr::BIGINT AS rank, round(s3, {D}) AS score FROM r3"""
