@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import text as TX
 from quarry.functions import vectors as V
+from quarry.shipping import ship_active
 
 # Fixed values of the packed token features: sequence length, special ids and
 # the hashed vocabulary range [FIRST_TERM_ID, VOCAB_SIZE).
@@ -42,6 +43,8 @@ VOCAB_SIZE = 30522
 
 
 def _accumulate_udf(dim: int):
+    ship_active()
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def accumulate(hashes: pd.Series) -> pd.Series:
         n = len(hashes)
@@ -79,6 +82,7 @@ class CallableEncoder:
 
     def column(self, text) -> Column:
         fn, dim = self.fn, self.dim
+        ship_active()
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def enc(texts: pd.Series) -> pd.Series:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ranking import RANK_DECIMALS, top_k
 from quarry.plans.sizing import row_count_at_most
+from quarry.shipping import ship
 
 METRICS = ("ip", "l2", "cosine")
 # Bound of the broadcast query matrix (rows and bytes as float64).
@@ -130,6 +131,7 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, batches, k: int, metric:
 def _broadcast_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, id_col: str,
                     schema: str) -> DataFrame:
     spark = vectors.sparkSession
+    ship(spark)
     qpdf = queries.select("qid", "embedding").filter(F.col("embedding").isNotNull()).toPandas()
     qids = qpdf["qid"].to_numpy()
     qmat = _stack(qpdf["embedding"])
@@ -144,15 +146,18 @@ def _broadcast_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str,
 
 def _blocked_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, id_col: str, schema: str,
                   n_queries: int, block_queries: int) -> DataFrame:
+    ship(vectors.sparkSession)
     n_blocks = max(1, math.ceil(n_queries / block_queries))
     n_shards = max(1, vectors.rdd.getNumPartitions())
-    q = queries.select("qid", "embedding").filter(F.col("embedding").isNotNull()).select(
-        "qid", "embedding",
+    # Distinct aliases on the two sides: when the queries come from the vector
+    # table itself, a shared attribute would be dropped from one cogroup side.
+    q = queries.select("qid", F.col("embedding").alias("qvec")).filter(F.col("qvec").isNotNull()).select(
+        "qid", "qvec",
         F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"),
     )
-    v = vectors.select(id_col, "embedding").select(
-        id_col, "embedding",
+    v = vectors.select(id_col, F.col("embedding").alias("vvec")).select(
+        id_col, "vvec",
         F.pmod(F.xxhash64(id_col), F.lit(n_shards)).alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
     )
@@ -160,8 +165,8 @@ def _blocked_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, i
     def run(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or vpdf.empty:
             return pd.DataFrame({"qid": [], id_col: [], "score": []})
-        return _partition_topk(qpdf["qid"].to_numpy(), _stack(qpdf["embedding"]),
-                               [vpdf[[id_col, "embedding"]]], k, metric, id_col)
+        batch = vpdf[[id_col, "vvec"]].rename(columns={"vvec": "embedding"})
+        return _partition_topk(qpdf["qid"].to_numpy(), _stack(qpdf["qvec"]), [batch], k, metric, id_col)
 
     return q.groupBy("block", "shard").cogroup(v.groupBy("block", "shard")).applyInPandas(run, schema)
 

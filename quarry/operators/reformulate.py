@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import nn
+from quarry.shipping import ship
 from quarry.sources.weights import load_model
 
 # Reformulator names offered to users and what they select
@@ -148,6 +149,7 @@ def reformulate(run: DataFrame, query_vecs: DataFrame, reformulator: Reformulato
         return fb.select("qid", mean.alias("embedding"))
 
     spark = run.sparkSession
+    ship(spark)
     bc = spark.sparkContext.broadcast(reformulator)
     vecs = F.transform("hits", lambda h: h["embedding"])
     if kind == "weighted":

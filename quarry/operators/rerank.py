@@ -24,6 +24,7 @@ from quarry.functions import nn
 from quarry.operators import runs
 from quarry.operators.ranking import top_k
 from quarry.plans.sizing import BROADCAST_MAX_ROWS, row_count_at_most
+from quarry.shipping import ship
 from quarry.sources.weights import formula_layers, load_model
 
 # Tensor names of the scorer and of a projection layer, as in
@@ -82,6 +83,7 @@ class FeedForwardRanker:
 
 def ffn_score(ranker: FeedForwardRanker, spark, q, d) -> Column:
     """Column: scorer logit of ``q * d`` (null when a vector is missing)."""
+    ship(spark)
     bc = spark.sparkContext.broadcast(ranker.tensors)
 
     @F.pandas_udf(T.DoubleType())
@@ -165,6 +167,7 @@ class ProjectionLayer:
 
 def project(layer: ProjectionLayer, spark, q, d=None) -> Column:
     """Column ARRAY<DOUBLE>: the projection of ``q`` (and ``d``)."""
+    ship(spark)
     bc = spark.sparkContext.broadcast((layer.weight, layer.bias, layer.mode))
     col = lambda c: F.col(c) if isinstance(c, str) else c
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.shipping import ship
+
 # Bound on the characters of passages broadcast in one chunk.
 MAX_CHUNK_CHARS = 32_000_000
 
@@ -50,6 +52,7 @@ def _matcher(patterns: dict[str, list]):
 
 def _scan(documents: DataFrame, chunk: list[tuple], qid_type: str, did_type: str) -> DataFrame:
     spark = documents.sparkSession
+    ship(spark)
     patterns: dict[str, list] = {}
     for qid, text in chunk:
         patterns.setdefault(text, []).append(qid)
