@@ -342,6 +342,38 @@ def q_prf_pipeline(spark, sf_dir):
     return run.select("qid", "vec_id", "rank", F.round("score", D).alias("score"))
 
 
+def q_approx_knn_topk(spark, sf_dir):
+    from quarry.operators import ivf
+
+    vecs = tables.vectors(spark, sf_dir)
+    index = ivf.build_ivf(vecs, n_cells=16, seed=42)
+    run = ivf.approx_knn_topk(_self_queries(spark, sf_dir), index, k=10, n_probe=4)
+    return _knn_out(run)
+
+
+def q_snippets(spark, sf_dir):
+    from quarry.operators import snippets
+
+    hits = runs.attach_raw(_bm25_run(spark, sf_dir, 10), tables.corpus(spark, sf_dir))
+    out = snippets.best_sentences(hits, tables.passage_queries(spark, sf_dir))
+    return out.filter(F.col("snippet").isNotNull()).select("qid", "doc_id", "snippet")
+
+
+def q_stream_bm25_topk(spark, sf_dir, k: int = 100):
+    import uuid
+
+    from quarry.session import ensure_checkpoint_dir
+    from quarry.streaming import query_stream
+
+    index = build_index(tables.corpus(spark, sf_dir)).persist()
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream = query_stream.query_stream(spark, sf_dir, glob="benchmark.parquet")
+    q = query_stream.serve(stream, lambda batch: bm25.bm25_topk(index, batch, k=k), f"{base}/sink", f"{base}/ckpt")
+    q.awaitTermination()
+    out = query_stream.read_sink(spark, f"{base}/sink")
+    return _run_out(out)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top-100 of every benchmark passage over the documents."""
     return q_bm25_topk(spark, SF_SMOKE)
@@ -391,6 +423,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "interleave": q_interleave,
         "positional_encoding": q_positional_encoding,
         "prf_pipeline": q_prf_pipeline,
+        "approx_knn_topk": q_approx_knn_topk,
+        "snippets": q_snippets,
+        "stream_bm25_topk": q_stream_bm25_topk,
     }
 
 
@@ -437,4 +472,6 @@ def oracle_sql() -> dict[str, str]:
         "interleave": oracle.interleave(),
         "positional_encoding": oracle.positional_encoding(),
         "prf_pipeline": oracle.prf_pipeline(),
+        "snippets": oracle.snippets(),
+        "stream_bm25_topk": oracle.bm25_topk(),
     }

@@ -165,5 +165,7 @@ def bm25_rm3_topk(index: TextIndex, queries: DataFrame, k: int = 100, params: BM
     """B1+B2: BM25 with RM3 expansion (feedback pass, expansion, second pass)."""
     qw = query_terms(queries, qid_col, text_col)
     first = cut_lineage(bm25_search(index, qw, rm3.fb_docs, params, max_broadcast_rows))
-    expanded = rm3_terms(index, qw, first, rm3, max_broadcast_rows)
+    # Small (queries x terms); checkpointed so the second pass does not re-run
+    # the expansion windows for its size check, broadcast and term lookup.
+    expanded = cut_lineage(rm3_terms(index, qw, first, rm3, max_broadcast_rows))
     return bm25_search(index, expanded, k, params, max_broadcast_rows)

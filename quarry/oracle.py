@@ -9,7 +9,7 @@ id.
 
 from __future__ import annotations
 
-from quarry.functions.text import TOKEN_SEPARATOR, URL_PATTERN
+from quarry.functions.text import SENTENCE_BOUNDARY, TOKEN_SEPARATOR, URL_PATTERN
 
 D = 6  # decimals compared
 
@@ -442,3 +442,17 @@ x2 AS (SELECT k2.qid, k2.vec_id, k2.rank, list_transform(range(64), lambda i: wn
 {ffn_ctes('x2', 'x', out='s3')[1:]},
 r3 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s3, 9) DESC, rank, vec_id) AS nr FROM s3_l4)
 SELECT qid, vec_id, nr::BIGINT AS rank, round(s3, {D}) AS score FROM r3"""
+
+
+# ---------------------------------------------------------------- snippets
+
+def snippets(k: int = 10, n: int = 2) -> str:
+    return f"""WITH {bm25_run_ctes(k)},
+h AS (SELECT run.qid, run.doc_id, d.text FROM run JOIN documents d USING (doc_id)),
+sp AS (SELECT qid, doc_id, regexp_split_to_array(text, '{SENTENCE_BOUNDARY}') AS parts FROM h),
+se AS (SELECT qid, doc_id, unnest(parts) AS sent, generate_subscripts(parts, 1) AS idx FROM sp),
+sn AS (SELECT qid, doc_id, idx, trim(sent) AS sent FROM se WHERE trim(sent) <> ''),
+qt AS (SELECT item_id AS qid, list_distinct({toks('text')}) AS qterms FROM benchmark),
+sc AS (SELECT sn.*, len(list_intersect(list_distinct({toks('sent')}), qt.qterms)) AS matched FROM sn JOIN qt USING (qid)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY matched DESC, idx) AS r FROM sc)
+SELECT qid, doc_id, string_agg(sent, ' ' ORDER BY idx) AS snippet FROM rk WHERE r <= {n} GROUP BY qid, doc_id"""
