@@ -8,10 +8,16 @@ Layout (document-partitioned, as search engines shard):
   a second exchange because ``hash(doc_id)`` already satisfies the grouping
   on ``(doc_id, dl, term)``. The document length rides in every posting, so
   scoring never joins a per-document table.
-* ``doc_lengths(doc_id, dl)`` -- one row per document, empty documents kept.
+* ``doc_ids(doc_id)`` -- every document, empty ones included (for ``N``).
 * ``terms(term, df)`` -- document frequency; partial aggregation before the
   shuffle makes frequent terms cost one row per partition, not per document.
-* ``stats()`` -- ``(N, avgdl)`` collected once as two scalars.
+* ``stats()`` -- ``(N, avgdl)`` collected once as two scalars; ``avgdl`` is the
+  sum of all term counts over ``N``, so no second pass tokenises the corpus.
+
+Tokens are the non-empty pieces of ``split(lower(text), separator)``; with a
+``+`` separator, empty pieces can only be the first and the last, so the length
+is computed arithmetically and the empties are dropped by a plain filter after
+the explode -- all of it whole-stage code-generated.
 
 Build once, then ``persist()`` or ``write()``/``read()`` and query many times.
 """
@@ -23,13 +29,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import TOKEN_SEPARATOR
 
 
 @dataclass
 class TextIndex:
     postings: DataFrame
-    doc_lengths: DataFrame
+    doc_ids: DataFrame
     terms: DataFrame
     # True when postings/terms are materialised (persisted or read back): then
     # document frequencies come from the small ``terms`` table; otherwise they
@@ -40,32 +46,38 @@ class TextIndex:
     def stats(self) -> tuple[int, float]:
         """(number of documents, average document length in tokens)."""
         if self._stats is None:
-            row = self.doc_lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-            self._stats = (int(row["n"]), float(row["avgdl"] or 0.0))
+            n = self.doc_ids.count()
+            total = self.postings.agg(F.sum("tf")).first()[0] or 0
+            self._stats = (int(n), float(total) / n if n else 0.0)
         return self._stats
 
+    @property
+    def doc_lengths(self) -> DataFrame:
+        """``(doc_id, dl)`` of documents with at least one token."""
+        return self.postings.select("doc_id", "dl").distinct()
+
     def persist(self) -> "TextIndex":
-        for df in (self.postings, self.doc_lengths, self.terms):
+        for df in (self.postings, self.terms):
             df.persist()
         self.materialised = True
         return self
 
     def unpersist(self) -> None:
-        for df in (self.postings, self.doc_lengths, self.terms):
+        for df in (self.postings, self.terms):
             df.unpersist()
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Write the three tables as parquet; postings sorted by term per file
         so row-group min/max statistics prune term lookups."""
         self.postings.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
-        self.doc_lengths.write.mode(mode).parquet(f"{path}/doc_lengths")
+        self.doc_ids.write.mode(mode).parquet(f"{path}/doc_ids")
         self.terms.write.mode(mode).parquet(f"{path}/terms")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "TextIndex":
         return TextIndex(
             postings=spark.read.parquet(f"{path}/postings"),
-            doc_lengths=spark.read.parquet(f"{path}/doc_lengths"),
+            doc_ids=spark.read.parquet(f"{path}/doc_ids"),
             terms=spark.read.parquet(f"{path}/terms"),
             materialised=True,
         )
@@ -91,21 +103,25 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (default: ``spark.sql.shuffle.partitions``)."""
     spark = corpus.sparkSession
     n_shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = corpus.select(F.col(id_col).alias("doc_id"))
+    pieces = F.split(F.lower(F.col("text")), TOKEN_SEPARATOR)
+    n_pieces = F.size("pieces")
+    dl = (n_pieces - F.when(F.col("pieces")[0] == "", 1).otherwise(0)
+          - F.when((n_pieces > 1) & (F.element_at("pieces", -1) == ""), 1).otherwise(0))
     docs = (
         corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .repartition(n_shards, "doc_id")
-        .select("doc_id", tokens("text").alias("toks"))
-        .select("doc_id", F.size("toks").cast("int").alias("dl"), "toks")
+        .select("doc_id", pieces.alias("pieces"))
+        .select("doc_id", F.coalesce(dl, F.lit(0)).cast("int").alias("dl"), "pieces")
     )
-    doc_lengths = docs.select("doc_id", "dl")
-    # explode_outer + explicit null filter: a plain explode makes Catalyst infer
-    # a size(tokens) > 0 filter and push it below the shuffle, which would
-    # tokenise every text twice, once before the documents are spread out.
+    # explode_outer + plain filter: a plain explode makes Catalyst infer a
+    # size() > 0 filter and push it below the shuffle, which would split every
+    # text twice, once before the documents are spread out.
     postings = (
-        docs.select("doc_id", "dl", F.explode_outer("toks").alias("term"))
-        .filter(F.col("term").isNotNull())
+        docs.select("doc_id", "dl", F.explode_outer("pieces").alias("term"))
+        .filter(F.col("term") != "")
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return TextIndex(postings=postings, doc_lengths=doc_lengths, terms=terms)
+    return TextIndex(postings=postings, doc_ids=ids, terms=terms)
