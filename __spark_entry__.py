@@ -76,11 +76,7 @@ def q_qrels_positive(spark, sf_dir):
 
 
 def q_positives_by_query(spark, sf_dir):
-    grouped = judgements.positives_by_query(_label_qrels(spark, sf_dir))
-    return grouped.select(
-        "qid", F.size("dids").cast("bigint").alias("n_pos"),
-        F.array_join(F.transform("dids", lambda d: d.cast("string")), ",").alias("dids"),
-    )
+    return judgements.positives_by_query(_label_qrels(spark, sf_dir)).select("qid", "pos", "did")
 
 
 def q_judged_queries(spark, sf_dir):

@@ -78,9 +78,9 @@ FROM labels l JOIN documents d USING (doc_id) WHERE l.quality > 0"""
 
 
 def positives_by_query() -> str:
-    return """SELECT d.source AS qid, count(*)::BIGINT AS n_pos,
-       array_to_string(list(l.doc_id::VARCHAR ORDER BY l.doc_id), ',') AS dids
-FROM labels l JOIN documents d USING (doc_id) WHERE l.quality > 0 GROUP BY d.source"""
+    return """SELECT d.source AS qid, row_number() OVER (PARTITION BY d.source ORDER BY l.doc_id)::BIGINT AS pos,
+       l.doc_id AS did
+FROM labels l JOIN documents d USING (doc_id) WHERE l.quality > 0"""
 
 
 def judged_queries() -> str:

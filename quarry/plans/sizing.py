@@ -8,7 +8,7 @@ measured sizes). Long multi-pass jobs cut lineage with a reliable
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
@@ -32,3 +32,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ordered_positions(df: DataFrame, key: str, order: list[str], out: str = "pos",
+                      partitions: int | None = None) -> DataFrame:
+    """Exact 1-based position of each row within its ``key`` group in ``order``
+    -- like ``row_number()`` over ``partitionBy(key)``, but a hot key is not
+    sent to one task: rows are range-partitioned on ``(key, order)``, so a big
+    group spans many partitions; each partition numbers its rows locally and a
+    small table of per-(partition, key) counts gives every partition its offset.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Partition ids and row ids are frozen by a reliable checkpoint: the counts
+    # and the rows must come from one and the same evaluation of the split.
+    ranged = cut_lineage(df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
+    counts = ranged.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # counts has one row per (partition, key): at most partitions x keys rows.
+    return (ranged.join(F.broadcast(offsets.select("_pid", key, "_off", "_first"))
+                        if row_count_at_most(offsets, BROADCAST_MAX_ROWS) else offsets.select("_pid", key, "_off", "_first"),
+                        ["_pid", key])
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
+            .drop("_pid", "_mid", "_off", "_first"))

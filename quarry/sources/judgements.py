@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.sizing import ordered_positions
+
 # Blanks stripped from both ends of a line; judgement fields are
 # separated by blank runs, query fields by exactly one tab.
 STRIP_PATTERN = r"^\s+|\s+$"
@@ -56,13 +58,26 @@ def positive_judgements(qrels: DataFrame) -> DataFrame:
 
 
 def positives_by_query(qrels: DataFrame) -> DataFrame:
-    """A1: ``(qid, dids)`` positives per query in file order (duplicates kept)."""
+    """A1: positives per query in file order, as ``(qid, pos, did)`` rows.
+
+    The original keeps a list per query; here the list is long-form so that no
+    query's positives are ever collected into one array or one task (a query
+    may hold a large share of all judgements): positions come from
+    ``ordered_positions``. ``positives_lists`` builds arrays when groups are
+    known to be small."""
     pos = positive_judgements(qrels)
     order = "line_no" if "line_no" in qrels.columns else "did"
-    return pos.groupBy("qid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("did").alias("did")))),
-                    lambda s: s["did"]).alias("dids")
-    )
+    return ordered_positions(pos.select("qid", "did", order), "qid", [order]).select("qid", "pos", "did")
+
+
+def positives_lists(positives: DataFrame, max_per_query: int) -> DataFrame:
+    """``(qid, dids)`` arrays from ``positives_by_query``; refuses groups larger
+    than ``max_per_query`` (checked first) instead of building them."""
+    biggest = positives.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
+    if biggest > max_per_query:
+        raise ValueError(f"a query has {biggest} positives (> {max_per_query}); keep the long form")
+    return positives.groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "did"))), lambda s: s["did"]).alias("dids"))
 
 
 def read_queries(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
