@@ -120,26 +120,33 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
     n, _ = index.stats()
     fb = feedback.filter(F.col("rank") <= rm3.fb_docs).select("qid", "doc_id", "score")
     fb_small = row_count_at_most(fb, max_broadcast_rows)
-    fb_postings = (
-        index.postings.join(_hint(fb, fb_small), "doc_id")
+    # A document's candidate terms do not depend on the query that retrieved
+    # it: choose them once per distinct feedback document. The postings are
+    # filtered where they lie (broadcast semi join keeps the doc partitioning),
+    # so the per-document window below needs no shuffle.
+    fb_docs = fb.select("doc_id").distinct()
+    doc_terms = (
+        index.postings.join(_hint(fb_docs, fb_small), "doc_id", "left_semi")
         .filter(F.length("term").between(rm3.min_term_len, rm3.max_term_len))
-        .select("qid", "doc_id", "score", "term", "tf")
+        .select("doc_id", "term", "tf")
     )
-    # One scan of the postings for all queries; cut lineage so the checks and
-    # the joins below reuse it instead of re-scanning.
-    fb_postings = cut_lineage(fb_postings)
-    vocab = fb_postings.select("term").distinct()
+    # One scan of the postings for all queries; the cut lets the size checks
+    # and the joins below reuse it instead of re-scanning.
+    doc_terms = cut_lineage(doc_terms)
+    vocab = doc_terms.select("term").distinct()
     vocab_small = row_count_at_most(vocab, max_broadcast_rows)
     rare = index.doc_freqs(vocab, vocab_small).filter(
         F.col("df") <= F.lit(rm3.max_df_ratio * n)
     ).select("term")
-    cand = fb_postings.join(_hint(rare, vocab_small), "term")
+    cand = doc_terms.join(_hint(rare, vocab_small), "term")
 
-    per_doc = Window.partitionBy("qid", "doc_id").orderBy(F.col("tf").desc(), F.col("term").asc())
+    per_doc = Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), F.col("term").asc())
     kept = cand.withColumn("r", F.row_number().over(per_doc)).filter(F.col("r") <= rm3.fb_terms)
-    doc_total = Window.partitionBy("qid", "doc_id")
-    shares = kept.withColumn("share", F.col("tf") / F.sum("tf").over(doc_total))
-    weights = shares.groupBy("qid", "term").agg(F.sum(F.col("share") * F.col("score")).alias("w"))
+    shares = kept.withColumn("share", F.col("tf") / F.sum("tf").over(Window.partitionBy("doc_id")))
+    weights = (
+        shares.join(_hint(fb, fb_small), "doc_id")
+        .groupBy("qid", "term").agg(F.sum(F.col("share") * F.col("score")).alias("w"))
+    )
     per_q = Window.partitionBy("qid").orderBy(F.round("w", RANK_DECIMALS).desc(), F.col("term").asc())
     best = weights.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= rm3.fb_terms)
     expansion = best.select(
