@@ -73,6 +73,24 @@ class TextIndex:
         self.doc_ids.write.mode(mode).parquet(f"{path}/doc_ids")
         self.terms.write.mode(mode).parquet(f"{path}/terms")
 
+    def save_as_tables(self, prefix: str, buckets: int, mode: str = "overwrite") -> None:
+        """Store as catalog tables with postings bucketed by ``doc_id`` (sorted by
+        term inside each bucket): read back, the postings keep their document
+        partitioning, so searches sum per hit without any shuffle."""
+        (self.postings.write.mode(mode).bucketBy(buckets, "doc_id").sortBy("term")
+         .saveAsTable(f"{prefix}_postings"))
+        self.terms.write.mode(mode).saveAsTable(f"{prefix}_terms")
+        self.doc_ids.write.mode(mode).saveAsTable(f"{prefix}_doc_ids")
+
+    @staticmethod
+    def from_tables(spark: SparkSession, prefix: str) -> "TextIndex":
+        return TextIndex(
+            postings=spark.table(f"{prefix}_postings"),
+            doc_ids=spark.table(f"{prefix}_doc_ids"),
+            terms=spark.table(f"{prefix}_terms"),
+            materialised=True,
+        )
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> "TextIndex":
         return TextIndex(

@@ -182,8 +182,9 @@ def knn_candidates(query_vecs: DataFrame, vectors: DataFrame, k: int = 100, metr
     qid_type = query_vecs.schema["qid"].dataType.simpleString()
     id_type = vectors.schema[id_col].dataType.simpleString()
     schema = f"qid {qid_type}, {id_col} {id_type}, score double"
-    dim_guess = 1024
-    max_rows = min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * dim_guess))
+    first = query_vecs.filter(F.col("embedding").isNotNull()).select(F.size("embedding").alias("d")).first()
+    dim = max(1, first["d"]) if first else 1
+    max_rows = min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * dim))
     if row_count_at_most(query_vecs, max_rows):
         return _broadcast_plan(query_vecs, vectors, k, metric, id_col, schema)
     n_queries = query_vecs.count()

@@ -47,3 +47,19 @@ def test_late_fetch_filters_corpus_in_place(spark):
     out.count()
     s = plan(out)
     assert re.search(r"BroadcastHashJoin.*LeftSemi", s)
+
+
+def test_bucketed_index_tables_keep_doc_partitioning(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} common text {i}") for i in range(200)],
+                                 "doc_id long, text string")
+    q = spark.createDataFrame([(1, "w1 common"), (2, "w2 text")], "qid long, text string")
+    idx = build_index(docs)
+    want = sorted(tuple(r) for r in bm25.bm25_topk(idx, q, k=5).select("qid", "doc_id", "rank").collect())
+    idx.save_as_tables("test_idx", buckets=4)
+    stored = idx.from_tables(spark, "test_idx")
+    run = bm25.bm25_topk(stored, q, k=5)
+    got = sorted(tuple(r) for r in run.select("qid", "doc_id", "rank").collect())
+    assert got == want
+    s = plan(run)
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, doc_id", s)
+    assert "SortMergeJoin" not in s
