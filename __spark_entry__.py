@@ -376,6 +376,16 @@ def q_stream_bm25_topk(spark, sf_dir, k: int = 100):
     return _run_out(out)
 
 
+def q_compare_pipelines(spark, sf_dir):
+    a = pipeline.Pipeline("bm25", k=10, rm3=False, name="bm25")
+    b = pipeline.Pipeline("knn", rerank.FeedForwardRanker.formula(**RANKER), k=10, encoder=embed.HashBagOfWords(64))
+    cmp = pipeline.compare_pipelines(a, b, tables.passage_queries(spark, sf_dir),
+                                     index=build_index(tables.corpus(spark, sf_dir)),
+                                     vectors=tables.vectors(spark, sf_dir), id_map=_id_map(spark, sf_dir))
+    return cmp.select("qid", "doc_id", "rank_a", F.round("score_a", D).alias("score_a"),
+                      "rank_b", F.round("score_b", D).alias("score_b"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top-100 of every benchmark passage over the documents."""
     return q_bm25_topk(spark, SF_SMOKE)
@@ -428,6 +438,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "approx_knn_topk": q_approx_knn_topk,
         "snippets": q_snippets,
         "stream_bm25_topk": q_stream_bm25_topk,
+        "compare_pipelines": q_compare_pipelines,
     }
 
 
@@ -476,4 +487,5 @@ def oracle_sql() -> dict[str, str]:
         "prf_pipeline": oracle.prf_pipeline(),
         "snippets": oracle.snippets(),
         "stream_bm25_topk": oracle.bm25_topk(),
+        "compare_pipelines": oracle.compare_pipelines(),
     }

@@ -456,3 +456,12 @@ qt AS (SELECT item_id AS qid, list_distinct({toks('text')}) AS qterms FROM bench
 sc AS (SELECT sn.*, len(list_intersect(list_distinct({toks('sent')}), qt.qterms)) AS matched FROM sn JOIN qt USING (qid)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY matched DESC, idx) AS r FROM sc)
 SELECT qid, doc_id, string_agg(sent, ' ' ORDER BY idx) AS snippet FROM rk WHERE r <= {n} GROUP BY qid, doc_id"""
+
+
+def compare_pipelines(k: int = 10) -> str:
+    """BM25 (no expansion) vs k-NN + re-rank, k-NN ids translated to documents."""
+    return f"""WITH {bm25_run_ctes(k)}, {reranked_ctes(k)},
+kd AS (SELECT rr.qid, d.doc_id, rr.nr AS rank, rr.score FROM rr LEFT JOIN documents d ON d.doc_id = rr.vec_id)
+SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc_id,
+       a.rank::BIGINT AS rank_a, round(a.score, {D}) AS score_a, b.rank::BIGINT AS rank_b, round(b.score, {D}) AS score_b
+FROM run a FULL OUTER JOIN kd b ON a.qid = b.qid AND a.doc_id = b.doc_id"""
