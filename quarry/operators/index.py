@@ -115,20 +115,24 @@ class TextIndex:
         )
 
 
+def _by_doc(df: DataFrame, shards: int | None) -> DataFrame:
+    return df.repartition(shards, "doc_id") if shards else df.repartition("doc_id")
+
+
 def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shards: int | None = None) -> TextIndex:
-    """Index ``corpus(id_col, text_col)``; ``shards`` = number of document shards
-    (default: ``spark.sql.shuffle.partitions``)."""
-    spark = corpus.sparkSession
-    n_shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Index ``corpus(id_col, text_col)``.
+
+    ``shards`` fixes the number of document shards; by default the shuffle is
+    by column only, so adaptive execution sizes the shards from the measured
+    text volume (``spark.sql.adaptive.advisoryPartitionSizeInBytes``)."""
     ids = corpus.select(F.col(id_col).alias("doc_id"))
     pieces = F.split(F.lower(F.col("text")), TOKEN_SEPARATOR)
     n_pieces = F.size("pieces")
     dl = (n_pieces - F.when(F.col("pieces")[0] == "", 1).otherwise(0)
           - F.when((n_pieces > 1) & (F.element_at("pieces", -1) == ""), 1).otherwise(0))
     docs = (
-        corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .repartition(n_shards, "doc_id")
+        _by_doc(corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shards)
         .select("doc_id", pieces.alias("pieces"))
         .select("doc_id", F.coalesce(dl, F.lit(0)).cast("int").alias("dl"), "pieces")
     )
