@@ -372,6 +372,7 @@ def q_stream_bm25_topk(spark, sf_dir, k: int = 100):
     stream = query_stream.query_stream(spark, sf_dir, glob="benchmark.parquet")
     q = query_stream.serve(stream, lambda batch: bm25.bm25_topk(index, batch, k=k), f"{base}/sink", f"{base}/ckpt")
     q.awaitTermination()
+    index.unpersist()
     out = query_stream.read_sink(spark, f"{base}/sink")
     return _run_out(out)
 
