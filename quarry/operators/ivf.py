@@ -123,8 +123,9 @@ def _search_block(spark, probed: DataFrame, ivf: IVFIndex, k: int, schema: str)
     def run(batches):
         bq, bm, cells_map = bc.value
         nq = len(bq)
-        best_s = [np.zeros(0) for _ in range(nq)]
-        best_i = [np.zeros(0, dtype=object) for _ in range(nq)]
+        # running k best per query; -inf / None mark empty slots
+        best_s = np.full((nq, k), -np.inf)
+        best_i = np.full((nq, k), None, dtype=object)
         for pdf in batches:
             pdf = pdf[pdf["embedding"].notna()]
             for cell, grp in pdf.groupby("cell"):
@@ -135,19 +136,16 @@ def _search_block(spark, probed: DataFrame, ivf: IVFIndex, k: int, schema: str)
                 sc = score_matrix(bm[qsel], _stack(grp["embedding"]), metric)
                 rows, cols = _best_k(sc, ids, k)
                 m = len(cols) // len(qsel)
-                sc_k, id_k = sc[rows, cols].reshape(len(qsel), m), ids[cols].reshape(len(qsel), m)
-                for j, qi in enumerate(qsel):
-                    s = np.concatenate([best_s[qi], sc_k[j]])
-                    i = np.concatenate([best_i[qi], id_k[j].astype(object)])
-                    if len(s) > k:
-                        _, c2 = _best_k_rowwise(s[None, :], i[None, :], k)
-                        s, i = s[c2], i[c2]
-                    best_s[qi], best_i[qi] = s, i
-        lens = [len(s) for s in best_s]
+                cand_s = np.concatenate([best_s[qsel], sc[rows, cols].reshape(len(qsel), m)], axis=1)
+                cand_i = np.concatenate([best_i[qsel], ids[cols].reshape(len(qsel), m).astype(object)], axis=1)
+                r2, c2 = _best_k_rowwise(cand_s, cand_i, k)
+                best_s[qsel] = cand_s[r2, c2].reshape(len(qsel), k)
+                best_i[qsel] = cand_i[r2, c2].reshape(len(qsel), k)
+        keep = np.isfinite(best_s)
         yield pd.DataFrame({
-            "qid": np.repeat(bq, lens),
-            id_col: np.concatenate(best_i) if nq else [],
-            "score": np.concatenate(best_s) if nq else [],
+            "qid": np.repeat(bq, keep.sum(axis=1)),
+            id_col: best_i[keep],
+            "score": best_s[keep],
         })
 
     return ivf.vectors.select(id_col, "embedding", "cell").mapInPandas(run, schema)
