@@ -120,12 +120,17 @@ def _by_doc(df: DataFrame, shards: int | None) -> DataFrame:
 
 
 def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                shards: int | None = None) -> TextIndex:
+                shards: int | None = None, persist: bool = True) -> TextIndex:
     """Index ``corpus(id_col, text_col)``.
 
     ``shards`` fixes the number of document shards; by default the shuffle is
     by column only, so adaptive execution sizes the shards from the measured
-    text volume (``spark.sql.adaptive.advisoryPartitionSizeInBytes``)."""
+    text volume (``spark.sql.adaptive.advisoryPartitionSizeInBytes``).
+
+    ``persist`` (default) caches postings and terms (memory and disk): the
+    first use materialises them and every later pass -- statistics, document
+    frequencies, matching, feedback -- reads the cache instead of tokenising
+    the corpus again; lost blocks are recomputed from lineage."""
     ids = corpus.select(F.col(id_col).alias("doc_id"))
     pieces = F.split(F.lower(F.col("text")), TOKEN_SEPARATOR)
     n_pieces = F.size("pieces")
@@ -146,4 +151,5 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return TextIndex(postings=postings, doc_ids=ids, terms=terms)
+    index = TextIndex(postings=postings, doc_ids=ids, terms=terms)
+    return index.persist() if persist else index
