@@ -77,7 +77,8 @@ def build_ivf(vectors: DataFrame, n_cells: int, metric: str = "ip", id_col: str
 
 
 def approx_knn_topk(query_vecs: DataFrame, ivf: IVFIndex, k: int = 100, n_probe: int = 8,
-                    max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+                    max_group_vectors: int = 200_000) -> DataFrame:
     """K3: top-k ``(qid, id, score, rank)`` among the vectors of each query's
     ``n_probe`` nearest cells."""
     spark = query_vecs.sparkSession
@@ -97,18 +98,47 @@ def approx_knn_topk(query_vecs: DataFrame, ivf: IVFIndex, k: int = 100, n_probe:
     probed = query_vecs.filter(F.col("embedding").isNotNull()).select(
         "qid", "embedding", probes("embedding").alias("cells"))
     if row_count_at_most(probed, max_broadcast_queries):
-        blocks = [probed]
-    else:  # beyond the bound: blocks of queries, each collected and broadcast alone
-        n_blocks = -(-probed.count() // max_broadcast_queries)
-        keyed = probed.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
-        blocks = [keyed.filter(F.col("_b") == b).drop("_b") for b in range(n_blocks)]
-    runs = [_search_block(spark, blk, ivf, k, schema) for blk in blocks]
-    cand = runs[0]
-    for r in runs[1:]:
-        cand = cand.unionByName(r)
+        cand = _search_block(spark, probed, ivf, k, schema)
+    else:
+        cand = _search_groups(probed, ivf, k, schema, max_broadcast_queries, max_group_vectors)
     return top_k(cand, k, doc=id_col)
 
 
+def _search_groups(probed: DataFrame, ivf: IVFIndex, k: int, schema: str, block_queries: int,
+                   max_group_vectors: int = 200_000) -> DataFrame:
+    """Distributed form for many queries: (cell, sub-shard, query block) groups.
+
+    A hot cell is split into sub-shards of at most ``max_group_vectors``
+    vectors (per-cell counts: one row per cell), each query is sent to every
+    sub-shard of the cells it probes, and queries are cut into blocks, so no
+    group holds more than one block of queries and one sub-shard of vectors."""
+    id_col, metric = ivf.id_col, ivf.metric
+    n_q = probed.count()
+    n_blocks = max(1, -(-n_q // block_queries))
+    subs = (ivf.vectors.groupBy("cell").count()
+            .select("cell", F.greatest(F.lit(1), F.ceil(F.col("count") / max_group_vectors)).cast("int").alias("n_sub")))
+    subs = F.broadcast(subs)  # one row per cell: bounded by the number of cells
+    q = (probed.select("qid", F.col("embedding").alias("qvec"), F.explode("cells").alias("cell"))
+         .join(subs, "cell")
+         .select("qid", "qvec", "cell", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)).alias("sub"),
+                 F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("block")))
+    v = (ivf.vectors.filter(F.col("embedding").isNotNull()).join(subs, "cell")
+         .select(id_col, F.col("embedding").alias("vvec"), "cell",
+                 F.pmod(F.xxhash64(id_col), F.col("n_sub")).alias("sub"),
+                 F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")))
+
+    def run(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or vpdf.empty:
+            return pd.DataFrame({"qid": [], id_col: [], "score": []})
+        qids = qpdf["qid"].to_numpy()
+        ids = vpdf[id_col].to_numpy()
+        sc = score_matrix(_stack(qpdf["qvec"]), _stack(vpdf["vvec"]), metric)
+        rows, cols = _best_k(sc, ids, k)
+        return pd.DataFrame({"qid": qids[rows], id_col: ids[cols], "score": sc[rows, cols]})
+
+    return q.groupBy("cell", "sub", "block").cogroup(v.groupBy("cell", "sub", "block")).applyInPandas(run, schema)
+
+
 def _search_block(spark, probed: DataFrame, ivf: IVFIndex, k: int, schema: str) -> DataFrame:
     id_col, metric = ivf.id_col, ivf.metric
     qpdf = probed.toPandas()

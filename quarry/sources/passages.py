@@ -3,11 +3,13 @@ contains a query passage verbatim.
 
 Many patterns against many texts is a multi-pattern substring search, which
 Spark has no join for (a ``contains`` condition would be a nested-loop join
-over all pairs). The documents are scanned once, where they lie, by a
-``mapInPandas`` task that runs an Aho-Corasick automaton over each text. The
-passages are collected only in chunks whose total size is checked against
-``max_chunk_chars``; each chunk is one broadcast and one pass over the
-documents, so neither the driver nor a task ever holds an unbounded pattern set.
+over all pairs). When the passages fit one broadcast (total characters checked
+against ``max_chunk_chars``), the documents are scanned once, where they lie,
+by a ``mapInPandas`` task running an Aho-Corasick automaton over each text.
+Beyond the bound nothing goes through the driver: passages are hashed into
+chunks of about ``max_chunk_chars`` and documents into shards, and every
+(chunk, shard) pair meets in one ``cogroup`` group that builds the automaton of
+its chunk and scans its shard -- memory per task is bounded on both sides.
 """
 
 from __future__ import annotations
@@ -75,6 +77,42 @@ def _scan(documents: DataFrame, chunk: list[tuple], qid_type: str, did_type: str
     return documents.select("doc_id", "text").mapInPandas(run, f"qid {qid_type}, did {did_type}")
 
 
+def _scan_groups(documents: DataFrame, passages: DataFrame, n_chunks: int, qid_type: str, did_type: str) -> DataFrame:
+    ship(documents.sparkSession)
+    n_shards = max(1, documents.rdd.getNumPartitions())
+    # distinct column names on the two sides (a shared attribute would be
+    # dropped from one side of the cogroup)
+    p = passages.select(
+        "qid", F.col("text").alias("ptext"),
+        F.pmod(F.xxhash64("text"), F.lit(n_chunks)).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
+    d = documents.select(
+        "doc_id", F.col("text").alias("dtext"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
+
+    def run(ppdf, dpdf):
+        import pandas as pd
+
+        if ppdf.empty or dpdf.empty:
+            return pd.DataFrame({"qid": [], "did": []})
+        patterns: dict[str, list] = {}
+        for qid, text in zip(ppdf["qid"], ppdf["ptext"]):
+            patterns.setdefault(text, []).append(qid)
+        find = _matcher(patterns)
+        q, dd = [], []
+        for did, text in zip(dpdf["doc_id"], dpdf["dtext"]):
+            if text is None:
+                continue
+            for qid in find(text):
+                q.append(qid)
+                dd.append(did)
+        return pd.DataFrame({"qid": q, "did": dd})
+
+    return p.groupBy("chunk", "shard").cogroup(d.groupBy("chunk", "shard")).applyInPandas(
+        run, f"qid {qid_type}, did {did_type}")
+
+
 def passage_judgements(documents: DataFrame, passages: DataFrame,
                        max_chunk_chars: int = MAX_CHUNK_CHARS) -> DataFrame:
     """``(qid, did, label)`` for every document containing a passage.
@@ -84,20 +122,14 @@ def passage_judgements(documents: DataFrame, passages: DataFrame,
     """
     qid_type = passages.schema["qid"].dataType.simpleString()
     did_type = documents.schema["doc_id"].dataType.simpleString()
-    sized = passages.filter(F.col("text").isNotNull()).select(
-        "qid", "text", F.length("text").alias("n")
-    )
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    n_chunks = max(1, -(-int(total) // max_chunk_chars))
-    parts = []
-    for c in range(n_chunks):
-        chunk_df = sized if n_chunks == 1 else sized.filter(F.pmod(F.hash("text"), F.lit(n_chunks)) == c)
-        chunk = [(r["qid"], r["text"]) for r in chunk_df.select("qid", "text").collect()]
-        if chunk:
-            parts.append(_scan(documents, chunk, qid_type, did_type))
-    if not parts:
-        return passages.sparkSession.createDataFrame([], f"qid {qid_type}, did {did_type}, label int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    sized = passages.filter(F.col("text").isNotNull()).select("qid", "text")
+    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total <= max_chunk_chars:
+        chunk = [(r["qid"], r["text"]) for r in sized.collect()]
+        if not chunk:
+            return passages.sparkSession.createDataFrame([], f"qid {qid_type}, did {did_type}, label int")
+        out = _scan(documents.select("doc_id", "text"), chunk, qid_type, did_type)
+    else:
+        n_chunks = -(-int(total) // max_chunk_chars)
+        out = _scan_groups(documents.select("doc_id", "text"), sized, n_chunks, qid_type, did_type)
     return out.withColumn("label", F.lit(1))

@@ -88,3 +88,6 @@ def test_ivf_recall(spark):
     assert hit / (10 * len(exact)) >= 0.6
     blocked = collect(ivf.approx_knn_topk(queries, index, k=10, n_probe=3, max_broadcast_queries=7))
     assert same(blocked, approx)
+    split = collect(ivf.approx_knn_topk(queries, index, k=10, n_probe=3, max_broadcast_queries=7,
+                                        max_group_vectors=25))  # hot cells split into sub-shards
+    assert same(split, approx)
