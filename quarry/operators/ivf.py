@@ -1,6 +1,6 @@
 """Approximate k-NN with an inverted-file (IVF) index (K3).
 
-Build: ``pyspark.ml`` KMeans (fitted on the table or a sample) gives
+Build: ``pyspark.ml`` KMeans (fitted on a bounded sample) gives
 ``n_cells`` centroids; every vector gets the id of its best centroid
 (``cell``), computed in Arrow batches with the centroids broadcast. Centroids
 are ``n_cells x dim`` -- fixed by the parameter, not by the data.
@@ -49,7 +49,10 @@ def _nearest_cells(vecs: np.ndarray, centroids: np.ndarray, metric: str, n: int)
 
 
 def build_ivf(vectors: DataFrame, n_cells: int, metric: str = "ip", id_col: str = "vec_id",
-              sample_fraction: float | None = None, seed: int = 42, max_iter: int = 20) -> IVFIndex:
+              train_rows: int | None = 1_000_000, seed: int = 42, max_iter: int = 20) -> IVFIndex:
+    """Fit ``n_cells`` centroids on a sample of about ``train_rows`` vectors
+    (all of them when the table is smaller; ``None`` = all), then assign every
+    vector its cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -57,8 +60,10 @@ def build_ivf(vectors: DataFrame, n_cells: int, metric: str = "ip", id_col: str
     ship(spark)
     feats = vectors.filter(F.col("embedding").isNotNull()).select(
         array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    if sample_fraction is not None:
-        feats = feats.sample(fraction=sample_fraction, seed=seed)
+    if train_rows is not None:
+        total = vectors.count()
+        if total > train_rows:
+            feats = feats.sample(fraction=train_rows / total, seed=seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
     centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
     bc = spark.sparkContext.broadcast((centroids, metric))
