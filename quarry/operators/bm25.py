@@ -143,27 +143,31 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
     per_doc = Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), F.col("term").asc())
     kept = cand.withColumn("r", F.row_number().over(per_doc)).filter(F.col("r") <= rm3.fb_terms)
     shares = kept.withColumn("share", F.col("tf") / F.sum("tf").over(Window.partitionBy("doc_id")))
+    # Per query from here on: one shuffle on qid serves the sum per term, the
+    # ranking of terms and (after the union) the normalisation and mixing.
     weights = (
         shares.join(_hint(fb, fb_small), "doc_id")
-        .groupBy("qid", "term").agg(F.sum(F.col("share") * F.col("score")).alias("w"))
+        .select("qid", "term", (F.col("share") * F.col("score")).alias("c"))
+        .repartition("qid")
+        .groupBy("qid", "term").agg(F.sum("c").alias("w"))
     )
     per_q = Window.partitionBy("qid").orderBy(F.round("w", RANK_DECIMALS).desc(), F.col("term").asc())
     best = weights.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= rm3.fb_terms)
-    expansion = best.select(
-        "qid", "term", (F.col("w") / F.sum("w").over(Window.partitionBy("qid"))).alias("e")
-    )
 
-    orig = qweights.select(
-        "qid", "term", (F.col("qw") / F.sum("qw").over(Window.partitionBy("qid"))).alias("o")
-    )
-    a = rm3.original_query_weight
-    mixed = orig.join(expansion, ["qid", "term"], "full_outer")
-    has_fb = F.max(F.col("e").isNotNull().cast("int")).over(Window.partitionBy("qid")) > 0
-    return mixed.select(
+    none = F.lit(None).cast("double")
+    rows = qweights.select("qid", "term", F.col("qw").cast("double").alias("o"), none.alias("e")).unionByName(
+        best.select("qid", "term", none.alias("o"), F.col("w").alias("e")))
+    q = Window.partitionBy("qid")
+    rows = rows.select(
         "qid", "term",
-        F.when(has_fb, F.lit(a) * F.coalesce("o", F.lit(0.0)) + F.lit(1.0 - a) * F.coalesce("e", F.lit(0.0)))
-        .otherwise(F.col("o")).alias("qw"),
+        (F.col("o") / F.sum("o").over(q)).alias("o"),
+        (F.col("e") / F.sum("e").over(q)).alias("e"),
+        (F.count("e").over(q) > 0).alias("has_fb"),
     )
+    a = rm3.original_query_weight
+    part = F.when(~F.col("has_fb"), F.col("o")).when(F.col("o").isNotNull(), F.lit(a) * F.col("o")) \
+        .otherwise(F.lit(1.0 - a) * F.col("e"))
+    return rows.groupBy("qid", "term").agg(F.sum(part).alias("qw"))
 
 
 def bm25_rm3_topk(index: TextIndex, queries: DataFrame, k: int = 100, params: BM25Params = BM25Params(),
