@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from quarry.functions import nn
 from quarry.operators import runs
 from quarry.operators.ranking import top_k
-from quarry.plans.sizing import BROADCAST_MAX_ROWS, row_count_at_most
+from quarry.plans.sizing import BROADCAST_MAX_ROWS, cut_lineage, row_count_at_most
 from quarry.shipping import ship
 from quarry.sources.weights import formula_layers, load_model
 
@@ -126,6 +126,7 @@ def score_pairs(triples: DataFrame, query_vecs: DataFrame, vectors: DataFrame, r
     """``triples(qid, pos_id, neg_id)`` -> ``score_pos``, ``score_neg``
     (null when there is no negative)."""
     spark = triples.sparkSession
+    triples = cut_lineage(triples)  # used for the ids and for the joins
     ids = triples.select(F.col("pos_id").alias(id_col)).unionByName(
         triples.select(F.col("neg_id").alias(id_col)).filter(F.col(id_col).isNotNull()))
     vecs = runs.fetch_by_key(ids, vectors.select(id_col, "embedding"), id_col, max_broadcast_rows)

@@ -4,7 +4,9 @@ A5, T3, F3, F7).
 Runs are small (queries x k) while corpora, vector tables and id maps grow with
 the data. Fetching from a big table therefore goes in two steps: the run's
 distinct keys (row-count checked, then broadcast) filter the big table where it
-lies -- no shuffle of the big side -- and the small result is joined back.
+lies -- no shuffle of the big side -- and the small result is joined back. The
+run is used twice in such a fetch, so it is checkpointed first: the search that
+produced it runs once, and its lineage is cut.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.sizing import BROADCAST_MAX_ROWS, row_count_at_most
+from quarry.plans.sizing import BROADCAST_MAX_ROWS, cut_lineage, row_count_at_most
 
 
 def fetch_by_key(keys: DataFrame, table: DataFrame, key: str,
@@ -28,6 +30,7 @@ def fetch_by_key(keys: DataFrame, table: DataFrame, key: str,
 def attach_raw(run: DataFrame, corpus: DataFrame, text_col: str = "text",
                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Add ``raw`` text to each hit (null when the document is missing)."""
+    run = cut_lineage(run)
     texts = fetch_by_key(run, corpus.select("doc_id", F.col(text_col).alias("raw")), "doc_id", max_broadcast_rows)
     return run.join(texts, "doc_id", "left")
 
@@ -41,12 +44,14 @@ def doc_lookup(ids: DataFrame, corpus: DataFrame, text_col: str = "text",
 def id_translate(run: DataFrame, id_map: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Index id -> document id. ``run`` has ``vec_id``; ``id_map(doc_id,
     vec_id)``. Unmapped ids keep a null ``doc_id``."""
+    run = cut_lineage(run)
     mapped = fetch_by_key(run, id_map.select("vec_id", "doc_id"), "vec_id", max_broadcast_rows)
     return run.join(mapped, "vec_id", "left")
 
 
 def doc_to_index_ids(run: DataFrame, id_map: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """J5 (reverse): document id -> index id ``vec_id`` (null when unmapped)."""
+    run = cut_lineage(run)
     mapped = fetch_by_key(run, id_map.select("doc_id", "vec_id"), "doc_id", max_broadcast_rows)
     return run.join(mapped, "doc_id", "left")
 
@@ -54,6 +59,7 @@ def doc_to_index_ids(run: DataFrame, id_map: DataFrame, max_broadcast_rows: int
 def fetch_embeddings(run: DataFrame, vectors: DataFrame, key: str = "vec_id",
                      max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Attach the stored vector of each hit (``vectors(key, embedding)``)."""
+    run = cut_lineage(run)
     vecs = fetch_by_key(run, vectors.select(key, "embedding"), key, max_broadcast_rows)
     return run.join(vecs, key, "left")
 

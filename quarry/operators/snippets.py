@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as TX
-from quarry.plans.sizing import BROADCAST_MAX_ROWS, row_count_at_most
+from quarry.plans.sizing import BROADCAST_MAX_ROWS, cut_lineage, row_count_at_most
 
 # Fixed value: sentences per snippet.
 SNIPPET_SENTENCES = 2
@@ -24,6 +24,7 @@ SNIPPET_SENTENCES = 2
 def best_sentences(hits: DataFrame, queries: DataFrame, n: int = SNIPPET_SENTENCES, raw_col: str = "raw",
                    max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``hits(qid, doc_id, raw, ...)`` + ``queries(qid, text)`` -> hits with ``snippet``."""
+    hits = cut_lineage(hits)  # used for the sentences and for the final join
     qt = queries.select("qid", F.array_distinct(TX.tokens("text")).alias("qterms"))
     if row_count_at_most(qt, max_broadcast_rows):
         qt = F.broadcast(qt)
