@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.ranking import RANK_DECIMALS, top_k
-from quarry.plans.sizing import row_count_at_most
 from quarry.shipping import ship
 
 METRICS = ("ip", "l2", "cosine")
@@ -182,10 +181,11 @@ def knn_candidates(query_vecs: DataFrame, vectors: DataFrame, k: int = 100, metr
     qid_type = query_vecs.schema["qid"].dataType.simpleString()
     id_type = vectors.schema[id_col].dataType.simpleString()
     schema = f"qid {qid_type}, {id_col} {id_type}, score double"
-    first = query_vecs.filter(F.col("embedding").isNotNull()).select(F.size("embedding").alias("d")).first()
-    dim = max(1, first["d"]) if first else 1
-    max_rows = min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * dim))
-    if row_count_at_most(query_vecs, max_rows):
+    # one bounded job gives both the row count (up to the bound) and the dimension
+    probe = query_vecs.limit(max_broadcast_queries + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    dim = max(1, probe["d"] or 1)
+    if probe["n"] <= min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * dim)):
         return _broadcast_plan(query_vecs, vectors, k, metric, id_col, schema)
     n_queries = query_vecs.count()
     return _blocked_plan(query_vecs, vectors, k, metric, id_col, schema, n_queries, block_queries)

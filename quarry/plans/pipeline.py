@@ -69,7 +69,8 @@ def run_pipeline(p: Pipeline, queries: DataFrame, *, index: TextIndex | None = N
 
     if vectors is None:
         raise ValueError("k-NN needs a vector table")
-    qv = embed.encode_queries(queries, p.encoder)
+    # encoded once: the search, the size checks and the re-ranker all read it
+    qv = cut_lineage(embed.encode_queries(queries, p.encoder))
     hits = knn.knn_topk(qv, vectors, k=p.k, metric=p.metric, id_col=id_col)
     if p.ranker is None:
         return hits
