@@ -387,6 +387,19 @@ def q_compare_pipelines(spark, sf_dir):
                       "rank_b", F.round("score_b", D).alias("score_b"))
 
 
+def q_term_stats(spark, sf_dir):
+    return build_index(tables.corpus(spark, sf_dir)).terms.select("term", F.col("df").cast("bigint"))
+
+
+def q_doc_stats(spark, sf_dir):
+    return build_index(tables.corpus(spark, sf_dir)).doc_lengths.select("doc_id", F.col("dl").cast("bigint"))
+
+
+def q_collection_stats(spark, sf_dir):
+    st = build_index(tables.corpus(spark, sf_dir)).collection_stats()
+    return st.select(F.col("n_docs").cast("bigint"), F.round("avgdl", D).alias("avgdl"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top-100 of every benchmark passage over the documents."""
     return q_bm25_topk(spark, SF_SMOKE)
@@ -440,6 +453,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "snippets": q_snippets,
         "stream_bm25_topk": q_stream_bm25_topk,
         "compare_pipelines": q_compare_pipelines,
+        "term_stats": q_term_stats,
+        "doc_stats": q_doc_stats,
+        "collection_stats": q_collection_stats,
     }
 
 
@@ -489,4 +505,7 @@ def oracle_sql() -> dict[str, str]:
         "snippets": oracle.snippets(),
         "stream_bm25_topk": oracle.bm25_topk(),
         "compare_pipelines": oracle.compare_pipelines(),
+        "term_stats": oracle.term_stats(),
+        "doc_stats": oracle.doc_stats(),
+        "collection_stats": oracle.collection_stats(),
     }

@@ -53,8 +53,14 @@ class TextIndex:
 
     @property
     def doc_lengths(self) -> DataFrame:
-        """``(doc_id, dl)`` of documents with at least one token."""
-        return self.postings.select("doc_id", "dl").distinct()
+        """``(doc_id, dl)`` of every document (0 for a text without tokens)."""
+        with_tokens = self.postings.select("doc_id", "dl").distinct()
+        return self.doc_ids.join(with_tokens, "doc_id", "left").select(
+            "doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+    def collection_stats(self) -> DataFrame:
+        """One row ``(n_docs, avgdl)`` as a DataFrame (``stats()`` gives scalars)."""
+        return self.doc_lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
     def persist(self) -> "TextIndex":
         for df in (self.postings, self.terms):

@@ -465,3 +465,17 @@ kd AS (SELECT rr.qid, d.doc_id, rr.nr AS rank, rr.score FROM rr LEFT JOIN docume
 SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc_id,
        a.rank::BIGINT AS rank_a, round(a.score, {D}) AS score_a, b.rank::BIGINT AS rank_b, round(b.score, {D}) AS score_b
 FROM run a FULL OUTER JOIN kd b ON a.qid = b.qid AND a.doc_id = b.doc_id"""
+
+
+# ------------------------------------------------------------ index statistics
+
+def term_stats() -> str:
+    return f"WITH {index_ctes()} SELECT term, df::BIGINT AS df FROM dfs"
+
+
+def doc_stats() -> str:
+    return f"WITH {index_ctes()} SELECT doc_id, len(t)::BIGINT AS dl FROM tk"
+
+
+def collection_stats() -> str:
+    return f"WITH {index_ctes()} SELECT n::BIGINT AS n_docs, round(avgdl, {D}) AS avgdl FROM st"
