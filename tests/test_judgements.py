@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.sources import judgements as J
 from quarry.sources.idmap import read_id_map
