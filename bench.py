@@ -69,10 +69,12 @@ def main():
     holder = {}
 
     def build():
+        if "index" in holder:
+            holder["index"].unpersist()
         holder["index"] = idx = build_index(docs)
         idx.postings.count(), idx.terms.count(), idx.stats()
 
-    out["index_build"] = once(build)  # one-time cost: measured once, cold
+    out["index_build"] = timed(build, "index_build")  # rebuilt each run; the last one is kept
     index = holder["index"]
 
     out["bm25_topk"] = timed(lambda: run(bm25.bm25_topk(index, queries, k=100)), "bm25_topk")
