@@ -141,3 +141,23 @@ def test_rm3_weights_match_brute_force(spark):
     # the expanded run uses those weights
     run = bm25.bm25_rm3_topk(idx, q, k=5).collect()
     assert {r["qid"] for r in run} == {1, 2}
+
+
+def test_shuffle_paths_equal_broadcast_paths(spark):
+    """Forcing every size check to fail (no broadcast) gives the same runs."""
+    from quarry.operators import runs
+
+    docs = [(i, f"common words here unique{i} shared{i % 3} rare{i % 7}") for i in range(30)]
+    idx = build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    q = spark.createDataFrame([(1, "common unique1 shared1"), (2, "words rare3")], "qid long, text string")
+
+    def rows(df):
+        return sorted((r["qid"], r["doc_id"], r["rank"], round(r["score"], 9)) for r in df.collect())
+
+    assert rows(bm25.bm25_topk(idx, q, k=5)) == rows(bm25.bm25_topk(idx, q, k=5, max_broadcast_rows=0))
+    assert rows(bm25.bm25_rm3_topk(idx, q, k=5)) == rows(bm25.bm25_rm3_topk(idx, q, k=5, max_broadcast_rows=0))
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    run = bm25.bm25_topk(idx, q, k=5)
+    a = sorted((r["doc_id"], r["raw"]) for r in runs.attach_raw(run, corpus).collect())
+    b = sorted((r["doc_id"], r["raw"]) for r in runs.attach_raw(run, corpus, max_broadcast_rows=0).collect())
+    assert a == b
