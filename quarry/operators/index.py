@@ -19,7 +19,9 @@ Tokens are the non-empty pieces of ``split(lower(text), separator)``; with a
 is computed arithmetically and the empties are dropped by a plain filter after
 the explode -- all of it whole-stage code-generated.
 
-Build once, then ``persist()`` or ``write()``/``read()`` and query many times.
+Build once (persisted by default), or store with ``save_as_tables`` (bucketed
+by ``doc_id``, keeps the partitioning) or ``write``/``read``; query many times.
+Document ids are taken as unique keys of the corpus.
 """
 
 from __future__ import annotations

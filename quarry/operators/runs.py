@@ -18,13 +18,15 @@ from quarry.functions import text as T
 from quarry.plans.sizing import BROADCAST_MAX_ROWS, cut_lineage, row_count_at_most
 
 
-def fetch_by_key(keys: DataFrame, table: DataFrame, key: str,
+def fetch_by_key(keys: DataFrame, table: DataFrame, key: str | list[str],
                  max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Rows of ``table`` whose ``key`` occurs in ``keys`` (late fetch)."""
-    wanted = keys.select(key).distinct()
+    """Rows of ``table`` whose ``key`` (one column or several) occurs in
+    ``keys`` (late fetch)."""
+    cols = [key] if isinstance(key, str) else list(key)
+    wanted = keys.select(*cols).distinct()
     if row_count_at_most(wanted, max_broadcast_rows):
         wanted = F.broadcast(wanted)
-    return table.join(wanted, key, "left_semi")
+    return table.join(wanted, cols, "left_semi")
 
 
 def attach_raw(run: DataFrame, corpus: DataFrame, text_col: str = "text",
@@ -72,8 +74,12 @@ def score_from_distance(hits: DataFrame, distance_col: str = "distance") -> Data
 def relevance_flag(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """``relevant`` = hit is a positive of its query; null (not false)
     when the query has no positive judgement at all."""
-    pos = qrels.filter(F.col("label") > 0).select("qid", F.col("did").alias("doc_id")).distinct()
-    judged = pos.select("qid").distinct().withColumn("_judged", F.lit(True))
+    run = cut_lineage(run)  # used for the key sets and for the joins
+    positives = qrels.filter(F.col("label") > 0).select("qid", F.col("did").alias("doc_id"))
+    # only the judgements of the run's (query, document) pairs and queries are
+    # read out of the (possibly large) judgement table
+    pos = fetch_by_key(run, positives, ["qid", "doc_id"]).distinct()
+    judged = fetch_by_key(run, positives.select("qid"), "qid").distinct().withColumn("_judged", F.lit(True))
     marked = (
         run.join(pos.withColumn("_hit", F.lit(True)), ["qid", "doc_id"], "left")
         .join(judged, "qid", "left")
