@@ -109,9 +109,13 @@ def pair_similarity(pairs: DataFrame, queries: DataFrame, docs: DataFrame, encod
     """``pairs(qid, doc_id)`` -> ``(qid, doc_id, score, query_vec, doc_vec)``;
     score = clamp(normalised q . normalised d, 0, 1). Both sides are encoded
     once per distinct id, then joined to the pairs."""
-    qv = encode_queries(queries.join(pairs.select("qid").distinct(), "qid", "left_semi"), encoder)
-    dv = embed(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "text",
-               doc_encoder or encoder).select("doc_id", F.col("embedding").alias("doc_vec"))
+    from quarry.operators.runs import fetch_by_key
+    from quarry.plans.sizing import cut_lineage
+
+    pairs = cut_lineage(pairs)  # used for both key sets and the final join
+    qv = encode_queries(fetch_by_key(pairs, queries, "qid"), encoder)
+    dv = embed(fetch_by_key(pairs, docs, "doc_id"), "text", doc_encoder or encoder).select(
+        "doc_id", F.col("embedding").alias("doc_vec"))
     joined = pairs.join(qv.withColumnRenamed("embedding", "query_vec"), "qid").join(dv, "doc_id")
     return joined.withColumn("score", V.pair_similarity("query_vec", "doc_vec"))
 
