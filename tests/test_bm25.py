@@ -161,3 +161,20 @@ def test_shuffle_paths_equal_broadcast_paths(spark):
     a = sorted((r["doc_id"], r["raw"]) for r in runs.attach_raw(run, corpus).collect())
     b = sorted((r["doc_id"], r["raw"]) for r in runs.attach_raw(run, corpus, max_broadcast_rows=0).collect())
     assert a == b
+
+
+def test_term_in_every_document_and_no_usable_feedback(spark):
+    docs = [(i, "alpha beta gamma " + ("delta " * (i % 3))) for i in range(20)]
+    queries = [(1, "alpha delta"), (2, "alpha")]
+    got = engine(spark, 50, docs, queries)
+    want = brute_bm25(docs, {q: qtf(t) for q, t in queries}, 50)
+    for q in want:
+        assert [d for d, _ in got[q]] == [d for d, _ in want[q]]
+        assert all(s > 0 for _, s in got[q])  # idf of a term in every document stays positive
+    # every candidate term is in more than 10% of the documents: no expansion,
+    # the query keeps its own normalised distribution
+    idx = build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    q = spark.createDataFrame(queries, "qid long, text string")
+    qw = bm25.query_terms(q)
+    w = {(r["qid"], r["term"]): r["qw"] for r in bm25.rm3_terms(idx, qw, bm25.bm25_search(idx, qw, 10)).collect()}
+    assert w == {(1, "alpha"): 0.5, (1, "delta"): 0.5, (2, "alpha"): 1.0}
