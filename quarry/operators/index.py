@@ -80,6 +80,16 @@ class TextIndex:
         self.postings.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
         self.doc_ids.write.mode(mode).parquet(f"{path}/doc_ids")
         self.terms.write.mode(mode).parquet(f"{path}/terms")
+        self._stats_frame().write.mode(mode).parquet(f"{path}/stats")
+
+    def _stats_frame(self) -> DataFrame:
+        n, avgdl = self.stats()
+        return self.postings.sparkSession.createDataFrame([(n, avgdl)], "n_docs bigint, avgdl double")
+
+    @staticmethod
+    def _read_stats(df: DataFrame) -> tuple[int, float]:
+        row = df.first()  # one row, written with the index
+        return int(row["n_docs"]), float(row["avgdl"])
 
     def save_as_tables(self, prefix: str, buckets: int, mode: str = "overwrite") -> None:
         """Store as catalog tables with postings bucketed by ``doc_id`` (sorted by
@@ -89,6 +99,7 @@ class TextIndex:
          .saveAsTable(f"{prefix}_postings"))
         self.terms.write.mode(mode).saveAsTable(f"{prefix}_terms")
         self.doc_ids.write.mode(mode).saveAsTable(f"{prefix}_doc_ids")
+        self._stats_frame().write.mode(mode).saveAsTable(f"{prefix}_stats")
 
     @staticmethod
     def from_tables(spark: SparkSession, prefix: str) -> "TextIndex":
@@ -97,6 +108,7 @@ class TextIndex:
             doc_ids=spark.table(f"{prefix}_doc_ids"),
             terms=spark.table(f"{prefix}_terms"),
             materialised=True,
+            _stats=TextIndex._read_stats(spark.table(f"{prefix}_stats")),
         )
 
     @staticmethod
@@ -106,6 +118,7 @@ class TextIndex:
             doc_ids=spark.read.parquet(f"{path}/doc_ids"),
             terms=spark.read.parquet(f"{path}/terms"),
             materialised=True,
+            _stats=TextIndex._read_stats(spark.read.parquet(f"{path}/stats")),
         )
 
     def doc_freqs(self, needed_terms: DataFrame, small: bool) -> DataFrame:

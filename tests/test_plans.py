@@ -57,9 +57,22 @@ def test_bucketed_index_tables_keep_doc_partitioning(spark):
     want = sorted(tuple(r) for r in bm25.bm25_topk(idx, q, k=5).select("qid", "doc_id", "rank").collect())
     idx.save_as_tables("test_idx", buckets=4)
     stored = idx.from_tables(spark, "test_idx")
+    assert stored._stats == idx.stats()  # statistics come with the tables, no rescan
     run = bm25.bm25_topk(stored, q, k=5)
     got = sorted(tuple(r) for r in run.select("qid", "doc_id", "rank").collect())
     assert got == want
     s = plan(run)
     assert not re.search(r"hashpartitioning\(qid#\d+L?, doc_id", s)
     assert "SortMergeJoin" not in s
+
+
+def test_index_write_read_roundtrip(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 5} text {i}") for i in range(50)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "w1 text")], "qid long, text string")
+    idx = build_index(docs)
+    idx.write(str(tmp_path / "idx"))
+    back = idx.read(spark, str(tmp_path / "idx"))
+    assert back.stats() == idx.stats()
+    a = sorted(tuple(r) for r in bm25.bm25_topk(idx, q, k=5).select("doc_id", "rank").collect())
+    b = sorted(tuple(r) for r in bm25.bm25_topk(back, q, k=5).select("doc_id", "rank").collect())
+    assert a == b
