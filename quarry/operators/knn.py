@@ -100,16 +100,26 @@ def _best_k_rowwise(scores: np.ndarray, ids: np.ndarray, k: int):
 
 
 def _partition_topk(qids: np.ndarray, qmat: np.ndarray, batches, k: int, metric: str, id_col: str):
-    """Consume Arrow batches of vectors; return the partition's k best per query."""
+    """Pandas batches of ``(id_col, embedding)`` -> the k best per query."""
+    def arrays():
+        for pdf in batches:
+            pdf = pdf[pdf["embedding"].notna()]
+            if not pdf.empty:
+                yield pdf[id_col].to_numpy(), _stack(pdf["embedding"])
+
+    q, i, s = _partition_topk_arrays(qids, qmat, arrays(), k, metric)
+    return pd.DataFrame({"qid": q, id_col: i, "score": s})
+
+
+def _partition_topk_arrays(qids: np.ndarray, qmat: np.ndarray, batches, k: int, metric: str):
+    """Consume ``(ids, matrix)`` batches of vectors; return ``(qid, id, score)``
+    arrays of the partition's k best per query."""
     nq = len(qids)
     best_s = np.zeros((nq, 0))
     best_i = np.zeros((nq, 0), dtype=object)
-    for pdf in batches:
-        pdf = pdf[pdf["embedding"].notna()]
-        if pdf.empty or nq == 0:
+    for ids_all, vecs_all in batches:
+        if nq == 0 or len(ids_all) == 0:
             continue
-        ids_all = pdf[id_col].to_numpy()
-        vecs_all = _stack(pdf["embedding"])
         if vecs_all.shape[1] != qmat.shape[1]:
             raise ValueError(f"vector dim {vecs_all.shape[1]} != query dim {qmat.shape[1]}")
         step = max(1, MAX_SCORE_ELEMENTS // nq)
@@ -124,7 +134,28 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, batches, k: int, metric:
                 best_s = best_s[rows, cols].reshape(nq, k)
                 best_i = best_i[rows, cols].reshape(nq, k)
     m = best_s.shape[1]
-    return pd.DataFrame({"qid": np.repeat(qids, m), id_col: best_i.reshape(-1), "score": best_s.reshape(-1)})
+    return np.repeat(qids, m), best_i.reshape(-1), best_s.reshape(-1)
+
+
+def arrow_matrix(batch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(rows kept, float64 matrix) of a list<float> column of an Arrow batch:
+    the values buffer is reshaped, no Python loop per row. Null vectors are
+    skipped; vectors must share one length."""
+    import pyarrow.compute as pc
+
+    arr = batch.column(column)
+    keep = np.asarray(pc.is_valid(arr).to_numpy(zero_copy_only=False), dtype=bool)
+    if not keep.all():
+        arr = arr.filter(pc.is_valid(arr))
+    n = len(arr)
+    if n == 0:
+        return keep, np.zeros((0, 0))
+    lengths = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
+    dim = int(lengths[0])
+    if not (lengths == dim).all():
+        raise ValueError("vectors of different lengths in one table")
+    values = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return keep, values.reshape(n, dim)
 
 
 def _broadcast_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, id_col: str,
@@ -136,11 +167,27 @@ def _broadcast_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str,
     qmat = _stack(qpdf["embedding"])
     bc = spark.sparkContext.broadcast((qids, qmat))
 
-    def run(batches):
+    def batches_as_frames(arrow_batches):
+        for b in arrow_batches:
+            keep, mat = arrow_matrix(b, "embedding")
+            if mat.shape[0]:
+                ids = b.column(id_col).to_numpy(zero_copy_only=False)[keep]
+                yield ids, mat
+
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+
+    def run(arrow_batches):
+        import pyarrow as pa
+
+        types = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string(),
+                 "double": pa.float64()}
+        pa_schema = pa.schema([(name, types[t]) for name, t in fields])
         bq, bm = bc.value
-        yield _partition_topk(bq, bm, batches, k, metric, id_col)
+        out = _partition_topk_arrays(bq, bm, batches_as_frames(arrow_batches), k, metric)
+        yield pa.RecordBatch.from_pydict({"qid": list(out[0]), id_col: list(out[1]), "score": out[2]},
+                                         schema=pa_schema)
 
-    return vectors.select(id_col, "embedding").mapInPandas(run, schema)
+    return vectors.select(id_col, "embedding").mapInArrow(run, schema)
 
 
 def _blocked_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, id_col: str, schema: str,

@@ -37,7 +37,7 @@ def test_knn_no_pairs(spark):
         run.count()
         s = plan(run)
         assert "CartesianProduct" not in s and "BroadcastNestedLoopJoin" not in s
-        assert "MapInPandas" in s or "FlatMapCoGroupsInPandas" in s
+        assert "MapInArrow" in s or "FlatMapCoGroupsInPandas" in s
 
 
 def test_late_fetch_filters_corpus_in_place(spark):
