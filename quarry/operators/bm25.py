@@ -115,7 +115,7 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
     ``fb_terms`` best (ties: term ascending) are normalised to sum 1 and mixed
     with the normalised original query as
     ``w = a * orig + (1 - a) * expansion``. A query without any expansion term
-    keeps its normalised original distribution.
+    keeps its normalised original distribution. The result is checkpointed.
     """
     n, _ = index.stats()
     fb = feedback.filter(F.col("rank") <= rm3.fb_docs).select("qid", "doc_id", "score")
@@ -130,9 +130,9 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
         .filter(F.length("term").between(rm3.min_term_len, rm3.max_term_len))
         .select("doc_id", "term", "tf")
     )
-    # One scan of the postings for all queries; the cut lets the size checks
-    # and the joins below reuse it instead of re-scanning.
-    doc_terms = cut_lineage(doc_terms)
+    # One scan of the postings for all queries, cached for the size check and
+    # the joins below; released once the expansion is checkpointed.
+    doc_terms = doc_terms.persist()
     vocab = doc_terms.select("term").distinct()
     vocab_small = row_count_at_most(vocab, max_broadcast_rows)
     rare = index.doc_freqs(vocab, vocab_small).filter(
@@ -167,7 +167,9 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
     a = rm3.original_query_weight
     part = F.when(~F.col("has_fb"), F.col("o")).when(F.col("o").isNotNull(), F.lit(a) * F.col("o")) \
         .otherwise(F.lit(1.0 - a) * F.col("e"))
-    return rows.groupBy("qid", "term").agg(F.sum(part).alias("qw"))
+    expanded = cut_lineage(rows.groupBy("qid", "term").agg(F.sum(part).alias("qw")))
+    doc_terms.unpersist()
+    return expanded
 
 
 def bm25_rm3_topk(index: TextIndex, queries: DataFrame, k: int = 100, params: BM25Params = BM25Params(),
@@ -175,8 +177,10 @@ def bm25_rm3_topk(index: TextIndex, queries: DataFrame, k: int = 100, params: BM
                   max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """B1+B2: BM25 with RM3 expansion (feedback pass, expansion, second pass)."""
     qw = query_terms(queries, qid_col, text_col)
-    first = cut_lineage(bm25_search(index, qw, rm3.fb_docs, params, max_broadcast_rows))
-    # Small (queries x terms); checkpointed so the second pass does not re-run
-    # the expansion windows for its size check, broadcast and term lookup.
-    expanded = cut_lineage(rm3_terms(index, qw, first, rm3, max_broadcast_rows))
+    # The feedback run is cached while the expansion reads it; the expansion
+    # itself comes back checkpointed (small: queries x terms), so the second
+    # pass neither re-runs the first nor the expansion windows.
+    first = bm25_search(index, qw, rm3.fb_docs, params, max_broadcast_rows).persist()
+    expanded = rm3_terms(index, qw, first, rm3, max_broadcast_rows)
+    first.unpersist()
     return bm25_search(index, expanded, k, params, max_broadcast_rows)
