@@ -91,3 +91,18 @@ def test_ivf_recall(spark):
     split = collect(ivf.approx_knn_topk(queries, index, k=10, n_probe=3, max_broadcast_queries=7,
                                         max_group_vectors=25))  # hot cells split into sub-shards
     assert same(split, approx)
+
+
+def test_empty_query_tables(spark):
+    from quarry.operators import bm25
+    from quarry.operators.index import build_index
+
+    _, _, vectors, _ = make(spark, n=40, nq=1)
+    empty = spark.createDataFrame([], "qid long, embedding array<double>")
+    assert knn.knn_topk(empty, vectors, k=3).count() == 0
+    index = ivf.build_ivf(vectors, n_cells=4)
+    assert ivf.approx_knn_topk(empty, index, k=3, n_probe=2).count() == 0
+    idx = build_index(spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string"))
+    no_q = spark.createDataFrame([], "qid long, text string")
+    assert bm25.bm25_topk(idx, no_q, k=3).count() == 0
+    assert bm25.bm25_rm3_topk(idx, no_q, k=3).count() == 0
