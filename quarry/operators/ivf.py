@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.knn import MAX_BROADCAST_QUERIES, _best_k, _best_k_rowwise, _stack, score_matrix
+from quarry.operators.knn import (MAX_BROADCAST_QUERIES, _best_k, _best_k_rowwise, _stack, arrow_matrix,
+                                  score_matrix)
 from quarry.operators.ranking import top_k
 from quarry.plans.sizing import row_count_at_most
 from quarry.shipping import ship
@@ -67,17 +68,22 @@ def build_ivf(vectors: DataFrame, n_cells: int, metric: str = "ip", id_col: str
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
     centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
     bc = spark.sparkContext.broadcast((centroids, metric))
+    src = vectors.select(id_col, "embedding")
+    out_schema = T.StructType(src.schema.fields + [T.StructField("cell", T.IntegerType())])
 
-    @F.pandas_udf(T.IntegerType())
-    def assign(emb: pd.Series) -> pd.Series:
-        cents, met = bc.value
-        out = np.full(len(emb), -1, dtype=np.int64)
-        ok = emb.notna().to_numpy()
-        if ok.any():
-            out[ok] = _nearest_cells(_stack(emb[ok]), cents, met, 1)[:, 0]
-        return pd.Series(out, dtype="int32")
+    def assign(batches):
+        import pyarrow as pa
 
-    assigned = vectors.select(id_col, "embedding", assign("embedding").alias("cell"))
+        cents, met = bc.value
+        for b in batches:
+            cell = np.full(b.num_rows, -1, dtype=np.int32)  # -1: no vector
+            keep, mat = arrow_matrix(b, "embedding")
+            if mat.shape[0]:
+                cell[keep] = _nearest_cells(mat, cents, met, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell)],
+                                             names=[id_col, "embedding", "cell"])
+
+    assigned = src.mapInArrow(assign, out_schema)
     return IVFIndex(centroids, assigned, metric, id_col)
 
 
@@ -155,20 +161,30 @@ def _search_block(spark, probed: DataFrame, ivf: IVFIndex, k: int, schema: str)
             by_cell.setdefault(int(c), []).append(qi)
     bc = spark.sparkContext.broadcast((qids, qmat, {c: np.asarray(v) for c, v in by_cell.items()}))
 
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+
     def run(batches):
+        import pyarrow as pa
+
         bq, bm, cells_map = bc.value
         nq = len(bq)
         # running k best per query; -inf / None mark empty slots
         best_s = np.full((nq, k), -np.inf)
         best_i = np.full((nq, k), None, dtype=object)
-        for pdf in batches:
-            pdf = pdf[pdf["embedding"].notna()]
-            for cell, grp in pdf.groupby("cell"):
-                qsel = cells_map.get(int(cell))
+        for b in batches:
+            keep, mat = arrow_matrix(b, "embedding")
+            if not mat.shape[0]:
+                continue
+            all_ids = b.column(id_col).to_numpy(zero_copy_only=False)[keep]
+            cells = b.column("cell").to_numpy(zero_copy_only=False)[keep]
+            order = np.argsort(cells, kind="stable")
+            bounds = np.flatnonzero(np.diff(cells[order])) + 1
+            for rows_of_cell in np.split(order, bounds):
+                qsel = cells_map.get(int(cells[rows_of_cell[0]]))
                 if qsel is None:
                     continue
-                ids = grp[id_col].to_numpy()
-                sc = score_matrix(bm[qsel], _stack(grp["embedding"]), metric)
+                ids = all_ids[rows_of_cell]
+                sc = score_matrix(bm[qsel], mat[rows_of_cell], metric)
                 rows, cols = _best_k(sc, ids, k)
                 m = len(cols) // len(qsel)
                 cand_s = np.concatenate([best_s[qsel], sc[rows, cols].reshape(len(qsel), m)], axis=1)
@@ -176,11 +192,11 @@ def _search_block(spark, probed: DataFrame, ivf: IVFIndex, k: int, schema: str)
                 r2, c2 = _best_k_rowwise(cand_s, cand_i, k)
                 best_s[qsel] = cand_s[r2, c2].reshape(len(qsel), k)
                 best_i[qsel] = cand_i[r2, c2].reshape(len(qsel), k)
-        keep = np.isfinite(best_s)
-        yield pd.DataFrame({
-            "qid": np.repeat(bq, keep.sum(axis=1)),
-            id_col: best_i[keep],
-            "score": best_s[keep],
-        })
-
-    return ivf.vectors.select(id_col, "embedding", "cell").mapInPandas(run, schema)
+        found = np.isfinite(best_s)
+        types = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string(),
+                 "double": pa.float64()}
+        yield pa.RecordBatch.from_pydict(
+            {"qid": list(np.repeat(bq, found.sum(axis=1))), id_col: list(best_i[found]), "score": best_s[found]},
+            schema=pa.schema([(name, types[t]) for name, t in fields]))
+
+    return ivf.vectors.select(id_col, "embedding", "cell").mapInArrow(run, schema)
