@@ -61,13 +61,14 @@ def _hint(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def query_terms(queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
-    """``(qid, term, qw)`` with ``qw`` = term frequency in the query text."""
-    return (
-        queries.select(F.col(qid_col).alias("qid"), F.explode(tokens(text_col)).alias("term"))
-        .groupBy("qid", "term")
-        .agg(F.count(F.lit(1)).cast("double").alias("qw"))
-    )
+def query_terms(queries: DataFrame, qid_col: str = "qid", text_col: str = "text",
+                stopwords: list[str] | None = None) -> DataFrame:
+    """``(qid, term, qw)`` with ``qw`` = term frequency in the query text
+    (``stopwords``, if given, are dropped as in the index)."""
+    terms = queries.select(F.col(qid_col).alias("qid"), F.explode(tokens(text_col)).alias("term"))
+    if stopwords:
+        terms = terms.filter(~F.col("term").isin(sorted(set(stopwords))))
+    return terms.groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("qw"))
 
 
 def bm25_scores(index: TextIndex, qweights: DataFrame, params: BM25Params = BM25Params(),
@@ -99,9 +100,9 @@ def bm25_search(index: TextIndex, qweights: DataFrame, k: int = 100, params: BM2
 
 def bm25_topk(index: TextIndex, queries: DataFrame, k: int = 100, params: BM25Params = BM25Params(),
               qid_col: str = "qid", text_col: str = "text",
-              max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              max_broadcast_rows: int = BROADCAST_MAX_ROWS, stopwords: list[str] | None = None) -> DataFrame:
     """B1: BM25 top-k for every query of ``queries(qid, text)``."""
-    return bm25_search(index, query_terms(queries, qid_col, text_col), k, params, max_broadcast_rows)
+    return bm25_search(index, query_terms(queries, qid_col, text_col, stopwords), k, params, max_broadcast_rows)
 
 
 def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: RM3Params = RM3Params(),
@@ -174,9 +175,9 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
 
 def bm25_rm3_topk(index: TextIndex, queries: DataFrame, k: int = 100, params: BM25Params = BM25Params(),
                   rm3: RM3Params = RM3Params(), qid_col: str = "qid", text_col: str = "text",
-                  max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = BROADCAST_MAX_ROWS, stopwords: list[str] | None = None) -> DataFrame:
     """B1+B2: BM25 with RM3 expansion (feedback pass, expansion, second pass)."""
-    qw = query_terms(queries, qid_col, text_col)
+    qw = query_terms(queries, qid_col, text_col, stopwords)
     # The feedback run is cached while the expansion reads it; the expansion
     # itself comes back checkpointed (small: queries x terms), so the second
     # pass neither re-runs the first nor the expansion windows.

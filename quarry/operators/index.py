@@ -141,7 +141,8 @@ def _by_doc(df: DataFrame, shards: int | None) -> DataFrame:
 
 
 def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                shards: int | None = None, persist: bool = True) -> TextIndex:
+                shards: int | None = None, persist: bool = True,
+                stopwords: list[str] | None = None) -> TextIndex:
     """Index ``corpus(id_col, text_col)``.
 
     ``shards`` fixes the number of document shards; by default the shuffle is
@@ -151,12 +152,19 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``persist`` (default) caches postings and terms (memory and disk): the
     first use materialises them and every later pass -- statistics, document
     frequencies, matching, feedback -- reads the cache instead of tokenising
-    the corpus again; lost blocks are recomputed from lineage."""
+    the corpus again; lost blocks are recomputed from lineage.
+
+    ``stopwords`` (off by default) are dropped before counting, so document
+    lengths count the kept tokens only; pass the same list to the query side."""
     ids = corpus.select(F.col(id_col).alias("doc_id"))
     pieces = F.split(F.lower(F.col("text")), TOKEN_SEPARATOR)
     n_pieces = F.size("pieces")
     dl = (n_pieces - F.when(F.col("pieces")[0] == "", 1).otherwise(0)
           - F.when((n_pieces > 1) & (F.element_at("pieces", -1) == ""), 1).otherwise(0))
+    if stopwords:
+        stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
+        pieces = F.filter(pieces, lambda t: (t != "") & ~F.array_contains(stop, t))
+        dl = F.size("pieces")
     docs = (
         _by_doc(corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shards)
         .select("doc_id", pieces.alias("pieces"))

@@ -1,6 +1,8 @@
 """BM25 / RM3 against a plain-Python brute force on hand-made rows."""
 
 import math
+
+import numpy as np
 from collections import Counter
 
 import regex
@@ -178,3 +180,23 @@ def test_term_in_every_document_and_no_usable_feedback(spark):
     qw = bm25.query_terms(q)
     w = {(r["qid"], r["term"]): r["qw"] for r in bm25.rm3_terms(idx, qw, bm25.bm25_search(idx, qw, 10)).collect()}
     assert w == {(1, "alpha"): 0.5, (1, "delta"): 0.5, (2, "alpha"): 1.0}
+
+
+def test_stopwords_optional(spark):
+    stop = ["the", "a", "over"]
+
+    def drop(text):
+        return " ".join(t for t in toks(text) if t not in stop)
+
+    idx = build_index(spark.createDataFrame(DOCS, "doc_id long, text string"), stopwords=stop)
+    q = spark.createDataFrame(QUERIES, "qid long, text string")
+    rows = bm25.bm25_topk(idx, q, k=10, stopwords=stop).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append((r["doc_id"], r["score"]))
+    want = brute_bm25([(i, drop(t)) for i, t in DOCS], {qq: qtf(drop(t)) for qq, t in QUERIES}, 10)
+    want = {qq: v for qq, v in want.items() if v}
+    assert got.keys() == want.keys()  # query "the" now has no term left
+    for qq in want:
+        assert [d for d, _ in got[qq]] == [d for d, _ in want[qq]]
+        assert np.allclose([s for _, s in got[qq]], [s for _, s in want[qq]], atol=1e-9)
