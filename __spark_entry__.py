@@ -26,6 +26,14 @@ from quarry.plans import pipeline
 from quarry.operators.index import build_index
 from quarry.sources import judgements, passages, tables
 
+try:  # the training-data operators are optional: nothing else here needs them
+    import corpus_pipeline
+    from quarry.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "quarry.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SF_SMOKE = "/root/testdata/sf0.001"
 D = 6
 
@@ -405,8 +413,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_bm25_topk(spark, SF_SMOKE)
 
 
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if llm_queries is None:
+        return {}
+    return {**llm_queries.queries(), "pipeline": corpus_pipeline.run}
+
+
+def _llm_sql() -> dict[str, str]:
+    if llm_queries is None:
+        return {}
+    sql = corpus_pipeline.ORACLE_SQL
+    return {**llm_queries.oracle_sql(), **({"pipeline": sql} if sql else {})}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **_llm_queries(),
         "bm25_topk": q_bm25_topk,
         "rm3_terms": q_rm3_terms,
         "bm25_rm3_topk": q_bm25_rm3_topk,
@@ -461,6 +483,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **_llm_sql(),
         "bm25_topk": oracle.bm25_topk(),
         "rm3_terms": oracle.rm3_terms(),
         "bm25_rm3_topk": oracle.bm25_rm3_topk(),
