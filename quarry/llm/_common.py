@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,3 +72,13 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text",
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     """Texts of a batch as Python strings; null counts as the empty text."""
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+
+
+def keep(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """Rows of ``docs`` whose text ``decide`` keeps, with all columns, in place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield block.filter(pa.array(decide(texts_of(block)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, token_files, warc
+from quarry.llm import bpe, decontaminate, forest, quality, simhash, token_files, toxicity, warc
 from quarry.llm._common import scratch, table
 
 
@@ -29,6 +30,21 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_summary(table(spark, sf_dir, "pages", "page_id", "url", "html"), scratch(spark, "warc"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents", "doc_id", "text"),
+                             table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                      table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +52,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"),
+                            table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return forest.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
                   sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -48,7 +74,16 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op7_byte_bpe": op7_byte_bpe}
+    return {
+        "op1_token_files": op1_token_files,
+        "op2_warc": op2_warc,
+        "op3_toxicity": op3_toxicity,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_simhash": op5_simhash,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_quality": op8_quality,
+        "op10_forest": op10_forest,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
