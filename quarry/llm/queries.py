@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, forest, line_dedup, quality, simhash, token_files, toxicity, warc
+from quarry.llm import bpe, decontaminate, forest, licences, line_dedup, quality, simhash, token_files, toxicity, warc
 from quarry.llm._common import scratch, table
 
 
@@ -45,6 +45,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_decontaminate": op4_decontaminate,
         "op5_simhash": op5_simhash,
+        "op6_licences": op6_licences,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality": op8_quality,
         "op9_line_dedup": op9_line_dedup,

@@ -32,10 +32,10 @@ from quarry.llm._labels import held_out, training_rows
 BUCKET_BITS = 18
 SIZES = (3, 4, 5)
 #: Bounds of the training sample, documents per class.
-POSITIVES = 2000
-NEGATIVES = 4000
+POSITIVES = 1500
+NEGATIVES = 3000
 THRESHOLD = 0.3
-ROUNDS = 40
+ROUNDS = 25
 PENALTY = 1e-5
 #: Code points hashed at once; a longer text is taken in overlapping stretches.
 STRETCH = 1 << 20
