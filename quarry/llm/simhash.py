@@ -211,5 +211,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return marked.join(named, marked["fp"] == named["fp_"], "left").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """Rows of ``docs``, all columns, that stand for their group: the smallest doc_id of each
+    component. Rows that repeat a doc_id count as one document, of which one row stays;
+    a group without any id keeps one row."""
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
+
+
 def hex_digits(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

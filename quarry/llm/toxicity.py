@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import blocks, prepare, texts_of
+from quarry.llm._common import blocks, keep, prepare, texts_of
 from quarry.llm._labels import held_out, training_rows
 
 BUCKET_BITS = 18
@@ -190,20 +190,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     return np.frombuffer(model[0]["v"], "<f4"), model[0]["b"]
 
 
+def probabilities(texts: list[str], model: tuple[np.ndarray, float], grams: NGrams) -> np.ndarray:
+    weights, intercept = model
+    z = []
+    for t in texts:
+        g = grams.buckets(t)
+        z.append(intercept + (float(weights[g].sum(dtype="float64")) / np.sqrt(len(g)) if len(g) else 0.0))
+    return 1 / (1 + np.exp(-np.clip(np.array(z, "float64"), -700, 700)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """(doc_id, score) of every whole text."""
     spark = prepare(docs)
     sent = spark.sparkContext.broadcast(model)  # one float per bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercept = sent.value
         grams = NGrams()
         for block in blocks(batches):
-            z = []
-            for t in texts_of(block):
-                g = grams.buckets(t)
-                z.append(intercept + (float(weights[g].sum(dtype="float64")) / np.sqrt(len(g)) if len(g) else 0.0))
-            p = 1 / (1 + np.exp(-np.clip(np.array(z), -700, 700)))
+            p = probabilities(texts_of(block), sent.value, grams)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
@@ -215,3 +219,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
     scored = score(docs, train(docs, learn, **bounds))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds) -> DataFrame:
+    """Rows of ``docs`` that are not predicted toxic, all columns; decided where the rows lie."""
+    model = train(docs, labels.filter(~held_out(F.col("doc_id"))), **bounds)
+    sent = prepare(docs).sparkContext.broadcast(model)
+    return keep(docs, lambda texts: probabilities(texts, sent.value, NGrams()) < threshold)
