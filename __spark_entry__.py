@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:  # loaded by file path: make the package importable
     sys.path.insert(0, _HERE)
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ from quarry.functions import vectors as V
 from quarry.operators import bm25, embed, knn, reformulate, rerank, runs
 from quarry.plans import pipeline
 from quarry.operators.index import build_index
-from quarry.sources import judgements, passages, tables
+from quarry.session import ensure_checkpoint_dir
+from quarry.sources import idmap, judgements, passages, tables, weights
 
 try:  # the training-data operators are optional: nothing else here needs them
     import corpus_pipeline
@@ -349,14 +352,26 @@ def q_prf_pipeline(spark, sf_dir):
     p = pipeline.Pipeline("knn", rerank.FeedForwardRanker.formula(**RANKER), _weighted_reformulator(), k=10,
                           encoder=embed.HashBagOfWords(64))
     run = pipeline.run_pipeline(p, tables.passage_queries(spark, sf_dir), vectors=tables.vectors(spark, sf_dir))
-    return run.select("qid", "vec_id", "rank", F.round("score", D).alias("score"))
+    return run.select("qid", "vec_id", "rank", F.round("score", D).alias("score"), "reformulated")
+
+
+def q_prf_pipeline_undefined(spark, sf_dir):
+    """A scorer whose scores are all zero: no reformulation is defined, every query keeps its first pass."""
+    ranker = rerank.FeedForwardRanker.formula(**RANKER)
+    zero = {k: 0 * v if k.startswith("output") else v for k, v in ranker.tensors.items()}
+    p = pipeline.Pipeline("knn", rerank.FeedForwardRanker(zero), _weighted_reformulator(), k=10, encoder=embed.HashBagOfWords(64))
+    run = pipeline.run_pipeline(p, tables.passage_queries(spark, sf_dir), vectors=tables.vectors(spark, sf_dir))
+    return run.select("qid", "vec_id", "rank", F.round("score", D).alias("score"), "reformulated")
 
 
 def q_approx_knn_topk(spark, sf_dir):
     from quarry.operators import ivf
 
     vecs = tables.vectors(spark, sf_dir)
-    index = ivf.build_ivf(vecs, n_cells=16, seed=42)
+    # centroids that SQL can name; ``fit_centroids`` is the default
+    centres = vecs.filter(F.col("vec_id") % 32 == 0).orderBy("vec_id").select("embedding").collect()
+    index = ivf.build_ivf(vecs, centroids=np.array([r["embedding"] for r in centres], dtype=np.float64))
+    index = index.write(f"{ensure_checkpoint_dir(spark).rstrip('/')}/ivf-{uuid.uuid4().hex}")
     run = ivf.approx_knn_topk(_self_queries(spark, sf_dir), index, k=10, n_probe=4)
     return _knn_out(run)
 
@@ -366,13 +381,10 @@ def q_snippets(spark, sf_dir):
 
     hits = runs.attach_raw(_bm25_run(spark, sf_dir, 10), tables.corpus(spark, sf_dir))
     out = snippets.best_sentences(hits, tables.passage_queries(spark, sf_dir))
-    return out.filter(F.col("snippet").isNotNull()).select("qid", "doc_id", "snippet")
+    return out.select("qid", "doc_id", "snippet")
 
 
 def q_stream_bm25_topk(spark, sf_dir, k: int = 100):
-    import uuid
-
-    from quarry.session import ensure_checkpoint_dir
     from quarry.streaming import query_stream
 
     index = build_index(tables.corpus(spark, sf_dir)).persist()
@@ -395,6 +407,55 @@ def q_compare_pipelines(spark, sf_dir):
                       "rank_b", F.round("score_b", D).alias("score_b"))
 
 
+def _shared(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_qrels_file(spark, sf_dir):
+    """Judgements written as text lines and read back."""
+    path = _shared(spark, "qrels")
+    rows = _label_qrels(spark, sf_dir)
+    rows.select(F.concat_ws(" ", "qid", F.lit("0"), F.col("did").cast("string"), F.col("label").cast("string"))).write.text(path)
+    return judgements.read_qrels(spark, path).select("qid", F.col("did").cast("bigint").alias("did"), "label")
+
+
+def q_queries_file(spark, sf_dir):
+    """Queries written as tab-separated lines (blanks for line breaks) and read back."""
+    path = _shared(spark, "queries")
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    tables.passage_queries(spark, sf_dir).select(F.concat(F.col("qid").cast("string"), F.lit("\t"), flat)).write.text(path)
+    return judgements.first_query_text(judgements.read_queries(spark, path)).select(F.col("qid").cast("bigint").alias("qid"), "text")
+
+
+def q_id_map(spark, sf_dir):
+    path = _shared(spark, "id-map")
+    rows = _id_map(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "vec_id")
+    rows.write.json(path)
+    return idmap.read_id_map_lines(spark, path).select("doc_id", "vec_id")
+
+
+def q_weights_rerank(spark, sf_dir):
+    """The scorer's tensors from a stored weights table."""
+    path = _shared(spark, "weights")
+    weights.weights_frame(spark, "ffn", rerank.FeedForwardRanker.formula(**RANKER).tensors).write.parquet(path)
+    ranker = rerank.FeedForwardRanker.from_table(weights.read_weights(spark, path), "ffn")
+    rr = rerank.rerank_ffn(_text_knn(spark, sf_dir), _text_query_vecs(spark, sf_dir), tables.vectors(spark, sf_dir), ranker)
+    return rr.select("qid", "vec_id", "rank", F.col("prev_rank").cast("bigint"), F.round("score", 4).alias("score"))
+
+
+def q_document_vectors(spark, sf_dir):
+    """Stored vector of every document id that has one."""
+    found = runs.document_vectors(tables.corpus(spark, sf_dir).select("doc_id"), _id_map(spark, sf_dir), tables.vectors(spark, sf_dir))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select("doc_id", "vec_id", F.round(total, D).alias("emb_sum"))
+
+
+def q_whole_text(spark, sf_dir):
+    """Hits with their whole text, not shortened."""
+    shown = runs.present_hits(runs.attach_raw(_bm25_run(spark, sf_dir, 10), tables.corpus(spark, sf_dir)), shortened=False)
+    return shown.select("qid", "doc_id", "rank", F.md5("text").alias("text_md5"))
+
+
 def q_term_stats(spark, sf_dir):
     return build_index(tables.corpus(spark, sf_dir)).terms.select("term", F.col("df").cast("bigint"))
 
@@ -471,6 +532,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "interleave": q_interleave,
         "positional_encoding": q_positional_encoding,
         "prf_pipeline": q_prf_pipeline,
+        "prf_pipeline_undefined": q_prf_pipeline_undefined,
+        "qrels_file": q_qrels_file,
+        "queries_file": q_queries_file,
+        "id_map": q_id_map,
+        "weights_rerank": q_weights_rerank,
+        "document_vectors": q_document_vectors,
+        "whole_text": q_whole_text,
         "approx_knn_topk": q_approx_knn_topk,
         "snippets": q_snippets,
         "stream_bm25_topk": q_stream_bm25_topk,
@@ -525,6 +593,14 @@ def oracle_sql() -> dict[str, str]:
         "interleave": oracle.interleave(),
         "positional_encoding": oracle.positional_encoding(),
         "prf_pipeline": oracle.prf_pipeline(),
+        "prf_pipeline_undefined": oracle.prf_pipeline_undefined(),
+        "approx_knn_topk": oracle.approx_knn(),
+        "qrels_file": oracle.qrels_file(),
+        "queries_file": oracle.queries_file(),
+        "id_map": oracle.id_map(),
+        "weights_rerank": oracle.weights_rerank(),
+        "document_vectors": oracle.document_vectors(),
+        "whole_text": oracle.whole_text(),
         "snippets": oracle.snippets(),
         "stream_bm25_topk": oracle.bm25_topk(),
         "compare_pipelines": oracle.compare_pipelines(),

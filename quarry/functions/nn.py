@@ -10,9 +10,8 @@ import math
 
 import numpy as np
 
-# Fixed values of the encoder layer: layer-norm epsilon and position base.
+# Fixed value of the encoder layer: layer-norm epsilon.
 LAYER_NORM_EPS = 1e-5
-POSITION_BASE = 10000.0
 
 
 def dense(x: np.ndarray, w: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
@@ -45,17 +44,6 @@ def softmax(x: np.ndarray, axis: int = -1) -> np.ndarray:
     return e / e.sum(axis=axis, keepdims=True)
 
 
-def positional_table(max_len: int, dim: int) -> np.ndarray:
-    """(max_len, dim): even slots sin(pos * f), odd slots cos(pos * f),
-    f = exp(2j * -ln(base) / dim)."""
-    pos = np.arange(max_len, dtype=np.float64)[:, None]
-    freq = np.exp(np.arange(0, dim, 2, dtype=np.float64) * (-math.log(POSITION_BASE) / dim))
-    pe = np.zeros((max_len, dim))
-    pe[:, 0::2] = np.sin(pos * freq)
-    pe[:, 1::2] = np.cos(pos * freq)[:, : pe[:, 1::2].shape[1]]
-    return pe
-
-
 def self_attention(x: np.ndarray, in_w: np.ndarray, in_b: np.ndarray, out_w: np.ndarray, out_b: np.ndarray,
                    heads: int) -> np.ndarray:
     """Multi-head self-attention over a batch of sequences ``x (B, S, E)``.

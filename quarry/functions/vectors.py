@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,14 +81,26 @@ def interleave(q, docs) -> Column:
     ))
 
 
+def position_phase(slot, dim: int):
+    """What slot ``slot`` of a position vector makes of position p is
+    ``sin(p * rate + shift)``; returns (rate, shift). Two slots share a rate, the
+    odd one is a quarter turn ahead. Works on numbers, arrays and columns."""
+    pair = slot - slot % 2
+    return pair * (-math.log(POSITION_BASE) / dim), slot % 2 * (math.pi / 2)
+
+
 def positional_encoding(pos, dim: int) -> Column:
-    """Sinusoidal position vector of length ``dim`` for position ``pos``:
-    slot 2j = sin(pos * f_j), slot 2j+1 = cos(pos * f_j),
-    f_j = exp(2j * -ln(base) / dim)."""
+    """Sinusoidal position vector of length ``dim`` for position ``pos``."""
     p = _col(pos).cast("double")
-    scale = -math.log(POSITION_BASE) / dim
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.when(i % 2 == 0, F.sin(p * F.exp((i - i % 2) * F.lit(scale))))
-        .otherwise(F.cos(p * F.exp((i - i % 2) * F.lit(scale)))),
-    )
+
+    def value(slot):
+        log_rate, shift = position_phase(slot, dim)
+        return F.sin(p * F.exp(log_rate) + shift)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
+
+
+def position_matrix(count: int, dim: int) -> np.ndarray:
+    """The same vectors for positions 0..count-1, as rows of a matrix."""
+    log_rate, shift = position_phase(np.arange(dim), dim)
+    return np.sin(np.outer(np.arange(count), np.exp(log_rate)) + shift)

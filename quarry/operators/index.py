@@ -75,8 +75,9 @@ class TextIndex:
             df.unpersist()
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """Write the three tables as parquet; postings sorted by term per file
-        so row-group min/max statistics prune term lookups."""
+        """Write the tables as parquet, postings sorted by term per file, which
+        compresses them; a search still reads all postings. Only bucketed tables
+        (``save_as_tables``) keep the document partitioning."""
         self.postings.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
         self.doc_ids.write.mode(mode).parquet(f"{path}/doc_ids")
         self.terms.write.mode(mode).parquet(f"{path}/terms")
@@ -145,9 +146,9 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 stopwords: list[str] | None = None) -> TextIndex:
     """Index ``corpus(id_col, text_col)``.
 
-    ``shards`` fixes the number of document shards; by default the shuffle is
-    by column only, so adaptive execution sizes the shards from the measured
-    text volume (``spark.sql.adaptive.advisoryPartitionSizeInBytes``).
+    ``shards`` fixes the number of document shards; by default there are
+    ``spark.sql.shuffle.partitions``, which adaptive execution merges where the
+    texts are small but never splits: give ``shards`` for a large corpus.
 
     ``persist`` (default) caches postings and terms (memory and disk): the
     first use materialises them and every later pass -- statistics, document

@@ -1,9 +1,11 @@
 """Approximate k-NN with an inverted-file (IVF) index (K3).
 
-Build: ``pyspark.ml`` KMeans (fitted on a bounded sample) gives
-``n_cells`` centroids; every vector gets the id of its best centroid
-(``cell``), computed in Arrow batches with the centroids broadcast. Centroids
-are ``n_cells x dim`` -- fixed by the parameter, not by the data.
+Build: ``pyspark.ml`` KMeans over every vector (or the caller's own centroids)
+gives ``n_cells`` centroids; every vector gets the id of its nearest centroid by
+distance (``cell``), whatever the search metric, so a long centroid attracts no
+more than its share. Centroids are ``n_cells x dim`` -- fixed by the parameter,
+not by the data. ``write`` stores the vectors in one folder per cell; a search
+over a stored index reads only the folders of the probed cells.
 
 Search: each query's ``n_probe`` best cells are computed where the queries
 lie; then the (size-checked) query matrix and probe lists are broadcast and
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.knn import (MAX_BROADCAST_QUERIES, _best_k, _best_k_rowwise, _stack, arrow_matrix,
+from quarry.operators.knn import (MAX_BROADCAST_QUERIES, MAX_SCORE_ELEMENTS, _best_k, _best_k_rowwise, _stack, arrow_matrix,
                                   score_matrix)
 from quarry.operators.ranking import top_k
-from quarry.plans.sizing import row_count_at_most
+from quarry.plans.sizing import cut_lineage, row_count_at_most
 from quarry.shipping import ship
 
 
@@ -41,6 +43,20 @@ class IVFIndex:
         self.vectors.persist()
         return self
 
+    def write(self, path: str) -> "IVFIndex":
+        """Store the vectors in one folder per cell and search there from now on."""
+        self.vectors.write.partitionBy("cell").parquet(path)
+        return self.at(path, self.vectors.sparkSession)
+
+    def at(self, path: str, spark) -> "IVFIndex":
+        """The same index over vectors that ``write`` stored."""
+        stored = spark.read.schema(self.vectors.schema).parquet(path).select(*self.vectors.columns)
+        return IVFIndex(self.centroids, stored, self.metric, self.id_col)
+
+    def only(self, cells: list[int]) -> "IVFIndex":
+        """The vectors of some cells: partition pruning on a stored index."""
+        return IVFIndex(self.centroids, self.vectors.filter(F.col("cell").isin(cells)), self.metric, self.id_col)
+
 
 def _nearest_cells(vecs: np.ndarray, centroids: np.ndarray, metric: str, n: int) -> np.ndarray:
     s = score_matrix(vecs, centroids, metric)
@@ -49,37 +65,41 @@ def _nearest_cells(vecs: np.ndarray, centroids: np.ndarray, metric: str, n: int)
     return order[:, :n]
 
 
-def build_ivf(vectors: DataFrame, n_cells: int, metric: str = "ip", id_col: str = "vec_id",
-              train_rows: int | None = 1_000_000, seed: int = 42, max_iter: int = 20) -> IVFIndex:
-    """Fit ``n_cells`` centroids on a sample of about ``train_rows`` vectors
-    (all of them when the table is smaller; ``None`` = all), then assign every
-    vector its cell."""
+def fit_centroids(vectors: DataFrame, n_cells: int, train_fraction: float | None = None, seed: int = 42,
+                  max_iter: int = 20) -> np.ndarray:
+    """K-means centroids over every vector; a caller may ask for a fraction of them."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    spark = vectors.sparkSession
-    ship(spark)
     feats = vectors.filter(F.col("embedding").isNotNull()).select(
         array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    if train_rows is not None:
-        total = vectors.count()
-        if total > train_rows:
-            feats = feats.sample(fraction=train_rows / total, seed=seed)
+    if train_fraction is not None:
+        feats = feats.sample(fraction=train_fraction, seed=seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
-    centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
-    bc = spark.sparkContext.broadcast((centroids, metric))
+    return np.asarray(model.clusterCenters(), dtype=np.float64)
+
+
+def build_ivf(vectors: DataFrame, n_cells: int = 0, metric: str = "ip", id_col: str = "vec_id",
+              centroids: np.ndarray | None = None, train_fraction: float | None = None, seed: int = 42,
+              max_iter: int = 20) -> IVFIndex:
+    """Assign every vector its nearest of ``centroids`` (fitted with ``n_cells`` unless given)."""
+    spark = vectors.sparkSession
+    ship(spark)
+    if centroids is None:
+        centroids = fit_centroids(vectors, n_cells, train_fraction, seed, max_iter)
+    bc = spark.sparkContext.broadcast(centroids)
     src = vectors.select(id_col, "embedding")
     out_schema = T.StructType(src.schema.fields + [T.StructField("cell", T.IntegerType())])
 
     def assign(batches):
         import pyarrow as pa
 
-        cents, met = bc.value
         for b in batches:
             cell = np.full(b.num_rows, -1, dtype=np.int32)  # -1: no vector
             keep, mat = arrow_matrix(b, "embedding")
             if mat.shape[0]:
-                cell[keep] = _nearest_cells(mat, cents, met, 1)[:, 0]
+                cell[keep] = np.concatenate([_nearest_cells(part, bc.value, "l2", 1)[:, 0]
+                                             for part in np.array_split(mat, 1 + mat.shape[0] * len(bc.value) // MAX_SCORE_ELEMENTS)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell)],
                                              names=[id_col, "embedding", "cell"])
 
@@ -108,6 +128,9 @@ def approx_knn_topk(query_vecs: DataFrame, ivf: IVFIndex, k: int = 100, n_probe:
 
     probed = query_vecs.filter(F.col("embedding").isNotNull()).select(
         "qid", "embedding", probes("embedding").alias("cells"))
+    probed = cut_lineage(probed)  # the cells are chosen once, for pruning and for the search
+    wanted = probed.select(F.explode("cells").alias("c")).distinct().collect()  # at most one row per cell
+    ivf = ivf.only([r["c"] for r in wanted])
     if row_count_at_most(probed, max_broadcast_queries):
         cand = _search_block(spark, probed, ivf, k, schema)
     else:
@@ -115,6 +138,13 @@ def approx_knn_topk(query_vecs: DataFrame, ivf: IVFIndex, k: int = 100, n_probe:
     return top_k(cand, k, doc=id_col)
 
 
+def _parts(queries: np.ndarray | None, width: int) -> list[np.ndarray]:
+    """The queries of a cell in parts whose score matrix stays bounded."""
+    if queries is None:
+        return []
+    return np.array_split(queries, 1 + len(queries) * width // MAX_SCORE_ELEMENTS)
+
+
 def _search_groups(probed: DataFrame, ivf: IVFIndex, k: int, schema: str, block_queries: int,
                    max_group_vectors: int = 200_000) -> DataFrame:
     """Distributed form for many queries: (cell, sub-shard, query block) groups.
@@ -143,9 +173,13 @@ def _search_groups(probed: DataFrame, ivf: IVFIndex, k: int, schema: str, block_
             return pd.DataFrame({"qid": [], id_col: [], "score": []})
         qids = qpdf["qid"].to_numpy()
         ids = vpdf[id_col].to_numpy()
-        sc = score_matrix(_stack(qpdf["qvec"]), _stack(vpdf["vvec"]), metric)
-        rows, cols = _best_k(sc, ids, k)
-        return pd.DataFrame({"qid": qids[rows], id_col: ids[cols], "score": sc[rows, cols]})
+        qm, vm, parts = _stack(qpdf["qvec"]), _stack(vpdf["vvec"]), []
+        step = max(1, MAX_SCORE_ELEMENTS // len(ids))
+        for at in range(0, len(qids), step):  # bounded score matrix
+            sc = score_matrix(qm[at:at + step], vm, metric)
+            rows, cols = _best_k(sc, ids, k)
+            parts.append(pd.DataFrame({"qid": qids[at + rows], id_col: ids[cols], "score": sc[rows, cols]}))
+        return pd.concat(parts, ignore_index=True)
 
     return q.groupBy("cell", "sub", "block").cogroup(v.groupBy("cell", "sub", "block")).applyInPandas(run, schema)
 
@@ -179,10 +213,8 @@ def _search_block(spark, probed: DataFrame, ivf: IVFIndex, k: int, schema: str)
             cells = b.column("cell").to_numpy(zero_copy_only=False)[keep]
             order = np.argsort(cells, kind="stable")
             bounds = np.flatnonzero(np.diff(cells[order])) + 1
-            for rows_of_cell in np.split(order, bounds):
-                qsel = cells_map.get(int(cells[rows_of_cell[0]]))
-                if qsel is None:
-                    continue
+            for rows_of_cell, qsel in ((r, part) for r in np.split(order, bounds)
+                                       for part in _parts(cells_map.get(int(cells[r[0]])), len(r))):
                 ids = all_ids[rows_of_cell]
                 sc = score_matrix(bm[qsel], mat[rows_of_cell], metric)
                 rows, cols = _best_k(sc, ids, k)

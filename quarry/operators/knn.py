@@ -228,14 +228,12 @@ def knn_candidates(query_vecs: DataFrame, vectors: DataFrame, k: int = 100, metr
     qid_type = query_vecs.schema["qid"].dataType.simpleString()
     id_type = vectors.schema[id_col].dataType.simpleString()
     schema = f"qid {qid_type}, {id_col} {id_type}, score double"
-    # one bounded job gives both the row count (up to the bound) and the dimension
-    probe = query_vecs.limit(max_broadcast_queries + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    # one plain aggregate gives the row count and the dimension: a row per partition moves
+    probe = query_vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     dim = max(1, probe["d"] or 1)
     if probe["n"] <= min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * dim)):
         return _broadcast_plan(query_vecs, vectors, k, metric, id_col, schema)
-    n_queries = query_vecs.count()
-    return _blocked_plan(query_vecs, vectors, k, metric, id_col, schema, n_queries, block_queries)
+    return _blocked_plan(query_vecs, vectors, k, metric, id_col, schema, probe["n"], block_queries)
 
 
 def knn_topk(query_vecs: DataFrame, vectors: DataFrame, k: int = 100, metric: str = "ip",

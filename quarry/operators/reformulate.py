@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import nn
+from quarry.functions.vectors import position_matrix
 from quarry.shipping import ship
 from quarry.sources.weights import load_model
 
@@ -114,7 +115,7 @@ class Reformulator:
     def transformer(self, seq: np.ndarray) -> np.ndarray:
         """``seq (B, S, E)`` = [q, d1..] -> ``(B, E)``."""
         _, s, e = seq.shape
-        x = seq * math.sqrt(e) + nn.positional_table(s, e)[None, :, :]
+        x = seq * math.sqrt(e) + position_matrix(s, e)[None, :, :]
         for p in self.layer_params():
             x = nn.encoder_layer(x, p, self.heads)
         return nn.l2_normalize(x[:, 0, :])

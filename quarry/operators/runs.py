@@ -66,6 +66,16 @@ def fetch_embeddings(run: DataFrame, vectors: DataFrame, key: str = "vec_id",
     return run.join(vecs, key, "left")
 
 
+def document_vectors(ids: DataFrame, id_map: DataFrame, vectors: DataFrame, strict: bool = False) -> DataFrame:
+    """J5 + J6: ``(doc_id, vec_id, embedding)`` for a batch of document ids. Ids that are
+    not mapped or have no vector keep nulls, or raise when ``strict``."""
+    found = fetch_embeddings(doc_to_index_ids(ids.select("doc_id"), id_map), vectors)
+    if strict:
+        missing = F.concat(F.lit("no vector for document "), F.col("doc_id").cast("string"))
+        found = found.withColumn("embedding", F.coalesce(F.col("embedding"), F.raise_error(missing)))
+    return found.select("doc_id", "vec_id", "embedding")
+
+
 def score_from_distance(hits: DataFrame, distance_col: str = "distance") -> DataFrame:
     """``score = 1 - distance`` for every metric."""
     return hits.withColumn("score", F.lit(1.0) - F.col(distance_col))

@@ -441,7 +441,59 @@ x2 AS (SELECT k2.qid, k2.vec_id, k2.rank, list_transform(range(64), lambda i: wn
        FROM k2 JOIN wn USING (qid) JOIN embeddings e USING (vec_id) WHERE k2.rank <= {k}),
 {ffn_ctes('x2', 'x', out='s3')[1:]},
 r3 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s3, 9) DESC, rank, vec_id) AS nr FROM s3_l4)
-SELECT qid, vec_id, nr::BIGINT AS rank, round(s3, {D}) AS score FROM r3"""
+SELECT qid, vec_id, nr::BIGINT AS rank, round(s3, {D}) AS score, true AS reformulated FROM r3
+UNION ALL
+SELECT qid, vec_id, nr::BIGINT AS rank, round(score, {D}) AS score, false AS reformulated FROM rr WHERE qid NOT IN (SELECT qid FROM wn)"""
+
+
+def prf_pipeline_undefined(k: int = 10) -> str:
+    """All scores zero: the first pass in its own order."""
+    return f"""WITH {knn_text_ctes(k)}
+SELECT qid, vec_id, rank::BIGINT AS rank, 0.0::DOUBLE AS score, false AS reformulated FROM kt"""
+
+
+def approx_knn(k: int = 10, probes: int = 4, step: int = 32) -> str:
+    """Cells around every ``step``-th vector, the nearest centroid by distance; a query's
+    ``probes`` cells by inner product (ties to the smaller centroid)."""
+    return f"""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding::DOUBLE[] AS c FROM embeddings
+           WHERE vec_id % {step} = 0 AND embedding IS NOT NULL),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT e.vec_id, cell, list_dot_product(v, c) AS ip,
+             list_dot_product(v, v) + list_dot_product(c, c) - 2 * list_dot_product(v, c) AS dist FROM e CROSS JOIN c),
+home AS (SELECT vec_id, cell FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cell) AS r FROM d) WHERE r = 1),
+probe AS (SELECT vec_id AS qid, cell FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ip DESC, cell) AS r FROM d)
+          WHERE r <= {probes}),
+s AS (SELECT p.qid, h.vec_id, list_dot_product(q.v, x.v) AS score FROM probe p JOIN home h USING (cell)
+      JOIN e q ON q.vec_id = p.qid JOIN e x ON x.vec_id = h.vec_id)
+SELECT qid, vec_id, rank::BIGINT AS rank, round(score, {D}) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= {k}"""
+
+
+def qrels_file() -> str:
+    return "SELECT d.source AS qid, l.doc_id AS did, l.quality AS label FROM labels l JOIN documents d USING (doc_id)"
+
+
+def queries_file() -> str:
+    return r"SELECT item_id AS qid, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark"
+
+
+def id_map() -> str:
+    return "SELECT 'd' || doc_id AS doc_id, doc_id AS vec_id FROM documents"
+
+
+def weights_rerank(k: int = 10) -> str:
+    return f"""WITH {reranked_ctes(k)}
+SELECT qid, vec_id, nr::BIGINT AS rank, rank::BIGINT AS prev_rank, round(score, 4) AS score FROM rr"""
+
+
+def document_vectors() -> str:
+    return f"""SELECT d.doc_id, d.doc_id AS vec_id, round(list_sum(e.embedding::DOUBLE[]), {D}) AS emb_sum
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
+
+
+def whole_text(k: int = 10) -> str:
+    return f"""WITH {bm25_run_ctes(k)}
+SELECT qid, doc_id, rank::BIGINT AS rank, md5(text) AS text_md5 FROM run JOIN documents d USING (doc_id)"""
 
 
 # ---------------------------------------------------------------- snippets
@@ -454,8 +506,9 @@ se AS (SELECT qid, doc_id, unnest(parts) AS sent, generate_subscripts(parts, 1)
 sn AS (SELECT qid, doc_id, idx, trim(sent) AS sent FROM se WHERE trim(sent) <> ''),
 qt AS (SELECT item_id AS qid, list_distinct({toks('text')}) AS qterms FROM benchmark),
 sc AS (SELECT sn.*, len(list_intersect(list_distinct({toks('sent')}), qt.qterms)) AS matched FROM sn JOIN qt USING (qid)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY matched DESC, idx) AS r FROM sc)
-SELECT qid, doc_id, string_agg(sent, ' ' ORDER BY idx) AS snippet FROM rk WHERE r <= {n} GROUP BY qid, doc_id"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY matched DESC, idx) AS r FROM sc),
+b AS (SELECT qid, doc_id, string_agg(sent, ' ' ORDER BY idx) AS snippet FROM rk WHERE r <= {n} GROUP BY qid, doc_id)
+SELECT run.qid, run.doc_id, b.snippet FROM run LEFT JOIN b ON b.qid = run.qid AND b.doc_id = run.doc_id"""
 
 
 def compare_pipelines(k: int = 10) -> str:

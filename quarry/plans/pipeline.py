@@ -58,7 +58,9 @@ def run_pipeline(p: Pipeline, queries: DataFrame, *, index: TextIndex | None = N
     """G1: the run ``(qid, <id>, rank, score)`` of pipeline ``p``.
 
     ``queries(qid, text)``; BM25 needs ``index``, k-NN needs ``vectors(id_col,
-    embedding)``. k-NN runs keep the hit vectors in ``embedding``."""
+    embedding)``. k-NN runs keep the hit vectors in ``embedding``. With a
+    reformulator every query stays: one whose new vector is undefined (scores that
+    sum to zero) keeps its first-pass run, and ``reformulated`` says which is which."""
     p.validate()
     if p.retriever == "bm25":
         if index is None:
@@ -80,7 +82,10 @@ def run_pipeline(p: Pipeline, queries: DataFrame, *, index: TextIndex | None = N
     first = cut_lineage(hits)
     new_qv = cut_lineage(reformulate(first, qv, p.reformulator).filter(F.col("embedding").isNotNull()))
     second = knn.knn_topk(new_qv, vectors, k=p.k, metric=p.metric, id_col=id_col)
-    return rerank.rerank_ffn(second, new_qv, vectors, p.ranker, id_col=id_col)
+    second = rerank.rerank_ffn(second, new_qv, vectors, p.ranker, id_col=id_col)
+    # a query whose reformulation is undefined keeps its first-pass run
+    kept = first.join(new_qv.select("qid"), "qid", "left_anti")
+    return second.withColumn("reformulated", F.lit(True)).unionByName(kept.withColumn("reformulated", F.lit(False)))
 
 
 def compare_pipelines(a: Pipeline, b: Pipeline, queries: DataFrame, *, index: TextIndex | None = None,

@@ -1,31 +1,46 @@
 """Size checks behind every broadcast, and lineage cuts.
 
-A side is broadcast only after a row-count check proves it small; beyond the
-bound the join stays a shuffle join (AQE may still switch it at run time from
+A side is broadcast only after a check of its rows and bytes proves it small;
+beyond the bounds the join stays a shuffle join (AQE may still switch it at run time from
 measured sizes). Long multi-pass jobs cut lineage with a reliable
 ``checkpoint()`` into ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.session import ensure_checkpoint_dir
 
-# Default bound for broadcasting a query-side table (rows). Query-side rows are
-# narrow (ids, a term, a few numbers), so this stays well below a few hundred MB.
+# Default bounds for broadcasting a query-side table: rows, and bytes of its values.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 << 20
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (stops counting early)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes_of(name: str, kind: T.DataType) -> Column:
+    """Bytes that a value of a column takes, about: 8 per number, the length of texts."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(col)
+    elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
+        size = 8 * F.size(col)
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        size = F.octet_length(F.to_json(col))
+    else:
+        size = F.lit(8)
+    return F.coalesce(F.greatest(size, F.lit(0)), F.lit(0)).cast("long")
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only when the row count is proven <= ``max_rows``."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+def row_count_at_most(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows whose values take at most
+    ``max_bytes`` (``BROADCAST_MAX_BYTES`` unless given). A plain aggregate: every
+    partition sends one row, whatever the table's size."""
+    max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    width = sum((_bytes_of(f.name, f.dataType) for f in df.schema.fields), F.lit(8).cast("long"))
+    facts = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return facts["n"] <= max_rows and facts["bytes"] <= max_bytes
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.session import ensure_checkpoint_dir
-
 
 def query_stream(spark: SparkSession, source_dir: str, schema: str = "item_id BIGINT, text STRING",
                  glob: str | None = None, qid_col: str = "item_id", max_files_per_trigger: int | None = None) -> DataFrame:
@@ -32,16 +30,19 @@ def query_stream(spark: SparkSession, source_dir: str, schema: str = "item_id BI
 
 
 def serve(stream: DataFrame, search: Callable[[DataFrame], DataFrame], sink_dir: str,
-          checkpoint_dir: str | None = None, available_now: bool = True, name: str = "quarry_search") -> StreamingQuery:
-    """Start the micro-batch search; returns the running ``StreamingQuery``."""
-    spark = stream.sparkSession
-    ckpt = checkpoint_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+          checkpoint_dir: str, available_now: bool = True, name: str | None = None) -> StreamingQuery:
+    """Start the micro-batch search; returns the running ``StreamingQuery``.
+
+    ``checkpoint_dir`` must be the same shared folder after a restart: it holds the
+    batch numbers, so a new session neither repeats nor overwrites a finished batch.
+    ``name`` tells several streams of one session apart."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         out = search(batch)
         out.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
 
-    writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt).queryName(name)
+    writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
+    writer = writer.queryName(name) if name else writer
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")
     return writer.start()
 

@@ -36,7 +36,7 @@ def duck():
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.count() >= 0
+    assert df.count() > 0
     assert df.columns == ["qid", "doc_id", "rank", "score"]
 
 
@@ -44,14 +44,18 @@ def test_every_oracle_key_is_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+OWN = sorted(set(E.queries()) - set(E._llm_queries()))  # the others have their own tests
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns
     got = _rows([tuple(r) for r in df.collect()], cols)
     sql = E.oracle_sql().get(name)
     if sql is None:
-        assert len(got) >= 0
+        assert name == "reformulate_transformer"  # compared with loops in test_neural
+        assert len(got) == 40 * 64 and all(v is not None for row in got for v in row)
         return
     res = duck.execute(sql)
     dcols = [d[0] for d in res.description]

@@ -93,6 +93,39 @@ def test_ivf_recall(spark):
     assert same(split, approx)
 
 
+def test_stored_ivf_reads_probed_cells_only(spark, tmp_path):
+    v, q, vectors, queries = make(spark, n=600, nq=30)
+    built = ivf.build_ivf(vectors, centroids=v[::60])
+    stored = built.write(str(tmp_path / "ivf"))
+    one = queries.filter("qid = 104")
+    assert same(collect(ivf.approx_knn_topk(one, stored, k=10, n_probe=2)), collect(ivf.approx_knn_topk(one, built, k=10, n_probe=2)))
+    plan = stored.only([1, 3]).vectors._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    read = stored.only([1, 3]).vectors.selectExpr("_metadata.file_path").distinct().collect()
+    assert all("cell=1/" in r[0] or "cell=3/" in r[0] for r in read)
+
+
+def test_size_check_counts_bytes(spark):
+    from quarry.plans.sizing import row_count_at_most
+
+    _, _, _, queries = make(spark, n=40, nq=30)
+    assert row_count_at_most(queries, 30) and not row_count_at_most(queries, 29)
+    assert not row_count_at_most(queries, 1000, max_bytes=30 * 8)  # the vectors count
+    assert row_count_at_most(queries.limit(0), 0, max_bytes=0)
+
+
+def test_one_query_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators.ranking import top_k
+
+    scored = spark.range(0, 5000, 1, 200).select(F.lit("q").alias("qid"), F.concat(F.lit("d"), F.col("id")).alias("doc_id"),
+                                                 (F.col("id") % 97).cast("double").alias("score"))
+    got = [(r.doc_id, r.rank) for r in top_k(scored, 60).orderBy("rank").collect()]
+    want = sorted(((f"d{i}", i % 97) for i in range(5000)), key=lambda p: (-p[1], p[0]))[:60]
+    assert got == [(d, i + 1) for i, (d, _) in enumerate(want)]
+
+
 def test_empty_query_tables(spark):
     from quarry.operators import bm25
     from quarry.operators.index import build_index

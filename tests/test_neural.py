@@ -188,3 +188,13 @@ def test_pipeline_validation():
     with pytest.raises(ValueError):
         P.Pipeline("knn", k=1001).validate()
     P.Pipeline("knn", ranker, R.Reformulator("top1", 1), k=5).validate()
+
+
+def test_position_vectors_agree(spark):
+    import numpy as np
+
+    from quarry.functions.vectors import position_matrix, positional_encoding
+
+    rows = spark.range(12).select("id", positional_encoding("id", 9).alias("p")).orderBy("id").collect()
+    assert np.allclose([r.p for r in rows], position_matrix(12, 9), atol=1e-12)
+    assert np.allclose(position_matrix(3, 4)[2], [np.sin(2), np.cos(2), np.sin(2 / 100), np.cos(2 / 100)])
