@@ -25,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import blocks, prepare, texts_of
-from quarry.llm.pieces import PieceCache
+from quarry.llm._common import blocks, prepare
+from quarry.llm.pieces import BLOCK_BYTES, PieceCache
+
+#: Words whose merges are replayed together; bounds the arrays of positions.
+REPLAYED = 300_000
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -56,86 +59,100 @@ class Merges:
             rank = self.pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return rank
 
+    def ranks_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of two arrays of tokens, -1 where there is none."""
+        if len(first) < 16:
+            return np.array([self.pair(a, b) for a, b in zip(first.tolist(), second.tolist())], "int64")
+        keys, group = np.unique(first << 32 | second, return_inverse=True)
+        return np.array([self.pair(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()], "int64")[group]
+
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word after all merges, in rank order over all words at once."""
         lengths = np.array([len(w) for w in words], "int64")
         ends = np.cumsum(lengths)
         raw = np.frombuffer(b"".join(words), "uint8")
         where = np.arange(len(raw))
-        last = np.zeros(len(raw) + 1, bool)  # no pair starts at the last byte of a word
+        last = np.zeros(len(raw) + 1, bool)
         last[ends[lengths > 0] - 1] = True
         last = last[:-1]
-        # Next and previous living position of the same word, -1 at its ends.
-        right = np.where(last, -1, where + 1).tolist()
-        left = np.where(np.concatenate([[True], last[:-1]])[:len(raw)], -1, where - 1).tolist()
-        first = np.array(self.byte, "int64")[raw]
-        sym: list[int] = first.tolist()
-        index: dict[int, list[int]] = {}
-        pair, known = self.pair, self.pairs.get
-        at = where[:-1][~last[:-1]]
-        keys, group = np.unique(first[at] << 32 | first[at + 1], return_inverse=True)
-        ranks = np.array([pair(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys], "int64")
-        rank_at = ranks[group] if len(at) else np.zeros(0, "int64")
-        at, rank_at = at[rank_at >= 0], rank_at[rank_at >= 0]
-        order = np.argsort(rank_at, kind="stable")
-        for positions in np.split(at[order], np.flatnonzero(np.diff(rank_at[order])) + 1):
-            if len(positions):
-                index[pair(sym[positions[0]], sym[positions[0] + 1])] = positions.tolist()
-        heap = list(index)
-        heapq.heapify(heap)
-        while heap:
-            rank = heapq.heappop(heap)
-            todo = index.pop(rank, None)
-            if not todo:
-                continue
-            todo.sort()  # leftmost first within a word
-            for k, i in enumerate(todo):
-                r = right[i]
-                if r < 0 or sym[i] < 0 or known(sym[i] << 32 | sym[r]) != rank:
-                    continue  # an earlier merge took one of the two
-                sym[i], sym[r] = rank, -1
-                after = right[i] = right[r]
-                right[r] = -1
-                lower = False
-                if after >= 0:
-                    left[after] = i
-                    new = known(rank << 32 | sym[after])
-                    if new is None:
-                        new = pair(rank, sym[after])
-                    if new >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(heap, new)
-                        index[new].append(i)
-                        lower |= new < rank
-                before = left[i]
-                if before >= 0:
-                    new = known(sym[before] << 32 | rank)
-                    if new is None:
-                        new = pair(sym[before], rank)
-                    if new >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(heap, new)
-                        index[new].append(before)
-                        lower |= new < rank
-                if lower:  # its turn comes before the rest of this rank
+        # Token at each position (-1: merged away); next and previous living position of the word.
+        sym = np.array(self.byte, "int64")[raw]
+        right = np.where(last, -1, where + 1)
+        left = np.where(np.concatenate([[True], last[:-1]])[:len(raw)], -1, where - 1)
+        index: dict[int, list[np.ndarray]] = {}  # rank of a pair -> positions where it may stand
+        heap: list[int] = []
+        doubtful: list[np.ndarray] = []
+
+        def add(at: np.ndarray, ranks: np.ndarray) -> None:
+            at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+            if len(at) > 1:
+                order = np.argsort(ranks, kind="stable")
+                at, ranks = at[order], ranks[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(at)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    rank = int(ranks[a])
                     if rank not in index:
                         index[rank] = []
                         heapq.heappush(heap, rank)
-                    index[rank] += todo[k + 1:]
-                    break
-        merged = np.array(sym, "int64")
-        alive = merged >= 0
+                    index[rank].append(at[a:b])
+
+        at = where[~last]
+        add(at, self.ranks_of(sym[at], sym[at + 1]) if len(at) else at)
+        while heap:
+            rank = heapq.heappop(heap)
+            todo = index.pop(rank)
+            at = np.concatenate(todo) if len(todo) > 1 else todo[0]
+            if len(at) > 1:
+                at = np.unique(at)
+            at = at[right[at] >= 0]  # dead positions have no neighbour
+            at = at[self.ranks_of(sym[at], sym[right[at]]) == rank]  # an earlier merge may have taken one of the two
+            if not len(at):
+                continue
+            if len(at) > 1:  # of overlapping places every second one, leftmost first
+                chained = np.concatenate([[False], right[at[:-1]] == at[1:]])
+                if chained.any():
+                    order = np.arange(len(at))
+                    at = at[(order - np.maximum.accumulate(np.where(chained, 0, order))) % 2 == 0]
+            gone = right[at]
+            after = right[gone]
+            sym[at], sym[gone] = rank, -1
+            right[at], right[gone] = after, -1
+            left[after[after >= 0]] = at[after >= 0]
+            # Only the touched neighbours get new entries.
+            before = left[at]
+            new = np.concatenate([at[after >= 0], before[before >= 0]])
+            if len(new):
+                ranks = self.ranks_of(sym[new], sym[right[new]])
+                if ((ranks >= 0) & (ranks < rank)).any():  # not in merge lists that were learnt merge by merge
+                    doubtful.append(new[(ranks >= 0) & (ranks < rank)])
+                add(new, ranks)
+        alive = sym >= 0
         count = np.concatenate([[0], np.cumsum(alive)])
-        ids = merged[alive].tolist()
-        return [ids[a:b] for a, b in zip(count[ends - lengths].tolist(), count[ends].tolist())]
+        ids = sym[alive].tolist()
+        out = [ids[a:b] for a, b in zip(count[ends - lengths].tolist(), count[ends].tolist())]
+        for w in np.unique(np.searchsorted(ends, np.concatenate(doubtful), side="right")).tolist() if doubtful else []:
+            out[w] = self.replay_one(words[w])
+        return out
+
+    def replay_one(self, word: bytes) -> list[int]:
+        """One word by itself: its lowest pair first, leftmost of equals."""
+        ids = [self.byte[b] for b in word]
+        while len(ids) > 1:
+            ranks = [(r, i) for i, r in enumerate(map(self.pair, ids, ids[1:])) if r >= 0]
+            if not ranks:
+                break
+            rank, i = min(ranks)
+            ids[i:i + 2] = [rank]
+        return ids
 
     def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
         """Ids of distinct words; a word that is a token itself is that token."""
         done = {w: [self.ranks[w]] for w in words if w in self.ranks}
         rest = [w for w in words if w not in done]
-        done.update(zip(rest, self.replay(rest)))
+        for at in range(0, len(rest), REPLAYED):
+            part = rest[at:at + REPLAYED]
+            done.update(zip(part, self.replay(part)))
         return done
 
     def decode(self, ids: list[int]) -> bytes:
@@ -152,13 +169,27 @@ def codec(path: str, pattern: str) -> tuple[Merges, PieceCache]:
 
         merges, split = Merges(read_ranks(path)), regex.compile(pattern)
 
-        def encode_many(texts: list[str]) -> list[bytes]:
-            words = [[w.encode() for w in split.findall(t)] for t in texts]
-            ids = merges.encode_words({w for ws in words for w in ws})
-            packed = {w: array("I", x).tobytes() for w, x in ids.items()}
-            return [b"".join(map(packed.__getitem__, ws)) for ws in words]
-
-        _CODECS[path, pattern] = (merges, PieceCache(encode_many))
+        def packed(words: set[str]) -> dict[str, bytes]:
+            found = merges.encode_words({w.encode() for w in words})
+            return {w: array("I", found[w.encode()]).tobytes() for w in words}
+
+        def whole(texts: list[str]) -> list[bytes]:
+            words = [split.findall(t) for t in texts]
+            ids = packed(set().union(*words))
+            return [b"".join(map(ids.__getitem__, ws)) for ws in words]
+
+        def pieces(parts: list[str]) -> list[bytes]:
+            """Parts joined by line breaks, so that one pass splits them all."""
+            words = split.findall("\n".join(parts))
+            ids = packed(set(words))
+            out, start = [], 0
+            for _ in range(len(parts) - 1):
+                at = words.index("\n", start)
+                out.append(b"".join(map(ids.__getitem__, words[start:at])))
+                start = at + 1
+            return [*out, b"".join(map(ids.__getitem__, words[start:]))] if parts else []
+
+        _CODECS[path, pattern] = (merges, PieceCache(pieces, whole))
     return _CODECS[path, pattern]
 
 
@@ -168,8 +199,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, cache = codec(path, pattern)
-        for block in blocks(batches):
-            ids = [np.frombuffer(x, "<u4").astype("int32") for x in cache.encode(texts_of(block))]
+        for block in blocks(batches, max_bytes=BLOCK_BYTES):
+            ids = [np.frombuffer(x, "<u4").astype("int32") for x in cache.encode(block.column(1))]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -196,9 +227,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, cache = codec(path, pattern)
         decimal = [str(i) for i in range(len(merges.token))]
-        for block in blocks(batches):
+        for block in blocks(batches, max_bytes=BLOCK_BYTES):
             n, of_ids, of_bytes = [], [], []
-            for packed in cache.encode(texts_of(block)):
+            for packed in cache.encode(block.column(1)):
                 ids = np.frombuffer(packed, "<u4").tolist()
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())

@@ -1,62 +1,86 @@
-"""Encode whole texts through a cache of blank-separated pieces.
-
-A byte-level pre-tokenizer never lets a token run across a single blank that
-stands between two other characters: the blank always opens the next token.
-So the ids of a text are the ids of its first piece followed by the ids of each
-later piece with its blank in front. Natural text repeats its pieces, so most
-are answered by a bounded cache and only new ones reach the encoder. A text with
-a doubled, leading or trailing blank, or a blank beside other white space, is
-given to the encoder whole.
+"""Encode whole texts through their distinct blank-separated pieces.
+
+A byte-level pre-tokenizer never lets a token run across a single blank or line
+break that stands between two other characters: the blank always opens the next
+token, the line break is a token of its own. So the ids of a text are the ids of
+its pieces: each with its blank in front, the first of a line without. Texts of a
+block are split and their pieces numbered by Arrow; only distinct pieces become
+Python strings, the frequent ones are answered by a bounded cache, and the rest
+reach the encoder. Arrow then lays the pieces' ids out in text order. A text with
+white space beside a blank or line break, or at its ends, is encoded whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept per worker process. Frequent pieces come early, so a full cache keeps
-#: what it has; later new pieces are encoded for their block and then forgotten.
-CACHE_PIECES = 400_000
+#: Text whose distinct pieces are encoded together.
+BLOCK_BYTES = 16 << 20
+#: Pieces kept per worker process. They are taken from the first blocks, most frequent
+#: first; later new pieces are encoded for their block and then forgotten.
+CACHE_PIECES = 150_000
 
 
 class PieceCache:
-    """``encode_many(strings) -> list of bytes`` behind a cache of pieces."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
-        self.encode_many, self.limit = encode_many, limit
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-
-    @staticmethod
-    def _splittable(piece: str) -> bool:
-        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
-
-    def _fill(self, cache: dict, wanted: set[str], blank: str) -> list[str]:
-        """Encode what is missing; returns the pieces to forget after this block."""
-        new = [p for p in wanted if p not in cache]
-        good = [p for p in new if self._splittable(p)]
-        full = len(cache) + len(new) > self.limit
-        cache.update(dict.fromkeys(new))
-        cache.update(zip(good, self.encode_many([blank + p for p in good])))
-        return new if full else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Encoded ids of each text, as the bytes that ``encode_many`` gives."""
-        split = [t.split(" ") for t in texts]
-        forget = [(self.first, self._fill(self.first, {p[0] for p in split}, ""))]
-        later: set[str] = set()
-        for p in split:
-            later.update(p[1:])
-        forget.append((self.later, self._fill(self.later, later, " ")))
-        out: list[bytes | None] = []
-        for p in split:
-            try:
-                out.append(b"".join([self.first[p[0]], *map(self.later.__getitem__, p[1:])]))
-            except TypeError:  # a piece that cannot stand alone
-                out.append(None)
-        for cache, pieces in forget:
-            for p in pieces:
-                del cache[p]
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(whole, self.encode_many([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+    """``encode_pieces`` and ``encode_whole`` map a list of strings to the bytes of
+    their ids; the former gets strings without line breaks or outer white space
+    (but for the blank in front). ``split=False``: pieces do not stand alone."""
+
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]],
+                 encode_whole: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES, split: bool = True):
+        self.encode_pieces, self.encode_whole, self.limit, self.split = encode_pieces, encode_whole, limit, split
+        self.cache: dict[str, bytes | None] = {"": b""}
+        self.line_break = encode_whole(["\n"])[0]
+
+    def _ids(self, pieces: list[str], counts: np.ndarray) -> list[bytes | None]:
+        """Ids of distinct pieces; a piece behind a line break starts with it. None: cannot stand alone."""
+        found = [self.cache.get(p, b"?") for p in pieces]
+        new = [i for i, x in enumerate(found) if x == b"?"]
+        first, later = [], []
+        for i in new:
+            p = pieces[i]
+            body = p[1:] if p[0] == "\n" else p
+            if body and not body[0].isspace() and not body[-1].isspace():
+                (first if p[0] == "\n" else later).append(i)
+            else:
+                found[i] = None
+        for i, ids in zip(first, self.encode_pieces([pieces[i][1:] for i in first])):
+            found[i] = self.line_break + ids
+        for i, ids in zip(later, self.encode_pieces([" " + pieces[i] for i in later])):
+            found[i] = ids
+        room = self.limit - len(self.cache)
+        if room > 0:
+            keep = np.array(new, "int64")
+            keep = keep[np.argsort(-counts[keep], kind="stable")[:room // 2 + 1]]  # the next blocks have frequent ones too
+            self.cache.update((pieces[i], found[i]) for i in keep.tolist())
+        return found
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """Encoded ids of each text; null counts as empty."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.split:
+            yield from self.encode_whole(column.to_pylist())
+            return
+        # Every line starts a piece that begins with the line break; what stands before the first is empty.
+        marked = pc.replace_substring(pc.binary_join_element_wise("\n", column, ""), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")
+        bounds = lists.offsets.to_numpy()
+        numbered = lists.flatten().dictionary_encode()
+        pieces, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        found = self._ids(pieces, np.bincount(number, minlength=len(pieces)))
+        broken = np.array([x is None for x in found])
+        laid = pa.array([x or b"" for x in found], pa.binary()).take(numbered.indices)
+        data, ends = laid.buffers()[2], np.frombuffer(laid.buffers()[1], "int32")
+        data = memoryview(data) if data is not None else memoryview(b"")
+        empty = number == pieces.index("") if "" in pieces else np.zeros(len(number), bool)
+        wrong = np.concatenate([[0], np.cumsum(broken[number] | empty)])  # one empty piece opens every text
+        skip = len(self.line_break)
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if wrong[b] - wrong[a] > 1:
+                yield self.encode_whole([column[i].as_py()])[0]
+            else:
+                yield bytes(data[ends[a] + skip:ends[b]])
