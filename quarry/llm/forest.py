@@ -35,14 +35,15 @@ from pyspark.sql import functions as F
 from quarry.llm._common import prepare, stored
 
 K = 20
-TREES = 8
+TREES = 4
 #: Rows of the fitting sample; also bounds the depth, as a leaf keeps 8 sample rows.
 SAMPLE_ROWS = 20_000
-LEAF_ROWS = 3200
-#: Share of all rows that the leaves of one query hold together (repeats counted).
-SEARCH_SHARE = 0.9
+LEAF_ROWS = 8192
+#: Rows that the leaves of one query hold together, as a share of all rows; a row counts
+#: once per tree, so more than 1 is possible.
+SEARCH_SHARE = 1.2
 #: Rows scored by one task at once; a larger leaf is cut into chunks.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 16384
 QUERY_BLOCK = 256
 SLACK = 1e-9
 
@@ -94,7 +95,7 @@ class Forest:
 def fit(sample: np.ndarray, radius2: float, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
         seed: int = 1) -> Forest:
     rng = np.random.default_rng(seed)
-    depth = max(0, min(int(np.ceil(np.log2(max(1, rows) / leaf_rows))), int(np.log2(max(1, len(sample) / 8)))))
+    depth = max(0, min(int(np.rint(np.log2(max(1, rows) / leaf_rows))), int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest([], [], radius2, depth)
     x = forest.lengthened(sample)
     for _ in range(trees):
