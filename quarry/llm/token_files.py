@@ -27,6 +27,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import blocks, filesystem, prepare, stored, texts_of
-from quarry.llm.pieces import PieceCache
+from quarry.llm._common import blocks, filesystem, prepare, stored
+from quarry.llm.pieces import BLOCK_BYTES, PieceCache
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -45,6 +46,8 @@ CHECKSUM_FLAG = 0x80
 #: A task closes a file and opens the next beyond this size.
 FILE_BYTES = 64 << 20
 ZSTD_LEVEL = 3
+#: New pieces encoded by one call.
+JOINED = 64
 
 MANIFEST = "file string, first_doc long, part int, seq int, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -61,18 +64,32 @@ def text_encoder(path: str) -> tuple[PieceCache, int]:
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
         width = 2 if max(tok.get_vocab().values()) < 1 << 16 else 4
-
-        def encode_many(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, f"<u{width}").tobytes()
-                    for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = {2: "H", 4: "I"}[width]
+
+        def whole(texts: list[str]) -> list[bytes]:
+            return [array(kind, e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def pieces(parts: list[str]) -> list[bytes]:
+            """Parts joined by line breaks, so that one call encodes many."""
+            joined = ["\n".join(parts[i:i + JOINED]) for i in range(0, len(parts), JOINED)]
+            out: list[bytes] = []
+            for e in tok.encode_batch_fast(joined, add_special_tokens=False):
+                ids = e.ids
+                packed, at, start = array(kind, ids).tobytes(), -1, 0
+                for _ in range(ids.count(line_break)):
+                    at = ids.index(line_break, at + 1)
+                    out.append(packed[start:at * width])
+                    start = (at + 1) * width
+                out.append(packed[start:])
+            return out
 
         spec = json.loads(tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         split = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                  and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
-        cache = PieceCache(encode_many)
-        if not split:  # pieces of other tokenizers do not stand alone
-            cache.encode = encode_many
+        if split:
+            [line_break] = tok.encode("\n", add_special_tokens=False).ids
+        cache = PieceCache(pieces, whole, split=split)  # pieces of other tokenizers do not stand alone
         _ENCODERS[path] = (cache, width)
     return _ENCODERS[path]
 
@@ -175,8 +192,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             made.append({"file": name, "first_doc": out.docs[0], "part": part, "seq": len(made),
                          "n_docs": len(out.docs), "n_tokens": tokens})
 
-        for block in blocks(batches):
-            for doc_id, ids in zip(block.column(0).to_pylist(), cache.encode(texts_of(block))):
+        for block in blocks(batches, max_bytes=BLOCK_BYTES):
+            for doc_id, ids in zip(block.column(0).to_pylist(), cache.encode(block.column(1))):
                 if out is None:
                     name, tokens = f"{folder}/part-{part:06d}-{len(made):04d}.ids.zst", 0
                     out = FrameWriter(name, width)
@@ -221,23 +238,42 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return files.mapInArrow(read, ROWS)
 
 
-def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the ``wanted(doc_id)`` documents only: each file's directory
-    is read, and of its frames only those wanted. Files are matched by doc_id range."""
+def directory(manifest: DataFrame) -> DataFrame:
+    """(file, frame, doc_id) of every document: of each file only its directory is read."""
     spark = prepare(manifest)
-    last = F.lead("first_doc").over(Window.orderBy("part", "seq"))
-    files = manifest.select("file", "first_doc", last.alias("next_doc"))
-    hits = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(
-        files, F.col("doc_id").between(F.col("first_doc"), F.coalesce("next_doc", F.col("doc_id"))))
-
-    def read(key, t):
-        with FrameReader(key[0].as_py()) as r:
-            want = set(t.column("doc_id").to_pylist())
-            found = [(d, r.ids(i).tolist()) for i, d in enumerate(r.docs) if d in want]
-        return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()),
-                         "ids": pa.array([x for _, x in found], pa.list_(pa.int64()))})
-
-    return hits.groupBy("file").applyInArrow(read, "doc_id long, ids array<long>")
+    files = manifest.select("file").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with FrameReader(file) as r:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([file] * len(r.docs)), pa.array(np.arange(len(r.docs), dtype="int32")), pa.array(r.docs, pa.int64())],
+                        names=["file", "frame", "doc_id"])
+
+    return files.mapInArrow(read, "file string, frame int, doc_id long")
+
+
+def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the ``wanted(doc_id)`` documents only: besides the directories
+    just their frames are read."""
+    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    hits = directory(manifest).join(ids, "doc_id").repartition("file").sortWithinPartitions("file", "frame")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, opened = None, None
+        for batch in batches:
+            rows = []
+            for doc_id, file, frame in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if file != opened:
+                    if reader:
+                        reader.file.close()
+                    reader, opened = FrameReader(file), file
+                rows.append((doc_id, reader.ids(frame).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))],
+                                             names=["doc_id", "ids"])
+
+    return hits.select("doc_id", "file", "frame").mapInArrow(read, "doc_id long, ids array<long>")
 
 
 def token_table(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, **options) -> DataFrame:

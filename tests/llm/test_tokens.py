@@ -24,7 +24,7 @@ def test_token_files_hold_what_the_library_gives(spark, odd):
     tok = Tokenizer.from_file(JSON)
     tok.encode_special_tokens = True
     folder = scratch(spark, "t")
-    manifest = token_files.write_token_files(odd, folder, JSON, file_bytes=20_000, partitions=3)
+    manifest = token_files.write_token_files(odd, folder, JSON, file_bytes=100, partitions=3)
     got = [tuple(r) for r in token_files.read_token_files(manifest).orderBy("start").collect()]
     rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     start, want = 0, []
