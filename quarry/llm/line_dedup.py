@@ -2,8 +2,8 @@
 
 A line ends at a line break, or behind a full stop, exclamation mark, question mark or
 comma that a blank follows; so a passage is found wherever it stands in a paragraph, and
-whatever is wrapped around it. Every three consecutive lines (trimmed, the outer two not
-blank) of together at least ``MIN_CHARS`` characters are a window. Windows are compared
+whatever is wrapped around it. Every three consecutive lines (without the blank or line
+break that ends them, the outer two not empty) of together at least ``MIN_CHARS`` characters are a window. Windows are compared
 by 96 bits of hashes. The first occurrence in the order (doc_id, hash of the text,
 position) stays; all lines that a later occurrence covers are removed. Every removed line
 has an equal line earlier in that order, so each content stays at least once.
@@ -30,32 +30,31 @@ from quarry.llm._common import stored
 LINES = 3
 #: Shorter windows are phrases that clean documents share by chance.
 MIN_CHARS = 60
-ENDS = ("\n", ". ", "! ", "? ", ", ")
-BLANK = " \n\r\t"
-MARK = "\x01"
 
 
 def pieces(text) -> F.Column:
     """Lines of a text with their ends; joined they are the text again."""
-    marked = text
-    for end in ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    # A text that holds the mark itself is split by look-behind, at the same places.
-    slow = F.split(text, r"(?<=\n)|(?<=[.!?,] )")
-    return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(F.split(marked, MARK))
+    return F.split(text, r"(?<=\n|[.!?,] )")
+
+
+def contents(text) -> F.Column:
+    """The same lines without the blank or line break that ends them: what is compared.
+    The pattern starts with the rare character, so most positions are passed at once."""
+    return F.split(text, r"[ \n](?<=\n|[.!?,] )")
 
 
 def windows(docs: DataFrame) -> DataFrame:
     """doc_id, place (hash of the text and position in one number), k1, k2 of every window."""
-    lines = F.transform(pieces(F.col("text")), lambda p: F.struct(
-        F.xxhash64(F.trim(p, F.lit(BLANK))).alias("h"), F.length(F.trim(p, F.lit(BLANK))).alias("n")))
-    rows = docs.filter("text IS NOT NULL").select("doc_id", F.hash("text").cast("long").alias("text_hash"), lines.alias("lines"))
-    rows = rows.withColumn("last", F.size("lines") - (LINES - 1)).filter("last > 0")
-    shifted = F.arrays_zip(*[F.slice("lines", i + 1, F.col("last")).alias(f"l{i}") for i in range(LINES)])
-    rows = rows.select("doc_id", "text_hash", F.posexplode(shifted).alias("pos", "w"))
-    h = [F.col(f"w.l{i}.h") for i in range(LINES)]
-    n = [F.col(f"w.l{i}.n") for i in range(LINES)]
-    rows = rows.filter((sum(n[1:], n[0]) >= MIN_CHARS) & (n[0] > 0) & (n[-1] > 0))
+    rows = docs.filter("text IS NOT NULL").select("doc_id", F.hash("text").cast("long").alias("text_hash"), contents("text").alias("lines"))
+    rows = rows.select(
+        "doc_id", "text_hash", F.transform("lines", lambda p: F.xxhash64(p)).alias("hs"),
+        F.transform("lines", lambda p: F.length(p)).alias("ns"))
+    # The outer form and coalesce: from a plain explode, a filter on the array's size or a
+    # comparison that needs the array the optimizer infers a filter that splits every text again.
+    rows = rows.select("doc_id", "text_hash", "hs", "ns", F.posexplode_outer("hs").alias("pos", "h"))
+    h = [F.col("h"), *[F.get("hs", F.col("pos") + i) for i in range(1, LINES)]]
+    n = [F.coalesce(F.get("ns", F.col("pos") + i), F.lit(0)) for i in range(LINES)]
+    rows = rows.filter((F.col("pos") <= F.size("hs") - LINES) & (sum(n[1:], n[0]) >= MIN_CHARS) & (n[0] > 0) & (n[-1] > 0))
     return rows.select("doc_id", (F.shiftleft("text_hash", 32) + F.col("pos")).alias("place"),
                        F.xxhash64(*h).alias("k1"), F.hash(*h[1:], h[0]).alias("k2"))
 
@@ -83,14 +82,14 @@ def covered_runs(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with later occurrences cut out of ``text``; adds ``lines`` and
-    ``removed_lines`` as long, and ``removed_runs``."""
-    names = [c for c in docs.columns if c not in ("lines", "removed_lines", "removed_runs")]
+    """``docs`` with later occurrences cut out of ``text``; adds ``removed_lines`` (long)
+    and ``removed_runs``, which replace columns of these names."""
+    names = [c for c in docs.columns if c not in ("removed_lines", "removed_runs")]
     runs = covered_runs(docs.select("doc_id", "text")).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs"))
     rows = docs.select(*names, F.hash("text").cast("long").alias("_text_hash"))
     rows = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    rows = rows.withColumn("_lines", pieces(F.col("text")))
+    rows = rows.withColumn("_lines", F.when(F.col("_runs").isNotNull(), pieces("text")))
     n = F.size("_runs")
     gap = lambda j: F.slice(  # noqa: E731  the lines between run j - 1 and run j
         "_lines", F.when(j == 0, 1).otherwise(F.get("_runs", j - 1)["last"] + 2),
@@ -100,6 +99,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     cut = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     return rows.select(
         *[F.when(F.col("_runs").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in names],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("lines"),
         F.coalesce(cut, F.lit(0)).cast("long").alias("removed_lines"),
         F.coalesce("_runs", F.array().cast("array<struct<first:int,last:int>>")).alias("removed_runs"))

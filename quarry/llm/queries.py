@@ -81,21 +81,21 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 LINE_DEDUP_SQL = """
-WITH d AS (SELECT doc_id, text, string_split(replace(replace(replace(replace(replace(text,
+WITH d AS (SELECT doc_id, string_split(replace(replace(replace(replace(replace(text,
                   chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)),
-                  ', ', ', ' || chr(1)), chr(1)) AS p FROM documents),
-     l AS (SELECT doc_id, i AS pos, p[i] AS piece, trim(p[i], ' ' || chr(10) || chr(13) || chr(9)) AS a,
-                  trim(p[i + 1], ' ' || chr(10) || chr(13) || chr(9)) AS b,
-                  trim(p[i + 2], ' ' || chr(10) || chr(13) || chr(9)) AS c
-           FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
+                  ', ', ', ' || chr(1)), chr(1)) AS p,
+                  string_split(replace(replace(replace(replace(replace(text, chr(10), chr(1)), '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)),
+                  ', ', ',' || chr(1)), chr(1)) AS c FROM documents),
+     l AS (SELECT doc_id, i AS pos, p[i] AS piece, c[i] AS a, c[i + 1] AS b, c[i + 2] AS c
+           FROM (SELECT doc_id, p, c, unnest(range(1, len(p) + 1)) AS i FROM d)),
      w AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS occurrence FROM l
            WHERE b IS NOT NULL AND c IS NOT NULL AND a <> '' AND c <> '' AND length(a) + length(b) + length(c) >= 60),
      x AS (SELECT DISTINCT doc_id, pos + k AS pos FROM w, (SELECT unnest([0, 1, 2]) AS k) WHERE occurrence > 1),
-     r AS (SELECT l.doc_id, count(*) AS lines, count(x.pos) AS removed_lines,
+     r AS (SELECT l.doc_id, count(x.pos) AS removed_lines,
                   string_agg(piece, '' ORDER BY l.pos) FILTER (WHERE x.pos IS NULL) AS kept
            FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text,
-       coalesce(lines, 0)::BIGINT AS lines, coalesce(removed_lines, 0)::BIGINT AS removed_lines
+       coalesce(removed_lines, 0)::BIGINT AS removed_lines
 FROM documents LEFT JOIN r USING (doc_id)
 """
 
