@@ -76,10 +76,10 @@ def words(text) -> F.Column:
 
 
 def features(w) -> F.Column:
-    """Hashes of the word one- and two-grams of a word array."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1)))
-    return F.array_distinct(F.concat(F.transform(w, lambda x: F.xxhash64(x)),
-                                     F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<long>"))))
+    """Hashes of the words, and of each word's hash with the next one's."""
+    hs = F.transform(w, lambda x: F.xxhash64(x))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.element_at(hs, i), F.element_at(hs, i + 1)))
+    return F.array_distinct(F.concat(hs, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<long>"))))
 
 
 def shingles(w, n: int = GRAM) -> F.Column:
@@ -182,11 +182,13 @@ def scan(docs: DataFrame, none_rows: int = NONE_ROWS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     weights, families, intercepts, temperature = train(docs, none_rows)
     lines = paragraphs(docs)
-    w = words(F.col("text"))
-    grams = lines.select("doc_id", "paragraph", w.alias("words")).select(
-        "doc_id", "paragraph", F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.size("words")).alias("b"))).alias("g"))
-    grams = grams.select("doc_id", "paragraph", F.explode(F.array(F.xxhash64("g.a"), F.when(
-        F.col("g.b").isNotNull(), F.xxhash64("g.a", "g.b")))).alias("feature"))
+    # Empty pieces stand at the ends only and have no weight. The outer forms keep the
+    # optimizer from splitting every text again for an inferred filter.
+    grams = lines.select("doc_id", "paragraph", F.split(F.lower(F.col("text")), WORD).alias("words")).select(
+        "doc_id", "paragraph", F.transform("words", lambda x: F.xxhash64(x)).alias("hs"))
+    grams = grams.select("doc_id", "paragraph", "hs", F.posexplode_outer("hs").alias("pos", "h"))
+    grams = grams.select("doc_id", "paragraph", F.explode_outer(F.array(
+        F.col("h"), F.xxhash64("h", F.get("hs", F.col("pos") + 1)))).alias("feature"))
     # A gram counts once per paragraph: partial aggregates drop repeats before the sums.
     hits = grams.join(F.broadcast(weights), "feature").select("doc_id", "paragraph", "feature", "w").distinct()
     sums = hits.groupBy("doc_id", "paragraph").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(families))])
