@@ -39,6 +39,8 @@ ROUNDS = 25
 PENALTY = 1e-5
 #: Code points hashed at once; a longer text is taken in overlapping stretches.
 STRETCH = 1 << 20
+#: Feature entries of one part of a training pass.
+PART = 1 << 21
 
 SCORES = "doc_id long, score double"
 
@@ -103,22 +105,30 @@ def fit(groups: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, size:
     lengths = np.array([len(g) for g in groups])
     groups = [g for g, n in zip(groups, lengths) if n]
     y, w, lengths = labels[lengths > 0].astype(float), weight[lengths > 0] / total, lengths[lengths > 0]
-    flat = np.concatenate(groups)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     scale = 1 / np.sqrt(lengths)
-    row = np.repeat(np.arange(len(lengths)), lengths).astype("int32")
-
-    used = np.unique(flat)  # only buckets of the sample move
-    flat = np.searchsorted(used, flat).astype("int32")
+    used = np.zeros(size, bool)  # only buckets of the sample move
+    for g in groups:
+        used[g] = True
+    used = np.flatnonzero(used)
     r = ratio[used]
+    # Parts of whole documents, so that the arrays of one pass stay small.
+    part = np.cumsum(lengths) // PART
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    parts = [(slice(a, b), np.searchsorted(used, np.concatenate(groups[a:b])).astype("int32")) for a, b in zip(cuts[:-1], cuts[1:])]
+    del groups
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         beta = theta[:-1]
-        z = np.add.reduceat((beta * r)[flat], starts) * scale + theta[-1]
-        value = float(w @ (np.logaddexp(0, z) - y * z)) + penalty / 2 * float(beta @ beta)
-        error = w * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y)
-        grad = np.bincount(flat, weights=(error * scale)[row], minlength=len(used)) * r + penalty * beta
-        return value, np.append(grad, error.sum())
+        v = beta * r
+        value, grad, shift = penalty / 2 * float(beta @ beta), np.zeros(len(used)), 0.0
+        for docs, flat in parts:
+            n = lengths[docs]
+            z = np.add.reduceat(v[flat], np.concatenate([[0], np.cumsum(n)[:-1]])) * scale[docs] + theta[-1]
+            value += float(w[docs] @ (np.logaddexp(0, z) - y[docs] * z))
+            error = w[docs] * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y[docs])
+            grad += np.bincount(flat, weights=np.repeat(error * scale[docs], n), minlength=len(used))
+            shift += float(error.sum())
+        return value, np.append(grad * r + penalty * beta, shift)
 
     theta = minimize(loss, np.append(np.zeros(len(used)), intercept), rounds)
     v = np.zeros(size)
@@ -177,8 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
         for batch in batches:
             rows += zip(*(batch.column(i).to_pylist() for i in range(4)))
         rows.sort(key=lambda r: (r[0], r[2], r[1]))  # sums do not depend on the arrival
+        y, weight = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float)
         groups = [np.frombuffer(r[1], "int32") for r in rows]
-        v, b = fit(groups, np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float), 1 << BUCKET_BITS)
+        del rows
+        v, b = fit(groups, y, weight, 1 << BUCKET_BITS)
         yield pa.RecordBatch.from_pydict({"v": [v.astype("<f4").tobytes()], "b": [b]})
 
     rows = training_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, label,
