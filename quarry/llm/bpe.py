@@ -31,6 +31,9 @@ from quarry.llm.pieces import BLOCK_BYTES, PieceCache
 #: Words whose merges are replayed together; bounds the arrays of positions.
 REPLAYED = 300_000
 
+#: Pieces kept per worker process; their words need no replay.
+CACHE_PIECES = 150_000
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -189,7 +192,7 @@ def codec(path: str, pattern: str) -> tuple[Merges, PieceCache]:
                 start = at + 1
             return [*out, b"".join(map(ids.__getitem__, words[start:]))] if parts else []
 
-        _CODECS[path, pattern] = (merges, PieceCache(pieces, whole))
+        _CODECS[path, pattern] = (merges, PieceCache(pieces, whole, limit=CACHE_PIECES))
     return _CODECS[path, pattern]
 
 
