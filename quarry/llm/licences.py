@@ -4,8 +4,8 @@ Paragraphs are the non-blank lines of a text. Features are the presence of lower
 one- and two-grams. Training rows: every licence template whole, with each of its words left
 out, and inside ordinary paragraphs (``PLACED`` each); statements of made-up licences as the class ``unknown``;
 and a bounded sample of the corpus' own paragraphs that hold no template as ``none``
-(``NONE_ROWS``, by smallest hash). A sparse multinomial logistic regression (L1) is fitted;
-its non-zero weights, at most the n-grams of the training rows, are broadcast to the scan,
+(``NONE_ROWS``, by smallest hash). A sparse multinomial logistic regression (L1) is fitted
+over the n-grams of the licence rows; its non-zero weights are broadcast to the scan,
 which adds them up per paragraph with partial sums in the tasks. A temperature fitted on
 training rows kept aside calibrates the probabilities; a licence statement whose best family
 stays below ``CERTAIN`` is ``unknown``. A predicted family is confirmed if one of its
@@ -107,7 +107,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, none_rows: int = NONE_ROWS) -> DataFrame:
-    """family, words: bounded by the templates and ``none_rows``."""
+    """family, words, bare (a licence row by itself): bounded by the templates and ``none_rows``."""
     spark = docs.sparkSession
     known = templates(spark)
     held = F.array(*[F.lit(h) for r in known.select("grams").collect() for h in r["grams"]])  # of the fixed templates
@@ -128,8 +128,9 @@ def training_rows(docs: DataFrame, none_rows: int = NONE_ROWS) -> DataFrame:
     inside = licence.join(plain.withColumnRenamed("words", "around"), "i").select(
         "family", F.concat(before, "words", after).alias("words"))
     licence = licence.filter("copy = 0")
-    return licence.select("family", "words").unionByName(inside).unionByName(
-        plain.select(F.lit("none").alias("family"), "words"))
+    return licence.select("family", "words", F.lit(True).alias("bare")).unionByName(
+        inside.withColumn("bare", F.lit(False))).unionByName(
+        plain.select(F.lit("none").alias("family"), "words", F.lit(False).alias("bare")))
 
 
 def _by_hash():
@@ -141,14 +142,17 @@ def _by_hash():
 def train(docs: DataFrame, none_rows: int = NONE_ROWS) -> tuple[DataFrame, list[str], list[float], float]:
     """(weights(feature, w), families, intercepts, temperature)."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, StringIndexer
+    from pyspark.ml.feature import CountVectorizerModel, StringIndexer
     from pyspark.ml.functions import vector_to_array
 
     rows = stored(training_rows(docs, none_rows).select(
-        "family", F.transform(features(F.col("words")), lambda x: x.cast("string")).alias("grams"),
+        "family", "bare", F.transform(features(F.col("words")), lambda x: x.cast("string")).alias("grams"),
         (F.pmod(F.xxhash64("family", "words"), F.lit(5)) == 4).alias("aside")).repartition(4), "licence-training")
     indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 18).fit(rows)
+    # Only n-grams of the licence rows themselves: any other speaks for ``none`` by its absence.
+    # They are bounded by the templates.
+    own = [r["gram"] for r in rows.filter("bare").select(F.explode("grams").alias("gram")).distinct().orderBy("gram").collect()]
+    vectors = CountVectorizerModel.from_vocabulary(own, inputCol="grams", outputCol="features").setBinary(True)
     ready = indexer.transform(vectors.transform(rows)).select("features", "label", "aside").cache()  # the bounded sample
     model = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60,
                                standardization=False).fit(ready.filter(~F.col("aside")))
