@@ -31,6 +31,8 @@ from quarry.llm.pieces import BLOCK_BYTES, PieceCache
 #: Words whose merges are replayed together; bounds the arrays of positions.
 REPLAYED = 300_000
 
+#: Looked-up pairs kept between replays.
+KNOWN_PAIRS = 300_000
 #: Pieces kept per worker process; their words need no replay.
 CACHE_PIECES = 150_000
 
@@ -151,6 +153,8 @@ class Merges:
 
     def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
         """Ids of distinct words; a word that is a token itself is that token."""
+        if len(self.pairs) > KNOWN_PAIRS:
+            self.pairs.clear()
         done = {w: [self.ranks[w]] for w in words if w in self.ranks}
         rest = [w for w in words if w not in done]
         for at in range(0, len(rest), REPLAYED):
@@ -240,5 +244,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
                                               pa.array(of_bytes, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS)
