@@ -17,7 +17,7 @@ sent out; vectors and queries are never collected.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do vectors of another dimension than the most frequent
 one (the larger where two are equally frequent); rows that repeat a vec_id count once,
-with their best score; ties go to the smaller vec_id; null ids take no part; an empty
+with their best score (exact repeats are dropped before the trees are fitted); ties go to the smaller vec_id; null ids take no part; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -137,19 +137,36 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
+def spread(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A hash of whole rows, so that rows of one id are dealt out as well."""
+    odd = np.random.default_rng(2).integers(0, 1 << 63, x.shape[1], "u8") * np.uint64(2) + np.uint64(1)
+    h = ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
+    for j in range(x.shape[1]):
+        bits = np.ascontiguousarray(x[:, j]).view("u8")
+        h += (bits ^ (bits >> np.uint64(32))) * odd[j]  # the low bits of a double are often zero
+    h ^= h >> np.uint64(32)
+    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+
+
 def best_of(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int):
-    """Per query the ids and exact scores of its k best rows (other rows than its own)."""
+    """Per query the k best ids (other than its own) and their exact scores, each id with its best row."""
     near = q @ x.T
     near[own[:, None] == ids[None, :]] = -np.inf
+    distinct, of = np.unique(ids, return_inverse=True)
+    tops = near  # per query the best of each id
+    if len(distinct) < len(ids):
+        by_id = np.argsort(of, kind="stable")
+        tops = np.maximum.reduceat(near[:, by_id], np.searchsorted(of[by_id], np.arange(len(distinct))), axis=1)
     for i in range(len(q)):
-        row = near[i]
-        if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
+        row, top = near[i], tops[i]
+        if len(top) > k:
+            least = np.partition(top, len(top) - k)[len(top) - k]
             at = np.flatnonzero(row >= least - SLACK * (1 + abs(least)) if np.isfinite(least) else row > -np.inf)
         else:
             at = np.flatnonzero(row > -np.inf)
         s = exact(x[at], q[i])
-        order = np.lexsort((ids[at], -s))[:k]
+        order = np.lexsort((ids[at], -s))
+        order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])[:k]]
         yield ids[at][order], s[order]
 
 
@@ -158,7 +175,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
     """query_id, rank, vec_id, score: the ``k`` best found for each row of ``queries(vec_id, embedding)``
     among all rows of ``vectors(vec_id, embedding)`` but those with the query's own id."""
     spark = prepare(vectors)
-    rows = stored(sound(vectors), "vectors")
+    rows = stored(sound(vectors).dropDuplicates(["vec_id", "embedding"]), "vectors")
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("r2")).first()
     if not facts["n"]:
@@ -205,8 +222,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
         _, parts = told.value
         for batch in route(batches):
             t, leaf, ids = (batch.column(i).to_numpy() for i in range(3))
-            spread = (ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            c = (spread % parts[t, leaf].astype("u8")).astype("i4")
+            c = (spread(ids, matrix(batch.column(3))) % parts[t, leaf].astype("u8")).astype("i4")
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(c), *batch.columns[2:]],
                                              names=["tree", "leaf", "chunk", "vec_id", "embedding"])
 

@@ -104,3 +104,28 @@ def test_vectors_that_take_no_part(spark):
     want = brute(ok, [20], 40)[20]
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 20] == want
     assert forest.nearest(df.limit(0), df).count() == 0
+
+
+def test_doubled_rows_count_once(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(z) for z in rng.normal(size=6)]) for i in range(300)]
+    ids, x = np.array([i for i, _ in rows] * 2), np.array([v for _, v in rows] * 2)
+    q = x[:9]
+    for i, (v, s) in enumerate(forest.best_of(ids, x, ids[:9], q, 20)):
+        assert len(set(v.tolist())) == len(v) == 20 and v.tolist() == [j for j in np.argsort(-(x[:300] @ q[i]), kind="stable") if j != i][:20]
+    # an id with many rows near everything, among them exact repeats
+    rows = rows * 2 + [(900, [4.0 + 0.01 * j] * 6) for j in range(40)] * 2
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for chunk_rows in (forest.CHUNK_ROWS, 50):
+        got = {}
+        for r in forest.nearest(vectors, vectors.filter("vec_id < 9"), leaf_rows=1000, chunk_rows=chunk_rows).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = brute(rows, range(9))
+        assert {i: len(v) for i, v in got.items()} == dict.fromkeys(range(9), 20)
+        assert got == {i: [v for v, _ in best] for i, best in want.items()}
+
+
+def test_rows_of_one_id_are_dealt_out():
+    x = np.random.default_rng(12).normal(size=(8000, 6)).astype("f4").astype("f8")
+    dealt = np.bincount((forest.spread(np.full(8000, 7), x) % np.uint64(8)).astype(int), minlength=8)
+    assert dealt.min() > 800 and dealt.max() < 1200
