@@ -5,8 +5,8 @@
 2. ``line_dedup``: later occurrences of repeated three-line windows are cut out of the
    texts; every document stays (an exact later copy stays with an empty text), and
    ``n_chars`` follows the text.
-3. ``simhash``: of each component of linked fingerprints the row with the smallest
-   doc_id stays; rows that repeat a doc_id count as one document.
+3. ``simhash``: of each component of linked fingerprints one row stays, that with the
+   smallest doc_id; a component without any id keeps one row too.
 4. ``decontamination``: documents with a verified passage of ``benchmark`` go.
 5. ``byte_bpe``: digests of the ids and of the decoded bytes of every kept document.
 

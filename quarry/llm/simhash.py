@@ -66,15 +66,22 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+    """(doc_id, t1, t2, fp): 96 bits of hashes of the text and the 64 bits as a signed long."""
     prepare(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             fp = np.array([fingerprint(t, shingle) for t in texts_of(block)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([block.column(0), *block.columns[2:], pa.array(fp)],
+                                             names=["doc_id", "t1", "t2", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_text_key())
+    return rows.mapInArrow(run, "doc_id long, t1 long, t2 int, fp long")
+
+
+def _text_key() -> list[F.Column]:
+    """Two hashes that tell texts apart; null and empty texts differ."""
+    return [F.xxhash64("text").alias("t1"), F.hash("text").alias("t2")]
 
 
 def _lists(fps: DataFrame, matches: int) -> DataFrame:
@@ -199,26 +206,40 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs(doc_id, text)``."""
+def _rooted(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fingerprints``, and (fp, first, root): the smallest doc_id with each
+    fingerprint and the smallest fingerprint of its component."""
     marked = stored(fingerprints(docs, shingle), "fingerprints")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     linked = components(links(fps.select("fp"), distance))
-    rooted = fps.join(linked, fps["fp"] == linked["node"], "left").select(
+    return marked, fps.join(linked, fps["fp"] == linked["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs(doc_id, text)``."""
+    marked, rooted = _rooted(docs, shingle, distance)
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select(F.col("fp").alias("fp_"), "component_id")
     return marked.join(named, marked["fp"] == named["fp_"], "left").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """Rows of ``docs``, all columns, that stand for their group: the smallest doc_id of each
-    component. Rows that repeat a doc_id count as one document, of which one row stays;
-    a group without any id keeps one row."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """Rows of ``docs``, all columns, that stand for their group: of each component exactly one
+    row, that with the smallest doc_id (null ids last), among rows of one id that with the
+    smallest hash of the text. Rows of one id whose texts lie in different components stay
+    each for its own; a group without any id keeps one row."""
+    marked, rooted = _rooted(docs.select("doc_id", "text"), shingle, distance)
+    # Two steps: the smallest row of each fingerprint combines in the tasks before any join.
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    least = marked.groupBy("fp").agg(F.min(own).alias("row"))
+    kept = least.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    kept = kept.select(F.col("row.doc_id").alias("_kept"), F.col("row.t1").alias("_t1"), F.col("row.t2").alias("_t2"))
+    t1, t2 = _text_key()
+    keyed = docs.withColumns({"_own1": t1, "_own2": t2})
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_own1") == F.col("_t1"))
+                      & (F.col("_own2") == F.col("_t2")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_own1", "_own2"]).drop("_own1", "_own2")
 
 
 def hex_digits(fp) -> F.Column:

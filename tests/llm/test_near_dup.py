@@ -94,6 +94,14 @@ def test_one_row_stays(documents, prose):
     assert len([r for r in kept.collect() if r.doc_id is None]) == 1
 
 
+def test_every_component_keeps_a_row_of_its_own(documents, prose):
+    a, b, c, d = (prose(200) for _ in range(4))
+    docs = documents([(7, a), (None, a), (None, b), (None, b), (None, c), (None, None), (4, c), (4, d), (4, d), (9, d)])
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(7, a), (-1, b), (4, c), (-1, ""), (4, d)])
+
+
 def lines(text):
     return [p for p in re.split(r"(?<=\n)|(?<=[.!?,] )", text)]
 
