@@ -100,9 +100,14 @@ def templates(spark: SparkSession) -> DataFrame:
     return rows.withColumn("words", words(F.col("words"))).withColumn("grams", shingles(F.col("words")))
 
 
+#: A paragraph of one text: rows without an id or with the same one are told apart by the text.
+KEY = ("doc_id", "whole", "paragraph")
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number from 0), text of the non-blank lines."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
+    """doc_id, whole (hash of the document's text, which tells rows of one id apart),
+    paragraph (line number from 0), text of the non-blank lines."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
     return rows.filter(F.trim(F.col("text"), F.lit(" \r\t")) != "")
 
 
@@ -188,26 +193,27 @@ def scan(docs: DataFrame, none_rows: int = NONE_ROWS) -> DataFrame:
     lines = paragraphs(docs)
     # Empty pieces stand at the ends only and have no weight. The outer forms keep the
     # optimizer from splitting every text again for an inferred filter.
-    grams = lines.select("doc_id", "paragraph", F.split(F.lower(F.col("text")), WORD).alias("words")).select(
-        "doc_id", "paragraph", F.transform("words", lambda x: F.xxhash64(x)).alias("hs"))
-    grams = grams.select("doc_id", "paragraph", "hs", F.posexplode_outer("hs").alias("pos", "h"))
-    grams = grams.select("doc_id", "paragraph", F.explode_outer(F.array(
+    grams = lines.select(*KEY, F.split(F.lower(F.col("text")), WORD).alias("words")).select(
+        *KEY, F.transform("words", lambda x: F.xxhash64(x)).alias("hs"))
+    grams = grams.select(*KEY, "hs", F.posexplode_outer("hs").alias("pos", "h"))
+    grams = grams.select(*KEY, F.explode_outer(F.array(
         F.col("h"), F.xxhash64("h", F.get("hs", F.col("pos") + 1)))).alias("feature"))
     # A gram counts once per paragraph: partial aggregates drop repeats before the sums.
-    hits = grams.join(F.broadcast(weights), "feature").select("doc_id", "paragraph", "feature", "w").distinct()
-    sums = hits.groupBy("doc_id", "paragraph").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(families))])
+    hits = grams.join(F.broadcast(weights), "feature").select(*KEY, "feature", "w").distinct()
+    sums = hits.groupBy(*KEY).agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(families))])
     raw = F.array(*[F.col(f"s{i}") + F.lit(b) for i, b in enumerate(intercepts)])
-    sums = sums.select("doc_id", "paragraph", raw.alias("raw")).withColumn("top", F.array_max("raw"))
+    sums = sums.select(*KEY, raw.alias("raw")).withColumn("top", F.array_max("raw"))
     total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / temperature))
     names = F.array(*[F.lit(f) for f in families])
-    best = sums.select("doc_id", "paragraph", F.element_at(names, F.array_position("raw", F.col("top")).cast("int")).alias("best"),
+    best = sums.select(*KEY, F.element_at(names, F.array_position("raw", F.col("top")).cast("int")).alias("best"),
                        (1 / total).alias("probability"))
     best = best.filter("best <> 'none'").withColumn(
         "family", F.when(F.col("probability") >= CERTAIN, F.col("best")).otherwise(F.lit("unknown")))
-    best = stored(best.select(F.col("doc_id").alias("_id"), F.col("paragraph").alias("_paragraph"), "family", "probability"), "licences")
+    best = stored(best.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("paragraph").alias("_paragraph"), "family", "probability"), "licences")
     if best.count() <= BROADCAST_ROWS:  # narrow rows of a counted table; beyond the bound the join shuffles
         best = F.broadcast(best)
-    found = lines.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("paragraph") == F.col("_paragraph"))).drop("_id", "_paragraph")
+    found = lines.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("whole") == F.col("_whole"))
+                       & (F.col("paragraph") == F.col("_paragraph"))).drop("_id", "_whole", "_paragraph")
     own = templates(docs.sparkSession).groupBy(F.col("family").alias("_family")).agg(F.collect_list("grams").alias("known"))
     found = found.join(F.broadcast(own), found["family"] == F.col("_family"), "left").withColumn("grams", shingles(words(F.col("text"))))
     share = F.transform("known", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t))

@@ -107,3 +107,12 @@ def test_licences(spark, documents, prose):
     assert set(found) <= {*said, 200, None}
     assert 200 not in found or not found[200].confirmed or found[200].family == "unknown"
     assert licences.scan(documents([])).count() == 0
+
+
+def test_licences_of_rows_without_an_own_id(documents, prose):
+    said = "Released under the MIT License."
+    rows = [(i, prose(60)) for i in range(60)]
+    rows += [(None, said), (None, prose(30)), (None, "All rights reserved."), (7, said), (7, prose(30))]
+    got = [r for r in licences.scan(documents(rows), none_rows=100).collect() if r.doc_id in (None, 7)]
+    assert sorted((r.doc_id or -1, r.family, r.paragraph, r.text) for r in got) == [
+        (-1, "mit", 0, said), (-1, "proprietary", 0, "All rights reserved."), (7, "mit", 0, said)]
