@@ -216,8 +216,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     sample = rows.select("doc_id", "text", "y", "weight").mapInArrow(
         features, "doc_id long, y int, weight double, x array<double>").toArrow()  # bounded by the sample
     if sample.num_rows:
-        order = np.lexsort((sample.column("y").to_numpy(), sample.column("doc_id").to_numpy()))
-        x = np.array(sample.column("x").to_pylist())[order]
+        x = np.array(sample.column("x").to_pylist())
+        order = np.lexsort((*x.T[::-1], sample.column("y").to_numpy(), sample.column("doc_id").to_numpy()))  # rows of one id too
+        x = x[order]
         net = fit(x, sample.column("y").to_numpy()[order].astype(float), sample.column("weight").to_numpy()[order])
     else:
         net = fit(np.zeros((0, DIM)), np.zeros(0), np.zeros(0))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import licences, quality, toxicity
+from quarry.llm._labels import training_rows
 
 
 def held(i):
@@ -116,3 +117,19 @@ def test_licences_of_rows_without_an_own_id(documents, prose):
     got = [r for r in licences.scan(documents(rows), none_rows=100).collect() if r.doc_id in (None, 7)]
     assert sorted((r.doc_id or -1, r.family, r.paragraph, r.text) for r in got) == [
         (-1, "mit", 0, said), (-1, "proprietary", 0, "All rights reserved."), (7, "mit", 0, said)]
+
+
+def test_labelled_sample_is_bounded_in_rows(spark, documents, prose):
+    rows = [(i, prose(20)) for i in range(40)] + [(3, prose(10))] * 200 + [(5, prose(10)) for _ in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, y int")
+    docs = documents(rows).select("doc_id", "text").repartition(7)
+    got = training_rows(docs, labels, "y", {1: 30, 0: 10}).collect()
+    assert {r.doc_id for r in got if r.y == 1} == set(range(1, 40, 2))  # no id is pushed out
+    assert len([r for r in got if r.y == 1]) == 30 and len([r for r in got if r.y == 0]) == 10
+    assert len({(r.doc_id, r.text) for r in got}) == len(got)
+    weights = {}
+    for r in got:
+        weights[r.doc_id] = weights.get(r.doc_id, 0) + r.weight
+    assert all(weights[i] == pytest.approx(1) for i in range(1, 40, 2)) and sum(w for i, w in weights.items() if i % 2 == 0) == pytest.approx(20)
+    again = training_rows(docs.repartition(3), labels, "y", {1: 30, 0: 10}).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
