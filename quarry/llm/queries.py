@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, forest, licences, line_dedup, quality, simhash, token_files, toxicity, warc
+from quarry.llm import bpe, decontaminate, forest, licences, line_dedup, periodic, quality, simhash, token_files, toxicity, warc
 from quarry.llm._common import scratch, table
 
 
@@ -70,6 +70,10 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.scan(table(spark, sf_dir, "documents", "doc_id", "text"), periodic.planted))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
                   sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_line_dedup": op9_line_dedup,
         "op10_forest": op10_forest,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
