@@ -12,7 +12,7 @@ white space beside a blank or line break, or at its ends, is encoded whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,14 @@ CACHE_PIECES = 400_000
 class PieceCache:
     """``encode_pieces`` and ``encode_whole`` map a list of strings to the bytes of
     their ids; the former gets strings without line breaks or outer white space
-    (but for the blank in front). ``split=False``: pieces do not stand alone."""
+    (but for the blank in front). ``split=False``: pieces do not stand alone; neither
+    do those of a text that holds a string of ``whole_if``."""
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]],
-                 encode_whole: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES, split: bool = True):
+                 encode_whole: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES, split: bool = True,
+                 whole_if: Sequence[str] = ()):
         self.encode_pieces, self.encode_whole, self.limit, self.split = encode_pieces, encode_whole, limit, split
+        self.whole_if = whole_if
         self.cache: dict[str, bytes | None] = {"": b""}
         self.line_break = encode_whole(["\n"])[0]
 
@@ -59,14 +62,21 @@ class PieceCache:
             self.cache.update((pieces[i], found[i]) for i in keep.tolist())
         return found
 
-    def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
-        """Encoded ids of each text; null counts as empty."""
+    def encode(self, texts: pa.Array | list[str], blank: bool = False) -> Iterator[bytes]:
+        """Encoded ids of each text, with ``blank`` of a blank and the text; null counts as empty."""
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        front = " " if blank else ""
         if not self.split:
-            yield from self.encode_whole(column.to_pylist())
+            yield from self.encode_whole([front + t for t in column.to_pylist()])
             return
+        alone = np.zeros(len(column), bool)
+        for string in self.whole_if:
+            alone |= pc.match_substring(column, string).to_numpy(zero_copy_only=False)
         # Every line starts a piece that begins with the line break; what stands before the first is empty.
-        marked = pc.replace_substring(pc.binary_join_element_wise("\n", column, ""), "\n", " \n")
+        # With a blank in front the first piece is one like those behind it.
+        marked = column if blank else pc.binary_join_element_wise("\n", column, "")
+        marked = pc.replace_substring(marked, "\n", " \n")
+        marked = pc.binary_join_element_wise(" ", marked, "") if blank else marked
         lists = pc.split_pattern(marked, " ")
         bounds = lists.offsets.to_numpy()
         numbered = lists.flatten().dictionary_encode()
@@ -78,9 +88,9 @@ class PieceCache:
         data = memoryview(data) if data is not None else memoryview(b"")
         empty = number == pieces.index("") if "" in pieces else np.zeros(len(number), bool)
         wrong = np.concatenate([[0], np.cumsum(broken[number] | empty)])  # one empty piece opens every text
-        skip = len(self.line_break)
+        skip = 0 if blank else len(self.line_break)
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            if wrong[b] - wrong[a] > 1:
-                yield self.encode_whole([column[i].as_py()])[0]
+            if alone[i] or wrong[b] - wrong[a] > 1:
+                yield self.encode_whole([front + column[i].as_py()])[0]
             else:
                 yield bytes(data[ends[a] + skip:ends[b]])

@@ -15,9 +15,13 @@ A reader fetches the last 9 bytes, then the table, then only the frames of the
 documents it wants.
 
 Defined results: null text counts as empty (its row holds the end id only);
-documents are ordered by (doc_id, text), null ids first; repeated rows are kept,
-each with its own frame; an empty table gives no files and no rows; further
-columns are ignored.
+documents are ordered by (doc_id, hash of the text, text), null ids first, and
+dealt by ranges of (doc_id, hash of the text), so rows that share one id, or have
+none, spread over many tasks (only repeats of one text under one id stay
+together); repeated rows are kept, each with its own frame; a special token's
+string inside a text becomes that token, as the library does by default
+(``plain_special=True``: it is ordinary text); an empty table gives no files and
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,17 +56,18 @@ JOINED = 64
 MANIFEST = "file string, first_doc long, part int, seq int, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-_ENCODERS: dict[str, tuple[PieceCache, int]] = {}
+_ENCODERS: dict[tuple[str, bool], tuple[PieceCache, int]] = {}
 
 
-def text_encoder(path: str) -> tuple[PieceCache, int]:
-    """(encoder of whole texts, bytes per id) for a tokenizers file, once per process."""
-    if path not in _ENCODERS:
+def text_encoder(path: str, plain_special: bool = False) -> tuple[PieceCache, int]:
+    """(encoder of whole texts, bytes per id) for a tokenizers file, once per process.
+    ``plain_special``: the strings of special tokens are ordinary text."""
+    if (path, plain_special) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        tok.encode_special_tokens = plain_special
         width = 2 if max(tok.get_vocab().values()) < 1 << 16 else 4
         kind = {2: "H", 4: "I"}[width]
 
@@ -89,9 +94,11 @@ def text_encoder(path: str) -> tuple[PieceCache, int]:
                  and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
         if split:
             [line_break] = tok.encode("\n", add_special_tokens=False).ids
-        cache = PieceCache(pieces, whole, split=split)  # pieces of other tokenizers do not stand alone
-        _ENCODERS[path] = (cache, width)
-    return _ENCODERS[path]
+        added = [t["content"] for t in spec.get("added_tokens", []) if not (plain_special and t.get("special"))]
+        # Pieces of other tokenizers do not stand alone; nor do those of texts that hold an added token.
+        cache = PieceCache(pieces, whole, split=split, whole_if=added)
+        _ENCODERS[path, plain_special] = (cache, width)
+    return _ENCODERS[path, plain_special]
 
 
 class FrameWriter:
@@ -170,20 +177,23 @@ class FrameReader:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
-                      file_bytes: int = FILE_BYTES, partitions: int | None = None) -> DataFrame:
+                      file_bytes: int = FILE_BYTES, partitions: int | None = None, plain_special: bool = False) -> DataFrame:
     """Encode ``docs(doc_id, text)`` into files below ``folder``, in doc_id order.
 
-    Texts are range-partitioned and sorted by doc_id once; each task then encodes
-    and writes its range as a stream. Returns the stored manifest, one row per file.
+    Texts are range-partitioned and sorted by (doc_id, hash of the text) once; each task
+    then encodes and writes its range as a stream. Returns the stored manifest, one row
+    per file.
     """
     spark = prepare(docs)
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(*([partitions] if partitions else []), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.repartitionByRange(*([partitions] if partitions else []), "doc_id", "text_hash")
+    rows = rows.sortWithinPartitions("doc_id", "text_hash", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, width = text_encoder(tokenizer)
+        cache, width = text_encoder(tokenizer, plain_special)
         end = np.array([end_id], f"<u{width}").tobytes()
         part, out, made, tokens = TaskContext.get().partitionId(), None, [], 0
 

@@ -18,17 +18,22 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
 
 
-def test_token_files_hold_what_the_library_gives(spark, odd):
+@pytest.mark.parametrize("plain_special", [False, True])
+def test_token_files_hold_what_the_library_gives(spark, odd, documents, plain_special):
+    from pyspark.sql import functions as F
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
+    if plain_special:  # otherwise the library as it comes
+        tok.encode_special_tokens = True
+    odd = odd.unionByName(documents([(70, "a <|endoftext|>"), (71, "x<|endoftext|><|endoftext|> y z"), (72, "<|endoftext| >")]))
     folder = scratch(spark, "t")
-    manifest = token_files.write_token_files(odd, folder, JSON, file_bytes=100, partitions=3)
+    manifest = token_files.write_token_files(odd, folder, JSON, file_bytes=100, partitions=3, plain_special=plain_special)
     got = [tuple(r) for r in token_files.read_token_files(manifest).orderBy("start").collect()]
-    rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))
     start, want = 0, []
-    for doc_id, text in rows:
+    for doc_id, text, _ in rows:
         ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -36,6 +41,22 @@ def test_token_files_hold_what_the_library_gives(spark, odd):
     assert manifest.count() > 3  # small files: the running total crosses files
 
 
+def test_rows_without_id_spread(spark, documents):
+    """A third of all rows has no id: no task gets them all."""
+    rows = [(None if i % 3 else i, f"text {i}") for i in range(600)]
+    manifest = token_files.write_token_files(documents(rows), scratch(spark, "t"), JSON, partitions=8)
+    assert manifest.count() == 8 and manifest.agg({"n_docs": "max"}).first()[0] < 200
+    got = token_files.read_token_files(manifest).collect()
+    assert len(got) == 600 and len({r.start for r in got}) == 600
+
+
+def test_special_strings_are_single_ids(spark, documents):
+    folder = scratch(spark, "t")
+    manifest = token_files.write_token_files(documents([(1, "it's <|endoftext|> 'll 123")]), folder, JSON)
+    [row] = token_files.read_documents(manifest, spark.createDataFrame([(1,)], "doc_id long")).collect()
+    assert row.ids == [270, 338, 220, 50256, 705, 297, 17031, 0]
+
+
 def test_only_wanted_documents_are_read(spark, odd):
     manifest = token_files.write_token_files(odd, scratch(spark, "t"), JSON)
     wanted = spark.createDataFrame([(7,), (51,), (999,)], "doc_id long")
