@@ -3,21 +3,25 @@
 A line ends at a line break, or behind a full stop, exclamation mark, question mark or
 comma that a blank follows; so a passage is found wherever it stands in a paragraph, and
 whatever is wrapped around it. Every three consecutive lines (without the blank or line
-break that ends them, the outer two not empty) of together at least ``MIN_CHARS`` characters are a window. Windows are compared
-by 96 bits of hashes. The first occurrence in the order (doc_id, hash of the text,
-position) stays; all lines that a later occurrence covers are removed. Every removed line
-has an equal line earlier in that order, so each content stays at least once.
+break that ends them, the outer two not empty) are a window, however short. Windows are
+compared by 96 bits of hashes. The first occurrence in the order (doc_id, hash of the text,
+position) stays; the lines that later occurrences cover are merged into runs, and runs of at
+least ``MIN_CHARS`` characters are removed. Every removed line has an equal line earlier in
+that order, so each content stays at least once.
 
 Plan: (1) count the windows per 64-bit hash; (2) keep only the windows whose hash is
 repeated, a join that adaptive execution can split for a hot hash; (3) among these few,
 the first occurrence per window, again by an aggregate that combines in the tasks, and
-the later ones; (4) merge the covered positions of each document into runs, and cut the
-runs out of its text. No window's occurrences are ever gathered in one task.
+the later ones, by a join whose hot windows are dealt over parts; (4) merge the covered
+positions of each document into runs, and cut the long ones out of its text. No window's
+occurrences are ever gathered in one task.
 
 Defined results: null texts stay null and have no lines; empty and short texts stay as they
-are; rows that repeat a document exactly share its result; rows with the same doc_id and
-other text are told apart by the hash of the text; null doc_ids come first in the order;
-an empty table gives an empty result; other columns of the rows are kept.
+are; rows that repeat a document exactly share its result; rows with the same doc_id (or
+none) and other text are told apart by 96 bits of hashes of the text; null doc_ids come first
+in the order; a text of any length is one row of line hashes; an empty table gives an empty
+result; other columns of the rows are kept, but ``removed_lines`` and ``removed_runs``
+replace columns of these names.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from quarry.llm._common import stored
 
 LINES = 3
-#: Shorter windows are phrases that clean documents share by chance.
+#: Shorter runs of repeated lines are phrases that clean documents share by chance.
 MIN_CHARS = 60
+#: Occurrences of one window that one task joins with its first; more are dealt over parts.
+PART = 4096
 
 
 def pieces(text) -> F.Column:
@@ -44,52 +50,61 @@ def contents(text) -> F.Column:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, place (hash of the text and position in one number), k1, k2 of every window."""
-    rows = docs.filter("text IS NOT NULL").select("doc_id", F.hash("text").cast("long").alias("text_hash"), contents("text").alias("lines"))
-    rows = rows.select(
-        "doc_id", "text_hash", F.transform("lines", lambda p: F.xxhash64(p)).alias("hs"),
-        F.transform("lines", lambda p: F.length(p)).alias("ns"))
+    """doc_id, t1, place, k1, k2 of every window. ``t1`` and the high half of ``place`` tell
+    texts apart, its low half is the position; ``k1`` and ``k2`` are the window's hashes."""
+    rows = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t1"), F.hash("text").cast("long").alias("t2"),
+                                                  contents("text").alias("lines"))
+    empty = F.transform("lines", lambda p: p == "")
+    rows = rows.select("doc_id", "t1", "t2", F.transform("lines", lambda p: F.xxhash64(p)).alias("hs"), empty.alias("empty"))
     # The outer form and coalesce: from a plain explode, a filter on the array's size or a
     # comparison that needs the array the optimizer infers a filter that splits every text again.
-    rows = rows.select("doc_id", "text_hash", "hs", "ns", F.posexplode_outer("hs").alias("pos", "h"))
+    rows = rows.select("doc_id", "t1", "t2", "hs", "empty", F.posexplode_outer("hs").alias("pos", "h"))
     h = [F.col("h"), *[F.get("hs", F.col("pos") + i) for i in range(1, LINES)]]
-    n = [F.coalesce(F.get("ns", F.col("pos") + i), F.lit(0)) for i in range(LINES)]
-    rows = rows.filter((F.col("pos") <= F.size("hs") - LINES) & (sum(n[1:], n[0]) >= MIN_CHARS) & (n[0] > 0) & (n[-1] > 0))
-    return rows.select("doc_id", (F.shiftleft("text_hash", 32) + F.col("pos")).alias("place"),
+    blank = [F.coalesce(F.get("empty", F.col("pos") + i), F.lit(True)) for i in (0, LINES - 1)]
+    rows = rows.filter((F.col("pos") <= F.size("hs") - LINES) & ~blank[0] & ~blank[1])
+    return rows.select("doc_id", "t1", (F.shiftleft("t2", 32) + F.col("pos")).alias("place"),
                        F.xxhash64(*h).alias("k1"), F.hash(*h[1:], h[0]).alias("k2"))
 
 
-def later_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, place) of every window that has an earlier occurrence."""
+def later_windows(docs: DataFrame, part: int = PART) -> DataFrame:
+    """(doc_id, t1, place) of every window that has an earlier occurrence."""
     all_windows = windows(docs)
-    repeated = all_windows.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1")
+    repeated = all_windows.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(all_windows.join(repeated, "k1"), "repeated-windows")
-    first = met.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    joined = met.join(first, ["k1", "k2"])
-    return joined.filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).select("doc_id", "place")
-
-
-def covered_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, runs: per document with later windows the merged runs
-    (first, last) of covered line positions, in order."""
-    at = later_windows(docs).select("doc_id", F.shiftright("place", 32).alias("text_hash"),
-                                    F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")).distinct()
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("pos")
+    occurrence = F.struct("doc_id", "t1", "place")
+    first = met.groupBy("k1", "k2").agg(F.min(occurrence).alias("first"), F.max("n").alias("n"))
+    parts = F.ceil(F.col("n") / part).cast("int")  # both sides take it from the same count of k1
+    first = first.select("k1", "k2", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    own = F.pmod(F.xxhash64("doc_id", "t1", "place"), parts).cast("int")
+    joined = met.withColumn("part", own).join(first, ["k1", "k2", "part"])
+    return joined.filter(~occurrence.eqNullSafe(F.col("first"))).select("doc_id", "t1", "place")
+
+
+def covered_runs(docs: DataFrame, part: int = PART) -> DataFrame:
+    """doc_id, t1, t2, runs: per document with later windows the merged runs (first, last)
+    of covered line positions, in order."""
+    at = later_windows(docs, part).select("doc_id", "t1", F.shiftright("place", 32).alias("t2"),
+                                          F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")).distinct()
+    order = Window.partitionBy("doc_id", "t1", "t2").orderBy("pos")
     opens = (F.col("pos") > F.lag("pos").over(order) + LINES) | F.lag("pos").over(order).isNull()
     runs = at.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order))
-    runs = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("pos").alias("first"), (F.max("pos") + LINES - 1).alias("last"))
-    return runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = runs.groupBy("doc_id", "t1", "t2", "run").agg(F.min("pos").alias("first"), (F.max("pos") + LINES - 1).alias("last"))
+    return runs.groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, part: int = PART) -> DataFrame:
     """``docs`` with later occurrences cut out of ``text``; adds ``removed_lines`` (long)
     and ``removed_runs``, which replace columns of these names."""
     names = [c for c in docs.columns if c not in ("removed_lines", "removed_runs")]
-    runs = covered_runs(docs.select("doc_id", "text")).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs"))
-    rows = docs.select(*names, F.hash("text").cast("long").alias("_text_hash"))
-    rows = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    rows = rows.withColumn("_lines", F.when(F.col("_runs").isNotNull(), pieces("text")))
+    runs = covered_runs(docs.select("doc_id", "text"), part).select(
+        F.col("doc_id").alias("_id"), F.col("t1").alias("_r1"), F.col("t2").alias("_r2"), F.col("runs").alias("_found"))
+    rows = docs.select(*names, F.xxhash64("text").alias("_t1"), F.hash("text").cast("long").alias("_t2"))
+    rows = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t1") == F.col("_r1"))
+                     & (F.col("_t2") == F.col("_r2")), "left")
+    rows = rows.withColumn("_lines", F.when(F.col("_found").isNotNull(), pieces("text")))
+    chars = lambda r: F.length(F.array_join(F.slice("_lines", r["first"] + 1, r["last"] - r["first"] + 1), ""))
+    long = F.filter("_found", lambda r: chars(r) >= min_chars)
+    rows = rows.withColumn("_long", long).withColumn("_runs", F.when(F.size("_long") > 0, F.col("_long")))
     n = F.size("_runs")
     gap = lambda j: F.slice(  # noqa: E731  the lines between run j - 1 and run j
         "_lines", F.when(j == 0, 1).otherwise(F.get("_runs", j - 1)["last"] + 2),

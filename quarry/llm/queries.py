@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, forest, licences, line_dedup, periodic, quality, simhash, token_files, toxicity, warc
+from quarry.llm import align, bpe, decontaminate, forest, licences, line_dedup, minhash, periodic, quality, simhash, token_files, toxicity, warc
 from quarry.llm._common import scratch, table
 
 
@@ -74,6 +74,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.summary(periodic.scan(table(spark, sf_dir, "documents", "doc_id", "text"), periodic.planted))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"),
+                       tokenizer_file("piece_bpe_32k.model"), digest=True)
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
                   sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -93,16 +102,39 @@ WITH d AS (SELECT doc_id, string_split(replace(replace(replace(replace(replace(t
      l AS (SELECT doc_id, i AS pos, p[i] AS piece, c[i] AS a, c[i + 1] AS b, c[i + 2] AS c
            FROM (SELECT doc_id, p, c, unnest(range(1, len(p) + 1)) AS i FROM d)),
      w AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS occurrence FROM l
-           WHERE b IS NOT NULL AND c IS NOT NULL AND a <> '' AND c <> '' AND length(a) + length(b) + length(c) >= 60),
+           WHERE b IS NOT NULL AND c IS NOT NULL AND a <> '' AND c <> ''),
      x AS (SELECT DISTINCT doc_id, pos + k AS pos FROM w, (SELECT unnest([0, 1, 2]) AS k) WHERE occurrence > 1),
-     r AS (SELECT l.doc_id, count(x.pos) AS removed_lines,
-                  string_agg(piece, '' ORDER BY l.pos) FILTER (WHERE x.pos IS NULL) AS kept
-           FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos GROUP BY 1)
+     i AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM x),
+     y AS (SELECT doc_id, run FROM i JOIN l USING (doc_id, pos) GROUP BY 1, 2 HAVING sum(length(piece)) >= 60),
+     z AS (SELECT i.doc_id, i.pos FROM i JOIN y USING (doc_id, run)),
+     r AS (SELECT l.doc_id, count(z.pos) AS removed_lines,
+                  string_agg(piece, '' ORDER BY l.pos) FILTER (WHERE z.pos IS NULL) AS kept
+           FROM l LEFT JOIN z ON l.doc_id = z.doc_id AND l.pos = z.pos GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text,
        coalesce(removed_lines, 0)::BIGINT AS removed_lines
 FROM documents LEFT JOIN r USING (doc_id)
 """
 
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+       SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     g AS (SELECT doc_id, ws[1] AS shingle FROM w WHERE len(ws) = 1
+           UNION SELECT doc_id, ws[i] || ' ' || ws[i + 1]
+           FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w WHERE len(ws) > 1)),
+     n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+     p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+           FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+           WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents
+                          UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+     c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -117,8 +149,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_forest": op10_forest,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_minhash": op12_minhash,
+        "op13_align": op13_align,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_warc": WARC_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op12_minhash": MINHASH_SQL}

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -115,10 +116,14 @@ def brute_lines(rows):
         gone = set()
         for p in range(len(ls) - 2):
             w = tuple(key[p:p + 3])
-            if sum(map(len, w)) >= line_dedup.MIN_CHARS and w[0] and w[2]:
+            if w[0] and w[2]:
                 if w in seen:
                     gone |= {p, p + 1, p + 2}
                 seen.add(w)
+        for start in [p for p in gone if p - 1 not in gone]:
+            run = list(itertools.takewhile(gone.__contains__, itertools.count(start)))
+            if sum(len(ls[p]) for p in run) < line_dedup.MIN_CHARS:
+                gone -= set(run)
         out[i] = ("".join(x for p, x in enumerate(ls) if p not in gone), len(gone))
     return out
 
@@ -146,3 +151,47 @@ def test_repeated_rows_and_ids(documents, prose):
     t, u = prose(80), prose(80)
     got = sorted((r.doc_id or -1, r.text) for r in line_dedup.dedup(documents([(1, t), (1, t), (1, u), (None, t), (2, u + " " + t)])).collect())
     assert (-1, t) in got and got.count((1, "")) == 2 and (1, u) in got and got[-1][0] == 2 and t not in got[-1][1]
+
+
+def same_hash(spark, prose):
+    """Two texts of equal 32-bit hash: one a passage of other rows, one unique."""
+    from pyspark.sql import functions as F
+
+    passage = prose(70)
+    n = spark.range(400_000).select(F.col("id"), F.hash(F.concat(F.lit(passage + " End "), "id")).alias("h"))
+    unique = " ".join(f"Unique sentence {i} of this text here." for i in range(4))
+    m = spark.range(400_000).select(F.col("id").alias("other"), F.hash(F.concat(F.lit(unique + " End "), "id")).alias("h"))
+    pair = n.join(m, "h").first()
+    return passage, f"{passage} End {pair.id}", f"{unique} End {pair.other}"
+
+
+def test_texts_of_one_hash_are_told_apart(spark, documents, prose):
+    passage, repeats, unique = same_hash(spark, prose)
+    rows = [(None, repeats), (None, unique), (None, passage), (4, passage)]
+    got = {r.text for r in line_dedup.dedup(documents(rows)).collect() if r.doc_id is None}
+    assert unique in got
+
+
+def test_short_lines_are_a_passage(documents):
+    """Lists and verse: no single window is long, the repeated run is."""
+    verse = "\n".join(["Red is here", "Blue is it", "Green, too", "And grey", "So we sing", "Once more", "And again", "Until noon", "All of us", "Here now"])
+    rows = [(i, f"Start {i} of it.\n{verse}\nEnd {i} of it.") for i in range(5)] + [(9, "a, b, c, d"), (10, "a, b, c, d")]
+    got = {r.doc_id: r for r in line_dedup.dedup(documents(rows)).collect()}
+    assert {i: (r.text, r.removed_lines) for i, r in got.items()} == brute_lines(rows)
+    assert all(verse not in got[i].text and got[i].removed_lines > 9 for i in range(1, 5)) and verse in got[0].text
+    assert got[10].text == "a, b, c, d"
+
+
+def test_hot_window_in_parts(documents, prose):
+    """One passage in every document, joined in parts of a few rows."""
+    passage = prose(60)
+    rows = [(i, f"Own words {i} stand here. {passage} And more {i}.") for i in range(120)]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup(documents(rows), part=7).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_very_long_text(documents):
+    long = " ".join(f"Sentence number {i} stands here." for i in range(20_000))
+    rows = [(1, long), (2, "New start. " + long + " New end."), (3, None)]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup(documents(rows)).collect()}
+    assert got[1] == (long, 0) and got[2][0] in ("New start. New end.", "New start.  New end.") and got[3] == (None, 0)
