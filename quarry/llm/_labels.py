@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm._common import smallest
+
 
 def held_out(doc_id) -> F.Column:
     """Rows whose labels are never learnt from."""
@@ -20,8 +22,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: dic
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
         F.max(label).cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"))
-    parts = [known.filter(F.col("y") == y).orderBy(*order).limit(n).withColumn(
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    parts = [smallest(known.filter(F.col("y") == y), key, n, totals.get(y, 0), "labelled", F.col("doc_id")).withColumn(
         "weight", F.lit(totals.get(y, 0) / max(1, min(n, totals.get(y, 0))))) for y, n in per_class.items()]
     sample = parts[0].unionByName(parts[1])
     # At most the sum of the bounds in rows of three numbers: proven small.

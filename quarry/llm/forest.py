@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by largest inner product: a random-projection forest.
 
 Fit: on a bounded sample each tree splits at the median of a random direction, level
-by level, to the depth at which a leaf is expected to hold ``leaf_rows`` of all rows.
+by level, to the depth at which a leaf is expected to hold an eighth of all rows, at most
+``leaf_rows`` of them.
 Vectors get one more component that makes all of them equally long, so that the
 largest inner product is the nearest vector for the trees. Index: every row is sent
 through every tree; a leaf's rows are stored in chunks of bounded size. Search: each
@@ -32,18 +33,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import prepare, stored
+from quarry.llm._common import prepare, smallest, stored
 
 K = 20
 TREES = 4
 #: Rows of the fitting sample; also bounds the depth, as a leaf keeps 8 sample rows.
 SAMPLE_ROWS = 20_000
+#: Rows of a leaf: an eighth of the table, so small tables are searched by trees as well, at most LEAF_ROWS.
+LEAF_SHARE = 1 / 8
+LEAST_LEAF = 8
 LEAF_ROWS = 8192
 #: Rows that the leaves of one query hold together, as a share of all rows; a row counts
 #: once per tree, so more than 1 is possible.
 SEARCH_SHARE = 1.2
+#: Rows more per wanted neighbour: in a small table these are a larger share of all rows.
+SPARE = 10
 #: Rows scored by one task at once; a larger leaf is cut into chunks.
 CHUNK_ROWS = 16384
+#: Queries that meet one chunk in one task; more are dealt over further tasks.
+QUERY_ROWS = 16384
 QUERY_BLOCK = 256
 SLACK = 1e-9
 
@@ -95,7 +103,8 @@ class Forest:
 def fit(sample: np.ndarray, radius2: float, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
         seed: int = 1) -> Forest:
     rng = np.random.default_rng(seed)
-    depth = max(0, min(int(np.rint(np.log2(max(1, rows) / leaf_rows))), int(np.log2(max(1, len(sample) / 8)))))
+    leaf = max(LEAST_LEAF, min(leaf_rows, LEAF_SHARE * rows))
+    depth = max(0, min(int(np.rint(np.log2(max(1, rows) / leaf))), int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest([], [], radius2, depth)
     x = forest.lengthened(sample)
     for _ in range(trees):
@@ -171,7 +180,8 @@ def best_of(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: i
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
-            sample_rows: int = SAMPLE_ROWS, search_share: float = SEARCH_SHARE, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            sample_rows: int = SAMPLE_ROWS, search_share: float = SEARCH_SHARE, chunk_rows: int = CHUNK_ROWS,
+            query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best found for each row of ``queries(vec_id, embedding)``
     among all rows of ``vectors(vec_id, embedding)`` but those with the query's own id."""
     spark = prepare(vectors)
@@ -180,7 +190,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("r2")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()
+    sample = smallest(rows, F.xxhash64("vec_id", "embedding"), sample_rows, facts["n"], "sampled-vectors", F.col("vec_id"))
+    sample = sample.select("embedding").toArrow()
     forest = fit(matrix(sample.column(0).combine_chunks()), facts["r2"], facts["n"], trees, leaf_rows)
     sent = spark.sparkContext.broadcast(forest)  # bounded by the sample
 
@@ -203,7 +214,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
         sizes[r["tree"], r["leaf"]] = r["n"]
     chunks = np.maximum(1, -(-sizes // chunk_rows))
     told = spark.sparkContext.broadcast((sizes, chunks))
-    wanted = max(1, int(np.ceil(search_share * facts["n"])))
+    wanted = int(np.ceil(search_share * facts["n"])) + SPARE * k
+    asking = stored(rows.join(asked, "vec_id", "left_semi"), "queries")
+    sides = max(1, -(-asking.count() // query_rows))  # no task holds more than about query_rows queries
+
+    names = ["tree", "leaf", "chunk", "side", "vec_id", "embedding"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, (n, parts) = sent.value, told.value
@@ -214,17 +229,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
                 taken = f.probes(np.column_stack([x, np.zeros(len(x))]), n, wanted)
                 where = [(q, t, leaf, c) for q, leaves in enumerate(taken) for t, leaf in leaves for c in range(parts[t, leaf])]
                 q, t, leaf, c = (np.array(z, "i4") for z in zip(*where))
+                side = (spread(part.column(0).to_numpy(), x) % np.uint64(sides)).astype("i4")[q]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t), pa.array(leaf), pa.array(c), part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q))],
-                    names=["tree", "leaf", "chunk", "vec_id", "embedding"])
+                    [pa.array(t), pa.array(leaf), pa.array(c), pa.array(side), part.column(0).take(pa.array(q)),
+                     part.column(1).take(pa.array(q))], names=names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, parts = told.value
         for batch in route(batches):
             t, leaf, ids = (batch.column(i).to_numpy() for i in range(3))
             c = (spread(ids, matrix(batch.column(3))) % parts[t, leaf].astype("u8")).astype("i4")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(c), *batch.columns[2:]],
-                                             names=["tree", "leaf", "chunk", "vec_id", "embedding"])
+            for side in range(sides):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(c), pa.array(np.full(len(c), side, "i4")),
+                                                  *batch.columns[2:]], names=names)
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("vec_id").to_numpy()
@@ -240,10 +257,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
         cat = lambda a, kind: pa.array(np.concatenate(a) if a else np.zeros(0, kind))
         return pa.table({"query_id": cat(out_q, "i8"), "vec_id": cat(out_v, "i8"), "score": cat(out_s, "f8")})
 
-    chunk = "tree int, leaf int, chunk int, vec_id long, embedding array<double>"
+    chunk = "tree int, leaf int, chunk int, side int, vec_id long, embedding array<double>"
     placed = rows.mapInArrow(place, chunk)
-    sought = rows.join(asked, "vec_id", "left_semi").mapInArrow(ask, chunk)
-    keys = ("tree", "leaf", "chunk")
+    sought = asking.mapInArrow(ask, chunk)
+    keys = ("tree", "leaf", "chunk", "side")
     found = placed.groupBy(*keys).cogroup(sought.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -24,7 +24,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._common import stored
+from quarry.llm._common import smallest, stored
 
 #: The licence families and the texts they are known by.
 TEMPLATES = [
@@ -116,7 +116,9 @@ def training_rows(docs: DataFrame, none_rows: int = NONE_ROWS) -> DataFrame:
     spark = docs.sparkSession
     known = templates(spark)
     held = F.array(*[F.lit(h) for r in known.select("grams").collect() for h in r["grams"]])  # of the fixed templates
-    sample = paragraphs(docs).orderBy(F.xxhash64("doc_id", "paragraph"), "text").limit(none_rows)
+    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1  # blank ones too: about the paragraphs
+    total = docs.agg(F.coalesce(F.sum(lines), F.lit(0)).alias("n")).first()["n"]
+    sample = smallest(paragraphs(docs), F.xxhash64(*KEY), none_rows, total, "sampled-paragraphs", F.col("text"))
     plain = sample.select(words(F.col("text")).alias("words")).filter(~F.arrays_overlap(shingles(F.col("words")), held))
     plain = stored(plain.select(F.row_number().over(_by_hash()).alias("i"), "words"), "plain-paragraphs")
     whole = known.select("family", "words")

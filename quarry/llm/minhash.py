@@ -16,9 +16,15 @@ Groups of copies and near copies:
 * first the buckets of a few bands report a spanning forest of their candidates, by blocks
   of at most ``BLOCK`` rows that share the bucket's first row, so a large group falls into
   few components with as many pairs as rows;
-* then all bands are searched for pairs between different components. In a bucket only rows
-  outside its largest component need comparing, with all its rows: both sides are cut in
-  blocks, so no task holds more than two blocks, and a settled bucket is not read at all.
+* then all bands are searched for candidates between different components. In a bucket only
+  rows outside its largest component need comparing, with all its rows: both sides are cut
+  in blocks, so no task holds more than two blocks, and a settled bucket is not read at all.
+  A group reports a spanning forest of its components, which gives clusters: any candidate
+  pair that is left lies inside one;
+* in a cluster the rows outside its largest component meet all its rows, again by blocks, now
+  with their full sets: pairs of different components that the signatures allow are confirmed
+  there, and only links that join components leave the task. So texts that are nearly alike
+  by the thousand, but not alike enough, cost comparisons and no rows.
 
 No candidate is capped. Components come from alternating star contractions, whose rounds
 are written to the shared folder, as are the signatures, buckets and links.
@@ -53,6 +59,8 @@ MARGIN = 0.15
 FIRST_BANDS = 8
 #: Rows of a bucket compared by one task at once.
 BLOCK = 2048
+#: Shingles of the sets that one side of a task holds, about.
+SET_ITEMS = 2_000_000
 #: Groups up to this size are compared by shifts of the whole batch, all pairs.
 SHORT = 12
 #: Shingles hashed at once.
@@ -182,11 +190,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list
         yield held
 
 
-def _compare(met: DataFrame, keys: list[str], percent: int,
+def _compare(met: DataFrame, keys: list[str], percent: int, out: str,
              long_group: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """Candidates (a, b), a < b, from the groups of ``met(*keys, role, rep, comp, n, *WORDS)``:
-    all pairs of short groups, ``long_group`` of longer ones. Pairs of one component, of
-    sizes that rule a link out, or estimated too low, are left out."""
+    """Candidates (a, b), a < b, named by column ``out``, from the groups of ``met(*keys, role,
+    rep, comp, n, *WORDS)``: all pairs of short groups, ``long_group`` of longer ones. Pairs of one
+    component, of sizes that rule a link out, or estimated too low, are left out."""
     least = percent / 100 - MARGIN
     met = met.select(*keys, "role", "rep", "comp", "n", *WORDS)
     met = met.repartition(*keys).sortWithinPartitions(*keys, F.desc("role"), "rep")
@@ -208,24 +216,24 @@ def _compare(met: DataFrame, keys: list[str], percent: int,
             group = np.cumsum(change)
             bounds = np.append(np.flatnonzero(change), len(change))
             length = np.diff(bounds)[group - 1]
-            out = []
+            name, found = rep if out == "rep" else comp, []
             for step in range(1, SHORT):
                 i = np.flatnonzero((group[step:] == group[:-step]) & (length[step:] <= SHORT))
                 if not len(i):
                     break
                 i = i[likely(i, i + step)]
-                out.append((rep[i], rep[i + step]))
+                found.append((name[i], name[i + step]))
             for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if stop - start > SHORT:
-                    out.extend((rep[i], rep[j]) for i, j in long_group(np.arange(start, stop), role, likely))
-            a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, "i8")
-            b = np.concatenate([x for _, x in out]) if out else np.zeros(0, "i8")
+                    found.extend((name[i], name[j]) for i, j in long_group(np.arange(start, stop), role, comp, likely))
+            a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, "i8")
+            b = np.concatenate([x for _, x in found]) if found else np.zeros(0, "i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def _forest(rows: np.ndarray, role: np.ndarray, likely) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _forest(rows: np.ndarray, role, comp, likely) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that span the candidates of a group: search from each unseen row in turn."""
     rest = rows
     while len(rest) > 1:
@@ -241,13 +249,35 @@ def _forest(rows: np.ndarray, role: np.ndarray, likely) -> Iterator[tuple[np.nda
             front, rest = rest[new], rest[~new]
 
 
-def _minor_pairs(rows: np.ndarray, role: np.ndarray, likely) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All candidates between the rows of role 1 and those of role 0."""
+class Roots:
+    """Union of few names, by path halving."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        up = self.up
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.of(x), self.of(y)
+        self.up[x] = y
+        return x != y
+
+
+def _spanned_components(rows: np.ndarray, role: np.ndarray, comp: np.ndarray, likely) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates between the rows of role 1 and those of role 0 that span their components."""
     ones, others = rows[role[rows] == 1], rows[role[rows] == 0]
-    for at in range(0, len(ones), 256):
-        if len(others):
-            i, j = np.nonzero(likely(ones[at:at + 256, None], others[None, :]))
-            yield ones[at + i], others[j]
+    roots = Roots()
+    for one in ones.tolist():
+        j = others[likely(np.array([one]), others)]
+        _, first = np.unique(comp[j], return_index=True)
+        new = [x for x in j[first].tolist() if roots.join(int(comp[one]), int(comp[x]))]
+        if new:
+            yield np.full(len(new), one), np.array(new)
 
 
 def _block_of(column: str, parts) -> F.Column:
@@ -262,25 +292,89 @@ def collapsing_pairs(buckets: DataFrame, reps: DataFrame, percent: int, block: i
         "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep")
     met = own.filter("parts = 1 OR rep != pivot").select("key", "part", "rep").unionByName(first)
     met = met.join(reps, "rep").withColumns({"role": F.lit(0), "comp": F.col("rep")})
-    return _compare(met, ["key", "part"], percent, _forest)
-
-
-def remaining_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, block: int) -> DataFrame:
-    """All candidates of different components: rows outside a bucket's largest component against its rows."""
-    rows = buckets.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("key", "rep", "comp", "size")
-    counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("of"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("of", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-    largest = largest.filter("comps > 1").select("key", F.col("top.comp").alias("major"), F.col("top.of").alias("of"))
-    rows = rows.join(largest, "key").withColumns({
-        "minors": F.ceil((F.col("size") - F.col("of")) / block).cast("int"),
-        "members": F.ceil(F.col("size") / block).cast("int")})
+    return _compare(met, ["key", "part"], percent, "rep", _forest)
+
+
+def _outside_largest(rows: DataFrame, group: str, minors, members) -> DataFrame:
+    """Rows ``(group, rep, comp, n)`` of groups of several components, dealt out so that each row
+    outside a group's largest component (role 1) meets each row of it (role 0) in one (group,
+    minor, member). ``minors`` and ``members`` give the numbers of blocks from ``m``, ``m_items``
+    (rows outside, and their set sizes) and ``s``, ``s_items`` (all rows)."""
+    counts = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("items"))
+    top = counts.groupBy(group).agg(F.max(F.struct("of", "comp", "items")).alias("top"), F.count(F.lit(1)).alias("comps"),
+                                    F.sum("of").alias("s"), F.sum("items").alias("s_items")).filter("comps > 1")
+    top = top.select(group, F.col("top.comp").alias("major"), "s", "s_items", (F.col("s") - F.col("top.of")).alias("m"),
+                     (F.col("s_items") - F.col("top.items")).alias("m_items"))
+    top = stored(top.select(group, "major", minors.cast("int").alias("minors"), members.cast("int").alias("members")), "mixed")
+    rows = rows.join(top, group)
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    member = rows.select("key", "rep", "comp", F.lit(0).alias("role"), all_of("minors").alias("minor"),
+    member = rows.select(group, "rep", "comp", F.lit(0).alias("role"), all_of("minors").alias("minor"),
                          _block_of("rep", F.col("members")).alias("member"))
-    minor = rows.filter("comp != major").select("key", "rep", "comp", F.lit(1).alias("role"),
+    minor = rows.filter("comp != major").select(group, "rep", "comp", F.lit(1).alias("role"),
                                                 _block_of("rep", F.col("minors")).alias("minor"), all_of("members").alias("member"))
-    met = member.unionByName(minor).join(reps, "rep")
-    return _compare(met, ["key", "minor", "member"], percent, _minor_pairs)
+    return member.unionByName(minor)
+
+
+def clusters(buckets: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, block: int) -> DataFrame:
+    """(comp, cluster): components that candidates connect. Components without any are left out."""
+    rows = buckets.select("key", "rep").join(comps, "rep", "left").select(
+        "key", "rep", F.coalesce("comp", "rep").alias("comp"), F.lit(1).alias("n"))
+    met = _outside_largest(rows, "key", F.ceil(F.col("m") / block), F.ceil(F.col("s") / block)).join(reps, "rep")
+    linked = components(_compare(met, ["key", "minor", "member"], percent, "comp", _spanned_components))
+    return linked.select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
+
+
+def links_in_clusters(found: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame, marked: DataFrame,
+                      percent: int, block: int) -> DataFrame:
+    """(a, b): exact links between different components of each cluster, enough to join all
+    components that links join."""
+    found = stored(found, "clusters")
+    every = reps.select("rep", "n").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    # A component that is the smallest of its cluster names it.
+    named = found.unionByName(found.select(F.col("cluster").alias("comp"), "cluster")).distinct()
+    rows = stored(every.join(named, "comp").select("cluster", "rep", "comp", "n"), "cluster-rows")
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / block), F.ceil(F.col(f"{c}_items") / SET_ITEMS))
+    met = _outside_largest(rows, "cluster", parts("m"), parts("s"))
+    wanted = marked.join(rows.select(F.col("rep").alias("row")), "row").select(
+        F.col("row").alias("rep"), F.col("doc_id").alias("id"), "t1", "t2")
+    sets = stored(full_sets(docs, wanted), "cluster-sets")
+    met = met.join(reps, "rep").join(sets, "rep")
+    least = percent / 100 - MARGIN
+
+    def run(table: pa.Table) -> pa.Table:
+        role, rep, comp, n = (table.column(c).to_numpy() for c in ("role", "rep", "comp", "n"))
+        bits = np.stack([table.column(w).to_numpy() for w in WORDS], axis=1).view("u8")
+        lists = table.column("items").combine_chunks()
+        items, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype("i8")
+        ends = ends - ends[0]
+        ones, others = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+        roots, a, b = Roots(), [], []
+        for i in ones.tolist():
+            own = items[ends[i]:ends[i + 1]]
+            j = others[comp[others] != comp[i]]
+            j = j[100 * np.minimum(n[j], n[i]).astype("i8") >= percent * np.maximum(n[j], n[i]).astype("i8")]
+            guess = estimates(bits[i], bits[j])
+            j, guess = j[guess >= least], guess[guess >= least]
+            j, size = j[np.argsort(-guess, kind="stable")], 16  # the likely ones first
+            while len(j):
+                mine = roots.of(int(comp[i]))
+                j = j[[roots.of(c) != mine for c in comp[j].tolist()]]  # joined already
+                part, j, size = j[:size], j[size:], size * 4
+                if not len(part):
+                    break
+                at = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in part.tolist()])
+                place = np.minimum(np.searchsorted(own, items[at]), len(own) - 1)
+                hit = np.concatenate([[0], np.cumsum(own[place] == items[at])])
+                stops = np.cumsum(ends[part + 1] - ends[part])
+                shared = hit[stops] - hit[stops - (ends[part + 1] - ends[part])]
+                ok = 100 * shared >= percent * (n[i].astype("i8") + n[part] - shared)
+                for x in part[ok].tolist():
+                    if roots.join(int(comp[i]), int(comp[x])):
+                        a.append(int(rep[i]))
+                        b.append(int(rep[x]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.groupBy("cluster", "minor", "member").applyInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -293,7 +387,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             hashes = _WordHashes()
-            items = [shingle_set(t, hashes).view("i8") for t in texts_of(block)]
+            items = [np.sort(shingle_set(t, hashes).view("i8")) for t in texts_of(block)]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(items, pa.list_(pa.int64()))], names=["rep", "items"])
 
     return rows.mapInArrow(run, "rep long, items array<long>").dropDuplicates(["rep"])
@@ -325,14 +419,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     buckets = stored(lists.join(sizes, "key"), "buckets")
     links = confirmed(collapsing_pairs(buckets, reps, percent, block), docs, marked, percent)
     first = stored(components(links).select(F.col("node").alias("rep"), F.col("root").alias("comp")), "components")
-    links = confirmed(remaining_pairs(buckets, reps, first, percent, block), docs, marked, percent)
+    links = links_in_clusters(clusters(buckets, reps, first, percent, block), reps, first, docs, marked, percent, block)
     to = lambda c: first.select(F.col("rep").alias(c), F.col("comp").alias(f"{c}_"))
     between = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(
         F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
     second = components(between).select(F.col("node").alias("comp"), "root")
     rooted = groups.join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(second, "comp", "left")
     rooted = stored(rooted.select("d1", "d2", "first", F.coalesce("root", "comp").alias("root")), "roots")
-    names = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    # Stored, so that a root with very many sets is a plain join that adaptive execution can split.
+    names = stored(rooted.groupBy("root").agg(F.min("first").alias("component")), "names")
     named = rooted.join(names, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "component")
     rows = marked.select("doc_id", "n_shingles", "d1", "d2").join(
         named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")

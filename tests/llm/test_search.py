@@ -94,6 +94,28 @@ def test_forest_finds_the_nearest(spark):
     assert same == sorted(same) or x[1000] @ x[1000] < max(s for _, s in mine[1000].values())
 
 
+@pytest.mark.parametrize("n", [400, 5000])
+def test_registered_query_finds_the_nearest(spark, tmp_path, n):
+    """Trees are used at every size; recall of the registered query against all inner products."""
+    from quarry.llm import queries
+
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype("f4").astype(float)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    assert forest.fit(x, float((x * x).sum(axis=1).max()), n).depth == 3
+    got = queries.queries()["op10_forest"](spark, str(tmp_path)).collect()
+    want = brute(list(enumerate(x)), range(0, n, 20))
+    hits = sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got)
+    assert len(got) == 20 * len(want) and hits / len(got) >= 0.9
+
+
+def test_many_queries_are_dealt_over_tasks(spark):
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one = forest.nearest(df, df, k=5).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, forest.nearest(df, df, k=5, query_rows=50).collect()))
+
+
 def test_vectors_that_take_no_part(spark):
     ok = [(i, [float(i % 7 + 1), 1.0, -2.0]) for i in range(30)]
     bad = [(40, None), (60, [0.0, 0.0, 0.0]), (80, [1.0, None, 2.0]), (100, [float("nan"), 1.0, 1.0]), (120, [float("inf"), 1.0, 1.0]),
