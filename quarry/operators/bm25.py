@@ -27,6 +27,7 @@ from quarry.functions.text import tokens
 from quarry.operators.index import TextIndex
 from quarry.operators.ranking import RANK_DECIMALS, top_k
 from quarry.plans.sizing import BROADCAST_MAX_ROWS, cut_lineage, row_count_at_most
+from quarry.sources.keyed import KeyedStore
 
 # Fixed values of the searcher configuration: BM25 (k1, b) and RM3
 # (feedback terms, feedback documents, original query weight).
@@ -106,7 +107,7 @@ def bm25_topk(index: TextIndex, queries: DataFrame, k: int = 100, params: BM25Pa
 
 
 def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: RM3Params = RM3Params(),
-              max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              max_broadcast_rows: int = BROADCAST_MAX_ROWS, forward: KeyedStore | None = None) -> DataFrame:
     """Expanded query weights ``(qid, term, qw)``.
 
     ``qweights(qid, term, qw)`` is the original query, ``feedback(qid, doc_id,
@@ -117,6 +118,8 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
     with the normalised original query as
     ``w = a * orig + (1 - a) * expansion``. A query without any expansion term
     keeps its normalised original distribution. The result is checkpointed.
+    With a ``forward`` store (``forward.write_forward``) only the feedback documents'
+    term vectors are read; without one the postings are scanned for them.
     """
     n, _ = index.stats()
     fb = feedback.filter(F.col("rank") <= rm3.fb_docs).select("qid", "doc_id", "score")
@@ -126,9 +129,12 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
     # filtered where they lie (broadcast semi join keeps the doc partitioning),
     # so the per-document window below needs no shuffle.
     fb_docs = fb.select("doc_id").distinct()
+    if forward is None:
+        doc_terms = index.postings.join(_hint(fb_docs, fb_small), "doc_id", "left_semi")
+    else:
+        doc_terms = forward.lookup(fb_docs, max_broadcast_rows).select("doc_id", F.inline("terms"))
     doc_terms = (
-        index.postings.join(_hint(fb_docs, fb_small), "doc_id", "left_semi")
-        .filter(F.length("term").between(rm3.min_term_len, rm3.max_term_len))
+        doc_terms.filter(F.length("term").between(rm3.min_term_len, rm3.max_term_len))
         .select("doc_id", "term", "tf")
     )
     # One scan of the postings for all queries, cached for the size check and

@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.plans.sizing import BROADCAST_MAX_ROWS, cut_lineage, row_count_at_most
+from quarry.sources.keyed import KeyedStore
 
 
-def fetch_by_key(keys: DataFrame, table: DataFrame, key: str | list[str],
+def fetch_by_key(keys: DataFrame, table: DataFrame | KeyedStore, key: str | list[str],
                  max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Rows of ``table`` whose ``key`` (one column or several) occurs in
-    ``keys`` (late fetch)."""
+    ``keys`` (late fetch). Of a store keyed by ``key`` only the files hit are read."""
+    if isinstance(table, KeyedStore):
+        if key != table.key:
+            raise ValueError(f"the store is keyed by {table.key!r}, not {key!r}")
+        return table.lookup(keys, max_broadcast_rows)
     cols = [key] if isinstance(key, str) else list(key)
     wanted = keys.select(*cols).distinct()
     if row_count_at_most(wanted, max_broadcast_rows):
@@ -29,15 +34,15 @@ def fetch_by_key(keys: DataFrame, table: DataFrame, key: str | list[str],
     return table.join(wanted, cols, "left_semi")
 
 
-def attach_raw(run: DataFrame, corpus: DataFrame, text_col: str = "text",
+def attach_raw(run: DataFrame, corpus: DataFrame | KeyedStore, text_col: str = "text",
                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Add ``raw`` text to each hit (null when the document is missing)."""
     run = cut_lineage(run)
-    texts = fetch_by_key(run, corpus.select("doc_id", F.col(text_col).alias("raw")), "doc_id", max_broadcast_rows)
+    texts = fetch_by_key(run, corpus, "doc_id", max_broadcast_rows).select("doc_id", F.col(text_col).alias("raw"))
     return run.join(texts, "doc_id", "left")
 
 
-def doc_lookup(ids: DataFrame, corpus: DataFrame, text_col: str = "text",
+def doc_lookup(ids: DataFrame, corpus: DataFrame | KeyedStore, text_col: str = "text",
                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``(doc_id, raw)`` for a batch of ids; unknown ids get null."""
     return attach_raw(ids.select("doc_id"), corpus, text_col, max_broadcast_rows)
@@ -58,11 +63,11 @@ def doc_to_index_ids(run: DataFrame, id_map: DataFrame, max_broadcast_rows: int
     return run.join(mapped, "doc_id", "left")
 
 
-def fetch_embeddings(run: DataFrame, vectors: DataFrame, key: str = "vec_id",
+def fetch_embeddings(run: DataFrame, vectors: DataFrame | KeyedStore, key: str = "vec_id",
                      max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Attach the stored vector of each hit (``vectors(key, embedding)``)."""
     run = cut_lineage(run)
-    vecs = fetch_by_key(run, vectors.select(key, "embedding"), key, max_broadcast_rows)
+    vecs = fetch_by_key(run, vectors, key, max_broadcast_rows).select(key, "embedding")
     return run.join(vecs, key, "left")
 
 
