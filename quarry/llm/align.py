@@ -42,6 +42,10 @@ from quarry.llm.token_files import text_encoder
 
 ENCODED = "block long, doc_id long, a binary, b binary"
 PAIRS = "block long, a int, b int, n long"
+#: Text whose pieces are found by one call of the second tokenizer: its ids come as Python numbers.
+PIECE_BYTES = 1 << 19
+#: Pieces of the first tokenizer kept per worker process, beside the second one's model.
+CACHE_PIECES = 100_000
 #: The block of identity pairs, which are counted by vectors.
 IDENTITY = -1
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -119,38 +123,58 @@ class Aligner:
 
 
 def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(block, doc_id, a, b): little-endian 4-byte ids of both tokenizers for every row of
-    ``docs(doc_id, text)``; both empty where the text has no tokens."""
+    """(block, doc_id, a, b): little-endian ids of both tokenizers (see ``id_type``) for every
+    row of ``docs(doc_id, text)``; both empty where the text has no tokens."""
     prepare(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        cache, width = text_encoder(path_a, plain_special=True)
+        cache, width = text_encoder(path_a, plain_special=True, pieces_kept=CACHE_PIECES)
         model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         table_a = pa.array(byte_level_tokens(path_a), pa.large_binary())
         table_b = pa.array(piece_tokens(path_b), pa.large_binary())
+        kind_a, kind_b = id_type(len(table_a)), id_type(len(table_b))
         number = TaskContext.get().partitionId() << 32
         for block in blocks(batches):
             texts = [x or "" for x in block.column(1).to_pylist()]
             ids_a = [np.frombuffer(x, f"<u{width}") for x in cache.encode(texts, blank=True)]
-            ids_b = [np.array(x, "u4") for x in model.encode(texts, num_threads=1)]
+            ids_b = [np.array(x, "u4") for part in _slices(texts) for x in model.encode(part, num_threads=1)]
             all_a, all_b = _joined(table_a, ids_a), _joined(table_b, ids_b)
             rows_a, rows_b = [], []
             for text, a, b, of_a, of_b in zip(texts, ids_a, ids_b, all_a, all_b):
                 raw = b" " + text.encode()
                 ok = bool(text) and of_a == raw and of_b == raw
-                rows_a.append(a.astype("<u4").tobytes() if ok else b"")
-                rows_b.append(b.astype("<u4").tobytes() if ok else b"")
+                rows_a.append(a.astype(kind_a).tobytes() if ok else b"")
+                rows_b.append(b.astype(kind_b).tobytes() if ok else b"")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(texts), number)), block.column(0), pa.array(rows_a, pa.binary()), pa.array(rows_b, pa.binary())],
                 names=["block", "doc_id", "a", "b"])
             number += 1
-        pa.default_memory_pool().release_unused()
+            del texts, ids_a, ids_b, rows_a, rows_b
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
 
+def id_type(size: int) -> str:
+    """The stored type of the ids of a vocabulary: two bytes where they fit."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in parts of about PIECE_BYTES characters."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= PIECE_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _joined(table: pa.Array, ids: list[np.ndarray]) -> Iterator[bytes]:
     """The bytes of each text's tokens."""
     n = np.cumsum([0, *map(len, ids)])
@@ -160,10 +184,11 @@ def _joined(table: pa.Array, ids: list[np.ndarray]) -> Iterator[bytes]:
         yield bytes(data[ends[a]:ends[b]])
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids, number of ids of each row) of a binary column."""
+def _ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, number of ids of each row) of a binary column of a vocabulary's ids."""
+    kind = np.dtype(id_type(size))
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<u4").astype("i8"), np.array([len(r) // 4 for r in rows], "i8")
+    return np.frombuffer(b"".join(rows), kind).astype("i8"), np.array([len(r) // kind.itemsize for r in rows], "i8")
 
 
 def count_pairs(encoded: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -183,7 +208,7 @@ def count_pairs(encoded: DataFrame, path_a: str, path_b: str) -> DataFrame:
             of_block = batch.column(0).to_numpy()
             for number in np.unique(of_block).tolist():
                 part = batch.filter(pa.array(of_block == number))
-                a, b = _ids(part.column(1))[0], _ids(part.column(2))[0]
+                a, b = _ids(part.column(1), len(aligner.size[0]))[0], _ids(part.column(2), len(aligner.size[1]))[0]
                 if not len(a):
                     continue
                 cut = aligner.cut(a, b)
@@ -223,7 +248,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) -> Da
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         of_identity, of_best = shared.value
         aligner = _aligner(path_a, path_b)
-        (a, n_a), (b, n_b) = _ids(texts.column("a").combine_chunks()), _ids(texts.column("b").combine_chunks())
+        (a, n_a), (b, n_b) = (_ids(texts.column(c).combine_chunks(), len(size)) for c, size in zip("ab", aligner.size))
         n = len(n_a)
         figures = {"n_a": n_a, "n_b": n_b} | {f: np.zeros(n, "i8") for f in FIGURES[2:]}
         groups = [""] * n

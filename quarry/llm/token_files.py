@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm._common import blocks, filesystem, prepare, stored
-from quarry.llm.pieces import BLOCK_BYTES, PieceCache
+from quarry.llm.pieces import BLOCK_BYTES, CACHE_PIECES, PieceCache
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -56,13 +56,14 @@ JOINED = 64
 MANIFEST = "file string, first_doc long, part int, seq int, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-_ENCODERS: dict[tuple[str, bool], tuple[PieceCache, int]] = {}
+_ENCODERS: dict[tuple[str, bool, int], tuple[PieceCache, int]] = {}
 
 
-def text_encoder(path: str, plain_special: bool = False) -> tuple[PieceCache, int]:
+def text_encoder(path: str, plain_special: bool = False, pieces_kept: int = CACHE_PIECES) -> tuple[PieceCache, int]:
     """(encoder of whole texts, bytes per id) for a tokenizers file, once per process.
     ``plain_special``: the strings of special tokens are ordinary text."""
-    if (path, plain_special) not in _ENCODERS:
+    own = (path, plain_special, pieces_kept)
+    if own not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,9 +97,9 @@ def text_encoder(path: str, plain_special: bool = False) -> tuple[PieceCache, in
             [line_break] = tok.encode("\n", add_special_tokens=False).ids
         added = [t["content"] for t in spec.get("added_tokens", []) if not (plain_special and t.get("special"))]
         # Pieces of other tokenizers do not stand alone; nor do those of texts that hold an added token.
-        cache = PieceCache(pieces, whole, split=split, whole_if=added)
-        _ENCODERS[path, plain_special] = (cache, width)
-    return _ENCODERS[path, plain_special]
+        cache = PieceCache(pieces, whole, limit=pieces_kept, split=split, whole_if=added)
+        _ENCODERS[own] = (cache, width)
+    return _ENCODERS[own]
 
 
 class FrameWriter:
