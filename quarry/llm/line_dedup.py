@@ -70,6 +70,8 @@ def later_windows(docs: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, t1, place) of every window that has an earlier occurrence."""
     all_windows = windows(docs)
     repeated = all_windows.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Stored: behind an aggregate on the same key the join could not be split for a hot window.
+    repeated = stored(repeated, "repeated")
     met = stored(all_windows.join(repeated, "k1"), "repeated-windows")
     occurrence = F.struct("doc_id", "t1", "place")
     first = met.groupBy("k1", "k2").agg(F.min(occurrence).alias("first"), F.max("n").alias("n"))
