@@ -365,15 +365,69 @@ def q_prf_pipeline_undefined(spark, sf_dir):
 
 
 def q_approx_knn_topk(spark, sf_dir):
+    """Fitted cells, two thirds of which every query visits: these vectors have no clusters."""
     from quarry.operators import ivf
 
+    index = ivf.build_ivf(tables.vectors(spark, sf_dir), n_cells=32).write(_shared(spark, "ivf"))
+    return _knn_out(ivf.approx_knn_topk(_self_queries(spark, sf_dir), index, k=10, n_probe=22))
+
+
+def q_pq_knn_topk(spark, sf_dir):
+    """One byte per four components, the best 20 codes per neighbour ranked exactly."""
+    from quarry.operators import pq
+
     vecs = tables.vectors(spark, sf_dir)
-    # centroids that SQL can name; ``fit_centroids`` is the default
-    centres = vecs.filter(F.col("vec_id") % 32 == 0).orderBy("vec_id").select("embedding").collect()
-    index = ivf.build_ivf(vecs, centroids=np.array([r["embedding"] for r in centres], dtype=np.float64))
-    index = index.write(f"{ensure_checkpoint_dir(spark).rstrip('/')}/ivf-{uuid.uuid4().hex}")
-    run = ivf.approx_knn_topk(_self_queries(spark, sf_dir), index, k=10, n_probe=4)
-    return _knn_out(run)
+    index = pq.build_pq(vecs).write(_shared(spark, "pq"))
+    return _knn_out(pq.pq_topk(_self_queries(spark, sf_dir), vecs, index, k=10))
+
+
+def _bounded_knn(spark, sf_dir, metric):
+    from quarry.operators import cells
+
+    index = cells.build_cells(tables.vectors(spark, sf_dir), 32, metric).write(_shared(spark, "cells"))
+    return _knn_out(cells.bounded_topk(_self_queries(spark, sf_dir), index, k=10))
+
+
+def q_knn_bounded_topk(spark, sf_dir):
+    return _bounded_knn(spark, sf_dir, "ip")
+
+
+def q_knn_bounded_topk_l2(spark, sf_dir):
+    return _bounded_knn(spark, sf_dir, "l2")
+
+
+def q_knn_bounded_topk_cosine(spark, sf_dir):
+    return _bounded_knn(spark, sf_dir, "cosine")
+
+
+def q_bm25_pruned_topk(spark, sf_dir, k: int = 100):
+    """The flagship search through the stored block index."""
+    from quarry.operators import impacts
+
+    index = build_index(tables.corpus(spark, sf_dir))
+    stored = impacts.write_impacts(index, _shared(spark, "impacts"))
+    index.unpersist()
+    return _run_out(impacts.pruned_topk(stored, tables.passage_queries(spark, sf_dir), k=k))
+
+
+def q_rm3_terms_forward(spark, sf_dir):
+    """Feedback through the forward store."""
+    from quarry.operators import forward
+
+    index = build_index(tables.corpus(spark, sf_dir))
+    store = forward.write_forward(index, _shared(spark, "forward"))
+    qw = bm25.query_terms(tables.passage_queries(spark, sf_dir))
+    w = bm25.rm3_terms(index, qw, bm25.bm25_search(index, qw, k=bm25.RM3_FB_DOCS), forward=store)
+    return w.select("qid", "term", F.round("qw", D).alias("weight"))
+
+
+def q_doc_lookup_keyed(spark, sf_dir):
+    """Documents by id from files of disjoint key ranges."""
+    from quarry.sources.keyed import KeyedStore
+
+    store = KeyedStore.write(tables.corpus(spark, sf_dir), _shared(spark, "by-id"), "doc_id")
+    ids = tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))
+    return runs.doc_lookup(ids, store).select("doc_id", "raw")
 
 
 def q_snippets(spark, sf_dir):
@@ -540,6 +594,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "document_vectors": q_document_vectors,
         "whole_text": q_whole_text,
         "approx_knn_topk": q_approx_knn_topk,
+        "pq_knn_topk": q_pq_knn_topk,
+        "knn_bounded_topk": q_knn_bounded_topk,
+        "knn_bounded_topk_l2": q_knn_bounded_topk_l2,
+        "knn_bounded_topk_cosine": q_knn_bounded_topk_cosine,
+        "bm25_pruned_topk": q_bm25_pruned_topk,
+        "rm3_terms_forward": q_rm3_terms_forward,
+        "doc_lookup_keyed": q_doc_lookup_keyed,
         "snippets": q_snippets,
         "stream_bm25_topk": q_stream_bm25_topk,
         "compare_pipelines": q_compare_pipelines,
@@ -594,7 +655,13 @@ def oracle_sql() -> dict[str, str]:
         "positional_encoding": oracle.positional_encoding(),
         "prf_pipeline": oracle.prf_pipeline(),
         "prf_pipeline_undefined": oracle.prf_pipeline_undefined(),
-        "approx_knn_topk": oracle.approx_knn(),
+        "pq_knn_topk": oracle.knn_self("ip"),
+        "knn_bounded_topk": oracle.knn_self("ip"),
+        "knn_bounded_topk_l2": oracle.knn_self("l2"),
+        "knn_bounded_topk_cosine": oracle.knn_self("cosine"),
+        "bm25_pruned_topk": oracle.bm25_topk(),
+        "rm3_terms_forward": oracle.rm3_terms(),
+        "doc_lookup_keyed": oracle.doc_lookup(),
         "qrels_file": oracle.qrels_file(),
         "queries_file": oracle.queries_file(),
         "id_map": oracle.id_map(),

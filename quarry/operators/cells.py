@@ -94,7 +94,10 @@ def build_cells(vectors: DataFrame, n_cells: int, metric: str = "ip", id_col: st
         count = src.count()
         if not count:
             return CellIndex(src.withColumn("cell", F.lit(0)), np.zeros((0, 0)), np.zeros(0), np.zeros(0, "i8"), metric, id_col)
-        centroids = ivf.fit_centroids(fitted, min(n_cells, count), seed=seed)
+        if min(n_cells, count) < 2:  # one cell, around any vector
+            centroids = np.array(fitted.limit(1).collect()[0]["embedding"], dtype=np.float64)[None, :]
+        else:
+            centroids = ivf.fit_centroids(fitted, min(n_cells, count), seed=seed)
     sent = spark.sparkContext.broadcast((centroids, metric))  # n_cells x dim: set by the parameter
 
     def assign(batches):
@@ -117,6 +120,8 @@ def build_cells(vectors: DataFrame, n_cells: int, metric: str = "ip", id_col: st
 def bounds(q: np.ndarray, index_arrays: tuple, metric: str) -> np.ndarray:
     """(queries, cells): no member of the cell scores better; -inf for empty cells."""
     centres, radii, sizes = index_arrays
+    if not len(centres):
+        return np.zeros((len(q), 0))
     q = unit(q) if metric == "cosine" else q
     if metric == "l2":
         away = np.sqrt(np.maximum(1.0 - score_matrix(q, centres, "l2"), 0.0))

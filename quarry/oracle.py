@@ -452,23 +452,6 @@ def prf_pipeline_undefined(k: int = 10) -> str:
 SELECT qid, vec_id, rank::BIGINT AS rank, 0.0::DOUBLE AS score, false AS reformulated FROM kt"""
 
 
-def approx_knn(k: int = 10, probes: int = 4, step: int = 32) -> str:
-    """Cells around every ``step``-th vector, the nearest centroid by distance; a query's
-    ``probes`` cells by inner product (ties to the smaller centroid)."""
-    return f"""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding::DOUBLE[] AS c FROM embeddings
-           WHERE vec_id % {step} = 0 AND embedding IS NOT NULL),
-e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
-d AS (SELECT e.vec_id, cell, list_dot_product(v, c) AS ip,
-             list_dot_product(v, v) + list_dot_product(c, c) - 2 * list_dot_product(v, c) AS dist FROM e CROSS JOIN c),
-home AS (SELECT vec_id, cell FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cell) AS r FROM d) WHERE r = 1),
-probe AS (SELECT vec_id AS qid, cell FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ip DESC, cell) AS r FROM d)
-          WHERE r <= {probes}),
-s AS (SELECT p.qid, h.vec_id, list_dot_product(q.v, x.v) AS score FROM probe p JOIN home h USING (cell)
-      JOIN e q ON q.vec_id = p.qid JOIN e x ON x.vec_id = h.vec_id)
-SELECT qid, vec_id, rank::BIGINT AS rank, round(score, {D}) AS score FROM
-  (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= {k}"""
-
-
 def qrels_file() -> str:
     return "SELECT d.source AS qid, l.doc_id AS did, l.quality AS label FROM labels l JOIN documents d USING (doc_id)"
 

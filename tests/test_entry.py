@@ -53,6 +53,9 @@ def test_query_matches_oracle(spark, duck, name):
     cols = df.columns
     got = _rows([tuple(r) for r in df.collect()], cols)
     sql = E.oracle_sql().get(name)
+    if name == "approx_knn_topk":  # recall is measured in test_pq
+        assert len(got) == 10 * len({r[0] for r in got})
+        return
     if sql is None:
         assert name == "reformulate_transformer"  # compared with loops in test_neural
         assert len(got) == 40 * 64 and all(v is not None for row in got for v in row)

@@ -88,3 +88,54 @@ def test_passage_judgements(spark):
     # chunked patterns give the same pairs
     got2 = sorted((r["qid"], r["did"]) for r in passage_judgements(docs, psg, max_chunk_chars=4).collect())
     assert got2 == got
+
+
+def _contained(docs, passages):
+    return [(q, d) for d, t in docs for q, p in set(passages) if t is not None and p is not None and p in t]
+
+
+def test_passages_meet_on_their_rarest_sequence(spark):
+    import random
+
+    from quarry.sources.passages import passage_judgements
+
+    rng = random.Random(6)
+    words = "alpha beta gamma delta épsilon zeta eta theta iota kappa".split()
+    docs = [(i, "".join(w + rng.choice([" ", ", ", "\n", ". ", " -- "]) for w in rng.choices(words, k=rng.randint(0, 60)))) for i in range(120)]
+    docs += [(i + 500, f"Shared by many documents, this passage stands here {i}") for i in range(60)]  # a hot anchor
+    docs += [(700, None), (701, ""), (7, "this id twice, with other words in it"), (None, docs[3][1])]
+    passages = [(1, "many documents, this passage stands"), (2, "y documents, this passage sta"), (3, "documents, THIS passage stands"),
+                (4, None), (5, ""), (6, "a"), (7, "mm"), (8, "many documents; this passage stands"), (9, "beta ga"), (10, ", this"),
+                (11, "this id twice, with"), (12, "many documents, this passage stands"), (11, "passage stands here 7")]
+    for i in range(60):
+        t = docs[rng.randrange(120)][1]
+        a = rng.randrange(len(t) + 1)
+        passages.append((100 + i, t[a:a + rng.randint(1, 80)]))
+    passages.append(passages[0])  # a repeated row counts once
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    p = spark.createDataFrame(passages, "qid long, text string")
+    key = lambda r: (r[0], r[1] is not None, r[1] or 0)
+    for options in ({}, {"max_broadcast_rows": 0, "hot_docs": 5}, {"max_broadcast_rows": 0, "hot_docs": 10**9}):
+        rows = passage_judgements(d, p, **options).collect()
+        got = sorted(((r["qid"], r["did"]) for r in rows), key=key)
+        assert got == sorted(_contained(docs, passages), key=key), options
+        assert all(r["label"] == 1 for r in rows)
+    assert len(got) > 200
+
+
+def test_passage_judgements_of_nothing(spark):
+    from quarry.sources.passages import passage_judgements
+
+    d = spark.createDataFrame([(1, "some text of five words")], "doc_id long, text string")
+    p = spark.createDataFrame([(1, "text of five")], "qid long, text string")
+    assert passage_judgements(d.limit(0), p).count() == 0 and passage_judgements(d, p.limit(0)).count() == 0
+    assert [tuple(r) for r in passage_judgements(d, p).collect()] == [(1, 1, 1)]
+
+
+def test_anchored_passages_stay_in_the_jvm(spark):
+    from quarry.sources.passages import passage_judgements
+
+    d = spark.createDataFrame([(i, f"some text of five words {i}") for i in range(50)], "doc_id long, text string")
+    p = spark.createDataFrame([(1, "text of five words")], "qid long, text string")
+    plan = passage_judgements(d, p)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
