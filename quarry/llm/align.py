@@ -3,10 +3,10 @@
 Both tokenizers cut the same bytes (a blank and the text). Offsets where tokens of both end
 cut a text into groups; a link is a pair of tokens whose byte ranges overlap. Every
 elementary stretch between two neighbouring ends belongs to exactly one link, so the links
-of a block of texts are found at once by searching the merged ends.
+of a block of texts are found at once by counting along the merged ends.
 
-1. ``encode``: the ids of every text, in blocks of about ``_common.BLOCK_BYTES`` of text,
-   written to the shared folder.
+1. ``encode``: the ids of every text, in blocks of about ``BLOCK_BYTES`` of text, written to
+   the shared folder.
 2. ``count_pairs``: an array made before from the vocabularies gives for each A id the B id
    with the same bytes. Groups of one A and one B token that agree with it are counted in a
    vector as long as the vocabulary, one per task; of the other groups each block gives its
@@ -42,6 +42,8 @@ from quarry.llm.token_files import text_encoder
 
 ENCODED = "block long, doc_id long, a binary, b binary"
 PAIRS = "block long, a int, b int, n long"
+#: Text of a block; the arrays that align it take some 60 times as much.
+BLOCK_BYTES = 1 << 20
 #: Text whose pieces are found by one call of the second tokenizer: its ids come as Python numbers.
 PIECE_BYTES = 1 << 19
 #: Pieces of the first tokenizer kept per worker process, beside the second one's model.
@@ -99,13 +101,14 @@ class Aligner:
     def cut(self, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
         """Groups and links of texts laid end to end; ``a`` and ``b`` are all their ids."""
         end_a, end_b = np.cumsum(self.size[0][a]), np.cumsum(self.size[1][b])
-        shared_a = end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a
-        shared_b = end_a[np.minimum(np.searchsorted(end_a, end_b), len(end_a) - 1)] == end_b
+        is_a, is_b = np.zeros((2, int(end_a[-1]) + 1), bool)  # by byte offset: a token ends here
+        is_a[end_a], is_b[end_b] = True, True
+        shared_a, shared_b = is_b[end_a], is_a[end_b]
         group_a, group_b = np.cumsum(shared_a) - shared_a, np.cumsum(shared_b) - shared_b
         n_groups = int(shared_a.sum())
         in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
-        ends = np.union1d(end_a, end_b)
-        link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        ends = np.flatnonzero(is_a | is_b)
+        link_a, link_b = (np.cumsum(here) - here for here in (is_a[ends], is_b[ends]))  # tokens that ended before
         single = (in_a == 1) & (in_b == 1)
         regular = single[group_a[link_a]] & (self.identity[a[link_a]] == b[link_b])
         return {"shared_a": shared_a, "shared_b": shared_b, "group_a": group_a, "group_b": group_b, "in_a": in_a, "in_b": in_b,
@@ -136,7 +139,7 @@ def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         table_b = pa.array(piece_tokens(path_b), pa.large_binary())
         kind_a, kind_b = id_type(len(table_a)), id_type(len(table_b))
         number = TaskContext.get().partitionId() << 32
-        for block in blocks(batches):
+        for block in blocks(batches, max_bytes=BLOCK_BYTES):
             texts = [x or "" for x in block.column(1).to_pylist()]
             ids_a = [np.frombuffer(x, f"<u{width}") for x in cache.encode(texts, blank=True)]
             ids_b = [np.array(x, "u4") for part in _slices(texts) for x in model.encode(part, num_threads=1)]
