@@ -198,6 +198,18 @@ def q_knn_text_topk(spark, sf_dir):
     return _knn_out(_text_knn(spark, sf_dir))
 
 
+def q_lsa_text_topk(spark, sf_dir):
+    """Passages against documents in the space that the encoder learnt from the corpus."""
+    from quarry.operators import lsa
+
+    index = build_index(tables.corpus(spark, sf_dir))
+    fitted = lsa.fit(index)
+    docs = lsa.encode_documents(index, fitted)
+    qv = lsa.encode_queries(tables.passage_queries(spark, sf_dir), fitted)
+    run = knn.knn_topk(qv, docs, k=10, metric="cosine", id_col="doc_id")
+    return run.select("qid", "doc_id", "rank", F.round("score", D).alias("score"))
+
+
 def _id_map(spark, sf_dir):
     return tables.corpus(spark, sf_dir).select("doc_id", F.col("doc_id").alias("vec_id"))
 
@@ -438,6 +450,14 @@ def q_snippets(spark, sf_dir):
     return out.select("qid", "doc_id", "snippet")
 
 
+def q_covering_spans(spark, sf_dir):
+    from quarry.operators import spans
+
+    hits = runs.attach_raw(_bm25_run(spark, sf_dir, 10), tables.corpus(spark, sf_dir))
+    out = spans.covering_spans(hits, tables.passage_queries(spark, sf_dir))
+    return out.select("qid", "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_terms", "start", "stop")], "span")
+
+
 def q_stream_bm25_topk(spark, sf_dir, k: int = 100):
     from quarry.streaming import query_stream
 
@@ -488,6 +508,14 @@ def q_id_map(spark, sf_dir):
     return idmap.read_id_map_lines(spark, path).select("doc_id", "vec_id")
 
 
+def q_id_map_object(spark, sf_dir):
+    """The map as JSON objects, read back in splits."""
+    path = _shared(spark, "id-map-object")
+    rows = _id_map(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "vec_id")
+    idmap.write_id_map(rows, path)
+    return idmap.read_id_map(spark, path)
+
+
 def q_weights_rerank(spark, sf_dir):
     """The scorer's tensors from a stored weights table."""
     path = _shared(spark, "weights")
@@ -567,6 +595,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_topk_cosine": q_knn_topk_cosine,
         "knn_topk_blocked": q_knn_topk_blocked,
         "knn_text_topk": q_knn_text_topk,
+        "lsa_text_topk": q_lsa_text_topk,
         "id_translate": q_id_translate,
         "fetch_embeddings": q_fetch_embeddings,
         "knn_score_from_distance": q_knn_score_from_distance,
@@ -590,6 +619,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "qrels_file": q_qrels_file,
         "queries_file": q_queries_file,
         "id_map": q_id_map,
+        "id_map_object": q_id_map_object,
         "weights_rerank": q_weights_rerank,
         "document_vectors": q_document_vectors,
         "whole_text": q_whole_text,
@@ -602,6 +632,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rm3_terms_forward": q_rm3_terms_forward,
         "doc_lookup_keyed": q_doc_lookup_keyed,
         "snippets": q_snippets,
+        "covering_spans": q_covering_spans,
         "stream_bm25_topk": q_stream_bm25_topk,
         "compare_pipelines": q_compare_pipelines,
         "term_stats": q_term_stats,
@@ -665,10 +696,12 @@ def oracle_sql() -> dict[str, str]:
         "qrels_file": oracle.qrels_file(),
         "queries_file": oracle.queries_file(),
         "id_map": oracle.id_map(),
+        "id_map_object": oracle.id_map(),
         "weights_rerank": oracle.weights_rerank(),
         "document_vectors": oracle.document_vectors(),
         "whole_text": oracle.whole_text(),
         "snippets": oracle.snippets(),
+        "covering_spans": oracle.covering_spans(),
         "stream_bm25_topk": oracle.bm25_topk(),
         "compare_pipelines": oracle.compare_pipelines(),
         "term_stats": oracle.term_stats(),

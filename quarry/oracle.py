@@ -494,6 +494,27 @@ b AS (SELECT qid, doc_id, string_agg(sent, ' ' ORDER BY idx) AS snippet FROM rk
 SELECT run.qid, run.doc_id, b.snippet FROM run LEFT JOIN b ON b.qid = run.qid AND b.doc_id = run.doc_id"""
 
 
+def covering_spans(k: int = 10) -> str:
+    """Per end the smallest of the last positions of the hit's terms, then the shortest."""
+    return f"""WITH {bm25_run_ctes(k)},
+h AS (SELECT run.qid, run.doc_id, {toks('d.text')} AS t FROM run JOIN documents d USING (doc_id)),
+ps AS (SELECT qid, doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM h),
+oc AS (SELECT ps.* FROM ps JOIN qw USING (qid, term)),
+dt AS (SELECT DISTINCT qid, doc_id, term FROM oc),
+nt AS (SELECT qid, doc_id, count(*) AS n_terms FROM dt GROUP BY qid, doc_id),
+fn AS (SELECT e.qid, e.doc_id, e.pos, dt.term, max(o.pos) AS latest
+       FROM oc e JOIN dt USING (qid, doc_id) LEFT JOIN oc o
+       ON o.qid = e.qid AND o.doc_id = e.doc_id AND o.term = dt.term AND o.pos <= e.pos GROUP BY ALL),
+en AS (SELECT qid, doc_id, pos, min(latest) AS start, count(latest) AS met FROM fn GROUP BY qid, doc_id, pos),
+bs AS (SELECT en.qid, en.doc_id, n_terms, start, pos AS stop,
+              row_number() OVER (PARTITION BY en.qid, en.doc_id ORDER BY pos - start, start) AS r
+       FROM en JOIN nt USING (qid, doc_id) WHERE met = n_terms)
+SELECT run.qid, run.doc_id, coalesce(n_terms, 0)::BIGINT AS n_terms, start::BIGINT AS start, stop::BIGINT AS stop,
+       CASE WHEN start IS NOT NULL THEN array_to_string(h.t[start + 1:stop + 1], ' ') END AS span
+FROM run LEFT JOIN (SELECT * FROM bs WHERE r = 1) b ON b.qid = run.qid AND b.doc_id = run.doc_id
+LEFT JOIN h ON h.qid = run.qid AND h.doc_id = run.doc_id"""
+
+
 def compare_pipelines(k: int = 10) -> str:
     """BM25 (no expansion) vs k-NN + re-rank, k-NN ids translated to documents."""
     return f"""WITH {bm25_run_ctes(k)}, {reranked_ctes(k)},

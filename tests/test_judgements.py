@@ -139,3 +139,44 @@ def test_anchored_passages_stay_in_the_jvm(spark):
     p = spark.createDataFrame([(1, "text of five words")], "qid long, text string")
     plan = passage_judgements(d, p)._jdf.queryExecution().toString()
     assert "MapInPandas" not in plan and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_id_map_object_is_read_in_splits(spark, tmp_path):
+    """Keys with commas, quotes, escapes and line breaks, cut by many split seams."""
+    import json
+    import random
+
+    rng = random.Random(2)
+    odd = ["a,b", ",", ",,,", '"', 'x,"y":1,z', "\\", "\\,", "a\nb", "é,日本", ": 5,x", '": 5,"', "{,}", "}", " , : 7", "tab\t,"]
+    rows = {f"{rng.choice(odd)}{i}{rng.choice(odd)}" if i % 3 == 0 else f"doc {i}": i * rng.choice([1, -1]) for i in range(6000)}
+    rows |= {k: i for i, k in enumerate(odd)}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text(json.dumps(rows))
+    (tmp_path / "one" / "b.json").write_text(json.dumps({"other, file": 1, "more": -2}, indent=1, ensure_ascii=False) + "\n")
+    (tmp_path / "one" / "c.json").write_text("{}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", "1037b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            raw = spark.read.option("lineSep", ",").text(str(tmp_path / "one"))
+            assert raw.rdd.getNumPartitions() > (20 if size != before else 0)  # more than one task
+            got = read_id_map(spark, str(tmp_path / "one")).collect()
+            assert len(got) == len(rows) + 2
+            assert {r.doc_id: r.vec_id for r in got} == rows | {"other, file": 1, "more": -2}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_id_map_errors_and_writer(spark, tmp_path):
+    import pytest
+
+    from quarry.sources.idmap import write_id_map
+
+    (tmp_path / "bad.json").write_text('{"a": 1, "b": "two"}')
+    with pytest.raises(Exception, match="not an id map entry"):
+        read_id_map(spark, str(tmp_path / "bad.json")).collect()
+    rows = spark.createDataFrame([(f'k,"{i}', i) for i in range(50)] + [(None, 1), ("x", None)], "doc_id string, vec_id long").repartition(3)
+    write_id_map(rows, str(tmp_path / "w"))
+    assert sorted(map(tuple, read_id_map(spark, str(tmp_path / "w")).collect())) == sorted((f'k,"{i}', i) for i in range(50))
