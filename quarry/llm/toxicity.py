@@ -1,15 +1,18 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A document is the set of its hashed character n-grams (lower-cased text, whole
-length). From labelled rows the log-count ratio of every bucket is taken; presence
-times ratio, scaled to unit length, are the features of a logistic regression, kept
-near the ratios themselves by an L2 penalty. Scoring reads each text once where it
+length), and for n-grams that stand at least 2, 3 or 5 times (``LEVELS``) a further
+member each, so that how often counts as well. From labelled rows the log-count ratio of
+every bucket is taken; presence times ratio, scaled to unit length, are the features of a
+logistic regression, kept near the ratios themselves by an L2 penalty. Scoring reads each text once where it
 lies: no shuffle, and only the weight vector (one float per bucket) is sent out.
 
 Training uses a bounded sample of the labelled rows (``positives``, ``negatives``;
 chosen by a hash of the id, so it does not depend on partitioning); the classes are
 weighted back to their share among all labelled rows, which keeps the score a
-probability. Everything else covers all rows.
+probability. The training task holds one number per bucket of each sampled document: at
+most ``2**BUCKET_BITS`` of four bytes however long its text is, 1 MB, and a few ten KB as
+a rule. Everything else covers all rows.
 
 Defined results: null or empty text scores by the intercept alone; null labels are
 no training rows; a document with several labels takes the largest; without any row
@@ -31,12 +34,14 @@ from quarry.llm._labels import held_out, training_rows
 
 BUCKET_BITS = 18
 SIZES = (3, 4, 5)
+#: An n-gram that stands at least so often is a further feature.
+LEVELS = (2, 3, 5)
 #: Bounds of the training sample, documents per class.
 POSITIVES = 1500
 NEGATIVES = 3000
 THRESHOLD = 0.3
-ROUNDS = 25
-PENALTY = 1e-5
+ROUNDS = 40
+PENALTY = 1e-6
 #: Code points hashed at once; a longer text is taken in overlapping stretches.
 STRETCH = 1 << 20
 #: Feature entries of one part of a training pass.
@@ -46,15 +51,15 @@ SCORES = "doc_id long, score double"
 
 
 class NGrams:
-    """Distinct n-gram buckets of a text."""
+    """Distinct buckets of a text: n-grams, and n-grams that stand often."""
 
-    def __init__(self, bits: int = BUCKET_BITS, sizes: tuple[int, ...] = SIZES):
-        self.bits, self.sizes = bits, sizes
-        self.stamp = np.zeros(1 << bits, "int64")
+    def __init__(self, bits: int = BUCKET_BITS, sizes: tuple[int, ...] = SIZES, levels: tuple[int, ...] = LEVELS):
+        self.bits, self.sizes, self.levels = bits, sizes, levels
         self.factors = np.random.default_rng(7).integers(1, 1 << 62, max(sizes), dtype="uint64") * np.uint64(2) + np.uint64(1)
         self.spread = np.uint64(0x9E3779B97F4A7C15)
 
-    def _hashes(self, codes: np.ndarray) -> np.ndarray:
+    def _hashes(self, codes: np.ndarray, starts: int) -> np.ndarray:
+        """Buckets of all n-grams that begin at the first ``starts`` code points."""
         out, total = [], np.zeros(len(codes), "uint64")
         for n in range(1, max(self.sizes) + 1):
             m = len(codes) - n + 1
@@ -62,21 +67,28 @@ class NGrams:
                 break
             total = total[:m] + codes[n - 1:] * self.factors[n - 1]
             if n in self.sizes:
-                mixed = (total ^ (total >> np.uint64(29))) * self.spread
+                mixed = (total[:starts] ^ (total[:starts] >> np.uint64(29))) * self.spread
                 out.append((mixed >> np.uint64(64 - self.bits)).astype("int32"))
         return np.concatenate(out) if out else np.zeros(0, "int32")
 
+    def _often(self, buckets: np.ndarray, level: int) -> np.ndarray:
+        """Where the features of n-grams that stand at least ``level`` times lie."""
+        mixed = (buckets.astype("uint64") + np.uint64(1)) * (self.spread + np.uint64(2 * level))
+        return (mixed >> np.uint64(64 - self.bits)).astype("int32")
+
     def buckets(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.lower().encode("utf-32-le"), "<u4").astype("uint64")
         if len(codes) <= STRETCH:
-            h = self._hashes(codes)
-            order = np.arange(len(h))
-            self.stamp[h] = order
-            return h[self.stamp[h] == order]
-        seen = np.zeros(1 << self.bits, bool)
-        for at in range(0, len(codes), STRETCH):
-            seen[self._hashes(codes[at:at + STRETCH + max(self.sizes) - 1])] = True
-        return np.flatnonzero(seen).astype("int32")
+            h = np.sort(self._hashes(codes, len(codes)))
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, "int64")
+            distinct, count = h[first], np.diff(np.append(first, len(h)))
+        else:
+            total = np.zeros(1 << self.bits, "int64")
+            for at in range(0, len(codes), STRETCH):
+                total += np.bincount(self._hashes(codes[at:at + STRETCH + max(self.sizes) - 1], STRETCH), minlength=len(total))
+            distinct = np.flatnonzero(total).astype("int32")
+            count = total[distinct]
+        return np.unique(np.concatenate([distinct, *[self._often(distinct[count >= n], n) for n in self.levels]]))
 
 
 def log_count_ratio(groups: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, size: int, smooth: float = 1.0) -> np.ndarray:

@@ -133,3 +133,43 @@ def test_labelled_sample_is_bounded_in_rows(spark, documents, prose):
     assert all(weights[i] == pytest.approx(1) for i in range(1, 40, 2)) and sum(w for i, w in weights.items() if i % 2 == 0) == pytest.approx(20)
     again = training_rows(docs.repartition(3), labels, "y", {1: 30, 0: 10}).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_buckets_and_scores_equal_brute_force():
+    """N-grams counted one by one; the fitted weights are a minimum; scores by the formula."""
+    from collections import Counter
+
+    grams = toxicity.NGrams(bits=12)
+
+    def brute(text):
+        codes, counts, mask = [ord(c) for c in text.lower()], Counter(), (1 << 64) - 1
+        for n in grams.sizes:
+            for i in range(len(codes) - n + 1):
+                total = sum(c * int(f) for c, f in zip(codes[i:i + n], grams.factors)) & mask
+                counts[(((total ^ total >> 29) * int(grams.spread)) & mask) >> 64 - grams.bits] += 1
+        often = {((b + 1) * (int(grams.spread) + 2 * level) & mask) >> 64 - grams.bits
+                 for level in grams.levels for b, n in counts.items() if n >= level}
+        return sorted(set(counts) | often)
+
+    texts = ["", "ab", "abc", "banana banana banana", "Ünïcode 🙂 text", "aaaaaaaaaaaa", "the scum of it", "stupid scum, scum"]
+    assert [grams.buckets(t).tolist() for t in texts] == [brute(t) for t in texts]
+    y, w = np.array([0, 0, 0, 0, 0, 0, 1, 1]), np.array([1.0, 2, 1, 1, 1, 1, 1, 3])
+    groups = [grams.buckets(t) for t in texts]
+    v, b = toxicity.fit(groups, y, w, 1 << 12, rounds=400, penalty=1e-2)
+    ratio = toxicity.log_count_ratio(groups, y, w, 1 << 12)
+
+    def loss(beta, shift):
+        total = 0.5e-2 * float(beta @ beta)
+        for g, label, weight in zip(groups, y, w):
+            if len(g):
+                z = float((beta * ratio)[g].sum()) / len(g) ** 0.5 + shift
+                total += weight / w.sum() * float(np.logaddexp(0, z) - label * z)
+        return total
+
+    beta, rng = np.where(ratio != 0, v / np.where(ratio != 0, ratio, 1), 0), np.random.default_rng(1)
+    least = loss(beta, b)
+    for _ in range(30):
+        assert loss(beta + 1e-2 * rng.normal(size=beta.size) * (v != 0), b + 1e-2 * rng.normal()) > least
+    p = toxicity.probabilities(texts, (v.astype("f4"), b), grams)
+    want = [1 / (1 + np.exp(-(b + (sum(float(np.float32(v[i])) for i in brute(t)) / len(brute(t)) ** 0.5 if brute(t) else 0)))) for t in texts]
+    assert np.allclose(p, want)
