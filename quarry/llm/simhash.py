@@ -3,9 +3,10 @@
 A fingerprint of 64 bits is eight positional bytes. Two fingerprints at most ``d``
 bits apart differ in at most ``d`` bytes, so they share at least ``8 - d`` bytes at
 equal positions: the guaranteed minimum of matches. The index has a list for every
-set of that many positions and their bytes; a pair that reaches the minimum meets in
-a list, a pair that does not never meets. Pairs of a list are tallied (shared
-positional bytes), kept from the minimum on, and verified by their bit distance.
+set of one position fewer than that minimum, and its bytes: with ``d = 4`` a list of
+every three positions. A pair that reaches the minimum meets in several lists. Where it
+meets, its shared positional bytes are tallied; pairs below the minimum, which share just
+the bytes of the list, are dropped, and the others are verified by their bit distance.
 
 Copies cost nothing: only distinct fingerprints are indexed. Lists with a single
 fingerprint are dropped by a pre-aggregated count before any row is joined; long
@@ -142,7 +143,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     prepare(fps)
     if not 0 < distance < BYTES:
         raise ValueError("distance must be 1 to 7: beyond it no byte is sure to match")
-    lists = _lists(fps, BYTES - distance)
+    lists = _lists(fps, max(1, BYTES - distance - 1))
     sizes = lists.groupBy("subset", "bytes").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = lists.join(sizes, ["subset", "bytes"])
     parts = F.ceil(F.col("size") / block).cast("int")

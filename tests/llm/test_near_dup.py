@@ -195,3 +195,17 @@ def test_very_long_text(documents):
     rows = [(1, long), (2, "New start. " + long + " New end."), (3, None)]
     got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup(documents(rows)).collect()}
     assert got[1] == (long, 0) and got[2][0] in ("New start. New end.", "New start.  New end.") and got[3] == (None, 0)
+
+
+def test_the_tally_drops_pairs_below_the_minimum(spark):
+    """Fingerprints that share three bytes meet in a list but are dropped by their tally."""
+    three, four = 0x0000_0000_0011_2233, 0x0000_0000_4411_2233
+    far = three | 0xFFFF_FFFF_FF00_0000
+    a, b = simhash._links_of(np.zeros(2, "i8"), np.array([three, far], "u8"), 4)
+    assert len(a) == 0
+    near = four ^ 0x0101_0101_0000_0000  # four bytes differ by a bit each
+    a, b = simhash._links_of(np.zeros(2, "i8"), np.array([four, near], "u8"), 4)
+    assert (a.tolist(), b.tolist()) == ([four], [near])
+    # A bit of every byte but three: within the distance of no four bytes.
+    lists = simhash._lists(spark.createDataFrame([(5,)], "fp long"), 3)
+    assert lists.count() == 56
