@@ -9,12 +9,12 @@ position) stays; the lines that later occurrences cover are merged into runs, an
 least ``MIN_CHARS`` characters are removed. Every removed line has an equal line earlier in
 that order, so each content stays at least once.
 
-Plan: (1) count the windows per 64-bit hash; (2) keep only the windows whose hash is
-repeated, a join that adaptive execution can split for a hot hash; (3) among these few,
-the first occurrence per window, again by an aggregate that combines in the tasks, and
-the later ones, by a join whose hot windows are dealt over parts; (4) merge the covered
-positions of each document into runs, and cut the long ones out of its text. No window's
-occurrences are ever gathered in one task.
+Plan: (1) an aggregate that combines in the tasks gives each repeated window's number and
+its first occurrence; this narrow table is stored; (2) all windows meet it, and those that
+are not the first are the later ones; windows with more than ``PART`` occurrences and a
+ten-thousandth of all, of which there are ten thousand at most, are dealt over parts; (3)
+the covered positions of each document are merged into runs, and the long ones cut out of
+its text. No window's occurrences are ever gathered in one task.
 
 Defined results: null texts stay null and have no lines; empty and short texts stay as they
 are; rows that repeat a document exactly share its result; rows with the same doc_id (or
@@ -34,8 +34,10 @@ from quarry.llm._common import stored
 LINES = 3
 #: Shorter runs of repeated lines are phrases that clean documents share by chance.
 MIN_CHARS = 60
-#: Occurrences of one window that one task joins with its first; more are dealt over parts.
+#: Occurrences of one window that one task joins with its first; more may be dealt over parts.
 PART = 4096
+#: Most windows that are dealt over parts: the most frequent of all, told to every task.
+HOT_WINDOWS = 10_000
 
 
 def pieces(text) -> F.Column:
@@ -68,17 +70,17 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def later_windows(docs: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, t1, place) of every window that has an earlier occurrence."""
-    all_windows = windows(docs)
-    repeated = all_windows.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Stored: behind an aggregate on the same key the join could not be split for a hot window.
-    repeated = stored(repeated, "repeated")
-    met = stored(all_windows.join(repeated, "k1"), "repeated-windows")
-    occurrence = F.struct("doc_id", "t1", "place")
-    first = met.groupBy("k1", "k2").agg(F.min(occurrence).alias("first"), F.max("n").alias("n"))
-    parts = F.ceil(F.col("n") / part).cast("int")  # both sides take it from the same count of k1
-    first = first.select("k1", "k2", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    own = F.pmod(F.xxhash64("doc_id", "t1", "place"), parts).cast("int")
-    joined = met.withColumn("part", own).join(first, ["k1", "k2", "part"])
+    all_windows, occurrence = windows(docs), F.struct("doc_id", "t1", "place")
+    firsts = all_windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("first")).filter("n > 1")
+    firsts = stored(firsts, "repeated-windows")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(part, total // HOT_WINDOWS)
+    parts = F.when(F.col("n") > least, F.ceil(F.col("n") / least)).otherwise(1).cast("int")
+    hot = firsts.filter(F.col("n") > least).select("k1", "k2", parts.alias("parts"))  # HOT_WINDOWS rows at most
+    own = F.pmod(F.xxhash64("doc_id", "t1", "place"), F.coalesce("parts", F.lit(1))).cast("int")
+    rows = all_windows.join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("part", own).drop("parts")
+    side = firsts.select("k1", "k2", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    joined = rows.join(side, ["k1", "k2", "part"])
     return joined.filter(~occurrence.eqNullSafe(F.col("first"))).select("doc_id", "t1", "place")
 
 
