@@ -50,6 +50,8 @@ OVERLAP = 0.8
 #: Items per block of the index.
 ITEMS_PER_BLOCK = 8
 SHARD_BYTES = 16 << 20
+#: Items of a shard are at most so many times longer than its class begins.
+LENGTHS = 4
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -227,34 +229,40 @@ def matches_of(index: ItemIndex, texts: list[str], threshold: float, least: floa
     return [(i, item, -start, share, q, a) for (i, item), (share, start, q, a) in sorted(best.items())]
 
 
-def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[ItemIndex]:
-    """One index per shard of ``items(item_id, text)``; counts cover all items."""
+def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[ItemIndex]:
+    """The index of each shard of ``items(item_id, text)``, one at a time; counts cover all items.
+
+    A shard holds items of one length class: up to ``LENGTHS`` times the median number of words,
+    and each further class up to ``LENGTHS`` times the one before. Passages are twice the
+    longest item of a shard, so a very long item does not stretch those of the others."""
     spark = prepare(items)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
 
     def analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words = [words_of(t) for t in texts_of(block)]
-            yield pa.RecordBatch.from_pydict({"n": pa.array(list(map(len, words)), pa.int64()),
-                                              "terms": pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))})
-
-    counted = stored(items.mapInArrow(analysed, "n long, terms array<string>").filter("n > 0"), "item-terms")
-    facts = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words")).first()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    out = []
-    for s in range(shards):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).orderBy("item_id", "text").toArrow()
-        texts = [t for t in part.column("text").to_pylist()]
-        keep = [i for i, t in enumerate(texts) if words_of(t)]
-        own = sorted({w for i in keep for w in words_of(texts[i])})
-        terms = spark.createDataFrame([(w,) for w in own], "term string")  # bounded by the shard
-        df = {r["term"]: r["df"] for r in frequency.join(terms, "term").collect()}
-        if keep:
-            out.append(build_index([part.column("item_id")[i].as_py() for i in keep], [texts[i] for i in keep], df,
-                                   facts["n"], facts["words"] / facts["n"]))
-    return out
+            yield pa.RecordBatch.from_arrays(
+                [*block.columns, pa.array(list(map(len, words)), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))],
+                names=["item_id", "text", "n", "terms"])
+
+    counted = stored(items.mapInArrow(analysed, "item_id long, text string, n long, terms array<string>").filter("n > 0"), "item-terms")
+    facts = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words"), F.percentile_approx("n", 0.5).alias("median")).first()
+    if not facts["n"]:
+        return
+    longer = F.log(F.col("n") / F.lit(LENGTHS * facts["median"])) / np.log(LENGTHS)
+    classed = counted.withColumn("class", F.greatest(F.ceil(longer - 1e-9), F.lit(0)).cast("int"))
+    sizes = classed.groupBy("class").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("class").collect()  # a row per class
+    frequency = stored(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item-counts")
+    for size in sizes:
+        shards = max(1, -(-size["bytes"] // shard_bytes))
+        for s in range(shards):
+            part = classed.filter((F.col("class") == size["class"]) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s))
+            df = {r["term"]: r["df"] for r in frequency.join(
+                part.select(F.explode("terms").alias("term")).distinct(), "term").collect()}  # bounded by the shard
+            rows = part.select("item_id", "text").orderBy("item_id", "text").toArrow()
+            if rows.num_rows:
+                yield build_index(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), df,
+                                  facts["n"], facts["words"] / facts["n"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP,

@@ -55,6 +55,18 @@ def test_leaks_are_found_and_clean_documents_left(spark, documents, items, prose
     assert D.contaminated(docs, items.limit(0)).count() == 0 and D.clean(docs, items.limit(0)).count() == len(rows)
 
 
+def test_a_long_item_does_not_stretch_the_others(spark, documents, items, prose):
+    text = {r.item_id: r.text for r in items.collect()}
+    long = prose(4000)
+    more = items.unionByName(spark.createDataFrame([(90, long, "x", 2.0)], items.schema))
+    made = list(D.indexes(more))
+    assert [len(x.ids) for x in made] == [41, 1] and made[0].longest <= 60 and made[1].longest >= 4000
+    rows = [(1, prose(200) + " " + text[4] + " " + prose(100)), (2, prose(20) + " " + long + " " + prose(30)), (3, prose(3000))]
+    got = D.contaminated(documents(rows), more).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 4), (2, 90)}
+    assert {r.doc_id for r in D.clean(documents(rows), more).collect()} == {3}
+
+
 def test_question_and_answer():
     assert D.question_and_answer("One two. Three four! Five.") == (["one", "two", "three", "four"], ["five"])
     assert D.question_and_answer("a b c d e f g h") == (["a", "b", "c", "d", "e", "f"], ["g", "h"])
