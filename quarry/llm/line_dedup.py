@@ -26,7 +26,7 @@ replace columns of these names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._common import stored
@@ -88,12 +88,14 @@ def covered_runs(docs: DataFrame, part: int = PART) -> DataFrame:
     """doc_id, t1, t2, runs: per document with later windows the merged runs (first, last)
     of covered line positions, in order."""
     at = later_windows(docs, part).select("doc_id", "t1", F.shiftright("place", 32).alias("t2"),
-                                          F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")).distinct()
-    order = Window.partitionBy("doc_id", "t1", "t2").orderBy("pos")
-    opens = (F.col("pos") > F.lag("pos").over(order) + LINES) | F.lag("pos").over(order).isNull()
-    runs = at.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order))
-    runs = runs.groupBy("doc_id", "t1", "t2", "run").agg(F.min("pos").alias("first"), (F.max("pos") + LINES - 1).alias("last"))
-    return runs.groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+                                          F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
+    # Sets of one text's positions, put together in the tasks first: one narrow shuffle.
+    at = at.groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    n = F.size("at")
+    first = F.filter("at", lambda x, i: (i == 0) | (x > F.get("at", i - 1) + LINES))
+    last = F.filter("at", lambda x, i: (i == n - 1) | (F.get("at", i + 1) > x + LINES))
+    runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), (b + LINES - 1).alias("last")))
+    return at.select("doc_id", "t1", "t2", runs.alias("runs"))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, part: int = PART) -> DataFrame:
