@@ -5,8 +5,8 @@ cut a text into groups; a link is a pair of tokens whose byte ranges overlap. Ev
 elementary stretch between two neighbouring ends belongs to exactly one link, so the links
 of a block of texts are found at once by counting along the merged ends.
 
-1. ``encode``: the ids of every text, in blocks of about ``BLOCK_BYTES`` of text, written to
-   the shared folder.
+1. ``encode``: the ids of every text, packed by zstandard, in blocks of about ``BLOCK_BYTES``
+   of text, written to the shared folder.
 2. ``count_pairs``: an array made before from the vocabularies gives for each A id the B id
    with the same bytes. Groups of one A and one B token that agree with it are counted in a
    vector as long as the vocabulary, one per task; of the other groups each block gives its
@@ -46,6 +46,8 @@ PAIRS = "block long, a int, b int, n long"
 BLOCK_BYTES = 1 << 20
 #: Text whose pieces are found by one call of the second tokenizer: its ids come as Python numbers.
 PIECE_BYTES = 1 << 19
+#: Level of the packed ids.
+PACKED = 3
 #: Pieces of the first tokenizer kept per worker process, beside the second one's model.
 CACHE_PIECES = 100_000
 #: The block of identity pairs, which are counted by vectors.
@@ -126,13 +128,15 @@ class Aligner:
 
 
 def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(block, doc_id, a, b): little-endian ids of both tokenizers (see ``id_type``) for every
-    row of ``docs(doc_id, text)``; both empty where the text has no tokens."""
+    """(block, doc_id, a, b): packed little-endian ids of both tokenizers (see ``id_type``) for
+    every row of ``docs(doc_id, text)``; both empty where the text has no tokens."""
     prepare(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=PACKED, write_checksum=False).compress
         cache, width = text_encoder(path_a, plain_special=True, pieces_kept=CACHE_PIECES)
         model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         table_a = pa.array(byte_level_tokens(path_a), pa.large_binary())
@@ -148,8 +152,8 @@ def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for text, a, b, of_a, of_b in zip(texts, ids_a, ids_b, all_a, all_b):
                 raw = b" " + text.encode()
                 ok = bool(text) and of_a == raw and of_b == raw
-                rows_a.append(a.astype(kind_a).tobytes() if ok else b"")
-                rows_b.append(b.astype(kind_b).tobytes() if ok else b"")
+                rows_a.append(pack(a.astype(kind_a).tobytes()) if ok else b"")
+                rows_b.append(pack(b.astype(kind_b).tobytes()) if ok else b"")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(texts), number)), block.column(0), pa.array(rows_a, pa.binary()), pa.array(rows_b, pa.binary())],
                 names=["block", "doc_id", "a", "b"])
@@ -189,8 +193,10 @@ def _joined(table: pa.Array, ids: list[np.ndarray]) -> Iterator[bytes]:
 
 def _ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, number of ids of each row) of a binary column of a vocabulary's ids."""
-    kind = np.dtype(id_type(size))
-    rows = column.to_pylist()
+    import zstandard
+
+    kind, unpack = np.dtype(id_type(size)), zstandard.ZstdDecompressor().decompress
+    rows = [unpack(r) if r else r for r in column.to_pylist()]
     return np.frombuffer(b"".join(rows), kind).astype("i8"), np.array([len(r) // kind.itemsize for r in rows], "i8")
 
 
