@@ -25,7 +25,7 @@ from quarry import oracle
 from quarry.functions import vectors as V
 from quarry.operators import bm25, embed, knn, reformulate, rerank, runs
 from quarry.plans import pipeline
-from quarry.operators.index import build_index
+from quarry.operators.index import TextIndex, build_index
 from quarry.session import ensure_checkpoint_dir
 from quarry.sources import idmap, judgements, passages, tables, weights
 
@@ -41,17 +41,32 @@ SF_SMOKE = "/root/testdata/sf0.001"
 D = 6
 
 
+#: The index of the table read last; its caches are released when another one is built.
+_INDEX: dict[tuple[str, str, str], TextIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, corpus: str = "documents") -> TextIndex:
+    key = (spark.sparkContext.applicationId, sf_dir, corpus)
+    if key not in _INDEX:
+        for (app, *_), old in list(_INDEX.items()):
+            if app == key[0]:  # those of a stopped session are gone with it
+                old.unpersist()
+        _INDEX.clear()
+        _INDEX[key] = build_index(tables.open_corpus(spark, sf_dir, corpus))
+    return _INDEX[key]
+
+
 def _run_out(run: DataFrame) -> DataFrame:
     return run.select("qid", "doc_id", "rank", F.round("score", D).alias("score"))
 
 
 def q_bm25_topk(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
-    index = build_index(tables.corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return _run_out(bm25.bm25_topk(index, tables.passage_queries(spark, sf_dir), k=k))
 
 
 def q_rm3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = build_index(tables.corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     qw = bm25.query_terms(tables.passage_queries(spark, sf_dir))
     first = bm25.bm25_search(index, qw, k=bm25.RM3_FB_DOCS)
     w = bm25.rm3_terms(index, qw, first)
@@ -59,17 +74,16 @@ def q_rm3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_bm25_rm3_topk(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
-    index = build_index(tables.corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return _run_out(bm25.bm25_rm3_topk(index, tables.passage_queries(spark, sf_dir), k=k))
 
 
-def _bm25_run(spark, sf_dir, k, corpus=None):
-    corpus = corpus if corpus is not None else tables.corpus(spark, sf_dir)
-    return bm25.bm25_topk(build_index(corpus), tables.passage_queries(spark, sf_dir), k=k)
+def _bm25_run(spark, sf_dir, k, corpus="documents"):
+    return bm25.bm25_topk(_index(spark, sf_dir, corpus), tables.passage_queries(spark, sf_dir), k=k)
 
 
 def _rm3_run(spark, sf_dir, k):
-    index = build_index(tables.corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return bm25.bm25_rm3_topk(index, tables.passage_queries(spark, sf_dir), k=k)
 
 
@@ -140,7 +154,7 @@ def q_linkify(spark, sf_dir):
 
 def q_present_hits(spark, sf_dir):
     web = tables.web_corpus(spark, sf_dir)
-    run = runs.relevance_flag(_bm25_run(spark, sf_dir, 10, web), _passage_qrels(spark, sf_dir, web))
+    run = runs.relevance_flag(_bm25_run(spark, sf_dir, 10, "pages"), _passage_qrels(spark, sf_dir, web))
     shown = runs.present_hits(runs.attach_raw(run, web))
     return shown.select("qid", "doc_id", "rank", F.round("score", D).alias("score"), "relevant",
                         "text", "url", "display")
@@ -202,7 +216,7 @@ def q_lsa_text_topk(spark, sf_dir):
     """Passages against documents in the space that the encoder learnt from the corpus."""
     from quarry.operators import lsa
 
-    index = build_index(tables.corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     fitted = lsa.fit(index)
     docs = lsa.encode_documents(index, fitted)
     qv = lsa.encode_queries(tables.passage_queries(spark, sf_dir), fitted)
@@ -416,17 +430,32 @@ def q_bm25_pruned_topk(spark, sf_dir, k: int = 100):
     """The flagship search through the stored block index."""
     from quarry.operators import impacts
 
-    index = build_index(tables.corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     stored = impacts.write_impacts(index, _shared(spark, "impacts"))
-    index.unpersist()
     return _run_out(impacts.pruned_topk(stored, tables.passage_queries(spark, sf_dir), k=k))
 
 
+def q_term_stems(spark, sf_dir):
+    from quarry.functions.stem import stems
+
+    return stems(build_index(tables.corpus(spark, sf_dir), persist=False).terms)
+
+
+def q_bm25_stemmed_topk(spark, sf_dir, k: int = 100):
+    """The flagship search over stems."""
+    from quarry.operators import stemmed
+
+    index = _index(spark, sf_dir)
+    by_stem = stemmed.stem_index(index)
+    qw = stemmed.stem_queries(bm25.query_terms(tables.passage_queries(spark, sf_dir)))
+    return _run_out(bm25.bm25_search(by_stem, qw, k=k))
+
+
 def q_rm3_terms_forward(spark, sf_dir):
     """Feedback through the forward store."""
     from quarry.operators import forward
 
-    index = build_index(tables.corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     store = forward.write_forward(index, _shared(spark, "forward"))
     qw = bm25.query_terms(tables.passage_queries(spark, sf_dir))
     w = bm25.rm3_terms(index, qw, bm25.bm25_search(index, qw, k=bm25.RM3_FB_DOCS), forward=store)
@@ -461,12 +490,11 @@ def q_covering_spans(spark, sf_dir):
 def q_stream_bm25_topk(spark, sf_dir, k: int = 100):
     from quarry.streaming import query_stream
 
-    index = build_index(tables.corpus(spark, sf_dir)).persist()
+    index = _index(spark, sf_dir)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream = query_stream.query_stream(spark, sf_dir, glob="benchmark.parquet")
     q = query_stream.serve(stream, lambda batch: bm25.bm25_topk(index, batch, k=k), f"{base}/sink", f"{base}/ckpt")
     q.awaitTermination()
-    index.unpersist()
     out = query_stream.read_sink(spark, f"{base}/sink")
     return _run_out(out)
 
@@ -475,7 +503,7 @@ def q_compare_pipelines(spark, sf_dir):
     a = pipeline.Pipeline("bm25", k=10, rm3=False, name="bm25")
     b = pipeline.Pipeline("knn", rerank.FeedForwardRanker.formula(**RANKER), k=10, encoder=embed.HashBagOfWords(64))
     cmp = pipeline.compare_pipelines(a, b, tables.passage_queries(spark, sf_dir),
-                                     index=build_index(tables.corpus(spark, sf_dir)),
+                                     index=_index(spark, sf_dir),
                                      vectors=tables.vectors(spark, sf_dir), id_map=_id_map(spark, sf_dir))
     return cmp.select("qid", "doc_id", "rank_a", F.round("score_a", D).alias("score_a"),
                       "rank_b", F.round("score_b", D).alias("score_b"))
@@ -539,15 +567,15 @@ def q_whole_text(spark, sf_dir):
 
 
 def q_term_stats(spark, sf_dir):
-    return build_index(tables.corpus(spark, sf_dir)).terms.select("term", F.col("df").cast("bigint"))
+    return _index(spark, sf_dir).terms.select("term", F.col("df").cast("bigint"))
 
 
 def q_doc_stats(spark, sf_dir):
-    return build_index(tables.corpus(spark, sf_dir)).doc_lengths.select("doc_id", F.col("dl").cast("bigint"))
+    return _index(spark, sf_dir).doc_lengths.select("doc_id", F.col("dl").cast("bigint"))
 
 
 def q_collection_stats(spark, sf_dir):
-    st = build_index(tables.corpus(spark, sf_dir)).collection_stats()
+    st = _index(spark, sf_dir).collection_stats()
     return st.select(F.col("n_docs").cast("bigint"), F.round("avgdl", D).alias("avgdl"))
 
 
@@ -630,6 +658,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_bounded_topk_cosine": q_knn_bounded_topk_cosine,
         "bm25_pruned_topk": q_bm25_pruned_topk,
         "rm3_terms_forward": q_rm3_terms_forward,
+        "term_stems": q_term_stems,
+        "bm25_stemmed_topk": q_bm25_stemmed_topk,
         "doc_lookup_keyed": q_doc_lookup_keyed,
         "snippets": q_snippets,
         "covering_spans": q_covering_spans,
@@ -692,6 +722,8 @@ def oracle_sql() -> dict[str, str]:
         "knn_bounded_topk_cosine": oracle.knn_self("cosine"),
         "bm25_pruned_topk": oracle.bm25_topk(),
         "rm3_terms_forward": oracle.rm3_terms(),
+        "term_stems": oracle.term_stems(),
+        "bm25_stemmed_topk": oracle.bm25_stemmed_topk(),
         "doc_lookup_keyed": oracle.doc_lookup(),
         "qrels_file": oracle.qrels_file(),
         "queries_file": oracle.queries_file(),

@@ -9,6 +9,7 @@ id.
 
 from __future__ import annotations
 
+from quarry.functions import stem as ST
 from quarry.functions.text import SENTENCE_BOUNDARY, TOKEN_SEPARATOR, URL_PATTERN
 
 D = 6  # decimals compared
@@ -479,6 +480,77 @@ def whole_text(k: int = 10) -> str:
 SELECT qid, doc_id, rank::BIGINT AS rank, md5(text) AS text_md5 FROM run JOIN documents d USING (doc_id)"""
 
 
+# ----------------------------------------------------------------- stems
+
+def _suffix_case(rules, cond) -> str:
+    arms = []
+    for old, new in sorted(rules, key=lambda r: -len(r[0])):
+        stem = f"left(w, length(w) - {len(old)})"
+        arms.append(f"WHEN ends_with(w, '{old}') THEN CASE WHEN {cond(stem, old)} THEN {stem} || '{new}' ELSE w END")
+    return "CASE " + " ".join(arms) + " ELSE w END"
+
+
+def stem_ctes(source: str) -> str:
+    """CTE ``stem(term, stem)`` of the words of ``source(term)``, a step of the rules per CTE."""
+    def match(x, pattern):
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def m1(x, _=""):
+        return match(x, ST.MEASURED)
+
+    def m2(x, _=""):
+        return match(x, ST.MEASURED_TWICE)
+
+    def short(x):
+        return match(x, ST.SHORT_END)
+
+    less = "left(w, length(w) - 1)"
+    doubles = "(" + "|".join(c + c for c in ST.DOUBLED) + ")$"
+    fourth = [("ion", "") if r in ("sion", "tion") else (r, "") for r in ST.STEP_4]
+    steps = [
+        _suffix_case(ST.PLURALS, lambda *_: "true"),
+        _suffix_case([("eed", "ee")], m1),
+        f"""CASE WHEN NOT c THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN {match('w', doubles)} THEN {less}
+            WHEN {m1('w')} AND NOT {m2('w')} AND {short('w')} THEN w || 'e' ELSE w END""",
+        f"CASE WHEN lower(right(w, 1)) = 'y' AND {match(less, ST.V)} THEN {less} || 'i' ELSE w END",
+        _suffix_case(ST.STEP_2, m1),
+        _suffix_case(ST.STEP_3, m1),
+        _suffix_case(sorted(set(fourth)), lambda x, old: m2(x) + (f" AND {match(x, '[st]$')}" if old == "ion" else "")),
+        f"CASE WHEN right(w, 1) = 'e' AND ({m2(less)} OR ({m1(less)} AND NOT {short(less)})) THEN {less} ELSE w END",
+        f"CASE WHEN right(w, 2) = 'll' AND {m2('w')} THEN {less} ELSE w END",
+    ]
+    cut = f"""CASE WHEN ends_with(w, 'eed') THEN NULL WHEN ends_with(w, 'ed') AND {match('left(w, length(w) - 2)', ST.V)} THEN left(w, length(w) - 2)
+              WHEN ends_with(w, 'ing') AND {match('left(w, length(w) - 3)', ST.V)} THEN left(w, length(w) - 3) END"""
+    ctes = [f"""s0 AS (SELECT DISTINCT term, regexp_replace(regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g'),
+            'yy', 'yY', 'g') AS w, false AS c FROM {source})"""]
+    for i, step in enumerate(steps):
+        if i == 1:  # the ending goes, or the rule for the one that looks like it
+            ctes.append(f"s2 AS (SELECT term, coalesce(cut, {step}) AS w, cut IS NOT NULL AS c FROM (SELECT *, {cut} AS cut FROM s1))")
+        else:
+            ctes.append(f"s{i + 1} AS (SELECT term, {step} AS w, c FROM s{i})")
+    return ",\n".join(ctes) + f""",
+stem AS (SELECT term, CASE WHEN regexp_matches(term, '^[a-z]{{3,}}$') THEN lower(w) ELSE term END AS stem FROM s{len(steps)})"""
+
+
+def bm25_stemmed_topk(k: int = 100) -> str:
+    index = index_ctes().replace("post AS", "words AS")
+    index = index.replace("\ndfs AS", """
+allterms AS (SELECT term FROM words UNION SELECT term FROM words0),
+STEMS,
+post AS (SELECT doc_id, stem AS term, sum(tf) AS tf, any_value(dl) AS dl FROM words JOIN stem USING (term) GROUP BY doc_id, stem),
+dfs AS""")
+    queries = query_terms_cte("words0").strip()
+    index = index.replace("tk AS", f"{queries},\ntk AS", 1).replace("STEMS", stem_ctes("allterms"))
+    return f"""WITH {index},
+qw AS (SELECT qid, stem AS term, sum(qw) AS qw FROM words0 JOIN stem USING (term) GROUP BY qid, stem), {bm25_cte('run', 'qw', k)}
+SELECT qid, doc_id, rank::BIGINT AS rank, round(score, {D}) AS score FROM run"""
+
+
+def term_stems() -> str:
+    return f"""WITH {index_ctes()}, vocabulary AS (SELECT DISTINCT term FROM post), {stem_ctes('vocabulary')}
+SELECT term, stem FROM stem"""
+
+
 # ---------------------------------------------------------------- snippets
 
 def snippets(k: int = 10, n: int = 2) -> str:
