@@ -362,6 +362,12 @@ def q_reformulate_transformer(spark, sf_dir):
     return _explode_vec(_reformulated(spark, sf_dir, r))
 
 
+def q_reformulate_encoder(spark, sf_dir):
+    """The encoder layer with weights that SQL can name."""
+    r = reformulate.Reformulator("transformer", 5, reformulate.formula_transformer(64, 1, 32), heads=4, layers=1)
+    return _explode_vec(_reformulated(spark, sf_dir, r))
+
+
 def q_interleave(spark, sf_dir):
     fb = _reranked(spark, sf_dir).filter(F.col("rank") <= 5).groupBy("qid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "embedding"))), lambda h: h["embedding"]).alias("ds"))
@@ -640,6 +646,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reformulate_weighted": q_reformulate_weighted,
         "reformulate_neural": q_reformulate_neural,
         "reformulate_transformer": q_reformulate_transformer,
+        "reformulate_encoder": q_reformulate_encoder,
         "interleave": q_interleave,
         "positional_encoding": q_positional_encoding,
         "prf_pipeline": q_prf_pipeline,
@@ -712,6 +719,7 @@ def oracle_sql() -> dict[str, str]:
         "reformulate_avg": oracle.reformulate_avg(),
         "reformulate_weighted": oracle.reformulate_weighted(),
         "reformulate_neural": oracle.reformulate_neural(),
+        "reformulate_encoder": oracle.reformulate_encoder(),
         "interleave": oracle.interleave(),
         "positional_encoding": oracle.positional_encoding(),
         "prf_pipeline": oracle.prf_pipeline(),

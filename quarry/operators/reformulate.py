@@ -213,3 +213,19 @@ def random_transformer(dim: int, layers: int, ff: int, seed: int = 7) -> dict:
         t[p + "norm2.weight"] = 1.0 + rng.normal(0, 0.01, dim)
         t[p + "norm2.bias"] = rng.normal(0, 0.01, dim)
     return t
+
+
+def formula_transformer(dim: int, layers: int, ff: int) -> dict:
+    """Encoder weights that SQL can name as well: formula matrices, norms near one."""
+    from quarry.sources.weights import formula_bias, formula_matrix
+
+    t = {}
+    for i in range(layers):
+        shapes = {"in": (3 * dim, dim), "out": (dim, dim), "ff1": (ff, dim), "ff2": (dim, ff)}
+        for name, (n_out, n_in) in shapes.items():
+            t[f"layers.{i}.{TRANSFORMER_LAYER_KEYS[name + '_w']}"] = formula_matrix(n_out, n_in)
+            t[f"layers.{i}.{TRANSFORMER_LAYER_KEYS[name + '_b']}"] = formula_bias(n_out)
+        for norm in ("n1", "n2"):
+            t[f"layers.{i}.{TRANSFORMER_LAYER_KEYS[norm + '_g']}"] = 1.0 + formula_bias(dim)
+            t[f"layers.{i}.{TRANSFORMER_LAYER_KEYS[norm + '_b']}"] = formula_bias(dim)
+    return t

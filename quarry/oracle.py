@@ -426,6 +426,41 @@ nn AS (SELECT qid, {_norm_list('y')} AS y FROM no)
 {_explode_vec('nn', 'y')}"""
 
 
+def _layer_norm(x: str, dim: int = 64) -> str:
+    """Scale 1 + bias and shift bias, both of the formula bias."""
+    bias = "((((o * 7) % 5) - 2) / 100.0)"
+    return (f"list_transform(range({dim}), lambda o: ({x}[o + 1] - list_avg({x})) / sqrt(list_avg(list_transform({x}, lambda z: "
+            f"(z - list_avg({x})) * (z - list_avg({x})))) + 1e-5::DOUBLE) * (1 + {bias}) + {bias})")
+
+
+def reformulate_encoder(topk: int = 5, heads: int = 4, ff: int = 32, dim: int = 64) -> str:
+    """One encoder layer over [query, hits]: attention by joins of positions, the rest on lists."""
+    hd = dim // heads
+    def head(at: int) -> str:
+        return f"[{at} + h * {hd} + 1:{at} + h * {hd} + {hd}]"
+
+    return f"""WITH {reranked_ctes()},
+t0 AS (SELECT qid, 0 AS s, any_value(qv) AS v FROM rr GROUP BY qid UNION ALL SELECT qid, nr AS s, dv AS v FROM rr WHERE nr <= {topk}),
+t1 AS (SELECT qid, s, list_transform(range({dim}), lambda i: v[i + 1] * sqrt({dim}::DOUBLE) + CASE WHEN i % 2 = 0
+         THEN sin(s * exp((i - i % 2) * (-ln(10000.0) / {dim}))) ELSE cos(s * exp((i - i % 2) * (-ln(10000.0) / {dim}))) END) AS x FROM t0),
+t2 AS (SELECT qid, s, x, {dense_sql('x', dim, 3 * dim, relu=False)} AS p FROM t1),
+t3 AS (SELECT a.qid, a.s, h, b.s AS t, list_dot_product(a.p{head(0)}::DOUBLE[], b.p{head(dim)}::DOUBLE[]) / sqrt({hd}::DOUBLE) AS z,
+              b.p{head(2 * dim)} AS v FROM t2 a JOIN t2 b USING (qid) CROSS JOIN range({heads}) hs(h)),
+t4 AS (SELECT *, exp(z - max(z) OVER w) AS e FROM t3 WINDOW w AS (PARTITION BY qid, s, h)),
+t5 AS (SELECT *, e / sum(e) OVER (PARTITION BY qid, s, h) AS a FROM t4),
+t6 AS (SELECT qid, s, h, i, sum(a * v[i + 1]) AS c FROM t5 CROSS JOIN range({hd}) cs(i) GROUP BY qid, s, h, i),
+t7 AS (SELECT qid, s, list(c ORDER BY h, i) AS c FROM t6 GROUP BY qid, s),
+t8 AS (SELECT qid, s, x, {dense_sql('c', dim, dim, relu=False)} AS o FROM t7 JOIN t2 USING (qid, s) WHERE s = 0),
+t9 AS (SELECT qid, list_transform(range({dim}), lambda i: x[i + 1] + o[i + 1]) AS r FROM t8),
+u1 AS (SELECT qid, {_layer_norm('r')} AS n FROM t9),
+u2 AS (SELECT qid, n, {dense_sql('n', dim, ff)} AS f FROM u1),
+u3 AS (SELECT qid, n, {dense_sql('f', ff, dim, relu=False)} AS g FROM u2),
+u4 AS (SELECT qid, list_transform(range({dim}), lambda i: n[i + 1] + g[i + 1]) AS r FROM u3),
+u5 AS (SELECT qid, {_layer_norm('r')} AS n FROM u4),
+u6 AS (SELECT qid, {_norm_list('n')} AS y FROM u5)
+{_explode_vec('u6', 'y')}"""
+
+
 def positional_encoding() -> str:
     return f"""WITH {reranked_ctes()},
 pe AS (SELECT qid, vec_id, list_transform(range(64), lambda i: CASE WHEN i % 2 = 0
