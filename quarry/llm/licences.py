@@ -6,12 +6,18 @@ out, and inside ordinary paragraphs (``PLACED`` each); statements of made-up lic
 and a bounded sample of the corpus' own paragraphs that hold no template as ``none``
 (``NONE_ROWS``, by smallest hash). A sparse multinomial logistic regression (L1) is fitted
 over the n-grams of the licence rows; its non-zero weights are broadcast to the scan,
-which adds them up per paragraph with partial sums in the tasks. A temperature fitted on
-training rows kept aside calibrates the probabilities; a licence statement whose best family
-stays below ``CERTAIN`` is ``unknown``. A predicted family is confirmed if one of its
+which adds them up per paragraph with partial sums in the tasks. A temperature calibrates the
+probabilities: it is fitted on rows of templates that a first fit has not seen in any form (the
+last template of each family that has several), so it answers for new wording; the second
+fit, on all rows, is the one used. A licence statement whose best family stays below
+``CERTAIN`` is ``unknown``. A predicted family is confirmed if one of its
 templates has at least ``SIMILAR`` of its word five-grams in the paragraph.
 
-Defined results: null, empty and blank texts have no paragraphs; paragraphs without any
+Ties: of equal top scores the family that comes first by name is taken; of equal
+similarities the templates are not told apart.
+
+Defined results: a very long text is as many rows as it has lines, a very long line one row of
+its distinct n-grams; null, empty and blank texts have no paragraphs; paragraphs without any
 weighted n-gram are ordinary text and give no row, nor do those classed ``none``; rows that
 repeat a document exactly give its findings once; an empty table gives an empty result;
 further columns are ignored.
@@ -46,6 +52,18 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("agpl", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("agpl", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."),
+    ("lgpl", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "Released under the ISC License."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("proprietary", "All rights reserved."),
     ("proprietary", "No part of this work may be reproduced without the prior written permission of the publisher."),
 ]
@@ -112,7 +130,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, none_rows: int = NONE_ROWS) -> DataFrame:
-    """family, words, bare (a licence row by itself): bounded by the templates and ``none_rows``."""
+    """template (-1: none), family, words, bare (a licence row by itself): bounded by the
+    templates and ``none_rows``."""
     spark = docs.sparkSession
     known = templates(spark)
     held = F.array(*[F.lit(h) for r in known.select("grams").collect() for h in r["grams"]])  # of the fixed templates
@@ -121,23 +140,29 @@ def training_rows(docs: DataFrame, none_rows: int = NONE_ROWS) -> DataFrame:
     sample = smallest(paragraphs(docs), F.xxhash64(*KEY), none_rows, total, "sampled-paragraphs", F.col("text"))
     plain = sample.select(words(F.col("text")).alias("words")).filter(~F.arrays_overlap(shingles(F.col("words")), held))
     plain = stored(plain.select(F.row_number().over(_by_hash()).alias("i"), "words"), "plain-paragraphs")
-    whole = known.select("family", "words")
-    missing = known.filter(F.size("words") > 3).select("family", F.explode(F.transform(
+    whole = known.select("template", "family", "words")
+    missing = known.filter(F.size("words") > 3).select("template", "family", F.explode(F.transform(
         "words", lambda _, i: F.filter("words", lambda __, j: j != i))).alias("words"))
     statements = F.explode(F.array(*[F.replace(F.lit(t), F.lit("%"), F.element_at("words", 1)) for t in UNKNOWN]))
     other = plain.filter(F.col("i") <= UNKNOWN_ROWS).select(statements.alias("text")).select(
-        F.lit("unknown").alias("family"), words(F.col("text")).alias("words"))
+        F.lit(-1).alias("template"), F.lit("unknown").alias("family"), words(F.col("text")).alias("words"))
     licence = whole.unionByName(missing).unionByName(other)
     licence = licence.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(PLACED - 1)))).withColumn(
         "i", F.pmod(F.xxhash64("words", "copy"), F.lit(max(1, none_rows))) + 1)
     before = F.when(F.col("copy") % 3 != 1, F.col("around")).otherwise(F.array().cast("array<string>"))
     after = F.when(F.col("copy") % 3 != 0, F.col("around")).otherwise(F.array().cast("array<string>"))
     inside = licence.join(plain.withColumnRenamed("words", "around"), "i").select(
-        "family", F.concat(before, "words", after).alias("words"))
+        "template", "family", F.concat(before, "words", after).alias("words"))
     licence = licence.filter("copy = 0")
-    return licence.select("family", "words", F.lit(True).alias("bare")).unionByName(
+    return licence.select("template", "family", "words", F.lit(True).alias("bare")).unionByName(
         inside.withColumn("bare", F.lit(False))).unionByName(
-        plain.select(F.lit("none").alias("family"), "words", F.lit(False).alias("bare")))
+        plain.select(F.lit(-1).alias("template"), F.lit("none").alias("family"), "words", F.lit(False).alias("bare")))
+
+
+def kept_aside() -> list[int]:
+    """The last template of each family that has several."""
+    families = [f for f, _ in TEMPLATES]
+    return [i for i, f in enumerate(families) if families.count(f) > 1 and f not in families[i + 1:]]
 
 
 def _by_hash():
@@ -154,21 +179,22 @@ def train(docs: DataFrame, none_rows: int = NONE_ROWS) -> tuple[DataFrame, list[
 
     rows = stored(training_rows(docs, none_rows).select(
         "family", "bare", F.transform(features(F.col("words")), lambda x: x.cast("string")).alias("grams"),
-        (F.pmod(F.xxhash64("family", "words"), F.lit(5)) == 4).alias("aside")).repartition(4), "licence-training")
+        F.when(F.col("template") >= 0, F.col("template").isin(kept_aside())).otherwise(
+            F.pmod(F.xxhash64("family", "words"), F.lit(5)) == 4).alias("aside")).repartition(4), "licence-training")
     indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     # Only n-grams of the licence rows themselves: any other speaks for ``none`` by its absence.
     # They are bounded by the templates.
     own = [r["gram"] for r in rows.filter("bare").select(F.explode("grams").alias("gram")).distinct().orderBy("gram").collect()]
     vectors = CountVectorizerModel.from_vocabulary(own, inputCol="grams", outputCol="features").setBinary(True)
     ready = indexer.transform(vectors.transform(rows)).select("features", "label", "aside").cache()  # the bounded sample
-    model = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60,
-                               standardization=False).fit(ready.filter(~F.col("aside")))
+    fit = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60, standardization=False).fit
+    unseen, model = fit(ready.filter(~F.col("aside"))), fit(ready)
     families = indexer.labels
     matrix, intercepts = model.coefficientMatrix, [float(x) for x in model.interceptVector]
     columns = zip(*(list(r) for r in matrix.toArray()))
     weights = [(int(g), [float(x) for x in w]) for g, w in zip(vectors.vocabulary, columns) if any(w)]
     table = _weights(docs.sparkSession, weights)
-    aside = model.transform(ready.filter("aside")).select("label", vector_to_array("rawPrediction").alias("raw"))
+    aside = unseen.transform(ready.filter("aside")).select("label", vector_to_array("rawPrediction").alias("raw"))
     tried = [0.25 * 1.2 ** i for i in range(20)]
     losses = aside.agg(*[F.avg(_loss(F.col("raw"), F.col("label"), t)).alias(f"t{i}") for i, t in enumerate(tried)]).first()
     ready.unpersist()

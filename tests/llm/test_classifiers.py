@@ -110,6 +110,35 @@ def test_licences(spark, documents, prose):
     assert licences.scan(documents([])).count() == 0
 
 
+def test_families_not_trained_are_unknown_or_unconfirmed(documents, prose, monkeypatch):
+    """Real notices of families left out of training are never confirmed as another family."""
+    left_out = ("zlib", "boost", "epl", "unlicense", "isc")
+    monkeypatch.setattr(licences, "TEMPLATES", [t for t in licences.TEMPLATES if t[0] not in left_out])
+    notices = ["Distributed under the Boost Software License, Version 1.0.", "Released under the ISC License.",
+               "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+               "This is free and unencumbered software released into the public domain."]
+    rows = [(i, prose(50) + "\n" + prose(30)) for i in range(60)] + [(100 + i, prose(20) + "\n" + t) for i, t in enumerate(notices)]
+    rows += [(200, prose(10) + "\nReleased under the MIT License.")]
+    got = {r.doc_id: r for r in licences.scan(documents(rows), none_rows=100).collect()}
+    assert (got[200].family, got[200].confirmed) == ("mit", True) and set(got) <= {200, *range(100, 104)}
+    assert all(r.family == "unknown" or not r.confirmed for i, r in got.items() if i != 200)
+
+
+def test_templates_kept_aside():
+    aside = licences.kept_aside()
+    families = [licences.TEMPLATES[i][0] for i in aside]
+    assert len(set(families)) == len(families) and all(
+        any(f == g for j, (g, _) in enumerate(licences.TEMPLATES) if j not in aside) for f in families)
+
+
+def test_very_long_licence_text(documents, prose):
+    lines = [prose(12) for _ in range(3000)]
+    lines[1500] = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, "\n".join(lines)), (2, " ".join(lines[:1000]))] + [(i, prose(40)) for i in range(10, 50)]
+    got = [(r.doc_id, r.family, r.paragraph) for r in licences.scan(documents(rows), none_rows=100).collect() if r.confirmed]
+    assert got == [(1, "apache-2.0", 1500)]
+
+
 def test_licences_of_rows_without_an_own_id(documents, prose):
     said = "Released under the MIT License."
     rows = [(i, prose(60)) for i in range(60)]
