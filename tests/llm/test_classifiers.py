@@ -202,3 +202,29 @@ def test_buckets_and_scores_equal_brute_force():
     p = toxicity.probabilities(texts, (v.astype("f4"), b), grams)
     want = [1 / (1 + np.exp(-(b + (sum(float(np.float32(v[i])) for i in brute(t)) / len(brute(t)) ** 0.5 if brute(t) else 0)))) for t in texts]
     assert np.allclose(p, want)
+
+
+def test_network_and_temperature_by_hand():
+    """Forward pass and pooling in loops; the temperature is the best of its grid on the rows kept aside."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(200, quality.DIM)), np.zeros(200)
+    y[(x[:, 0] + 0.5 * x[:, 1] + 0.8 * rng.normal(size=200)) > 0] = 1
+    weight = rng.uniform(0.5, 2, 200)
+    net = quality.fit(x, y, weight)
+    for row, p in zip(x[:5], net.probabilities(x[:5])):
+        hidden = [max(0.0, sum((row[i] - net.centre[i]) / net.scale[i] * net.w1[i, j] for i in range(quality.DIM)) + net.b1[j])
+                  for j in range(quality.HIDDEN)]
+        z = (sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert p == pytest.approx(1 / (1 + np.exp(-z)))
+    aside = np.arange(200) % 5 == 4
+
+    def loss(temperature):
+        z = net.logits(x[aside]) / temperature
+        return float(weight[aside] @ (np.logaddexp(0, z) - y[aside] * z))
+
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.exp(np.linspace(np.log(0.25), np.log(8), 61)))
+    p = net.probabilities(x[~aside])
+    assert np.mean((p >= 0.5) == y[~aside]) > 0.8
+    vectors, words = rng.normal(size=(50, quality.DIM)).astype("f4"), rng.integers(0, 50, 70)
+    assert np.allclose(quality.pooled(vectors, words), sum(vectors[w].astype("f8") for w in words) / 70)
+    assert not quality.pooled(vectors, words[:0]).any()
