@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._common import blocks, prepare
-from quarry.llm.pieces import BLOCK_BYTES, PieceCache
+from quarry.llm.pieces import PieceCache
 
 #: Words whose merges are replayed together; bounds the arrays of positions.
 REPLAYED = 300_000
@@ -36,6 +36,10 @@ KNOWN_PAIRS = 300_000
 #: Pieces kept per worker process; their words need no replay.
 CACHE_PIECES = 150_000
 
+#: Text whose distinct pieces are encoded together: half of what the token files take,
+#: since the replay's arrays come on top.
+BLOCK_BYTES = 8 << 20
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
