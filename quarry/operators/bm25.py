@@ -77,6 +77,7 @@ def bm25_scores(index: TextIndex, qweights: DataFrame, params: BM25Params = BM25
     """All ``(qid, doc_id, score)`` for weighted query terms ``(qid, term, qw)``."""
     n, avgdl = index.stats()
     small = row_count_at_most(qweights, max_broadcast_rows)
+    index = index.of_terms(qweights.select("term").distinct(), small)
     qw = _hint(qweights.select("qid", "term", F.col("qw").cast("double").alias("qw")), small)
     dfs = index.doc_freqs(qweights.select("term").distinct(), small)
     weighted = qw.join(_hint(dfs, small), "term").select(

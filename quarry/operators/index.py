@@ -122,6 +122,10 @@ class TextIndex:
             _stats=TextIndex._read_stats(spark.read.parquet(f"{path}/stats")),
         )
 
+    def of_terms(self, needed_terms: DataFrame, small: bool) -> "TextIndex":
+        """An index to search for the distinct ``needed_terms(term)`` alone; may be this one."""
+        return self
+
     def doc_freqs(self, needed_terms: DataFrame, small: bool) -> DataFrame:
         """``(term, df)`` for the distinct ``needed_terms(term)``.
 

@@ -35,3 +35,18 @@ def test_stemmed_search(spark):
         assert {r.term: r.df for r in by_stem.terms.collect()}["hors"] == 2 and by_stem.stats() == index.stats()
         run = bm25.bm25_search(by_stem, stemmed.stem_queries(bm25.query_terms(q)), k=10)
         assert {(r.qid, r.doc_id) for r in run.collect()} == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)}
+
+
+def test_a_search_filters_the_postings_where_they_lie(spark):
+    rows = [(i, f"running w{i} horse{'s' if i % 2 else ''}") for i in range(40)]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    q = spark.createDataFrame([(1, "horses run")], "qid int, text string")
+    qw = stemmed.stem_queries(bm25.query_terms(q))
+    by_stem = stemmed.stem_index(index, max_broadcast_rows=10)  # the vocabulary has 43 words, the query's stems 3
+    found = by_stem.of_terms(qw.select("term").distinct(), True)
+    plan = found.postings._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r.doc_id, r.term, r.tf, r.dl) for r in found.postings.collect()} == {(i, t, 1, 3) for i in range(40) for t in ("run", "hors")}
+    full = stemmed.stem_index(index).postings
+    assert found.postings.exceptAll(full).count() == 0
+    assert len(bm25.bm25_search(by_stem, qw, k=100).collect()) == 40
