@@ -81,14 +81,18 @@ def write_impacts(index: TextIndex, path: str, params: BM25Params = BM25Params()
     regions = spark.read.parquet(f"{path}/regions").select(
         "doc_id", F.shiftright("place", 33).cast("int").alias("shard"),
         F.shiftright("place", region_docs.bit_length() - 1).alias("region"))
-    rows = index.postings.join(regions, "doc_id").select("shard", "term", "region", "doc_id", "tf", "dl")
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "term", "region", "doc_id")
+    # The postings lie partitioned by document: a hash of each part's documents spares sorting them.
+    rows = index.postings.join(regions.hint("shuffle_hash"), "doc_id").select("shard", "term", "region", "doc_id", "tf", "dl")
+    # Shards are numbered by partition, so each gets a task of its own; hashed, some tasks get several.
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "term", "region", "doc_id")
     rows.write.partitionBy("shard").option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")
     id_type = index.postings.schema["doc_id"].dataType.simpleString()
     stored = spark.read.schema(_postings_schema(id_type)).parquet(f"{path}/postings")
-    blocks = stored.groupBy("term", "shard", "region").agg(
-        F.max(_factor(params, avgdl)).alias("top"), F.count(F.lit(1)).alias("n"))
-    blocks.repartitionByRange(shards, "term").sortWithinPartitions("term", "region").write.option(
+    # Dealt over ranges first: the counts per block then need no other exchange and are made once.
+    factors = stored.select("term", "shard", "region", _factor(params, avgdl).alias("factor"))
+    blocks = factors.repartitionByRange(shards, "term", "region").groupBy("term", "shard", "region").agg(
+        F.max("factor").alias("top"), F.count(F.lit(1)).alias("n"))
+    blocks.sortWithinPartitions("term", "region").write.option(
         "parquet.block.size", str(4 << 20)).parquet(f"{path}/blocks")
     facts = spark.createDataFrame([(n, avgdl, params.k1, params.b, id_type)],
                                   "n_docs long, avgdl double, k1 double, b double, id_type string")

@@ -113,3 +113,15 @@ def test_feedback_reads_only_its_files(spark, index, tmp_path):
     by_doc = {r.doc_id: {t.term: t.tf for t in r.terms} for r in rows.collect()}
     want = index.postings.filter(F.col("doc_id") == 5).collect()
     assert by_doc[5] == {r.term: r.tf for r in want}
+
+
+def test_every_shard_has_a_task_of_its_own(spark, tmp_path):
+    import re
+
+    rows = [(i, " ".join(f"w{j}" for j in range(1 + i % 37))) for i in range(400)]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    stored = impacts.write_impacts(index, str(tmp_path / "own"), region_docs=4, shards=8)
+    files = [r[0] for r in stored.postings.selectExpr("_metadata.file_path").distinct().collect()]
+    at = [tuple(map(int, re.search(r"shard=(\d+)/part-(\d+)", f).groups())) for f in files]
+    assert len(at) > 1 and len({task for _, task in at}) == len(at)
+    assert stored.blocks.groupBy("term", "shard", "region").count().filter("count > 1").count() == 0
