@@ -123,7 +123,9 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
     term vectors are read; without one the postings are scanned for them.
     """
     n, _ = index.stats()
-    fb = feedback.filter(F.col("rank") <= rm3.fb_docs).select("qid", "doc_id", "score")
+    # Queries x feedback documents, used for the documents' keys and for the shares: the
+    # search that found them runs once.
+    fb = cut_lineage(feedback.filter(F.col("rank") <= rm3.fb_docs).select("qid", "doc_id", "score"))
     fb_small = row_count_at_most(fb, max_broadcast_rows)
     # A document's candidate terms do not depend on the query that retrieved
     # it: choose them once per distinct feedback document. The postings are
@@ -182,13 +184,17 @@ def rm3_terms(index: TextIndex, qweights: DataFrame, feedback: DataFrame, rm3: R
 
 def bm25_rm3_topk(index: TextIndex, queries: DataFrame, k: int = 100, params: BM25Params = BM25Params(),
                   rm3: RM3Params = RM3Params(), qid_col: str = "qid", text_col: str = "text",
-                  max_broadcast_rows: int = BROADCAST_MAX_ROWS, stopwords: list[str] | None = None) -> DataFrame:
-    """B1+B2: BM25 with RM3 expansion (feedback pass, expansion, second pass)."""
+                  max_broadcast_rows: int = BROADCAST_MAX_ROWS, stopwords: list[str] | None = None,
+                  first: DataFrame | None = None) -> DataFrame:
+    """B1+B2: BM25 with RM3 expansion (feedback pass, expansion, second pass).
+
+    ``first``: a BM25 run of the same queries, index and parameters with at least
+    ``rm3.fb_docs`` hits per query, if the caller has one; the feedback pass is then not run again."""
     qw = query_terms(queries, qid_col, text_col, stopwords)
-    # The feedback run is cached while the expansion reads it; the expansion
-    # itself comes back checkpointed (small: queries x terms), so the second
-    # pass neither re-runs the first nor the expansion windows.
-    first = bm25_search(index, qw, rm3.fb_docs, params, max_broadcast_rows).persist()
+    # The expansion checkpoints the feedback run and comes back checkpointed itself
+    # (small: queries x terms), so the second pass neither re-runs the first nor the
+    # expansion windows.
+    if first is None:
+        first = bm25_search(index, qw, rm3.fb_docs, params, max_broadcast_rows)
     expanded = rm3_terms(index, qw, first, rm3, max_broadcast_rows)
-    first.unpersist()
     return bm25_search(index, expanded, k, params, max_broadcast_rows)

@@ -36,11 +36,12 @@ class KeyedStore:
         self.last = [r["last"] for r in rows]
 
     @staticmethod
-    def write(table: DataFrame, path: str, key: str, files: int | None = None) -> "KeyedStore":
-        """Store ``table``; ``files`` defaults to the session's shuffle partitions."""
+    def write(table: DataFrame, path: str, key: str, files: int | None = None, ranged: bool = False) -> "KeyedStore":
+        """Store ``table``; ``files`` defaults to the session's shuffle partitions. A ``ranged``
+        table comes partitioned by ranges of the key already (``repartitionByRange``)."""
         spark, path = table.sparkSession, path.rstrip("/")
         n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = table.repartitionByRange(n, key).sortWithinPartitions(key)
+        parts = (table if ranged else table.repartitionByRange(n, key)).sortWithinPartitions(key)
         parts.write.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{path}/data")
         stored = spark.read.parquet(f"{path}/data")
         manifest = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(

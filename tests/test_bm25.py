@@ -5,6 +5,7 @@ import math
 import numpy as np
 from collections import Counter
 
+import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -200,3 +201,24 @@ def test_stopwords_optional(spark):
     for qq in want:
         assert [d for d, _ in got[qq]] == [d for d, _ in want[qq]]
         assert np.allclose([s for _, s in got[qq]], [s for _, s in want[qq]], atol=1e-9)
+
+
+def test_feedback_search_runs_once(spark, tmp_path):
+    from quarry.operators import forward
+
+    docs = spark.createDataFrame([(i, f"alpha beta w{i} w{i // 2}") for i in range(12)], "doc_id long, text string")
+    index = build_index(docs)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    qw = bm25.query_terms(spark.createDataFrame([(1, "alpha w3"), (2, "beta w4")], "qid long, text string"))
+    run = bm25.bm25_search(index, qw, k=3)
+    store = forward.write_forward(index, str(tmp_path / "forward"), files=3)
+    got = bm25.rm3_terms(index, qw, run.mapInArrow(counted, run.schema), forward=store)
+    assert seen.value == 6
+    want = bm25.rm3_terms(index, qw, run)
+    assert {(r.qid, r.term, round(r.qw, 9)) for r in got.collect()} == {(r.qid, r.term, round(r.qw, 9)) for r in want.collect()}
