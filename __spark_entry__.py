@@ -24,6 +24,7 @@ from quarry import oracle
 from quarry.functions import vectors as V
 from quarry.operators import bm25, embed, knn, reformulate, rerank, runs
 from quarry.plans import pipeline
+from quarry.plans.sizing import cut_lineage
 from quarry.operators.index import TextIndex, build_index
 from quarry.session import ensure_checkpoint_dir
 from quarry.sources import idmap, judgements, passages, tables, weights
@@ -81,9 +82,15 @@ def _bm25_run(spark, sf_dir, k, corpus="documents"):
     return bm25.bm25_topk(_index(spark, sf_dir, corpus), tables.passage_queries(spark, sf_dir), k=k)
 
 
-def _rm3_run(spark, sf_dir, k):
+def _rm3_run(spark, sf_dir, k, first=None):
     index = _index(spark, sf_dir)
-    return bm25.bm25_rm3_topk(index, tables.passage_queries(spark, sf_dir), k=k)
+    return bm25.bm25_rm3_topk(index, tables.passage_queries(spark, sf_dir), k=k, first=first)
+
+
+def _both_runs(spark, sf_dir, k=10):
+    """(BM25, BM25 + RM3): the BM25 run serves as the feedback pass too, which needs its first ``RM3_FB_DOCS`` hits."""
+    first = cut_lineage(_bm25_run(spark, sf_dir, max(k, bm25.RM3_FB_DOCS)))
+    return first.filter(F.col("rank") <= k), _rm3_run(spark, sf_dir, k, first)
 
 
 def _passage_qrels(spark, sf_dir, corpus=None):
@@ -160,13 +167,14 @@ def q_present_hits(spark, sf_dir):
 
 
 def q_compare_runs(spark, sf_dir):
-    cmp = runs.compare_runs(_bm25_run(spark, sf_dir, 10), _rm3_run(spark, sf_dir, 10))
+    cmp = runs.compare_runs(*_both_runs(spark, sf_dir))
     return cmp.select("qid", "doc_id", "rank_a", F.round("score_a", D).alias("score_a"),
                       "rank_b", F.round("score_b", D).alias("score_b"))
 
 
 def q_order_by_other_run(spark, sf_dir):
-    out = runs.order_by_other_run(_rm3_run(spark, sf_dir, 10), _bm25_run(spark, sf_dir, 10))
+    plain, expanded = _both_runs(spark, sf_dir)
+    out = runs.order_by_other_run(expanded, plain)
     return out.select("qid", "doc_id", "rank_b", "rank_a", "rank")
 
 

@@ -222,3 +222,12 @@ def test_feedback_search_runs_once(spark, tmp_path):
     assert seen.value == 6
     want = bm25.rm3_terms(index, qw, run)
     assert {(r.qid, r.term, round(r.qw, 9)) for r in got.collect()} == {(r.qid, r.term, round(r.qw, 9)) for r in want.collect()}
+
+
+@pytest.mark.parametrize("name", ["compare_runs", "order_by_other_run"])
+def test_compared_runs_share_their_first_pass(spark, monkeypatch, name):
+    import __spark_entry__ as E
+
+    searches, search = [], bm25.bm25_search
+    monkeypatch.setattr(bm25, "bm25_search", lambda *a, **k: searches.append(1) or search(*a, **k))
+    assert E.queries()[name](spark, E.SF_SMOKE).count() > 0 and len(searches) == 2
