@@ -36,9 +36,14 @@ METRICS = ("ip", "l2", "cosine")
 MAX_BROADCAST_QUERIES = 50_000
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 # Score-matrix elements computed at once inside a task (bounds task memory).
-MAX_SCORE_ELEMENTS = 8_000_000
-# Queries per block in the blocked plan.
-BLOCK_QUERIES = 4096
+MAX_SCORE_ELEMENTS = 2_000_000
+# Queries scored at once inside a task.
+QUERY_ROWS = 1024
+# Rows of an Arrow batch that a task returns.
+OUT_ROWS = 100_000
+# Queries per block and, at most, vectors per shard in the blocked plan.
+BLOCK_QUERIES = 16384
+SHARD_VECTORS = 50_000
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -116,25 +121,39 @@ def _partition_topk_arrays(qids: np.ndarray, qmat: np.ndarray, batches, k: int,
     arrays of the partition's k best per query."""
     nq = len(qids)
     best_s = np.zeros((nq, 0))
-    best_i = np.zeros((nq, 0), dtype=object)
+    best_i = None
     for ids_all, vecs_all in batches:
         if nq == 0 or len(ids_all) == 0:
             continue
         if vecs_all.shape[1] != qmat.shape[1]:
             raise ValueError(f"vector dim {vecs_all.shape[1]} != query dim {qmat.shape[1]}")
-        step = max(1, MAX_SCORE_ELEMENTS // nq)
+        if best_i is None:
+            best_i = np.zeros((nq, 0), dtype=ids_all.dtype)
+        if best_i.dtype != ids_all.dtype:  # ids of some batches hold nulls
+            best_i = best_i.astype(object)
+        # Blocks of queries against blocks of vectors: the scores held at once stay
+        # bounded, however many queries there are.
+        rows_at_once = min(nq, QUERY_ROWS)
+        step = max(1, MAX_SCORE_ELEMENTS // rows_at_once)
         for s0 in range(0, len(ids_all), step):
-            ids, sc = ids_all[s0:s0 + step], score_matrix(qmat, vecs_all[s0:s0 + step], metric)
-            rows, cols = _best_k(sc, ids, k)
-            m = len(cols) // nq
-            best_s = np.concatenate([best_s, sc[rows, cols].reshape(nq, m)], axis=1)
-            best_i = np.concatenate([best_i, ids[cols].reshape(nq, m).astype(object)], axis=1)
-            if best_s.shape[1] > k:
-                rows, cols = _best_k_rowwise(best_s, best_i, k)
-                best_s = best_s[rows, cols].reshape(nq, k)
-                best_i = best_i[rows, cols].reshape(nq, k)
+            ids, vecs = ids_all[s0:s0 + step], vecs_all[s0:s0 + step]
+            held = best_s.shape[1]
+            m = min(k, held + len(ids))
+            next_s, next_i = (best_s, best_i) if m == held else (np.empty((nq, m)), np.empty((nq, m), best_i.dtype))
+            for q0 in range(0, nq, rows_at_once):
+                q = slice(q0, min(nq, q0 + rows_at_once))
+                sc = score_matrix(qmat[q], vecs, metric)
+                rows, cols = _best_k(sc, ids, k)
+                n = len(sc)
+                s = np.concatenate([best_s[q], sc[rows, cols].reshape(n, -1)], axis=1)
+                i = np.concatenate([best_i[q], ids[cols].reshape(n, -1)], axis=1)
+                if s.shape[1] > k:
+                    rows, cols = _best_k_rowwise(s, i, k)
+                    s, i = s[rows, cols].reshape(n, k), i[rows, cols].reshape(n, k)
+                next_s[q], next_i[q] = s, i
+            best_s, best_i = next_s, next_i
     m = best_s.shape[1]
-    return np.repeat(qids, m), best_i.reshape(-1), best_s.reshape(-1)
+    return np.repeat(qids, m), (np.zeros(0, dtype=object) if best_i is None else best_i.reshape(-1)), best_s.reshape(-1)
 
 
 def arrow_matrix(batch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +203,10 @@ def _broadcast_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str,
         pa_schema = pa.schema([(name, types[t]) for name, t in fields])
         bq, bm = bc.value
         out = _partition_topk_arrays(bq, bm, batches_as_frames(arrow_batches), k, metric)
-        yield pa.RecordBatch.from_pydict({"qid": list(out[0]), id_col: list(out[1]), "score": out[2]},
-                                         schema=pa_schema)
+        for at in range(0, max(1, len(out[2])), OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
+            columns = [pa.array(x[part], t, from_pandas=True) for x, t in zip(out, pa_schema.types)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa_schema)
 
     return vectors.select(id_col, "embedding").mapInArrow(run, schema)
 
@@ -194,7 +215,7 @@ def _blocked_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, i
                   n_queries: int, block_queries: int) -> DataFrame:
     ship(vectors.sparkSession)
     n_blocks = max(1, math.ceil(n_queries / block_queries))
-    n_shards = max(1, vectors.rdd.getNumPartitions())
+    n_shards = max(1, vectors.rdd.getNumPartitions(), math.ceil(vectors.count() / SHARD_VECTORS))
     # Distinct aliases on the two sides: when the queries come from the vector
     # table itself, a shared attribute would be dropped from one cogroup side.
     q = queries.select("qid", F.col("embedding").alias("qvec")).filter(F.col("qvec").isNotNull()).select(

@@ -139,3 +139,27 @@ def test_empty_query_tables(spark):
     no_q = spark.createDataFrame([], "qid long, text string")
     assert bm25.bm25_topk(idx, no_q, k=3).count() == 0
     assert bm25.bm25_rm3_topk(idx, no_q, k=3).count() == 0
+
+
+def test_scores_held_at_once_are_bounded(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, v = rng.normal(size=(3000, 4)), rng.normal(size=(4000, 4))
+    held, score = [], knn.score_matrix
+    monkeypatch.setattr(knn, "score_matrix", lambda a, b, m: held.append(len(a) * len(b)) or score(a, b, m))
+    batches = [(np.arange(0, 3), v[:3]), (np.arange(3, 4000), v[3:])]
+    qid, ids, s = knn._partition_topk_arrays(np.arange(3000), q, batches, 5, "l2")
+    assert max(held) <= 2_000_000 and ids.dtype == np.int64
+    want = np.argsort(-np.round(score(q, v, "l2"), 9), axis=1, kind="stable")[:, :5]
+    assert (np.sort(ids.reshape(3000, 5)) == np.sort(want)).all() and len(s) == len(qid) == 15_000
+
+
+def test_blocked_plan_bounds_its_shards(spark, monkeypatch):
+    _, _, vectors, queries = make(spark)
+    a = collect(knn.knn_topk(queries, vectors, k=7))
+    monkeypatch.setattr(knn, "SHARD_VECTORS", 20)
+    sizes, stack = spark.sparkContext.accumulator(0), vectors.repartition(1)
+    blocked = knn.knn_candidates(queries, stack, 7, max_broadcast_queries=3, block_queries=100)
+    for r in blocked.groupBy("qid").count().collect():
+        sizes.add(r["count"])
+    assert sizes.value > 20 * 7 * 5  # 15 shards give up to 7 hits each; one shard gave 7 per query
+    assert same(a, collect(knn.knn_topk(queries, stack, k=7, max_broadcast_queries=3, block_queries=100)))
