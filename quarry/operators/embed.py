@@ -7,8 +7,8 @@ the encoder is pluggable:
   ``h = first 8 hex digits of md5(token)`` as an unsigned number; slot
   ``h % dim``; sign ``+1`` if ``(h div dim)`` is even else ``-1``; summed and
   L2-normalised (a text without tokens gives the zero vector). The md5 slots
-  are computed in the JVM; the per-row accumulation is a vectorised NumPy
-  ``scatter-add`` over a whole Arrow batch in a pandas UDF.
+  are computed in the JVM and sent as small numbers (hash modulo ``2 * dim``); the
+  per-row accumulation is NumPy over pieces of ``MAX_CODES`` tokens of an Arrow batch.
 * ``CallableEncoder(fn, dim)`` -- any ``fn(list[str]) -> ndarray (n, dim)``
   (e.g. an ONNX model), run batch-wise in a pandas UDF and normalised.
 
@@ -23,6 +23,8 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,24 +42,36 @@ CLS_ID = 101
 SEP_ID = 102
 FIRST_TERM_ID = 1000
 VOCAB_SIZE = 30522
+# Tokens summed at once inside a task (bounds task memory).
+MAX_CODES = 500_000
+
+
+def _signed_sums(codes: np.ndarray, lengths: np.ndarray, dim: int, max_codes: int) -> np.ndarray:
+    """Per text, the sums of its tokens' signs by slot; codes are ``hash % (2 * dim)``.
+
+    Texts are taken in pieces of about ``max_codes`` tokens, long texts in several, so what
+    is held beside the batch and its result does not grow with the texts."""
+    out = np.zeros((len(lengths), dim))
+    ends = np.cumsum(lengths)
+    for start in range(0, len(codes), max_codes):
+        part = codes[start:start + max_codes].astype(np.int64)
+        rows = np.searchsorted(ends, np.arange(start, start + len(part)), side="right")
+        slot, sign = part % dim, np.where(part < dim, 1.0, -1.0)
+        first, last = rows[0], rows[-1] + 1
+        sums = np.bincount((rows - first) * dim + slot, weights=sign, minlength=(last - first) * dim)
+        out[first:last] += sums.reshape(last - first, dim)
+    return out
 
 
 def _accumulate_udf(dim: int):
     ship_active()
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def accumulate(hashes: pd.Series) -> pd.Series:
-        n = len(hashes)
-        lengths = np.fromiter((0 if a is None else len(a) for a in hashes), dtype=np.int64, count=n)
-        out = np.zeros((n, dim))
-        if lengths.sum():
-            flat = np.concatenate([np.asarray(a, dtype=np.int64) for a in hashes if a is not None and len(a)])
-            rows = np.repeat(np.arange(n), lengths)
-            sign = np.where((flat // dim) % 2 == 0, 1.0, -1.0)
-            np.add.at(out, (rows, flat % dim), sign)
-        nrm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        out = out / np.maximum(nrm, V.NORM_EPS)
-        return pd.Series(list(out))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def accumulate(codes: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = _signed_sums(codes.flatten().to_numpy(zero_copy_only=False), lengths, dim, MAX_CODES)
+        out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), V.NORM_EPS)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.reshape(-1)))
 
     return accumulate
 
@@ -71,8 +85,10 @@ class HashBagOfWords:
         toks = TX.tokens(text)
         if self.max_tokens is not None:
             toks = F.slice(toks, 1, self.max_tokens)
-        hashes = F.transform(toks, lambda t: TX.md5_hash32(t))
-        return _accumulate_udf(self.dim)(hashes)
+        # Slot and sign depend on the hash modulo 2 * dim alone: small numbers go to Python.
+        kind = "smallint" if 2 * self.dim <= 1 << 15 else "int"
+        codes = F.transform(toks, lambda t: (TX.md5_hash32(t) % F.lit(2 * self.dim)).cast(kind))
+        return _accumulate_udf(self.dim)(codes)
 
 
 @dataclass(frozen=True)

@@ -53,3 +53,20 @@ def test_token_features_windows(spark):
     assert sum(one[2]["input_mask"]) == 8
     empty = [r for r in rows if r["qid"] == 2][0]
     assert empty["input_ids"][:3] == [embed.CLS_ID, embed.SEP_ID, embed.PAD_ID]
+
+
+def test_token_sums_hold_pieces_only(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    lengths = np.array([0, 5, 0, 20_000, 1] + [2000] * 1000 + [0])
+    codes = rng.integers(0, 128, lengths.sum()).astype(np.int16)
+    want, rows = np.zeros((len(lengths), 64)), np.repeat(np.arange(len(lengths)), lengths)
+    np.add.at(want, (rows, codes % 64), np.where(codes < 64, 1.0, -1.0))
+    tracemalloc.start()
+    got = [embed._signed_sums(codes, lengths, 64, n) for n in (30_000, 100_000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((g == want).all() for g in got) and peak < 8e6  # all codes at once take 16 MB per array
+    out = embed.embed(spark.createDataFrame([(1, None), (2, ""), (3, "a b a")], "doc_id long, text string")).collect()
+    assert [sum(x * x for x in r.embedding) > 0 for r in sorted(out)] == [False, False, True]
