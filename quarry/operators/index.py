@@ -4,13 +4,17 @@ Layout (document-partitioned, as search engines shard):
 
 * ``postings(doc_id, dl, term, tf)`` -- hash-partitioned on ``doc_id``. The
   raw ``(doc_id, text)`` rows are shuffled once (text is smaller than
-  postings), tokenised after the shuffle, and term counts are grouped without
-  a second exchange because ``hash(doc_id)`` already satisfies the grouping
-  on ``(doc_id, dl, term)``. The document length rides in every posting, so
-  scoring never joins a per-document table.
+  postings) and tokenised after the shuffle; a text's sorted tokens give its
+  terms and their counts where it lies. What is kept is one row per document
+  with two arrays; the postings are exploded from it. Rows of an id that repeats
+  are counted together by a grouping on ``(doc_id, dl, term)`` instead, which
+  needs no second exchange either. The document length rides in every posting,
+  so scoring never joins a per-document table.
 * ``doc_ids(doc_id)`` -- every document, empty ones included (for ``N``).
 * ``terms(term, df)`` -- document frequency; partial aggregation before the
   shuffle makes frequent terms cost one row per partition, not per document.
+  A search that needs few terms of an index not read from storage counts these in
+  the postings and leaves the rest of the vocabulary alone.
 * ``stats()`` -- ``(N, avgdl)`` collected once as two scalars; ``avgdl`` is the
   sum of all term counts over ``N``, so no second pass tokenises the corpus.
 
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import TOKEN_SEPARATOR
+from quarry.plans.sizing import BROADCAST_MAX_ROWS, row_count_at_most
 
 
 @dataclass
@@ -43,6 +48,9 @@ class TextIndex:
     # document frequencies come from the small ``terms`` table; otherwise they
     # are counted only for the needed terms from the postings.
     materialised: bool = False
+    # What ``persist`` keeps of the postings, if not their rows; then ``terms`` is
+    # counted by its first use, and few needed terms do not call for it.
+    kept: list[DataFrame] | None = None
     _stats: tuple[int, float] | None = field(default=None, repr=False)
 
     def stats(self) -> tuple[int, float]:
@@ -65,15 +73,18 @@ class TextIndex:
         return self.doc_lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
     def persist(self) -> "TextIndex":
-        for df in (self.postings, self.terms):
+        for df in (*self._kept(), self.terms):
             df.persist()
         self.materialised = True
         return self
 
     def unpersist(self) -> None:
-        for df in (self.postings, self.terms):
+        for df in (*self._kept(), self.terms):
             df.unpersist()
 
+    def _kept(self) -> list[DataFrame]:
+        return [self.postings] if self.kept is None else self.kept
+
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Write the tables as parquet, postings sorted by term per file, which
         compresses them; a search still reads all postings. Only bucketed tables
@@ -132,7 +143,7 @@ class TextIndex:
         ``small`` (proven by a row-count check) lets the term list be broadcast.
         """
         hint = F.broadcast if small else (lambda d: d)
-        if self.materialised:
+        if self.materialised and not (small and self.kept is not None):
             return self.terms.join(hint(needed_terms), "term")
         return (
             self.postings.join(hint(needed_terms), "term")
@@ -162,6 +173,24 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``stopwords`` (off by default) are dropped before counting, so document
     lengths count the kept tokens only; pass the same list to the query side."""
     ids = corpus.select(F.col(id_col).alias("doc_id"))
+    rows = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    repeated = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
+    if repeated.isEmpty():
+        kept = [_counted(_pieces(rows, shards, stopwords))]
+        postings = _exploded(kept[0])
+    else:
+        again = F.broadcast(repeated) if row_count_at_most(repeated, BROADCAST_MAX_ROWS) else repeated
+        same = F.col("doc_id").eqNullSafe(F.col("again"))
+        kept = [_counted(_pieces(rows.join(again, same, "left_anti"), shards, stopwords)),
+                _grouped(_pieces(rows.join(again, same, "left_semi"), shards, stopwords))]
+        postings = _exploded(kept[0]).unionByName(kept[1])
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    index = TextIndex(postings=postings, doc_ids=ids, terms=terms, kept=kept)
+    return index.persist() if persist else index
+
+
+def _pieces(rows: DataFrame, shards: int | None, stopwords: list[str] | None) -> DataFrame:
+    """``(doc_id, dl, pieces)`` of ``rows(doc_id, text)``, dealt by ``doc_id``; ``pieces`` may hold empty ones."""
     pieces = F.split(F.lower(F.col("text")), TOKEN_SEPARATOR)
     n_pieces = F.size("pieces")
     dl = (n_pieces - F.when(F.col("pieces")[0] == "", 1).otherwise(0)
@@ -170,20 +199,37 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
         stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
         pieces = F.filter(pieces, lambda t: (t != "") & ~F.array_contains(stop, t))
         dl = F.size("pieces")
-    docs = (
-        _by_doc(corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shards)
+    return (
+        _by_doc(rows, shards)
         .select("doc_id", pieces.alias("pieces"))
         .select("doc_id", F.coalesce(dl, F.lit(0)).cast("int").alias("dl"), "pieces")
     )
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``(doc_id, dl, terms, tfs)``: in its sorted tokens, a term's count is the way to the next term's start."""
+    words = docs.select("doc_id", "dl", F.sort_array(F.filter("pieces", lambda t: t != "")).alias("words"))
+    at = F.transform("words", lambda w, i: i)
+    first = words.select("doc_id", "dl", "words", F.filter(at, lambda i: (i == 0) | (
+        F.get("words", i) != F.get("words", i - 1))).alias("first"))
+    return first.select(
+        "doc_id", "dl", F.transform("first", lambda i: F.get("words", i)).alias("terms"),
+        F.transform("first", lambda i, j: F.coalesce(F.get("first", j + 1), F.size("words")) - i).alias("tfs"))
+
+
+def _exploded(counted: DataFrame) -> DataFrame:
+    return (counted.select("doc_id", "dl", "tfs", F.posexplode("terms").alias("at", "term"))
+            .select("doc_id", "dl", "term", F.get("tfs", F.col("at")).alias("tf")))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """Postings whose rows of one id and length are counted together."""
     # explode_outer + plain filter: a plain explode makes Catalyst infer a
     # size() > 0 filter and push it below the shuffle, which would split every
     # text twice, once before the documents are spread out.
-    postings = (
+    return (
         docs.select("doc_id", "dl", F.explode_outer("pieces").alias("term"))
         .filter(F.col("term") != "")
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    index = TextIndex(postings=postings, doc_ids=ids, terms=terms)
-    return index.persist() if persist else index

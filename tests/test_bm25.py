@@ -231,3 +231,44 @@ def test_compared_runs_share_their_first_pass(spark, monkeypatch, name):
     searches, search = [], bm25.bm25_search
     monkeypatch.setattr(bm25, "bm25_search", lambda *a, **k: searches.append(1) or search(*a, **k))
     assert E.queries()[name](spark, E.SF_SMOKE).count() > 0 and len(searches) == 2
+
+
+def _postings_by_hand(rows, stop=()):
+    import re
+
+    out = Counter()
+    for i, text in rows:
+        words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w and w not in stop]
+        out.update((i, len(words), w) for w in words)
+    return out
+
+
+def test_texts_are_counted_where_they_lie(spark):
+    rows = [(i, " ".join(f"w{j % (i + 1)}" for j in range(3 * i)) + " .") for i in range(40)] + [(40, ""), (41, None), (42, " É one, One ")]
+    for stop in (None, ["w1", "one"]):
+        index = build_index(spark.createDataFrame(rows, "doc_id long, text string"), stopwords=stop)
+        got = {(r.doc_id, r.dl, r.term): r.tf for r in index.postings.collect()}
+        assert got == _postings_by_hand(rows, stop or ()) and index.postings.count() == len(got)
+        assert index.postings.schema.simpleString() == "struct<doc_id:bigint,dl:int,term:string,tf:int>"
+        # one row per document is kept, and no posting is grouped by its term
+        assert [k.count() for k in index.kept] == [len(rows)]
+        assert "Aggregate" not in index.kept[0]._jdf.queryExecution().optimizedPlan().toString()
+        index.unpersist()
+
+
+def test_repeated_ids_are_counted_together(spark):
+    rows = [(1, "a b a"), (1, "b c a"), (1, "a"), (None, "a b"), (None, "a a"), (None, None), (2, "c c"), (3, "")]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.dl, r.term): r.tf for r in index.postings.collect()}
+    assert got == _postings_by_hand(rows) and index.postings.count() == len(got)
+    assert got[(1, 3, "a")] == 3 and got[(None, 2, "a")] == 3
+    assert [k.count() for k in index.kept] == [2, len(got) - 1]
+
+
+def test_few_terms_do_not_count_the_vocabulary(spark):
+    index = build_index(spark.createDataFrame([(i, f"common w{i} x{i % 3}") for i in range(30)], "doc_id long, text string"))
+    needed = spark.createDataFrame([("common",), ("x1",), ("w7",), ("none",)], "term string")
+    few, all_terms = index.doc_freqs(needed, True), index.doc_freqs(needed, False)
+    assert {r.term: r.df for r in few.collect()} == {r.term: r.df for r in all_terms.collect()} == {"common": 30, "x1": 10, "w7": 1}
+    assert few._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") == 1
+    assert "posexplode" in few._jdf.queryExecution().withCachedData().toString()  # the postings, not the kept vocabulary
