@@ -39,7 +39,7 @@ K = 20
 TREES = 4
 #: Rows of the fitting sample; also bounds the depth, as a leaf keeps 8 sample rows.
 SAMPLE_ROWS = 20_000
-#: Rows of a leaf: an eighth of the table, so small tables are searched by trees as well, at most LEAF_ROWS.
+#: Rows of a leaf unless the caller names them: an eighth of the table, so small tables are searched by trees as well, at most LEAF_ROWS.
 LEAF_SHARE = 1 / 8
 LEAST_LEAF = 8
 LEAF_ROWS = 8192
@@ -100,10 +100,10 @@ class Forest:
         return out
 
 
-def fit(sample: np.ndarray, radius2: float, rows: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
+def fit(sample: np.ndarray, radius2: float, rows: int, trees: int = TREES, leaf_rows: int | None = None,
         seed: int = 1) -> Forest:
     rng = np.random.default_rng(seed)
-    leaf = max(LEAST_LEAF, min(leaf_rows, LEAF_SHARE * rows))
+    leaf = max(LEAST_LEAF, min(LEAF_ROWS, LEAF_SHARE * rows) if leaf_rows is None else leaf_rows)
     depth = max(0, min(int(np.rint(np.log2(max(1, rows) / leaf))), int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest([], [], radius2, depth)
     x = forest.lengthened(sample)
@@ -179,7 +179,7 @@ def best_of(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: i
         yield ids[at][order], s[order]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf_rows: int | None = None,
             sample_rows: int = SAMPLE_ROWS, search_share: float = SEARCH_SHARE, chunk_rows: int = CHUNK_ROWS,
             query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best found for each row of ``queries(vec_id, embedding)``
