@@ -74,6 +74,30 @@ def test_empty_corpus(spark):
     assert len(fitted.singular) == 0 and lsa.encode_documents(index, fitted).count() == 0
 
 
+def test_tables_grow_by_documents_not_by_terms(spark, monkeypatch):
+    """No table of term vectors is stored or left: only documents' vectors and the matrix are."""
+    from pathlib import Path
+
+    from quarry.session import ensure_checkpoint_dir
+
+    monkeypatch.setattr(lsa, "WHOLE_DOCS", 16)  # in parts, and in slices
+    monkeypatch.setattr(lsa, "SLICE_BYTES", 1 << 16)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(3000)], k=400))) for i in range(60)]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    fitted = lsa.fit(index, dim=24, oversample=8)
+    assert size() - before < 1_000_000  # one table of 3,000 terms' vectors of 32 numbers is 768,000
+    _, a, _, _ = matrix(rows)
+    assert np.allclose(fitted.singular[0], np.linalg.norm(a, 2), rtol=1e-4)  # three rounds
+    n_terms = fitted.idf.count()
+    got = {r.term: r.embedding for r in fitted.vectors.collect()}
+    assert len(got) == n_terms and {len(v) for v in got.values()} == {24}
+    assert np.allclose(sum(np.outer(v, v) for v in map(np.array, got.values())) * fitted.singular[:, None] * fitted.singular, np.eye(24), atol=1e-6)
+
+
 def test_judged_queries_find_their_document(spark):
     """Of the passages that stand in some document, 0.9 find it among the first ten."""
     import __spark_entry__ as E
