@@ -18,14 +18,14 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import blocks, prepare
+from quarry.llm._common import blocks, give_back, prepare
 from quarry.llm.pieces import PieceCache
 
 #: Words whose merges are replayed together; bounds the arrays of positions.
@@ -36,9 +36,9 @@ KNOWN_PAIRS = 300_000
 #: Pieces kept per worker process; their words need no replay.
 CACHE_PIECES = 150_000
 
-#: Text whose distinct pieces are encoded together: half of what the token files take,
-#: since the replay's arrays come on top.
-BLOCK_BYTES = 8 << 20
+#: Text whose distinct pieces are encoded together: a fifth of what the token files take,
+#: since the replay's arrays come on top; smaller blocks replay more often.
+BLOCK_BYTES = 3 << 20
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -155,15 +155,21 @@ class Merges:
             ids[i:i + 2] = [rank]
         return ids
 
-    def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct words; a word that is a token itself is that token."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct words, packed as little-endian 4-byte numbers; a word that is a
+        token itself is that token."""
         if len(self.pairs) > KNOWN_PAIRS:
             self.pairs.clear()
-        done = {w: [self.ranks[w]] for w in words if w in self.ranks}
-        rest = [w for w in words if w not in done]
+        done, rest = {}, []
+        for w in words:
+            rank = self.ranks.get(w.encode())
+            if rank is None:
+                rest.append(w)
+            else:
+                done[w] = rank.to_bytes(4, "little")
         for at in range(0, len(rest), REPLAYED):
             part = rest[at:at + REPLAYED]
-            done.update(zip(part, self.replay(part)))
+            done.update((w, array("I", ids).tobytes()) for w, ids in zip(part, self.replay([w.encode() for w in part])))
         return done
 
     def decode(self, ids: list[int]) -> bytes:
@@ -180,19 +186,15 @@ def codec(path: str, pattern: str) -> tuple[Merges, PieceCache]:
 
         merges, split = Merges(read_ranks(path)), regex.compile(pattern)
 
-        def packed(words: set[str]) -> dict[str, bytes]:
-            found = merges.encode_words({w.encode() for w in words})
-            return {w: array("I", found[w.encode()]).tobytes() for w in words}
-
         def whole(texts: list[str]) -> list[bytes]:
             words = [split.findall(t) for t in texts]
-            ids = packed(set().union(*words))
+            ids = merges.encode_words(set().union(*words))
             return [b"".join(map(ids.__getitem__, ws)) for ws in words]
 
         def pieces(parts: list[str]) -> list[bytes]:
             """Parts joined by line breaks, so that one pass splits them all."""
             words = split.findall("\n".join(parts))
-            ids = packed(set(words))
+            ids = merges.encode_words(set(words))
             out, start = [], 0
             for _ in range(len(parts) - 1):
                 at = words.index("\n", start)
@@ -248,6 +250,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
                                               pa.array(of_bytes, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS)

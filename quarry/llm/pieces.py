@@ -51,9 +51,10 @@ class PieceCache:
                 (first if p[0] == "\n" else later).append(i)
             else:
                 found[i] = None
-        for i, ids in zip(first, self.encode_pieces([pieces[i][1:] for i in first])):
+        made = self.encode_pieces([pieces[i][1:] for i in first] + [" " + pieces[i] for i in later])
+        for i, ids in zip(first, made):
             found[i] = self.line_break + ids
-        for i, ids in zip(later, self.encode_pieces([" " + pieces[i] for i in later])):
+        for i, ids in zip(later, made[len(first):]):
             found[i] = ids
         room = self.limit - len(self.cache)
         if room > 0:

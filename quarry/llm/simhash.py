@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import blocks, prepare, stored, texts_of
+from quarry.llm._common import blocks, give_back, prepare, stored, texts_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in texts_of(block)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([block.column(0), *block.columns[2:], pa.array(fp)],
                                              names=["doc_id", "t1", "t2", "fp"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_text_key())
     return rows.mapInArrow(run, "doc_id long, t1 long, t2 int, fp long")
@@ -178,6 +179,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
             held = tuple(c[cut:].copy() for c in cols)
         if held is not None and len(held[0]):
             yield found(held)
+        give_back()
 
     made = met.mapInArrow(run, "a long, b long")
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import blocks, keep, prepare, texts_of
+from quarry.llm._common import blocks, give_back, keep, prepare, texts_of
 from quarry.llm._labels import held_out, training_rows
 
 BUCKET_BITS = 18
@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
             packed = [grams.buckets(t).tobytes() for t in texts_of(block)]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(packed, pa.binary()), block.column(2), block.column(3)],
                                              names=["doc_id", "buckets", "y", "weight"])
+        give_back()
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -203,6 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
         groups = [np.frombuffer(r[1], "int32") for r in rows]
         del rows
         v, b = fit(groups, y, weight, 1 << BUCKET_BITS)
+        del groups
+        give_back()
         yield pa.RecordBatch.from_pydict({"v": [v.astype("<f4").tobytes()], "b": [b]})
 
     rows = training_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, label,

@@ -135,3 +135,35 @@ def test_other_tokenizers_take_whole_texts(name):
     texts = ["One two,  three\nfour", ""]
     assert [np.frombuffer(x, f"<u{width}").tolist() for x in cache.encode(texts)] == [
         tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoding_distinct_words_takes_little_memory():
+    """A pipeline's worker shares its executor's memory: encoding 24 MB of mostly new words adds less than 190 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import random, re
+import public_tokenizers as P
+import pyarrow as pa
+from quarry.llm import bpe
+from quarry.llm._common import blocks
+
+def most():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read()).group(1)) / 1024
+
+rng = random.Random(5)
+letters = "etaoinshrdlucmfwypvbgkqjxz"
+word = lambda: "".join(rng.choices(letters, k=9))
+common = [word() for _ in range(2000)]
+texts = [" ".join(word() if i % 6 == 0 else rng.choice(common) for i in range(400)) for _ in range(6000)]
+batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+_, cache = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+before = most()
+for block in blocks([batch], max_bytes=bpe.BLOCK_BYTES):
+    for ids in cache.encode(block.column(1)):
+        pass
+print(most() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 190
