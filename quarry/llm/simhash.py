@@ -146,7 +146,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
         raise ValueError("distance must be 1 to 7: beyond it no byte is sure to match")
     lists = _lists(fps, max(1, BYTES - distance - 1))
     sizes = lists.groupBy("subset", "bytes").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = lists.join(sizes, ["subset", "bytes"])
+    # Spark sizes the lists as if a fingerprint stood in one of them: without the hint it broadcasts them all.
+    met = lists.hint("merge").join(sizes, ["subset", "bytes"])
     parts = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     met = met.select("subset", "bytes", "fp", parts.alias("parts"), own.alias("own"))

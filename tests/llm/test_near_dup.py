@@ -76,6 +76,13 @@ def test_long_lists_in_blocks(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_lists_are_never_broadcast(spark):
+    """Few fingerprints stand in 56 lists each, which the estimate of an explode does not count."""
+    fps = spark.range(1000).selectExpr("xxhash64(id) AS fp")
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_path(spark):
     n = 60
     order = list(range(n))
