@@ -184,13 +184,22 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
         kept = [_counted(_pieces(rows.join(again, same, "left_anti"), shards, stopwords)),
                 _grouped(_pieces(rows.join(again, same, "left_semi"), shards, stopwords))]
         postings = _exploded(kept[0]).unionByName(kept[1])
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = postings.select("term")
+    if not persist:  # nothing is kept that could be counted: the texts' distinct tokens do, unsorted and not dealt by id
+        once = rows if len(kept) == 1 else rows.join(again, same, "left_anti")
+        counted = _distinct_terms(_split(once, stopwords))
+        counted = counted if len(kept) == 1 else counted.unionByName(kept[1].select("term"))
+    terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     index = TextIndex(postings=postings, doc_ids=ids, terms=terms, kept=kept)
     return index.persist() if persist else index
 
 
 def _pieces(rows: DataFrame, shards: int | None, stopwords: list[str] | None) -> DataFrame:
     """``(doc_id, dl, pieces)`` of ``rows(doc_id, text)``, dealt by ``doc_id``; ``pieces`` may hold empty ones."""
+    return _split(_by_doc(rows, shards), stopwords)
+
+
+def _split(rows: DataFrame, stopwords: list[str] | None) -> DataFrame:
     pieces = F.split(F.lower(F.col("text")), TOKEN_SEPARATOR)
     n_pieces = F.size("pieces")
     dl = (n_pieces - F.when(F.col("pieces")[0] == "", 1).otherwise(0)
@@ -200,7 +209,7 @@ def _pieces(rows: DataFrame, shards: int | None, stopwords: list[str] | None) ->
         pieces = F.filter(pieces, lambda t: (t != "") & ~F.array_contains(stop, t))
         dl = F.size("pieces")
     return (
-        _by_doc(rows, shards)
+        rows
         .select("doc_id", pieces.alias("pieces"))
         .select("doc_id", F.coalesce(dl, F.lit(0)).cast("int").alias("dl"), "pieces")
     )
@@ -217,9 +226,15 @@ def _counted(docs: DataFrame) -> DataFrame:
         F.transform("first", lambda i, j: F.coalesce(F.get("first", j + 1), F.size("words")) - i).alias("tfs"))
 
 
+def _distinct_terms(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode_outer(F.array_distinct("pieces")).alias("term")).filter(F.col("term") != "")
+
+
 def _exploded(counted: DataFrame) -> DataFrame:
-    return (counted.select("doc_id", "dl", "tfs", F.posexplode("terms").alias("at", "term"))
-            .select("doc_id", "dl", "term", F.get("tfs", F.col("at")).alias("tf")))
+    # The outer form: from a plain explode Catalyst infers a filter on the array's size and pushes it
+    # below the steps that made the array, which it then makes anew for every element.
+    return (counted.select("doc_id", "dl", "tfs", F.posexplode_outer("terms").alias("at", "term"))
+            .filter(F.col("term").isNotNull()).select("doc_id", "dl", "term", F.get("tfs", F.col("at")).alias("tf")))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:

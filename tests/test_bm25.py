@@ -272,3 +272,20 @@ def test_few_terms_do_not_count_the_vocabulary(spark):
     assert {r.term: r.df for r in few.collect()} == {r.term: r.df for r in all_terms.collect()} == {"common": 30, "x1": 10, "w7": 1}
     assert few._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") == 1
     assert "posexplode" in few._jdf.queryExecution().withCachedData().toString()  # the postings, not the kept vocabulary
+
+
+def test_vocabulary_of_an_index_that_is_not_kept(spark):
+    """Its terms come from the texts' distinct tokens; no step that makes an array is repeated by an inferred filter."""
+    rows = [*DOCS, (3, "a lazy third"), (4, "quick quick quick"), (None, "no id"), (None, "no id either"), (9, None), (10, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stopwords in (None, ["the"]):
+        for corpus in (docs, spark.createDataFrame(DOCS, "doc_id long, text string")):
+            kept = build_index(corpus, stopwords=stopwords)
+            unkept = build_index(corpus, stopwords=stopwords, persist=False)
+            assert sorted(map(tuple, unkept.terms.collect())) == sorted(map(tuple, kept.terms.collect()))
+            order = lambda p: sorted(map(str, p.select("doc_id", "dl", "term", "tf").collect()))
+            assert order(unkept.postings) == order(kept.postings)
+            kept.unpersist()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan(unkept.terms)
+    assert plan(unkept.postings).count("sort_array") == 1 and "size(transform" not in plan(unkept.postings)
