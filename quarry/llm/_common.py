@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, filesystem  # noqa: F401
 from quarry.shipping import ship
 
 #: Text handled at once inside a task; longer single texts form a block of their own.
@@ -56,15 +56,6 @@ def prepare(df: DataFrame) -> SparkSession:
     return spark
 
 
-def filesystem(url: str):
-    """(file system, path) of a folder or file URL, in the driver or a task."""
-    from pyarrow import fs
-
-    if url.startswith("file:/") and not url.startswith("file://"):
-        url = "file://" + url[len("file:"):]
-    return fs.FileSystem.from_uri(url)
-
-
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text",
            max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose text column holds about ``max_bytes``, so the

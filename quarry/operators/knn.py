@@ -12,9 +12,11 @@ Two plans, same rows:
   matrix product and keeps the ``k`` best per query for the whole partition.
   The vectors never move; the only shuffle carries ``partitions x Q x k`` rows
   into the final per-query window.
-* **blocked** (many queries): queries are cut into blocks and vectors into
-  shards; each (block, shard) pair meets in one ``cogroup`` group that holds one
-  block and one shard, so memory per task is bounded on both sides.
+* **blocked** (many queries): the vectors are stored once as shards in the session's
+  shared folder, and the queries are dealt to tasks. A task holds a block of queries,
+  reads shard after shard in batches and keeps the ``k`` best per query and shard, so
+  its memory is bounded on both sides and neither side is copied for the other: disk
+  and shuffle grow with the rows, not with their product.
 
 No pair of (query, vector) is ever materialised as a row.
 """
@@ -22,13 +24,17 @@ No pair of (query, vector) is ever materialised as a row.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.operators.ranking import RANK_DECIMALS, top_k
+from quarry.session import ensure_checkpoint_dir, filesystem
 from quarry.shipping import ship
 
 METRICS = ("ip", "l2", "cosine")
@@ -44,6 +50,10 @@ OUT_ROWS = 100_000
 # Queries per block and, at most, vectors per shard in the blocked plan.
 BLOCK_QUERIES = 16384
 SHARD_VECTORS = 50_000
+# Queries that are worth a task, which reads all shards.
+TASK_QUERIES = 128
+# Vectors of a shard read at once.
+SHARD_ROWS = 8192
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -104,18 +114,6 @@ def _best_k_rowwise(scores: np.ndarray, ids: np.ndarray, k: int):
     return np.repeat(np.arange(nq), k), part.reshape(-1)
 
 
-def _partition_topk(qids: np.ndarray, qmat: np.ndarray, batches, k: int, metric: str, id_col: str):
-    """Pandas batches of ``(id_col, embedding)`` -> the k best per query."""
-    def arrays():
-        for pdf in batches:
-            pdf = pdf[pdf["embedding"].notna()]
-            if not pdf.empty:
-                yield pdf[id_col].to_numpy(), _stack(pdf["embedding"])
-
-    q, i, s = _partition_topk_arrays(qids, qmat, arrays(), k, metric)
-    return pd.DataFrame({"qid": q, id_col: i, "score": s})
-
-
 def _partition_topk_arrays(qids: np.ndarray, qmat: np.ndarray, batches, k: int, metric: str):
     """Consume ``(ids, matrix)`` batches of vectors; return ``(qid, id, score)``
     arrays of the partition's k best per query."""
@@ -213,29 +211,54 @@ def _broadcast_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str,
 
 def _blocked_plan(queries: DataFrame, vectors: DataFrame, k: int, metric: str, id_col: str, schema: str,
                   n_queries: int, block_queries: int) -> DataFrame:
-    ship(vectors.sparkSession)
-    n_blocks = max(1, math.ceil(n_queries / block_queries))
-    n_shards = max(1, vectors.rdd.getNumPartitions(), math.ceil(vectors.count() / SHARD_VECTORS))
-    # Distinct aliases on the two sides: when the queries come from the vector
-    # table itself, a shared attribute would be dropped from one cogroup side.
-    q = queries.select("qid", F.col("embedding").alias("qvec")).filter(F.col("qvec").isNotNull()).select(
-        "qid", "qvec",
-        F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"),
-    )
-    v = vectors.select(id_col, F.col("embedding").alias("vvec")).select(
-        id_col, "vvec",
-        F.pmod(F.xxhash64(id_col), F.lit(n_shards)).alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-    )
-
-    def run(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or vpdf.empty:
-            return pd.DataFrame({"qid": [], id_col: [], "score": []})
-        batch = vpdf[[id_col, "vvec"]].rename(columns={"vvec": "embedding"})
-        return _partition_topk(qpdf["qid"].to_numpy(), _stack(qpdf["qvec"]), [batch], k, metric, id_col)
-
-    return q.groupBy("block", "shard").cogroup(v.groupBy("block", "shard")).applyInPandas(run, schema)
+    spark = vectors.sparkSession
+    ship(spark)
+    most = max(block_queries, QUERY_ROWS)  # queries of a task held at once
+    n_shards = max(1, math.ceil(vectors.count() / SHARD_VECTORS))
+    # Stored once; every task reads the shards, so neither side is copied for the other.
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knn-shards-{uuid.uuid4().hex}"
+    kept = vectors.select(id_col, "embedding").filter(F.col("embedding").isNotNull())
+    kept.repartition(n_shards).write.parquet(path)
+    shards = sorted(spark.read.schema(kept.schema).parquet(path).inputFiles())
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_queries / TASK_QUERIES))
+    n_parts = max(1, tasks, math.ceil(n_queries / most))
+    q = queries.select("qid", "embedding").filter(F.col("embedding").isNotNull()).repartition(n_parts)
+    out_schema = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def vectors_of(shard: str):
+        import pyarrow.parquet as pq
+
+        fs, name = filesystem(shard)
+        with fs.open_input_file(name) as source:
+            for batch in pq.ParquetFile(source).iter_batches(SHARD_ROWS, columns=[id_col, "embedding"]):
+                keep, mat = arrow_matrix(batch, "embedding")
+                if len(mat):
+                    yield batch.column(id_col).to_numpy(zero_copy_only=False)[keep], mat
+
+    def scored(qids: np.ndarray, qmat: np.ndarray):
+        import pyarrow as pa
+
+        for shard in shards:
+            out = _partition_topk_arrays(qids, qmat, vectors_of(shard), k, metric)
+            for at in range(0, len(out[2]), OUT_ROWS):
+                columns = [pa.array(x[at:at + OUT_ROWS], t, from_pandas=True) for x, t in zip(out, out_schema.types)]
+                yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        for batch in batches:
+            ids, mat = batch.column("qid").to_numpy(zero_copy_only=False), arrow_matrix(batch, "embedding")[1]
+            for at in range(0, len(ids), most):
+                part = (ids[at:at + most], mat[at:at + most])
+                if held and sum(len(i) for i, _ in held) + len(part[0]) > most:
+                    yield from scored(*map(np.concatenate, zip(*held)))
+                    held.clear()
+                held.append(part)
+        if held:
+            yield from scored(*map(np.concatenate, zip(*held)))
+
+    return q.mapInArrow(run, schema)
 
 
 def knn_candidates(query_vecs: DataFrame, vectors: DataFrame, k: int = 100, metric: str = "ip",

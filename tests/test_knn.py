@@ -163,3 +163,28 @@ def test_blocked_plan_bounds_its_shards(spark, monkeypatch):
         sizes.add(r["count"])
     assert sizes.value > 20 * 7 * 5  # 15 shards give up to 7 hits each; one shard gave 7 per query
     assert same(a, collect(knn.knn_topk(queries, stack, k=7, max_broadcast_queries=3, block_queries=100)))
+
+
+def test_blocked_plan_copies_neither_side(spark, tmp_path):
+    """Its shuffles carry a row per query, vector and hit, however many blocks there are."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(400, 8)))] + [(400, None), (400, [0.5] * 8), (None, [1.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "v"))
+    vectors = spark.read.parquet(str(tmp_path / "v"))
+    queries = vectors.select(F.col("vec_id").alias("qid"), "embedding")
+    before = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/knn-shards-*"))
+    cand = knn.knn_candidates(queries, vectors, 3, max_broadcast_queries=3, block_queries=4)
+    found = sorted(map(str, cand.collect()))
+    plan = cand._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan
+    made = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/knn-shards-*")) - before
+    assert len(made) == 1 and spark.read.parquet(made.pop()).count() == 402  # each vector once
+    assert len(found) == 402 * 3
+    order = lambda run: sorted(str((r.qid, r.rank, r.vec_id, round(r.score, 9))) for r in run.collect())
+    for metric in knn.METRICS:
+        assert order(knn.knn_topk(queries, vectors, 3, metric, max_broadcast_queries=3, block_queries=4)) == order(
+            knn.knn_topk(queries, vectors, 3, metric))
