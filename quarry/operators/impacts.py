@@ -24,15 +24,25 @@ of frequent terms would be. Weights must not be negative (BM25 and RM3 weights a
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.operators.bm25 import BM25Params, query_terms
 from quarry.operators.index import TextIndex
-from quarry.operators.ranking import top_k
+from quarry.operators.ranking import RANK_DECIMALS, top_k
 from quarry.plans.sizing import BROADCAST_MAX_ROWS, cut_lineage, row_count_at_most
+from quarry.session import filesystem
+from quarry.shipping import ship
 
 #: Documents per region, a power of two.
 REGION_DOCS = 64
@@ -40,6 +50,9 @@ REGION_DOCS = 64
 FIRST_REGIONS = 16
 #: Up to so many distinct query terms are pushed into the scans.
 PUSHED_TERMS = 20_000
+#: Postings read at once, and (query, posting) pairs and sums held at once, in a task.
+READ_ROWS = 1 << 16
+SUMS = 1 << 21
 #: Scores are compared after rounding to 9 decimals; bounds are added in another order.
 SLACK = 1e-8
 
@@ -108,6 +121,71 @@ def read_impacts(spark: SparkSession, path: str) -> ImpactIndex:
     return ImpactIndex(postings, blocks, facts["n_docs"], facts["avgdl"], BM25Params(facts["k1"], facts["b"]))
 
 
+def _postings_of(file: str, terms: list[str]):
+    """(term number, region, doc_id, tf, dl) arrays of the postings of the sorted ``terms`` in one file."""
+    fs, name = filesystem(file)
+    values = pa.array(terms, pa.string())
+    with fs.open_input_file(name) as source:
+        parquet = pq.ParquetFile(source)
+        at = parquet.schema_arrow.names.index("term")
+        for group in range(parquet.num_row_groups):
+            facts = parquet.metadata.row_group(group).column(at).statistics
+            if facts is not None and facts.has_min_max and bisect_left(terms, facts.min) == bisect_right(terms, facts.max):
+                continue
+            for batch in parquet.iter_batches(READ_ROWS, [group], columns=["term", "region", "doc_id", "tf", "dl"]):
+                number = pc.index_in(batch.column("term"), value_set=values)
+                batch = batch.filter(number.is_valid())
+                if batch.num_rows:
+                    yield [number.drop_null().to_numpy(zero_copy_only=False),
+                           *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "doc_id", "tf", "dl"))]
+
+
+def _shard_best(wanted: pa.Table, files: list[str], weights: tuple, params: BM25Params, avgdl: float, k: int):
+    """(qids, doc_ids, scores) of the k best documents of each query in its ``wanted(qid, shard, region)`` of a shard."""
+    qids, terms, starts, of_query, weight = weights
+    place = {q: i for i, q in enumerate(qids)}
+    regions, region_at = np.unique(wanted.column("region").to_numpy(), return_inverse=True)
+    asked = np.zeros((len(qids), len(regions)), bool)
+    rows = [(place[q], r) for q, r in zip(wanted.column("qid").to_pylist(), region_at.tolist()) if q in place]
+    asked[tuple(np.array(rows, "int64").reshape(-1, 2).T)] = True
+    parts = []
+    for number, region, doc, tf, dl in (x for f in files for x in _postings_of(f, terms)):
+        there = np.isin(region, regions)
+        parts.append((number[there], np.searchsorted(regions, region[there]), doc[there], tf[there], dl[there]))
+    if not sum(len(p[0]) for p in parts):
+        return [], [], []
+    number, region, doc, tf, dl = map(np.concatenate, zip(*parts))
+    del parts
+    docs, doc = np.unique(doc, return_inverse=True)  # numbered in the order of their ids
+    order = np.argsort(doc, kind="stable")
+    number, region, doc, tf, dl = (x[order] for x in (number, region, doc, tf, dl))
+    factor = tf / (tf + params.k1 * ((1.0 - params.b) + params.b * dl / avgdl))
+    count = starts[number + 1] - starts[number]
+    total = np.concatenate([[0], np.cumsum(count)])
+    first = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))  # where each document starts
+    best = (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+    at, most_docs = 0, max(1, SUMS // len(qids))
+    while at < len(first) - 1:
+        # Whole documents, as many as keep the pairs and the sums held at once bounded.
+        stop = int(np.searchsorted(total[first], total[first[at]] + SUMS, side="right")) - 1
+        stop = min(max(stop, at + 1), at + most_docs, len(first) - 1)
+        lo, hi = first[at], first[stop]
+        posting = np.repeat(np.arange(lo, hi), count[lo:hi])
+        pair = starts[number[posting]] + np.arange(len(posting)) - (total[posting] - total[lo])
+        met = asked[of_query[pair], region[posting]]
+        posting, pair = posting[met], pair[met]
+        cell = of_query[pair] * (stop - at) + doc[posting] - doc[lo]
+        sums = np.bincount(cell, weights=weight[pair] * factor[posting], minlength=1)
+        hit = np.flatnonzero(np.bincount(cell, minlength=1))
+        new = (hit // (stop - at), hit % (stop - at) + doc[lo], sums[hit])
+        q, d, s = (np.concatenate(x) for x in zip(best, new))
+        order = np.lexsort((d, -np.round(s, RANK_DECIMALS), q))
+        q, d, s = q[order], d[order], s[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        best, at = (q[keep], d[keep], s[keep]), stop
+    return [qids[i] for i in best[0].tolist()], docs[best[1]].tolist(), best[2]
+
+
 class PrunedSearch:
     """One batch of weighted queries ``(qid, term, qw)`` over an ``ImpactIndex``."""
 
@@ -125,6 +203,7 @@ class PrunedSearch:
             F.sum(F.col("wt") * F.col("top")).alias("bound"))
         self.bounds = cut_lineage(bounds)
         self.first = cut_lineage(top_k(self.bounds, first_regions, doc="region", score="bound").select("qid", "shard", "region"))
+        self.sent = self.shipped() if row_count_at_most(self.weights, min(max_broadcast_rows, BROADCAST_MAX_ROWS)) else None
         self.first_scores = cut_lineage(self.scores(self.first))
         kth = top_k(self.first_scores, k).filter(F.col("rank") == k).select("qid", F.col("score").alias("kth"))
         reach = self.bounds.join(self.hint(kth), "qid", "left").filter(
@@ -145,10 +224,40 @@ class PrunedSearch:
         rows = self.only_terms(self.index.postings.filter(F.col("shard").isin(shards)))
         return rows.join(self.hint(wanted), ["term", "region"])
 
+    def shipped(self):
+        """The weights as ``(qids, terms, starts, query, weight)``, a run of queries per term: proven small."""
+        rows = sorted((r for r in self.weights.collect() if r["qid"] is not None), key=lambda r: r["term"])
+        qids = list(dict.fromkeys(r["qid"] for r in rows))
+        place = {q: i for i, q in enumerate(qids)}
+        terms = list(dict.fromkeys(r["term"] for r in rows))
+        starts = np.searchsorted(np.array([r["term"] for r in rows], object), np.array([*terms], object)) if rows else np.zeros(0, int)
+        spark = self.weights.sparkSession
+        ship(spark)
+        return spark.sparkContext.broadcast((qids, terms, np.append(starts, len(rows)),
+                                             np.array([place[r["qid"]] for r in rows], "int64"), np.array([r["wt"] for r in rows])))
+
     def scores(self, pairs: DataFrame) -> DataFrame:
-        """(qid, doc_id, score): complete scores of all documents of the pairs' regions."""
-        part = F.col("wt") * _factor(self.index.params, self.index.avgdl)
-        return self.read(pairs).groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+        """(qid, doc_id, score): complete scores in the pairs' regions, of the ``k`` best documents per
+        query and shard at least. A shard holds all postings of its documents, so one task sums them and
+        passes on its best; weights too many to send are joined instead, and all sums are exchanged."""
+        if self.sent is None:
+            part = F.col("wt") * _factor(self.index.params, self.index.avgdl)
+            return self.read(pairs).groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+        files: dict[int, list[str]] = {}
+        for f in sorted(self.index.postings.inputFiles()):
+            files.setdefault(int(re.search(r"/shard=(\d+)/", f)[1]), []).append(f)
+        kinds = [(c, s.schema[c].dataType) for s, c in ((pairs, "qid"), (self.index.postings, "doc_id"))]
+        schema = T.StructType([T.StructField(c, kind) for c, kind in kinds] + [T.StructField("score", T.DoubleType())])
+        arrow, sent, params, avgdl, k = to_arrow_schema(schema), self.sent, self.index.params, self.index.avgdl, self.k
+
+        def run(wanted):
+            qids, docs, found = _shard_best(wanted, files.get(wanted.column("shard")[0].as_py(), []), sent.value, params, avgdl, k)
+            columns = [pa.array(x, kind) for x, kind in zip((qids, docs, found), arrow.types)]
+            return pa.Table.from_arrays(columns, schema=arrow)
+
+        # A task per shard: their number is fixed, since few bytes stand for much work.
+        dealt = pairs.filter(F.col("qid").isNotNull()).repartition(max(1, len(files)), "shard")
+        return dealt.groupBy("shard").applyInArrow(run, schema)
 
     def run(self) -> DataFrame:
         return top_k(self.first_scores.unionByName(self.scores(self.second)), self.k)

@@ -125,3 +125,19 @@ def test_every_shard_has_a_task_of_its_own(spark, tmp_path):
     at = [tuple(map(int, re.search(r"shard=(\d+)/part-(\d+)", f).groups())) for f in files]
     assert len(at) > 1 and len({task for _, task in at}) == len(at)
     assert stored.blocks.groupBy("term", "shard", "region").count().filter("count > 1").count() == 0
+
+
+def test_a_shard_passes_on_its_best_documents_only(spark, index, stored, monkeypatch):
+    q = queries(spark)
+    search = impacts.PrunedSearch(stored, bm25.query_terms(q), k=4, first_regions=2)
+    per_query = search.scores(search.bounds).groupBy("qid").count().collect()
+    assert per_query and max(r["count"] for r in per_query) <= 6 * 4  # shards x k, of over 1000 documents
+    assert result(search.run()) == result(bm25.bm25_topk(index, q, k=4))
+    # Few sums at once give the same rows.
+    shard = search.bounds.filter("shard = 2").select("qid", "shard", "region").toArrow()
+    files = [f for f in stored.postings.inputFiles() if "/shard=2/" in f]
+    args = (shard, files, search.sent.value, stored.params, stored.avgdl, 4)
+    want = impacts._shard_best(*args)
+    monkeypatch.setattr(impacts, "SUMS", 20)
+    got = impacts._shard_best(*args)
+    assert len(want[0]) and got[:2] == want[:2] and got[2] == pytest.approx(want[2])
