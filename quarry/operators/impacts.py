@@ -6,7 +6,7 @@ documents. A block holds the postings of one term in one region. Stored are
 * ``postings(shard, term, region, doc_id, tf, dl)``: one folder per shard (a range of
   regions), sorted by term inside, in small row groups;
 * ``blocks(term, shard, region, top, n)``: per block the highest term factor
-  ``tf / (tf + norm)`` and its number of postings, sorted by term.
+  ``tf / (tf + norm)`` and its number of postings, one file per shard, sorted by term.
 
 A document's factor falls with its length, so the regions' maxima differ widely, and
 regions without a query's rare terms have low bounds. For a query, the sum of the
@@ -58,6 +58,7 @@ SLACK = 1e-8
 
 
 BLOCKS = "term string, shard int, region long, top double, n long"
+BLOCKS_ARROW = pa.schema([("term", pa.string()), ("shard", pa.int32()), ("region", pa.int64()), ("top", pa.float64()), ("n", pa.int64())])
 
 
 def _postings_schema(id_type: str) -> str:
@@ -78,6 +79,48 @@ def _factor(params: BM25Params, avgdl: float):
     return F.col("tf") / (F.col("tf") + norm)
 
 
+def _norm(params: BM25Params, avgdl: float, dl: np.ndarray) -> np.ndarray:
+    return params.k1 * ((1.0 - params.b) + params.b * dl / avgdl)
+
+
+def _shard_files(postings: DataFrame) -> dict[int, list[str]]:
+    """The files of each shard, in the order they were written."""
+    files: dict[int, list[str]] = {}
+    for f in sorted(postings.inputFiles()):
+        files.setdefault(int(re.search(r"/shard=(\d+)/", f)[1]), []).append(f)
+    return files
+
+
+def _blocks_of(shard: int, files: list[str], params: BM25Params, avgdl: float):
+    """Batches of ``BLOCKS`` of one shard, from its files sorted by term and region."""
+    held = None  # the last block may go on in the next batch
+
+    def made(term, region, top, n):
+        columns = [term, np.full(len(n), shard), region, top, n]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, BLOCKS_ARROW.types)], schema=BLOCKS_ARROW)
+
+    for file in files:
+        fs, name = filesystem(file)
+        with fs.open_input_file(name) as source:
+            for batch in pq.ParquetFile(source).iter_batches(READ_ROWS, columns=["term", "region", "tf", "dl"]):
+                if not batch.num_rows:
+                    continue
+                term, (region, tf, dl) = batch.column("term"), (batch.column(c).to_numpy() for c in ("region", "tf", "dl"))
+                new = np.append(True, pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) | (region[1:] != region[:-1]))
+                at = np.flatnonzero(new)
+                top = np.maximum.reduceat(tf / (tf + _norm(params, avgdl, dl)), at)
+                term, region, n = term.take(pa.array(at)), region[at], np.diff(np.append(at, len(new)))
+                if held is not None:
+                    if held[0][0] == term[0] and held[1][0] == region[0]:
+                        top[0], n[0] = max(top[0], held[2][0]), n[0] + held[3][0]
+                    else:
+                        yield made(*held)
+                held = (term[-1:], region[-1:], top[-1:], n[-1:])
+                yield made(term[:-1], region[:-1], top[:-1], n[:-1])
+    if held is not None:
+        yield made(*held)
+
+
 def write_impacts(index: TextIndex, path: str, params: BM25Params = BM25Params(), region_docs: int = REGION_DOCS,
                   shards: int | None = None) -> ImpactIndex:
     """Store the block index of ``index`` below ``path``. ``shards`` (default: the
@@ -101,12 +144,17 @@ def write_impacts(index: TextIndex, path: str, params: BM25Params = BM25Params()
     rows.write.partitionBy("shard").option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")
     id_type = index.postings.schema["doc_id"].dataType.simpleString()
     stored = spark.read.schema(_postings_schema(id_type)).parquet(f"{path}/postings")
-    # Dealt over ranges first: the counts per block then need no other exchange and are made once.
-    factors = stored.select("term", "shard", "region", _factor(params, avgdl).alias("factor"))
-    blocks = factors.repartitionByRange(shards, "term", "region").groupBy("term", "shard", "region").agg(
-        F.max("factor").alias("top"), F.count(F.lit(1)).alias("n"))
-    blocks.sortWithinPartitions("term", "region").write.option(
-        "parquet.block.size", str(4 << 20)).parquet(f"{path}/blocks")
+    # A shard's sorted files hold each of its blocks in one run: a task counts them without an exchange.
+    files = _shard_files(stored)
+
+    def counted(batches):
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                yield from _blocks_of(shard, files.get(shard, []), params, avgdl)
+
+    ship(spark)
+    blocks = spark.range(0, shards, 1, shards).mapInArrow(counted, BLOCKS)
+    blocks.write.option("parquet.block.size", str(4 << 20)).parquet(f"{path}/blocks")
     facts = spark.createDataFrame([(n, avgdl, params.k1, params.b, id_type)],
                                   "n_docs long, avgdl double, k1 double, b double, id_type string")
     facts.write.parquet(f"{path}/facts")
@@ -159,7 +207,7 @@ def _shard_best(wanted: pa.Table, files: list[str], weights: tuple, params: BM25
     docs, doc = np.unique(doc, return_inverse=True)  # numbered in the order of their ids
     order = np.argsort(doc, kind="stable")
     number, region, doc, tf, dl = (x[order] for x in (number, region, doc, tf, dl))
-    factor = tf / (tf + params.k1 * ((1.0 - params.b) + params.b * dl / avgdl))
+    factor = tf / (tf + _norm(params, avgdl, dl))
     count = starts[number + 1] - starts[number]
     total = np.concatenate([[0], np.cumsum(count)])
     first = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))  # where each document starts
@@ -243,9 +291,7 @@ class PrunedSearch:
         if self.sent is None:
             part = F.col("wt") * _factor(self.index.params, self.index.avgdl)
             return self.read(pairs).groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
-        files: dict[int, list[str]] = {}
-        for f in sorted(self.index.postings.inputFiles()):
-            files.setdefault(int(re.search(r"/shard=(\d+)/", f)[1]), []).append(f)
+        files = _shard_files(self.index.postings)
         kinds = [(c, s.schema[c].dataType) for s, c in ((pairs, "qid"), (self.index.postings, "doc_id"))]
         schema = T.StructType([T.StructField(c, kind) for c, kind in kinds] + [T.StructField("score", T.DoubleType())])
         arrow, sent, params, avgdl, k = to_arrow_schema(schema), self.sent, self.index.params, self.index.avgdl, self.k

@@ -141,3 +141,19 @@ def test_a_shard_passes_on_its_best_documents_only(spark, index, stored, monkeyp
     monkeypatch.setattr(impacts, "SUMS", 20)
     got = impacts._shard_best(*args)
     assert len(want[0]) and got[:2] == want[:2] and got[2] == pytest.approx(want[2])
+
+
+def test_blocks_are_counted_without_an_exchange(spark, stored, monkeypatch):
+    """Each shard's blocks stand in one file, however few rows are read at once."""
+    files = [r[0] for r in stored.blocks.select("shard", F.col("_metadata.file_path").alias("f")).distinct().groupBy("f").count().select("count").collect()]
+    assert files and set(files) == {1}
+    want = {(r.term, r.shard, r.region): (round(r.top, 12), r.n) for r in stored.postings.groupBy("term", "shard", "region").agg(
+        F.max(impacts._factor(stored.params, stored.avgdl)).alias("top"), F.count(F.lit(1)).alias("n")).collect()}
+    rows = stored.blocks.collect()
+    assert len(rows) == len(want) and {(r.term, r.shard, r.region): (round(r.top, 12), r.n) for r in rows} == want
+    monkeypatch.setattr(impacts, "READ_ROWS", 3)
+    shard, names = min(impacts._shard_files(stored.postings).items())
+    batches = impacts._blocks_of(shard, names, stored.params, stored.avgdl)
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert {(t, s, g): (round(top, 12), n) for t, s, g, top, n in got} == {k: v for k, v in want.items() if k[1] == shard}
+    assert len(got) == len({g[:3] for g in got})
